@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, host_rules, mixing, shards, token_files
+from . import bpe, fingerprints, host_rules, mixing, pfp, shards, simhash, token_files
 
 QUERIES = {
     f.__name__: f
@@ -11,7 +11,9 @@ QUERIES = {
         shards.op3_byte_shards,
         host_rules.op4_host_rules,
         fingerprints.op6_bottom_k,
+        pfp.op7_prefix_free_parsing,
         token_files.op8_token_files,
+        simhash.op9_simhash,
         mixing.op10_mix_sources,
     )
 }
