@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, host_rules, mixing, pfp, shards, simhash, token_files
+from . import bpe, fingerprints, host_rules, mixing, pfp, shards, simhash, token_files, weak_labels
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         bpe.op1_bpe,
         shards.op3_byte_shards,
         host_rules.op4_host_rules,
+        weak_labels.op5_weak_labels,
         fingerprints.op6_bottom_k,
         pfp.op7_prefix_free_parsing,
         token_files.op8_token_files,
