@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, host_rules, mixing, pfp, shards, simhash, token_files, weak_labels
+from . import bpe, fingerprints, host_rules, hpylm, mixing, pfp, shards, simhash, token_files, weak_labels
 
 QUERIES = {
     f.__name__: f
     for f in (
         bpe.op1_bpe,
+        hpylm.op2_pitman_yor,
         shards.op3_byte_shards,
         host_rules.op4_host_rules,
         weak_labels.op5_weak_labels,

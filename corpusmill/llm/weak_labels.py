@@ -38,7 +38,7 @@ from .common import WORD, stash
 from .host_rules import measure
 
 LABELLED, TERMS, FITTED = 20_000, 400, 6_000
-WIDTH = 1 << 18
+WIDTH, CLEAR_LEAST = 1 << 18, 0.95
 BEGINNINGS = (5, 7)
 BAD, GOOD, SILENT = 1, 0, 2
 #: The terms that the abuse labeller starts from.
@@ -119,31 +119,39 @@ class Features:
         return np.array([s for w in rates.distinct for s in self.word(w)] + self.rates(rates), np.int64)
 
 
-def fit_scorer(rows: Iterable[tuple[str, float]], passes: int = 4, alpha: float = 0.2, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0) -> np.ndarray:
-    """Weights of the hashed features and, last, the intercept, from texts and probabilities of being bad."""
+def fit_scorer(rows: Iterable[tuple[str, float]], updates: int = 24_000, alpha: float = 0.2, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, intercept: float = -2.0) -> np.ndarray:
+    """Weights of the hashed features and, last, the intercept, from texts and probabilities of being bad.
+
+    Examples are passed until ``updates`` are made. The intercept is fixed: a text
+    without evidence is kept.
+    """
     features = Features()
     examples = []
     for text, target in rows:
         slots, counts = np.unique(features.of(Rates(text)), return_counts=True)
         examples.append((slots, np.minimum(counts, 8).astype(np.float64), target))
     z, n = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
-    for _ in range(passes):
+    for _ in range(-(-updates // max(1, len(examples)))):
         for slots, counts, target in examples:
-            at, x = np.append(slots, WIDTH), np.append(counts, 1.0)
+            at, x = slots, counts
             step = (beta + np.sqrt(n[at])) / alpha + l2
             w = np.where(np.abs(z[at]) > l1, -(z[at] - np.sign(z[at]) * l1) / step, 0.0)
-            g = (1 / (1 + np.exp(-np.clip(w @ x, -30, 30))) - target) * x
+            g = (1 / (1 + np.exp(-np.clip(w @ x + intercept, -30, 30))) - target) * x
             more = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
             z[at] += g - more * w
             n[at] += g * g
     step = (beta + np.sqrt(n)) / alpha + l2
-    return np.where(np.abs(z) > l1, -(z - np.sign(z) * l1) / step, 0.0)
+    weights = np.where(np.abs(z) > l1, -(z - np.sign(z) * l1) / step, 0.0)
+    weights[WIDTH] = intercept
+    return weights
 
 
-def estimate(patterns: list[tuple[str, int]], labellers: tuple[str, ...], rounds: int = 200) -> tuple[dict[str, float], dict[str, tuple[float, float]], float]:
+def estimate(patterns: list[tuple[str, int]], labellers: tuple[str, ...], clear_least: float = 0.0, rounds: int = 200) -> tuple[dict[str, float], dict[str, tuple[float, float]], float]:
     """Expectation-maximisation over vote patterns: P(bad) by pattern, (P(vote bad | bad), P(vote good | good)) by labeller, P(bad).
 
     Starts from patterns with any bad vote as bad; votes are smoothed by one document each.
+    ``clear_least`` bounds P(vote good | good) from below: without it, a kind of bad
+    documents that other labellers do not see may be taken for good ones.
     """
     if not patterns:
         return {}, {}, 0.0
@@ -154,6 +162,7 @@ def estimate(patterns: list[tuple[str, int]], labellers: tuple[str, ...], rounds
         share = np.clip((n * bad).sum() / n.sum(), 1e-4, 1 - 1e-4)
         hit = (((v == BAD) * (n * bad)[:, None]).sum(0) + 1) / (((v != SILENT) * (n * bad)[:, None]).sum(0) + 2)
         clear = (((v == GOOD) * (n * (1 - bad))[:, None]).sum(0) + 1) / (((v != SILENT) * (n * (1 - bad))[:, None]).sum(0) + 2)
+        clear = np.maximum(clear, clear_least)
         up = np.where(v == BAD, np.log(hit), np.where(v == GOOD, np.log(1 - hit), 0.0)).sum(1) + np.log(share)
         down = np.where(v == BAD, np.log(1 - clear), np.where(v == GOOD, np.log(clear), 0.0)).sum(1) + np.log(1 - share)
         new = 1 / (1 + np.exp(np.clip(down - up, -60, 60)))
@@ -219,8 +228,8 @@ def train(texts: DataFrame, labels: DataFrame | None) -> tuple[np.ndarray, dict]
     voted = stash(cast_votes(texts, abusive), "votes")
     patterns = sorted((r._pattern, r["count"]) for r in voted.groupBy("_pattern").count().collect())  # 2 ** 9 * 3 ** 2 rows at most
     cut = len(JUNK)
-    junk, junk_accuracy, junk_share = estimate(summed((p[:cut], n) for p, n in patterns), JUNK)
-    toxic, toxic_accuracy, toxic_share = estimate(summed((p[cut:], n) for p, n in patterns), TOXIC)
+    junk, junk_accuracy, junk_share = estimate(summed((p[:cut], n) for p, n in patterns), JUNK, CLEAR_LEAST)
+    toxic, toxic_accuracy, toxic_share = estimate(summed((p[cut:], n) for p, n in patterns), TOXIC, CLEAR_LEAST)
     posterior = {p: 1 - (1 - junk[p[:cut]]) * (1 - toxic[p[cut:]]) for p, _ in patterns}
     chosen = voted.where("_id IS NOT NULL").groupBy("_id").agg(F.min("_pattern").alias("_pattern"))
     chosen = stash(chosen.orderBy(F.col("_pattern").endswith(str(SILENT)), F.xxhash64("_id"), "_id").limit(FITTED), "chosen")
