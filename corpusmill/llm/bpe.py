@@ -271,5 +271,26 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc
     return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS `{id_col}`", f"CAST(`{text_col}` AS STRING) AS _text").mapInArrow(run, schema)
 
 
+def tokenised(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"), tokenizer: str | None = None, text_col: str = "text") -> DataFrame:
+    """The columns of ``keep``, n_tokens, token_ids, and whether decoding the ids gives the text back."""
+    path = tokenizer or default_tokenizer()
+    types = dict(docs.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, v = text_encoder(path).encode, vocabulary(path)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):  # bounds the ids in memory
+                some = batch.slice(k, 256)
+                texts = [t or "" for t in some.column(len(keep)).to_pylist()]
+                ids = [np.frombuffer(encode(t), "<u4") for t in texts]
+                counts = np.array([len(x) for x in ids], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
+                same = pa.array([v.decode(x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(keep)], pa.array(counts), lists, same], [*keep, "n_tokens", "token_ids", "round_trip"])
+
+    slim = docs.select(*(f"`{c}`" for c in keep), docs[text_col].cast("string").alias("~text"))
+    return slim.mapInArrow(run, "".join(f"`{c}` {types[c]}, " for c in keep) + "n_tokens bigint, token_ids array<int>, round_trip boolean")
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))

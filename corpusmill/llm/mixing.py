@@ -62,18 +62,20 @@ def mix_to_targets(
     share: float = 1.5,
     cap: float = 2.0,
     seed: str = "",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: id, _source, size, source_size, target, epochs, picked, taken."""
+    """One row per document: id, _source, size, source_size, target, epochs, picked, taken, and the columns of ``carry``."""
     text = text_or_empty(text_col)
     sized = docs.select(
         F.col(id_col).cast("long").alias("_id"),
         F.col(source_col).cast("string").alias("_source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("_size"),
         text.alias("_text"),
+        *carry,
     )
     draw = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit(""))).cast("binary"))
     uniform = (F.conv(F.substring(draw, 1, 13), 16, 10).cast("double") + 1.0) / F.lit(float(2**52 + 1))
-    slim = stash(sized.select("_id", "_source", "_size", (-F.log(uniform) / word_length_quality(F.col("_text"), F.col("_size"))).alias("_key")), "mixing")
+    slim = stash(sized.select("_id", "_source", "_size", *carry, (-F.log(uniform) / word_length_quality(F.col("_text"), F.col("_size"))).alias("_key")), "mixing")
 
     bounds = range_bounds(slim, "_key", shuffle_partitions(docs.sparkSession))
     ranged = slim.withColumn("_range", range_bucket(F.col("_key"), bounds, "double"))
@@ -87,7 +89,7 @@ def mix_to_targets(
     inside = Window.partitionBy("_source", "_range").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
     run = ranged.withColumn("_run", F.coalesce(F.sum("_size").over(inside), F.lit(0))).alias("r")
     s = starts.alias("s")
-    joined = run.join(s, F.col("r._source").eqNullSafe(F.col("s._source")) & (F.col("r._range") == F.col("s._range"))).select("r._id", "r._source", "_size", "_run", "_start", "_source_size", "_target")
+    joined = run.join(s, F.col("r._source").eqNullSafe(F.col("s._source")) & (F.col("r._range") == F.col("s._range"))).select("r._id", "r._source", "_size", "_run", "_start", "_source_size", "_target", *carry)
     epochs = F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(F.lit(0))
     rest = F.col("_target") - F.col("_epochs") * F.col("_source_size")
     middle = F.col("_start") + F.col("_run") + F.col("_size") / 2
@@ -103,10 +105,19 @@ def mix_to_targets(
             F.col("_epochs").alias("epochs"),
             F.col("_picked").alias("picked"),
             ((F.col("_epochs") + F.col("_picked")) * F.col("_size")).alias("taken"),
+            *carry,
         )
     )
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings: object) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them."""
+    numbered = stash(docs.withColumn("~row", F.monotonically_increasing_id()), "numbered")
+    taken = mix_to_targets(numbered, id_col, text_col, source_col, carry=("~row",), **settings).select("~row", (F.col("epochs") + F.col("picked")).cast("int").alias("~copies"))
+    repeated = numbered.join(taken.where("`~copies` > 0"), "~row").withColumn("~copy", F.explode(F.sequence(F.lit(1), F.col("~copies"))))
+    return repeated.select(*(f"`{c}`" for c in docs.columns))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix_to_targets(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -50,19 +50,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, text_or_empty
+from .common import MIX, mixed, shuffle_partitions, text_or_empty
 
 LENGTH, TRIGGER, HOT, CHUNK = 50, 24, 16, 2 << 20
-MIX = np.uint64(0x9E3779B97F4A7C15)
 MESSAGE = "_to int, _part int, _kind int, _data binary"
 NO_ID = -(2**63)
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * MIX
-    return h ^ (h >> np.uint64(29))
-
-
 def trigger_hashes(buf: np.ndarray, width: int) -> np.ndarray:
     """Hash of the ``width`` bytes from each place, by 8-byte steps."""
     n = len(buf) - width + 1
@@ -178,6 +172,16 @@ def load(texts: pa.Table, length: int) -> tuple[np.ndarray, list[bytes], Phrases
     return ids, data, Phrases(data, length)
 
 
+def whole_characters(gone: np.ndarray, text: bytes) -> np.ndarray:
+    """``gone`` without the bytes of characters that stay in part."""
+    data = np.frombuffer(text, np.uint8)
+    if not (data > 127).any():
+        return gone
+    head = np.flatnonzero((data & 0xC0) != 0x80)
+    size = np.diff(np.append(head, len(data)))
+    return np.repeat(np.add.reduceat(gone, head, dtype=np.int64) == size, size)
+
+
 def send_triggers(length: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
     def run(texts: pa.Table) -> pa.Table:
         part = texts.column("_to")[0].as_py()
@@ -325,7 +329,7 @@ def sort_dictionary(length: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def remove_runs(length: int, buckets: int, id_col: str, with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def remove_runs(length: int, buckets: int, id_col: str, with_text: bool, others: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         ids, data, ph = load(texts, length)
         kind, sender, sent = (told.column(c).to_pylist() for c in ("_kind", "_part", "_data"))
@@ -350,31 +354,56 @@ def remove_runs(length: int, buckets: int, id_col: str, with_text: bool) -> Call
             place = at[order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]]
             cover(ph.start[place] + np.repeat(a, n), ph.start[place] + np.repeat(b, n))
         gone = np.cumsum(mark[:-1]) > 0
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(7)]
         for i, text, end in zip(ids.tolist(), data, ph.ends.tolist(), strict=True):
             g = gone[end - len(text) : end]
+            if with_text and len(text):
+                whole = whole_characters(g, text)
+                out[6].append((text if not whole.any() else np.frombuffer(text, np.uint8)[~whole].tobytes()).decode("utf-8", "replace"))
+            elif with_text:
+                out[6].append("")
             kept = np.frombuffer(text, np.uint8)[~g].tobytes() if len(text) and g.any() else text
             spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum())
-            for column, v in zip(out, (None if i == NO_ID else i, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None), strict=True):
+            for column, v in zip(out, (None if i == NO_ID else i, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None), strict=False):
                 column.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        return pa.table([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
+        named = ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"]
+        made = {k: pa.array(v, kind) for k, v, kind in zip(named, out, kinds, strict=True) if with_text or k != "kept_text"}
+        order = sorted(range(texts.num_rows), key=list(zip(texts.column("_id").to_pylist(), texts.column("_data").to_pylist(), strict=True)).__getitem__)
+        made |= {f"o{k}": texts.column(f"o{k}").take(pa.array(order, pa.int64())) for k in range(len(others))}
+        return pa.table(list(made.values()), names=list(made))
 
     return run
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot: int = HOT) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes of every document."""
+    made = _removed(docs, length, id_col, text_col, with_text, hot, [])
+    return made.select(F.col("_id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """``docs`` with the repeats taken from its texts; characters that go in part stay whole."""
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    made = _removed(docs, length, id_col, text_col, True, hot, others)
+    place = {id_col: "_id", text_col: "kept_text"} | {c: f"o{k}" for k, c in enumerate(others)}
+    return made.select(*(F.col(place[c]).cast(t).alias(c) for c, t in docs.dtypes))
+
+
+def _removed(docs: DataFrame, length: int, id_col: str, text_col: str, with_text: bool, hot: int, others: list[str]) -> DataFrame:
     n = shuffle_partitions(docs.sparkSession)
     parts, buckets = 2 * n, n
-    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    texts = docs.select(F.pmod(F.xxhash64(ident), F.lit(parts)).cast("int").alias("_to"), ident.alias("_id"), text_or_empty(text_col).cast("binary").alias("_data"))
+    ident = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
+    part = F.pmod(F.xxhash64(ident), F.lit(parts)).cast("int")
+    full = docs.select(part.alias("_to"), ident.alias("_id"), text_or_empty(f"`{text_col}`").cast("binary").alias("_data"), *(F.col(f"`{c}`").alias(f"o{k}") for k, c in enumerate(others)))
+    texts = full.select("_to", "_id", "_data")
     triggers = texts.groupBy("_to").applyInArrow(send_triggers(length, buckets), MESSAGE)
     repeated = triggers.groupBy("_to").applyInArrow(find_repeated(hot), MESSAGE)
     phrases = texts.groupBy("_to").cogroup(repeated.groupBy("_to")).applyInArrow(send_phrases(length, buckets), MESSAGE)
     answers = phrases.groupBy("_to").applyInArrow(sort_dictionary(length), MESSAGE)
-    schema = f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    return texts.groupBy("_to").cogroup(repeated.union(answers).groupBy("_to")).applyInArrow(remove_runs(length, buckets, id_col, with_text), schema)
+    types = dict(docs.dtypes)
+    schema = "_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary" + ", kept_text string" * with_text + "".join(f", o{k} {types[c]}" for k, c in enumerate(others))
+    return full.groupBy("_to").cogroup(repeated.union(answers).groupBy("_to")).applyInArrow(remove_runs(length, buckets, id_col, with_text, others), schema)
 
 
 def op7_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:

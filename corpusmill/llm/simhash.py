@@ -7,7 +7,8 @@ fingerprints differ in at most ``radius`` bits, and linked texts form components
 Equal fingerprints are first merged to one row, so copies cost nothing later. A
 vantage-point tree is grown on the driver from a sample of ``SAMPLE`` fingerprints
 at most: a node's vantage point and distance part the fingerprints into an inner
-and an outer half. Each fingerprint has one home leaf. By the triangle inequality
+and an outer half. The tree gets so many levels that copies of visitors grow as the root of
+the number of fingerprints. Each fingerprint has one home leaf. By the triangle inequality
 only inner fingerprints within ``radius`` of the border can link across it; those
 also visit the outer half, and visitors go on to every half they may link in. So each
 leaf (a shard) sees every pair that could link, and no leaf sees the rest. A leaf
@@ -15,6 +16,17 @@ compares its homes with all its members in blocks and returns a forest of the li
 never all pairs. The forests join up to components by hash-min rounds with pointer
 jumping, each round written to the shared folder.
 
+:func:`distinct_documents` keeps one document of each group of alike word shingles.
+There a fingerprint has more blocks: one of single words, that the tree parts, and some
+of shingles, that decide. Likeness of ``similarity`` needs sets of like size, so sizes
+are banded and a document meets its own band and the next. A leaf names its members that
+have a candidate; these come again with their shingle sets, and the leaf verifies its
+candidates by the exact similarity, nearest first, skipping pairs that are linked
+already. Verified links form the groups. Documents that differ in no block count as
+copies. Fingerprints are estimates: the radius for shingles leaves two standard
+deviations beyond ``similarity``, so about one pair in forty that is just that alike is no
+candidate, and hardly any that is more alike. No pair less alike is ever linked.
+
 Defined cases: a null or wordless text has fingerprint zero, linked like any other;
 fewer words than a shingle: the whole sequence is the one shingle; repeated rows fall
 in one component; a null id is never a component's id, and a component of null ids
@@ -26,6 +38,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate
+from math import acos, ceil, floor, log, pi, sqrt
 from typing import Any
 
 import numpy as np
@@ -34,9 +47,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import mixed, stash
 
-SEED, SAMPLE, LEAF_LOAD, MAX_DEPTH = 42, 4096, 12_000, 24
+SEED, SAMPLE, LEAF_LOAD, BLOCK = 42, 4096, 12_000, 200_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Node numbers from here on stand for fingerprints that no row with an id has.
 NAMELESS = 1 << 62
@@ -102,7 +115,12 @@ def halves(d: np.ndarray, home: np.ndarray, at: int, radius: int) -> tuple[np.nd
     return inner, inner_home, outer, outer_home
 
 
-def grow(sample: np.ndarray, total: int, radius: int, leaf_load: int = LEAF_LOAD) -> list:
+def depth_of(total: float, least: float) -> int:
+    """Levels of a tree. A level makes visitors up to 1.68 times as many, so copies grow as the root of ``total`` at most."""
+    return max(0, floor(log(max(total, 1) / least) / log(1.68**2)))
+
+
+def grow(sample: np.ndarray, total: int, radius: int, leaf_load: int, levels: int) -> list:
     """Nodes [vantage point, distance, inner, outer] by number; a leaf is [None, leaf number]."""
     nodes: list = []
     leaves = 0
@@ -113,7 +131,7 @@ def grow(sample: np.ndarray, total: int, radius: int, leaf_load: int = LEAF_LOAD
         here = len(nodes)
         nodes.append(None)
         best = None
-        if len(members) * scale > leaf_load and depth < MAX_DEPTH and home.sum() >= 16:
+        if len(members) * scale > leaf_load and depth < levels and home.sum() >= 16:
             homes = np.flatnonzero(home)
             for pick in homes[:: max(1, len(homes) // 4)][:4]:
                 d = distance(sample[members], sample[members[pick]])
@@ -192,7 +210,7 @@ def links(distinct: DataFrame, radius: int, leaf_load: int = LEAF_LOAD) -> DataF
     """(_fp, _node) one row a fingerprint to (_a, _b): forests of links, by node."""
     total = distinct.count()
     sample = unhex(distinct.select("_fp").orderBy(F.xxhash64("_fp"), "_fp").limit(SAMPLE).toArrow().column(0)) if total else np.zeros((0, 1), np.uint64)
-    nodes = grow(sample, total, radius, leaf_load)
+    nodes = grow(sample, total, radius, leaf_load, 24)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,6 +243,179 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+class WordHashes(dict):
+    """Word to its XXH64; forgets all when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return found
+
+    def shingles(self, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words and of the shingles of a text, repeats included."""
+        found = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+        single = np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
+        width = min(words, len(found))
+        if not width:
+            return single, single
+        out = np.zeros(len(found) - width + 1, np.uint64)
+        for i in range(width):
+            out = mixed(out ^ single[i : i + len(out)]) + np.uint64(width)
+        return single, out
+
+
+def blocks_of(text: str, words: int, bits: int, memory: WordHashes) -> tuple[bytes, int]:
+    """A block of single words and ``bits`` of shingles, as bytes; and the number of distinct shingles."""
+    single, shingles = memory.shingles(text, words)
+    prints = [majority_bits(single), *(majority_bits(mixed(shingles + np.uint64(2 * i + 1))) for i in range(bits // 64))]
+    return np.array(prints, ">u8").tobytes(), len(np.unique(shingles))
+
+
+def radius_of(similarity: float, bits: int, spare: float = 2.0) -> int:
+    """Differing bits that sets of one size and this Jaccard similarity stay within, but for ``spare`` standard deviations."""
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    return ceil(bits * share + spare * sqrt(bits * share * (1 - share)))
+
+
+def candidates(prints: np.ndarray, home: np.ndarray, radius: int, shingle_radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of pairs of a leaf's homes and members within both radii, in blocks."""
+    homes = np.flatnonzero(home)
+    step = max(1, (1 << 21) // max(1, len(prints)))
+    for k in range(0, len(homes), step):
+        block = homes[k : k + step]
+        i, j = np.nonzero(np.bitwise_count(prints[block, :1] ^ prints[None, :, 0]) <= radius)
+        i = block[i]
+        once = (i < j) | ((i != j) & ~home[j])
+        i, j = i[once], j[once]
+        apart = distance(prints[i, 1:], prints[j, 1:])
+        near = apart <= shingle_radius
+        yield i[near], j[near], apart[near]
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two ascending arrays of distinct hashes have this Jaccard similarity or more."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= similarity * (len(both) - shared)
+
+
+def verified_forest(prints: np.ndarray, home: np.ndarray, sets: list[np.ndarray], radius: int, shingle_radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of a leaf's verified links: nearest first, and none within what is linked already."""
+    n = len(prints)
+    label = np.arange(n)
+    for i, j, d in candidates(prints, home, radius, shingle_radius):
+        order = np.argsort(d, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(d[order])) + 1) if len(order) else ():
+            rows = rows[label[i[rows]] != label[j[rows]]]
+            linked = rows[[similar(sets[a], sets[b], similarity) for a, b in zip(i[rows].tolist(), j[rows].tolist(), strict=True)]] if len(rows) else rows
+            if len(linked):
+                label = roots(n, label[i[linked]], label[j[linked]])[label]
+    a = np.flatnonzero(label != np.arange(n))
+    return a, label[a]
+
+
+def as_words(column: Any) -> np.ndarray:
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), ">u8").astype(np.uint64).reshape(len(values), -1) if values else np.zeros((0, 1), np.uint64)
+
+
+def candidate_members(distinct: DataFrame, radius: int, shingle_radius: int, similarity: float, leaf_load: int = LEAF_LOAD) -> DataFrame:
+    """(_fp, _n) one row a fingerprint to (_shard, _fp, _home): members of leaves with a candidate there.
+
+    Leaves of more than ``BLOCK`` members are parted into blocks of homes, each of which
+    meets all members. How many is told by the tree's sample.
+    """
+    ratio = log(1 / similarity)
+    total = distinct.count()
+    sample = distinct.select("_fp", "_n").orderBy(F.xxhash64("_fp"), "_fp").limit(SAMPLE).toArrow()
+    seen = as_words(sample.column(0))[:, :1]
+    nodes = grow(seen, total, radius, leaf_load, depth_of(total, 3 * leaf_load / 8))
+    bands = np.floor(np.log(np.maximum(sample.column(1).to_numpy(), 1)) / ratio).astype(int)
+    scale = total / max(1, len(seen))
+    load: dict[tuple[int, int], int] = {}
+    for leaf, rows, _ in route(nodes, seen, radius):
+        for band in bands[rows].tolist():
+            load[band, leaf] = load.get((band, leaf), 0) + 1
+            load[band - 1, leaf] = load.get((band - 1, leaf), 0) + 1
+    parts = {k: ceil(v * scale / BLOCK) for k, v in load.items() if v * scale > BLOCK}
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2048):
+                some = batch.slice(k, 2048)
+                prints = as_words(some.column(0))
+                band = np.floor(np.log(np.maximum(some.column(1).to_numpy(), 1)) / ratio).astype(np.int64)
+                block = (mixed(prints[:, -1]) >> np.uint64(33)).astype(np.int64)
+                for leaf, rows, home in route(nodes, prints[:, :1], radius):
+                    for down in (0, 1):  # in the own band, and a guest in the one below
+                        at, own = band[rows] - down, home
+                        for b in np.unique(at).tolist():
+                            here = rows[at == b]
+                            for part in range(parts.get((b, leaf), 1)):
+                                mine = own[at == b] & (block[here] % parts.get((b, leaf), 1) == part)
+                                shard = np.full(len(here), (b + 1 << 40) | (leaf << 20) | part, np.int64)
+                                yield pa.RecordBatch.from_arrays([pa.array(shard), some.column(0).take(pa.array(here)), pa.array(mine)], ["_shard", "_fp", "_home"])
+
+    def compare(members: pa.Table) -> pa.Table:
+        prints, seen = as_words(members.column("_fp")), np.zeros(members.num_rows, bool)
+        for i, j, _ in candidates(prints, members.column("_home").to_numpy(), radius, shingle_radius):
+            seen[i] = seen[j] = True
+        return members.filter(pa.array(seen))
+
+    schema = "_shard bigint, _fp binary, _home boolean"
+    return distinct.select("_fp", "_n").mapInArrow(send, schema).groupBy("_shard").applyInArrow(compare, schema)
+
+
+def verified_links(members: DataFrame, texts: DataFrame, words: int, radius: int, shingle_radius: int, similarity: float) -> DataFrame:
+    """(_a, _b): forests of the members' links whose texts, (_fp, _text), have shingle sets at least so alike."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = WordHashes()
+        for batch in batches:
+            made = [np.unique(memory.shingles(t or "", words)[1]).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["_fp", "_set"])
+
+    def verify(rows: pa.Table) -> pa.Table:
+        fp, found = rows.column("_fp").combine_chunks(), rows.column("_set").combine_chunks()
+        shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in found]
+        a, b = verified_forest(as_words(fp), rows.column("_home").to_numpy(), shingles, radius, shingle_radius, similarity)
+        return pa.table({"_a": fp.take(pa.array(a)), "_b": fp.take(pa.array(b))})
+
+    made = texts.select("_fp", "_text").mapInArrow(sets, "_fp binary, _set binary")
+    return members.join(made, "_fp").groupBy("_shard").applyInArrow(verify, "_a binary, _b binary")
+
+
+def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 256, radius: int = 12, id_col: str = "doc_id", text_col: str = "text", leaf_load: int = LEAF_LOAD) -> DataFrame:
+    """The rows of ``docs``, one of each group: that of the smallest id, null ids last."""
+    names = docs.columns
+    text_at = names.index(text_col)
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = WordHashes()
+        for batch in batches:
+            made = [blocks_of(t or "", words, bits, memory) for t in batch.column(text_at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64())], [*names, "~fp", "~n"])
+
+    printed = docs.mapInArrow(run, f"{schema}, `~fp` binary, `~n` bigint")
+    printed = stash(printed.withColumn("~row", F.monotonically_increasing_id()), "printed")
+    rank = F.struct(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), F.col("~row").alias("row"))
+    distinct = printed.groupBy(F.col("~fp").alias("_fp")).agg(F.max("~n").alias("_n"), F.min(rank).alias("_least"))
+    distinct = stash(distinct, "distinct")
+    shingle_radius = radius_of(similarity, bits)
+    members = stash(candidate_members(distinct, radius, shingle_radius, similarity, leaf_load), "candidates")
+    chosen = distinct.join(members.select("_fp").distinct(), "_fp").select("_fp", F.col("_least.row").alias("~row"))
+    texts = printed.select("~row", F.col(f"`{text_col}`").alias("_text")).join(chosen, "~row")
+    labels = components(verified_links(members, texts, words, radius, shingle_radius, similarity))
+    grouped = distinct.join(labels.select(F.col("_node").alias("_fp"), "_label"), "_fp", "left").groupBy(F.coalesce("_label", "_fp")).agg(F.min("_least").alias("_least"))
+    stay = grouped.select(F.col("_least.row").alias("~row"))
+    return printed.join(stay, "~row", "left_semi").select(*(f"`{c}`" for c in names))
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 64, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", leaf_load: int = LEAF_LOAD) -> DataFrame:
     """id, fingerprint and component_id (the smallest id reachable by links) of every document."""
     prints = stash(fingerprints(docs, words, bits, id_col, text_col), "fingerprints")

@@ -248,34 +248,59 @@ def train(texts: DataFrame, labels: DataFrame | None) -> tuple[np.ndarray, dict]
     return weights, {"posterior": posterior, "accuracy": junk_accuracy | toxic_accuracy, "share": (junk_share, toxic_share), "terms": abusive}
 
 
+class Scorer:
+    """The probability of being bad that trained weights give a text."""
+
+    def __init__(self, slim: dict[int, float]) -> None:
+        self.slim, self.features, self.known = slim, Features(), {}
+
+    def __call__(self, text: str) -> float:
+        rates, slim = Rates(text), self.slim
+        total = slim.get(WIDTH, 0.0) + sum(slim.get(s, 0.0) for s in self.features.rates(rates))
+        capped: dict[int, int] = {}
+        for w in rates.distinct:
+            hits = self.known.get(w)
+            if hits is None:
+                if len(self.known) > 300_000:
+                    self.known.clear()
+                hits = self.known[w] = tuple(s for s in self.features.word(w) if s in slim)
+            for s in hits:
+                capped[s] = capped.get(s, 0) + 1
+        total += sum(slim[s] * min(n, 8) for s, n in capped.items())
+        return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
+
+
+def slim_weights(weights: np.ndarray) -> dict[int, float]:
+    at = np.flatnonzero(weights)
+    return dict(zip(at.tolist(), weights[at].tolist(), strict=True))
+
+
 def score(texts: DataFrame, weights: np.ndarray) -> DataFrame:
     """(_id, _text) to (_id, _score): the scorer's probability of being bad."""
-    at = np.flatnonzero(weights)
-    slim = dict(zip(at.tolist(), weights[at].tolist(), strict=True))
+    slim = slim_weights(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, known = Features(), {}
+        scorer = Scorer(slim)
         for batch in batches:
-            made = []
-            for text in batch.column(1).to_pylist():
-                rates = Rates(text)
-                total = slim.get(WIDTH, 0.0) + sum(slim.get(s, 0.0) for s in features.rates(rates))
-                capped: dict[int, int] = {}
-                for w in rates.distinct:
-                    hits = known.get(w)
-                    if hits is None:
-                        if len(known) > 300_000:
-                            known.clear()
-                        hits = known[w] = tuple(s for s in features.word(w) if s in slim)
-                    for s in hits:
-                        capped[s] = capped.get(s, 0) + 1
-                total += sum(slim[s] * min(n, 8) for s, n in capped.items())
-                made.append(float(1 / (1 + np.exp(-np.clip(total, -30, 30)))))
+            made = [scorer(text) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.float64())], ["_id", "_score"])
 
     return texts.select("_id", "_text").mapInArrow(run, "_id bigint, _score double")
 
 
+def good_documents(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, with all their columns."""
+    weights, _ = train(prepare(docs, id_col, text_col), labels)
+    slim, text_at = slim_weights(weights), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(slim)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer(t or "") < limit for t in batch.column(text_at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """id, score (probability of being bad) and kept of every document."""
     texts = prepare(docs, id_col, text_col)

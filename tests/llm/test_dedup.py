@@ -130,7 +130,7 @@ def test_tree_loses_no_pair():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)
     prints = np.unique(np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 63, 400).astype(np.uint64)), base ^ np.uint64(15)]))[:, None]
-    nodes = simhash.grow(prints[::3], len(prints), 4, leaf_load=60)
+    nodes = simhash.grow(prints[::3], len(prints), 4, leaf_load=60, levels=8)
     assert sum(x[0] is None for x in nodes) > 8
     together, homes = set(), np.zeros(len(prints), int)
     for _, rows, home in simhash.route(nodes, prints, 4):
@@ -145,3 +145,80 @@ def test_tree_loses_no_pair():
 def test_wide_fingerprints():
     a, b = simhash.fingerprint("a b c d e f", 5, 128), simhash.fingerprint("A B c d e f", 5, 128)
     assert a == b and len(a) == 32 and a[:16] != a[16:]
+
+
+def shingle_set(text, k=5):
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def alike(a, b, least=0.8):
+    both = len(a & b)
+    return both >= least * (len(a) + len(b) - both)
+
+
+def brute_groups(rows):
+    sets = [shingle_set(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if alike(sets[i], sets[j]):
+                up[root(i)] = root(j)
+    groups = defaultdict(list)
+    for i in range(len(rows)):
+        groups[root(i)].append(i)
+    return list(groups.values())
+
+
+@pytest.mark.parametrize("leaf", [20, 12_000])
+def test_one_document_of_each_group_stays(spark, leaf, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 40)
+    rows = near_copies(5, 50)
+    hub = [f"h{i}" for i in range(200)]
+    for k in range(60):  # each near the first, not near each other
+        w = list(hub)
+        for i in (3 * k % 195, (3 * k + 90) % 195, (3 * k + 50) % 195):
+            w[i] = f"new{k}at{i}"
+        rows.append((5000 + k, " ".join(w)))
+    rows.append((4999, " ".join(hub)))
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA).repartition(3)
+    kept = simhash.distinct_documents(df, leaf_load=leaf)
+    assert kept.dtypes == df.dtypes
+    kept = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    want = sorted((min((rows[i] for i in g), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")) for g in brute_groups(rows)), key=repr)
+    assert [r[0] for r in kept] == [r[0] for r in want]
+    assert simhash.distinct_documents(df.where("doc_id < -5")).count() == 0
+
+
+def test_repeats_cut_from_documents(spark):
+    rows = [*repetitive(3, 40), (900, None), (901, "é" * 60), (902, "x" + "é" * 60), (903, "日本" * 40), (904, "a日本" * 40)]
+    df = spark.createDataFrame([(i, t, f"s{i}", None) for i, t in rows], "doc_id bigint, text string, source string, _id string")
+    got = pfp.without_repeats(df)
+    assert got.columns == df.columns
+    got = got.collect()
+    assert len(got) == len(rows) and all(r.source == f"s{r.doc_id}" for r in got)
+    first = {}
+    for i, t in sorted(((-(2**63) if i is None else i), t or "") for i, t in rows):
+        data = t.encode()
+        for k in range(len(data) - 49):
+            first.setdefault(data[k : k + 50], i)
+    want = []
+    for i, t in rows:
+        data, key = (t or "").encode(), -(2**63) if i is None else i
+        gone = np.zeros(len(data), bool)
+        for k in range(len(data) - 49):
+            if first[data[k : k + 50]] < key:
+                gone[k : k + 50] = True
+        at, out = 0, ""
+        for c in t or "":
+            n = len(c.encode())
+            out += "" if gone[at : at + n].all() else c
+            at += n
+        want.append((i, out))
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr)
