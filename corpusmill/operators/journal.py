@@ -1,0 +1,49 @@
+"""The run journal: redacted rows, the newest of them, and runs with their dispatches."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import redact, redact_map
+
+# The events, and the details that each may carry.
+DETAILS = {
+    "RUN_START": ["paths"],
+    "DISPATCH_START": ["source", "dispatches_used", "sub_query_id"],
+    "GATE_PASS": ["source", "document_id", "sub_query_id"],
+    "GATE_FAIL": ["source", "document_id", "sub_query_id"],
+    "INDEX_SUSPECT": ["document_id", "source"],
+    "SOFT_WARN": ["dispatches_used"],
+    "RUN_CLOSE": ["indexed", "failed", "dispatches"],
+    "ASK_START": ["question", "ask_type"],
+    "ASK_CLOSE": ["ask_type", "dispatches", "coverage"],
+    "TELEMETRY": [],
+}
+FREE_TEXT = ("agent", "gate", "verdict", "model")
+
+
+def allowed(detail: Column, event: Column, allow: dict[str, list[str]] | None = None) -> Column:
+    """A map of strings with the keys that the event may carry; the rest goes silently."""
+    pairs = [F.lit(f"{e}/{k}") for e, keys in (DETAILS if allow is None else allow).items() for k in keys]
+    known = F.array(*pairs) if pairs else F.array().cast("array<string>")
+    return F.map_filter(detail, lambda k, v: F.array_contains(known, F.concat(event, F.lit("/"), k)))
+
+
+def prepared(events: DataFrame) -> DataFrame:
+    """Rows of JOURNAL, ready to append: unknown events fail, details are filtered, secrets blanked. Ids stay as they are."""
+    known = F.when(F.col("event").isin(list(DETAILS)), F.col("event")).otherwise(F.raise_error(F.concat(F.lit("unknown event: "), F.coalesce("event", F.lit("null")))).cast("string"))
+    return events.withColumns({"event": known, "detail": redact_map(allowed(F.col("detail"), F.col("event"))), **{c: redact(F.col(c)) for c in FREE_TEXT}})
+
+
+def recent_events(journal: DataFrame, n: int = 20, key: str = "id") -> DataFrame:
+    """The last ``n`` rows, oldest first."""
+    return journal.orderBy(F.desc(key)).limit(n).orderBy(key)
+
+
+def recent_runs(journal: DataFrame, n: int = 20, starts: tuple[str, ...] = ("RUN_START", "ASK_START"), dispatch: str = "DISPATCH_START") -> DataFrame:
+    """run_id, ts, event, dispatch_count of the last ``n`` starts with a run id, newest first."""
+    begun = journal.where(F.col("event").isin(list(starts)) & F.col("run_id").isNotNull()).select("id", "run_id", "ts", "event").orderBy(F.desc("ts"), F.desc("id")).limit(n)
+    runs = begun.select("run_id").distinct()
+    counts = journal.where(F.col("event") == dispatch).join(F.broadcast(runs), "run_id", "left_semi").groupBy("run_id").agg(F.count("*").alias("dispatch_count"))  # n runs at most
+    return begun.join(counts, "run_id", "left").select("id", "run_id", "ts", "event", F.coalesce("dispatch_count", F.lit(0)).alias("dispatch_count")).orderBy(F.desc("ts"), F.desc("id"))
