@@ -210,7 +210,7 @@ def links(distinct: DataFrame, radius: int, leaf_load: int = LEAF_LOAD) -> DataF
     """(_fp, _node) one row a fingerprint to (_a, _b): forests of links, by node."""
     total = distinct.count()
     sample = unhex(distinct.select("_fp").orderBy(F.xxhash64("_fp"), "_fp").limit(SAMPLE).toArrow().column(0)) if total else np.zeros((0, 1), np.uint64)
-    nodes = grow(sample, total, radius, leaf_load, 24)
+    nodes = grow(sample, total, radius, leaf_load, depth_of(total, leaf_load / 6))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
