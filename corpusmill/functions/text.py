@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +48,11 @@ SECRETS = [
 SECRET_KEYS = "password secret token api_key apikey credential auth bearer access_token refresh_token".split()
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used, inside lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Words between white space, in order."""
     return F.filter(F.split(text, f"[{SPACES}]+"), lambda w: w != "")
@@ -87,7 +94,7 @@ def title(text: Column, path: Column) -> Column:
 
 def looks_like_text(content: Column) -> Column:
     """Whether bytes look like text: no NUL, and at most 30 % control bytes. No bytes do."""
-    letters = F.decode(content, F.lit("ISO-8859-1"))
+    letters = F.decode(content, "ISO-8859-1")
     odd = F.regexp_count(letters, F.lit(r"[\x01-\x08\x0e-\x1a\x1c-\x1f]"))
     return F.when(F.length(content) == 0, True).when(F.regexp_count(letters, F.lit(r"\x00")) > 0, False).otherwise(odd <= 0.3 * F.length(content))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import words
+from .text import let, words
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,14 +32,17 @@ def hashed(text: Column, at: int, size: int) -> Column:
 
 def hash_dense(text: Column, size: int = 1024) -> Column:
     """A vector of length one with equal parts at the words' slots; no words: zeros."""
-    slots = hashed(text, 1, size)
     zeros = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n)
-    part = (F.lit(1.0) / F.sqrt(F.greatest(F.size(slots), F.lit(1)).cast("double"))).cast("float")
-    filled = F.flatten(F.transform(slots, lambda s, i: F.concat(zeros(s - F.coalesce(F.get(slots, i - 1), F.lit(-1)) - 1), F.array(part))))
-    return F.concat(filled, zeros(F.lit(size - 1) - F.coalesce(F.get(slots, F.size(slots) - 1), F.lit(-1))))
+
+    def filled(slots: Column) -> Column:
+        part = (F.lit(1.0) / F.sqrt(F.greatest(F.size(slots), F.lit(1)).cast("double"))).cast("float")
+        upto = F.flatten(F.transform(slots, lambda s, i: F.concat(zeros(s - F.coalesce(F.get(slots, i - 1), F.lit(-1)) - 1), F.array(part))))
+        return F.concat(upto, zeros(F.lit(size - 1) - F.coalesce(F.get(slots, F.size(slots) - 1), F.lit(-1))))
+
+    return let(hashed(text, 1, size), filled)
 
 
 def hash_sparse(text: Column, size: int = 30_000) -> Column:
     """Weight one at the words' slots."""
-    slots = hashed(text, 5, size)
-    return F.struct(slots.alias("indices"), F.transform(slots, lambda _: F.lit(1.0).cast("float")).alias("values"))
+    ones = lambda slots: F.transform(slots, lambda _: F.lit(1.0).cast("float"))
+    return let(hashed(text, 5, size), lambda slots: F.struct(slots.alias("indices"), ones(slots).alias("values")))

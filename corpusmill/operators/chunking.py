@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import let, words
 
 CHUNKER_VERSION = "chunker:1.0"
 
@@ -185,7 +185,9 @@ def chunk_markdown(docs: DataFrame, text_col: str = "raw_text", window: int = 22
     rest = [F.col(f"`{c}`") for c in names]
 
     def cut(p: Column) -> Column:
-        split = words(p["text"])
+        return let(words(p["text"]), lambda split: cut_words(p, split))
+
+    def cut_words(p: Column, split: Column) -> Column:
         whole = F.array(F.struct((-1 - p["at"]).alias("start"), (F.size(split) - 1 - p["at"]).alias("end"), p["path"].alias("path"), p["text"].alias("text")))
         ranged = F.transform(windows(F.size(split), window, overlap, least_tail), lambda r: F.struct((p["at"] + r["start"]).alias("start"), (p["at"] + r["end"]).alias("end"), p["path"].alias("path"), slice_words(split, r["start"], r["end"]).alias("text")))
         return F.when(p["at"] < 0, whole).otherwise(ranged)

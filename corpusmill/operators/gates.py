@@ -42,9 +42,11 @@ def claims_cited(answers: DataFrame, citations: DataFrame) -> DataFrame:
     cited = citations.groupBy("answer_id").agg(F.collect_list(gate_tokens(F.col("claim"))).alias("~cited"))
     both = answers.select("answer_id", "mode", sentences(F.coalesce("answer", F.lit(""))).alias("~all")).join(cited, "answer_id", "left")
     sets = F.coalesce("~cited", F.array().cast("array<array<string>>"))
-    claims = F.filter("~all", lambda s: ~is_refusal(s) & (F.size(gate_tokens(s)) > 0))
-    alone = F.filter(claims, lambda s: ~F.exists(sets, lambda c: F.size(F.array_except(gate_tokens(s), c)) == 0))
-    union = F.array_distinct(F.flatten(F.transform(claims, gate_tokens)))
+    made = F.filter(F.transform(F.filter("~all", lambda s: ~is_refusal(s)), gate_tokens), lambda t: F.size(t) > 0)
+    both = both.select("answer_id", "mode", sets.alias("~sets"), made.alias("~claims"))
+    claims, sets = F.col("~claims"), F.col("~sets")
+    alone = F.filter(claims, lambda t: ~F.exists(sets, lambda c: F.size(F.array_except(t, c)) == 0))
+    union = F.array_distinct(F.flatten(claims))
     beyond = F.filter(sets, lambda c: F.size(F.array_except(c, union)) > 0)
     listed = F.col("mode").eqNullSafe("enumeration") & (F.size(sets) > 0)
     uncited = F.when(F.size(claims) == 0, 0).when(listed, F.size(beyond)).otherwise(F.size(alone))

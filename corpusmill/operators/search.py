@@ -7,6 +7,8 @@ ties do not hang on the order of a sum.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,18 +17,23 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine
 
 
+def numbers(values: Iterable[float], kind: str = "double") -> Column:
+    """A constant array, as one literal: an array of a thousand literals is slow to plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def dense_topk(rows: DataFrame, query: list[float], k: int = 10, vector: str = "dense", key: str = "point_id") -> DataFrame:
     """key, score: the ``k`` rows of highest cosine similarity. Rows with a null or zero vector have none."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    scored = rows.select(key, F.round(cosine(F.col(vector), q), 9).alias("score")).where("score IS NOT NULL")
-    return scored.orderBy(F.desc("score"), key).limit(k)
+    q = numbers(map(float, query))
+    scored = rows.select(key, F.round(cosine(F.col(vector), q), 9).alias("score"))
+    return scored.orderBy(F.desc_nulls_last("score"), key).limit(k).where("score IS NOT NULL")  # a filter before would compute scores twice
 
 
 def sparse_scores(rows: DataFrame, query: dict[int, float], vector: str = "sparse", key: str = "point_id") -> DataFrame:
     """key, score: the dot product of every row that shares an index with the query. No shuffle."""
     if not query:
         return rows.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
-    weights = F.create_map(*(F.lit(x) for i, w in sorted(query.items()) for x in (int(i), float(w))))
+    weights = F.map_from_arrays(numbers(map(int, query), "int"), numbers(map(float, query.values())))
     pairs = F.arrays_zip(F.col(vector)["indices"].alias("indices"), F.col(vector)["values"].alias("values"))
     shared = F.filter(pairs, lambda p: F.map_contains_key(weights, p["indices"]))
     score = F.aggregate(shared, F.lit(0.0), lambda s, p: s + F.try_element_at(weights, p["indices"]) * p["values"].cast("double"))

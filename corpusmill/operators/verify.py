@@ -44,11 +44,13 @@ def specific_results(probes: DataFrame, chunks: DataFrame) -> DataFrame:
     return both.groupBy("document_id", "ingest_generation").agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("passed"))
 
 
-def found_by_search(probes: DataFrame, chunks: DataFrame, limit: int, rrf_k: int = 60, dense_dim: int = 1024, sparse_dim: int = 30_000) -> DataFrame:
+def found_by_search(probes: DataFrame, chunks: DataFrame, limit: int, rrf_k: int = 60, dense_dim: int = 1024, sparse_dim: int = 30_000, least: float | None = None) -> DataFrame:
     """document_id, ingest_generation, found: whether hybrid search in ``chunks`` (with vectors) for the
-    probe's query brings up the generation. All probes are searched together."""
+    probe's query brings up the generation. All probes are searched together. The dense arm
+    gives the nearest rows however far they are, unless their cosine must be above ``least``."""
     asked = probes.select(F.struct("document_id", "ingest_generation").cast("string").alias("query"), "document_id", "ingest_generation", F.col("query").alias("~text"))
     dense = dense_topk_batch(chunks, asked.select("query", hash_dense(F.col("~text"), dense_dim).alias("vector")), limit)
+    dense = dense if least is None else dense.where(F.col("score") > least)
     sparse = sparse_topk_batch(chunks, asked.select("query", hash_sparse(F.col("~text"), sparse_dim).alias("sparse")), limit)
     part = lambda arm: arm.select("query", "point_id", (F.lit(1.0) / (F.lit(rrf_k) + F.col("rank"))).alias("part"))
     fused = part(dense).unionByName(part(sparse)).groupBy("query", "point_id").agg(F.sum("part").alias("score"))
@@ -68,7 +70,7 @@ def run_probes(probes: DataFrame, chunks: DataFrame, active: DataFrame, rrf_k: i
     """
     sizes = {"dense_dim": dense_dim, "sparse_dim": sparse_dim}
     top = found_by_search(probes.where("probe_type = 'topical'"), chunks, topical, rrf_k, **sizes).withColumnRenamed("found", "topical")
-    neg = found_by_search(probes.where("probe_type = 'negative'"), chunks, negative, rrf_k, **sizes).withColumnRenamed("found", "~absent")
+    neg = found_by_search(probes.where("probe_type = 'negative'"), chunks, negative, rrf_k, **sizes, least=0.0).withColumnRenamed("found", "~absent")
     spec = specific_results(probes, chunks).withColumnRenamed("passed", "specific")
     key = ["document_id", "ingest_generation"]
     own = active.groupBy("document_id").agg(F.count("*").alias("~own"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,13 @@ from ..settings import Settings
 from .corpus_table import CorpusTable, single_writer
 
 
+def fixed(table: CorpusTable, df: DataFrame) -> DataFrame:
+    """``df`` as it is now, written beside the table: a cached plan would be computed anew once the table changes."""
+    path = f"{table.path}/work/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return table.spark.read.schema(df.schema).parquet(path)
+
+
 def ingest(table: CorpusTable, documents: DataFrame, tags: tuple[str, ...] = (), settings: Settings = Settings(), producer: str | None = None, force: bool = False) -> DataFrame:
     """One report row a document: path, document_id, outcome, generation, chunk_count, loader_verdict, detail.
 
@@ -26,7 +35,7 @@ def ingest(table: CorpusTable, documents: DataFrame, tags: tuple[str, ...] = (),
             plan = plan.withColumn("generation", F.when(F.col("no_op"), F.col("generation") + 1).otherwise(F.col("generation"))).withColumn("no_op", F.lit(False))
         verdict = F.col("loader_verdict")
         first = F.when(verdict == "error", "error").when(verdict.isin("encrypted", "scanned"), "skipped").when(F.col("no_op"), "no_op")
-        plan = plan.withColumn("outcome", first).persist()
+        plan = fixed(table, plan.withColumn("outcome", first))
         new = plan.where("outcome IS NULL")
         cut = chunking.chunk_documents(new, settings.window_words, settings.overlap_words, settings.least_tail_words)
         numbered = cut.join(new.select("document_id", F.col("generation").cast("int").alias("ingest_generation")), "document_id")
@@ -38,7 +47,7 @@ def ingest(table: CorpusTable, documents: DataFrame, tags: tuple[str, ...] = (),
         })
         table.append(embedding.embed_hashing(filled, settings.dense_dim, settings.sparse_dim))
 
-        mine = new.select("document_id", F.col("generation").cast("int").alias("ingest_generation"), "title", "raw_text").persist()
+        mine = new.select("document_id", F.col("generation").cast("int").alias("ingest_generation"), "title", "raw_text")
         rows = table.chunks()
         key = ["document_id", "ingest_generation"]
         written = rows.join(mine.select(*key), key, "left_semi")
@@ -48,7 +57,7 @@ def ingest(table: CorpusTable, documents: DataFrame, tags: tuple[str, ...] = (),
         checked = verify.run_probes(probes, view, table.visible(), settings.rrf_k, settings.topical_limit, settings.negative_limit, **sizes)
         counts = written.groupBy(*key).agg(F.count("*").alias("chunk_count"))
         # a document without any words has no chunk: nothing to find, nothing to publish
-        judged = mine.select(*key).join(checked, key, "left").join(counts, key, "left").persist()
+        judged = fixed(table, mine.select(*key).join(checked, key, "left").join(counts, key, "left"))
         passed = F.coalesce(F.col("passed"), F.lit(False)) | F.col("chunk_count").isNull()
         table.set_states(judged.where(passed & F.col("chunk_count").isNotNull()), "active")
         table.set_states(judged.where(~passed), "failed")
@@ -62,8 +71,6 @@ def ingest(table: CorpusTable, documents: DataFrame, tags: tuple[str, ...] = (),
         path = f"{table.path}/reports"
         report.withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
         at = table.spark.read.parquet(path).agg(F.max("at")).first()[0]
-        for frame in (plan, mine, judged):
-            frame.unpersist()
         return table.spark.read.parquet(path).where(F.col("at") == F.lit(at)).drop("at")
 
 

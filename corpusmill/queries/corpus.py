@@ -55,8 +55,8 @@ def noop_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {STORED}, both AS (SELECT s.*, newest, ingest_state = 'active' AND ingest_generation < newest AS old, ingest_state IN ('pending', 'failed') AS orphan FROM stored s LEFT JOIN heads USING (document_id))
-SELECT count(*) FILTER (old)::BIGINT AS superseded_deleted, count(*) FILTER (orphan)::BIGINT AS orphan_deleted, count(DISTINCT document_id) FILTER (old OR orphan)::BIGINT AS documents_affected FROM both""")
+WITH {STORED}, paired AS (SELECT s.*, newest, ingest_state = 'active' AND ingest_generation < newest AS old, ingest_state IN ('pending', 'failed') AS orphan FROM stored s LEFT JOIN heads USING (document_id))
+SELECT count(*) FILTER (old)::BIGINT AS superseded_deleted, count(*) FILTER (orphan)::BIGINT AS orphan_deleted, count(DISTINCT document_id) FILTER (old OR orphan)::BIGINT AS documents_affected FROM paired""")
 def gc_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visibility.gc_counts(stored(spark, sf_dir))
 

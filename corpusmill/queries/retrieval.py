@@ -86,10 +86,10 @@ probes AS (SELECT doc_id AS id, 'topical' AS kind, array_to_string(({SQL_WORDS})
            UNION ALL SELECT doc_id, 'negative', '{verify.NONSENSE}', 5 FROM stored WHERE doc_id % 100 = 0),
 asked AS (SELECT *, {sql_slots('query', 1, DENSE)} AS qd, {sql_slots('query', 5, SPARSE)} AS qs FROM probes),
 ranks AS (
-  SELECT id, kind, k, point_id, row_number() OVER (PARTITION BY id, kind ORDER BY round(len(list_intersect(d, qd)) / sqrt(len(d)::DOUBLE * len(qd)), 9) DESC, point_id) AS r FROM asked, view WHERE len(d) > 0 AND len(qd) > 0 QUALIFY r <= k
+  SELECT id, kind, k, point_id, row_number() OVER (PARTITION BY id, kind ORDER BY round(len(list_intersect(d, qd)) / sqrt(len(d)::DOUBLE * len(qd)), 9) DESC, point_id) AS r FROM asked, view WHERE len(d) > 0 AND len(qd) > 0 AND (kind = 'topical' OR list_has_any(d, qd)) QUALIFY r <= k
   UNION ALL
   SELECT id, kind, k, point_id, row_number() OVER (PARTITION BY id, kind ORDER BY len(list_intersect(s, qs)) DESC, point_id) AS r FROM asked, view WHERE list_has_any(s, qs) QUALIFY r <= k),
-fused AS (SELECT id, kind, k, point_id, row_number() OVER (PARTITION BY id, kind ORDER BY sum(1.0::DOUBLE / (60 + r)) DESC, point_id) AS at FROM ranks GROUP BY 1, 2, 3, 4 QUALIFY at <= k),
+fused AS (SELECT id, kind, k, point_id, row_number() OVER (PARTITION BY id, kind ORDER BY sum(1.0::DOUBLE / (60 + r)) DESC, point_id) AS place FROM ranks GROUP BY 1, 2, 3, 4 QUALIFY place <= k),
 hits AS (SELECT id, kind FROM fused WHERE point_id = 'p' || lpad(id::VARCHAR, 12, '0'))"""
 
 

@@ -23,7 +23,7 @@ W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, content, source_type, sniffed, error) of files, by Spark's binary reader."""
+    """(path, content, source_type, sniffed, error) of files, by Spark's binary reader, which leaves out files of no bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
     found = files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
     return found.select("*", F.inline(F.array(resolve(F.col("path"), F.col("content")))))
@@ -43,7 +43,7 @@ def as_documents(files: DataFrame, kind: str, version: str, text: Column, name:
 def load_markdown(files: DataFrame) -> DataFrame:
     """UTF-8, else Latin-1; the title is the first heading, else the file's stem."""
     raw = F.col("content").cast("string")
-    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode("content", F.lit("ISO-8859-1")))
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode("content", "ISO-8859-1"))
     decoded = files.withColumn("~text", text)
     return as_documents(decoded, "markdown", "text:1.0", F.col("~text"), title(F.col("~text"), F.col("path")), F.lit("ok"))
 
