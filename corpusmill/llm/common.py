@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +78,9 @@ def range_bucket(column: Column, bounds: list, kind: str) -> Column:
 
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def values(column: pa.Array, step: int = 256) -> Iterator:
+    """The values of a column as Python objects, a few at a time."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()

@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, stash
+from .common import WORD, stash, values
 from .host_rules import measure
 
 LABELLED, TERMS, FITTED = 20_000, 400, 6_000
-WIDTH, CLEAR_LEAST = 1 << 18, 0.95
+WIDTH, CLEAR_LEAST, TRUST = 1 << 18, 0.95, 5.0
 BEGINNINGS = (5, 7)
 BAD, GOOD, SILENT = 1, 0, 2
 #: The terms that the abuse labeller starts from.
@@ -46,7 +46,7 @@ ABUSE = "clown disgusting idiot loser moron pathetic scum stupid trash worthless
 EDGES = ".,!?;:\"'()[]{}"
 LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
 CAPITALS = bytes(range(65, 91))
-MARKS = bytes(c for c in range(33, 127) if c not in LETTERS)
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 JUNK = ("symbols", "shouting", "repetition", "vocabulary", "marks", "stutter", "annotator of quality")
 TOXIC = ("abuse list", "found words", "found beginnings", "annotator of toxicity")
 
@@ -84,13 +84,25 @@ LIMITS = {"symbols": 0.1, "shouting": 0.3, "repetition": 0.3, "vocabulary": 0.7,
 ABUSE_LIST = frozenset(ABUSE.split())
 
 
-def votes(rates: Rates, found: frozenset, junk: int | None, toxic: int | None) -> list[int]:
+class TermHits(dict):
+    """Word to 1 if it is a listed term, plus 2 if found to be one, plus 4 if it begins like one; forgets all when full."""
+
+    def __init__(self, found: frozenset) -> None:
+        self.found = found
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        bare, *starts = terms_of(word)
+        hit = self[word] = (bare in ABUSE_LIST) + 2 * (bare in self.found) + 4 * any(x in self.found for x in starts)
+        return hit
+
+
+def votes(rates: Rates, terms: TermHits, junk: int | None, toxic: int | None) -> list[int]:
     """BAD, GOOD or SILENT of each labeller, in the order of JUNK and TOXIC."""
     out = [BAD if rates.values[k] > LIMITS[k] else GOOD for k in JUNK[:-1]]
-    terms = [terms_of(w) for w in rates.distinct]
-    listed = any(t[0] in ABUSE_LIST for t in terms)
-    words, starts = sum(t[0] in found for t in terms), sum(any(x in found for x in t[1:]) for t in terms)
-    hits = [BAD if x else GOOD for x in (listed, words > 1, starts > 1)]
+    seen = list(filter(None, map(terms.__getitem__, rates.distinct)))
+    hits = [BAD if x else GOOD for x in (any(h & 1 for h in seen), sum(h & 2 for h in seen) > 2, sum(h & 4 for h in seen) > 4)]
     return [*out, SILENT if junk is None else junk, *hits, SILENT if toxic is None else toxic]
 
 
@@ -151,7 +163,9 @@ def estimate(patterns: list[tuple[str, int]], labellers: tuple[str, ...], clear_
 
     Starts from patterns with any bad vote as bad; votes are smoothed by one document each.
     ``clear_least`` bounds P(vote good | good) from below: without it, a kind of bad
-    documents that other labellers do not see may be taken for good ones.
+    documents that other labellers do not see may be taken for good ones. Where the last
+    labeller, the annotator, is silent, documents of the same other votes on which it
+    is not correct the probability, which itself counts as ``TRUST`` documents.
     """
     if not patterns:
         return {}, {}, 0.0
@@ -170,6 +184,9 @@ def estimate(patterns: list[tuple[str, int]], labellers: tuple[str, ...], clear_
         bad = new
         if done:
             break
+    for i in np.flatnonzero(v[:, -1] == SILENT):  # votes are not quite independent
+        same = (v[:, :-1] == v[i, :-1]).all(1) & (v[:, -1] != SILENT)
+        bad[i] = ((n * bad)[same].sum() + TRUST * bad[i]) / (n[same].sum() + TRUST)
     return dict(zip([p for p, _ in patterns], bad.tolist(), strict=True)), dict(zip(labellers, zip(hit.tolist(), clear.tolist(), strict=True), strict=True)), float(share)
 
 
@@ -191,10 +208,10 @@ def labelled_sample(labels: DataFrame | None, rows: int = LABELLED) -> DataFrame
 
 def abusive_terms(sample: DataFrame) -> list[str]:
     """Terms of (_id, _text, _toxic) rows that toxic documents have and others hardly ever do."""
-    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(WORD), F.lit(0))))
-    bare = F.btrim(F.col("_word"), F.lit(EDGES))
-    both = sample.select("_id", "_toxic", words.alias("_word")).select("_id", "_toxic", F.explode(F.array(bare, *(F.concat(F.substring(bare, 1, n), F.lit("*")) for n in BEGINNINGS))).alias("_term"))
-    counted = both.where("length(_term) > 3").distinct().groupBy("_term").agg(F.sum("_toxic").alias("_in"), F.sum(F.lit(1) - F.col("_toxic")).alias("_out"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("_text"), F.lit(WORD), F.lit(0)), lambda w: F.btrim(w, F.lit(EDGES))))
+    starts = [F.transform(words, lambda w: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in BEGINNINGS]  # noqa: B023  used at once
+    terms = F.filter(F.array_distinct(F.concat(words, *starts)), lambda t: F.length(t) > 3)
+    counted = sample.select("_toxic", F.explode(terms).alias("_term")).groupBy("_term").agg(F.sum("_toxic").alias("_in"), F.sum(F.lit(1) - F.col("_toxic")).alias("_out"))
     found = counted.where("_in >= 5 AND _in >= 10 * _out").orderBy(F.desc("_in"), "_term").limit(TERMS)
     return [r._term for r in found.select("_term").collect()]
 
@@ -205,11 +222,12 @@ def prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def cast_votes(texts: DataFrame, abusive: list[str]) -> DataFrame:
     """(_id, _text, _junk, _toxic) to (_id, _pattern): a digit for each labeller's vote."""
-    terms = frozenset(abusive)
+    found = frozenset(abusive)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = TermHits(found)
         for batch in batches:
-            made = ["".join(map(str, votes(Rates(t), terms, j, x))) for t, j, x in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)]
+            made = ["".join(map(str, votes(Rates(t), terms, j, x))) for t, j, x in zip(*(values(batch.column(c)) for c in (1, 2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["_id", "_pattern"])
 
     return texts.select("_id", "_text", "_junk", "_toxic").mapInArrow(run, "_id bigint, _pattern string")
@@ -261,9 +279,9 @@ class Scorer:
         for w in rates.distinct:
             hits = self.known.get(w)
             if hits is None:
-                if len(self.known) > 300_000:
+                if len(self.known) > 200_000:
                     self.known.clear()
-                hits = self.known[w] = tuple(s for s in self.features.word(w) if s in slim)
+                hits = self.known[w] = tuple(s for s in map(Features.slot, dict.fromkeys(terms_of(w))) if s in slim)
             for s in hits:
                 capped[s] = capped.get(s, 0) + 1
         total += sum(slim[s] * min(n, 8) for s, n in capped.items())
@@ -282,7 +300,7 @@ def score(texts: DataFrame, weights: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(slim)
         for batch in batches:
-            made = [scorer(text) for text in batch.column(1).to_pylist()]
+            made = [scorer(text) for text in values(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.float64())], ["_id", "_score"])
 
     return texts.select("_id", "_text").mapInArrow(run, "_id bigint, _score double")
@@ -296,7 +314,7 @@ def good_documents(docs: DataFrame, labels: DataFrame | None = None, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(slim)
         for batch in batches:
-            yield batch.filter(pa.array([scorer(t or "") < limit for t in batch.column(text_at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([scorer(t or "") < limit for t in values(batch.column(text_at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
