@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import WORD, range_bounds, range_bucket, shuffle_partitions, text_or_empty
 
 K, WORDS = 128, 5
@@ -56,10 +57,9 @@ def merge_by(df: DataFrame, keys: list[str], sketch: str, k: int = K, salts: int
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
     """Estimated Jaccard similarity of the shingle sets of two sketches."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, k)
-    last = F.element_at(union, -1)
-    shared = F.size(F.filter(F.array_intersect(a, b), lambda h: h <= last))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(shared / F.size(union))
+    shared = lambda last: F.size(F.filter(F.array_intersect(a, b), lambda h: h <= last))
+    share = let(F.slice(F.sort_array(F.array_union(a, b)), 1, k), lambda u: let(F.get(u, F.size(u) - 1), shared) / F.nullif(F.size(u), F.lit(0)))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(share)
 
 
 def distinct_shingles(sketch: Column, k: int = K) -> Column:
@@ -70,8 +70,7 @@ def distinct_shingles(sketch: Column, k: int = K) -> Column:
 
 def containment(a: Column, b: Column, k: int = K) -> Column:
     """Estimated share of a's shingles that b has too."""
-    j = resemblance(a, b, k)
-    both = j / (F.lit(1.0) + j) * (distinct_shingles(a, k) + distinct_shingles(b, k))
+    both = let(resemblance(a, b, k), lambda j: j / (F.lit(1.0) + j)) * (distinct_shingles(a, k) + distinct_shingles(b, k))
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), both / distinct_shingles(a, k)))
 
 
