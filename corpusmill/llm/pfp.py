@@ -13,9 +13,12 @@ strings get equal triggers wherever they stand. The corpus becomes a dictionary
 distinct phrases and, for each document, its sequence of phrases (the parse).
 
 Repeated triggers. Documents are dealt into parts by a hash of their id. A part sends
-each distinct trigger once, as 32 bits within a bucket of triggers; a bucket answers
-which occur in two parts or more (rarely also a chance equal, which costs work but
-no wrong result). Only phrases of repeated triggers go on: in unique text, almost none.
+each distinct trigger with its phrases once, as 32 bits within a bucket of triggers and
+32 of a phrase's hash; a bucket answers which triggers occur in two parts or more
+(rarely also a chance equal, which costs work but no wrong result) and which of them
+have several phrases (missed with a chance of 2 ** -32 for two phrases). Only phrases
+of repeated triggers go on: in unique text, almost none. Where a trigger has one phrase
+everywhere, its hash of 128 bits is all that is sent; its bytes are not needed.
 
 Dictionary. A part sends its distinct repeated phrases with the least document of
 each. By trigger, a dictionary task joins those of all parts; where a trigger has more
@@ -23,8 +26,8 @@ than one phrase, it sorts the phrases' suffixes to the depth of ``length`` bytes
 suffix array of its share of the dictionary. Neighbours that agree to that depth are
 one string, and a run of them holds the least document of that string. The task
 answers which strings of each phrase start in a smaller document elsewhere. Triggers in more than
-``hot`` parts are sent string by string and dealt by the string, so that no task
-gathers the many phrases around a frequent passage.
+``hot`` parts are sent string by string, as hashes of 128 bits, and dealt by the string,
+so that no task gathers the many phrases around a frequent passage.
 
 Corpus order. The parse carries the answers back: each document's phrases, in order,
 turn them into the removed runs of its bytes. As results only need order to
@@ -47,6 +50,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +59,7 @@ from .common import MIX, mixed, shuffle_partitions, text_or_empty
 LENGTH, TRIGGER, HOT, CHUNK = 50, 24, 16, 2 << 20
 MESSAGE = "_to int, _part int, _kind int, _data binary"
 NO_ID = -(2**63)
+WHOLE = 0xFFFF  # in an answer: to the end of the phrase
 
 
 def trigger_hashes(buf: np.ndarray, width: int) -> np.ndarray:
@@ -140,11 +145,13 @@ def gather(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed bytes: text and small numbers shrink by more than Spark's own compression makes of them."""
     head = np.array([len(arrays), *(a.nbytes for a in arrays)], "<i8")
-    return b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+    return zstandard.compress(b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]), 3)
 
 
 def unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
+    data = zstandard.decompress(data)
     n = int(np.frombuffer(data, "<i8", 1)[0])
     at, out = 8 * (n + 1), []
     for size, kind in zip(np.frombuffer(data, "<i8", n, 8).tolist(), kinds, strict=True):
@@ -158,6 +165,12 @@ def messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["_to", "_part", "_kind", "_data"])
 
 
+def in_kind(received: pa.Table, kind: int) -> list[tuple[int, bytes]]:
+    """(part, data) of the messages of a kind."""
+    rows = zip(*(received.column(c).to_pylist() for c in ("_kind", "_part", "_data")), strict=True)
+    return [(p, d) for k, p, d in rows if k == kind]
+
+
 def deal(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(bucket, row numbers) for each bucket that occurs."""
     order = np.argsort(bucket, kind="stable")
@@ -185,39 +198,73 @@ def whole_characters(gone: np.ndarray, text: bytes) -> np.ndarray:
 def send_triggers(length: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
     def run(texts: pa.Table) -> pa.Table:
         part = texts.column("_to")[0].as_py()
-        seen = np.unique(load(texts, length)[2].trigger)
-        rows = [(b, part, 0, seen[g].astype("<u4").tobytes()) for b, g in deal((seen >> np.uint64(32)) % np.uint64(buckets))]
-        return messages(rows)
+        ph = load(texts, length)[2]
+        trigger, content = ph.trigger, ph.content().astype(np.uint32)
+        order = np.lexsort((content, trigger))
+        t, c = trigger[order], content[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+        t, c = t[new], c[new]
+        bucket, low = (t >> np.uint64(32)) % np.uint64(buckets), t.astype("<u4")
+        order = np.lexsort((c, low, bucket))
+        bucket, low, c = bucket[order], low[order], c[order]
+        return messages([(b, part, 0, pack(steps(low[g]), c[g])) for b, g in deal(bucket)])
 
     return run
 
 
+def steps(ascending: np.ndarray) -> np.ndarray:
+    """Differences of 32-bit numbers, first all lowest bytes, then all second ones: the last are mostly zero."""
+    return np.diff(ascending, prepend=np.uint32(0)).astype("<u4").view("u1").reshape(-1, 4).T.ravel()
+
+
+def from_steps(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4")[:, 0], dtype=np.uint32)
+
+
 def find_repeated(hot: int) -> Callable[[pa.Table], pa.Table]:
-    """Which triggers of a bucket occur in two parts or more, and which in more than ``hot``."""
+    """Which triggers of a bucket occur in two parts or more: with several phrases, with such in more than ``hot`` parts, with one phrase."""
 
     def run(received: pa.Table) -> pa.Table:
-        data, parts = received.column("_data").to_pylist(), received.column("_part").to_pylist()
-        lows = [np.frombuffer(d, "<u4") for d in data]
-        values, counts = np.unique(np.concatenate(lows), return_counts=True)
-        bucket, rows = received.column("_to")[0].as_py(), []
-        for part, low in zip(parts, lows, strict=True):
-            n = counts[np.searchsorted(values, low)]
-            if (n > 1).any():
-                rows.append((part, bucket, 1, pack(low[(n > 1) & (n <= hot)], low[n > hot])))
+        sent, parts = [unpack(d, "u1", "<u4") for d in received.column("_data").to_pylist()], received.column("_part").to_pylist()
+        sent = [(from_steps(x), c) for x, c in sent]
+        trigger, content = (np.concatenate([x[i] for x in sent]).astype(np.uint64) for i in (0, 1))
+        part = np.repeat(np.arange(len(sent)), [len(x[0]) for x in sent]).astype(np.uint64)
+        values, of = np.unique(trigger, return_inverse=True)
+        n_phrases = counted(trigger << np.uint64(32) | content, values)
+        n_parts = counted(trigger << np.uint64(32) | part, values)
+        bucket, rows, at = received.column("_to")[0].as_py(), [], 0
+        for to, x in zip(parts, sent, strict=True):
+            low, o = x[0], of[at : at + len(x[0])]
+            at += len(low)
+            many, several = n_parts[o] > 1, n_phrases[o] > 1
+            if many.any():
+                busy = n_parts[o] > hot
+                rows.append((to, bucket, 1, pack(*(np.unique(low[many & k]) for k in (several & ~busy, several & busy, ~several)))))
         return messages(rows)
 
     return run
 
 
+def counted(pairs: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each of ``values``, how many distinct ``pairs`` have it as their upper half."""
+    upper = np.unique(pairs) >> np.uint64(32)
+    return np.searchsorted(upper, values, "right") - np.searchsorted(upper, values, "left")
+
+
 class Repeated:
-    """The distinct repeated phrases of a part, in an order that any evaluation repeats."""
+    """The distinct repeated phrases of a part, in an order that any evaluation repeats.
+
+    ``level``: 1 if the trigger has other phrases too, 2 if it also occurs in many parts,
+    3 if this is its only phrase anywhere, 4 if it is, and in no other part.
+    """
 
     def __init__(self, ids: np.ndarray, ph: Phrases, flags: list[tuple[int, bytes]], buckets: int) -> None:
         level = np.zeros(len(ph.trigger), np.int8)
         bucket, low = (ph.trigger >> np.uint64(32)) % np.uint64(buckets), ph.trigger.astype(np.uint32)
         key = (bucket << np.uint64(32)) | low
-        for value in (1, 2):
-            told = [(np.uint64(b) << np.uint64(32)) | unpack(d, "<u4", "<u4")[value - 1].astype(np.uint64) for b, d in flags]
+        for value in (1, 2, 3):
+            told = [(np.uint64(b) << np.uint64(32)) | unpack(d, "<u4", "<u4", "<u4")[value - 1].astype(np.uint64) for b, d in flags]
             if told:
                 level[np.isin(key, np.concatenate(told))] = value
         doc = ids[ph.doc]
@@ -228,7 +275,7 @@ class Repeated:
             group = np.cumsum(new) - 1
             first = np.flatnonzero(new)
             many = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
-            level[order] = np.maximum(level[order], many[group])
+            level[order] = np.where(many[group] & (level[order] == 0), 4, level[order])
         self.at = np.flatnonzero(level)  # places in the parse
         content = ph.content()[self.at]
         trigger = ph.trigger[self.at]
@@ -241,7 +288,9 @@ class Repeated:
         pick = self.at[order[new]]
         self.least = doc[pick]  # the first in its group has the least id
         self.start, self.count, self.trigger, self.content = ph.start[pick], ph.count[pick], ph.trigger[pick], c[new]
-        self.hot = level[pick] == 2
+        self.level = level[pick]
+        several = np.unique(self.trigger[1:][self.trigger[1:] == self.trigger[:-1]])  # ascending by trigger
+        self.level[(self.level == 4) & np.isin(self.trigger, several)] = 1
 
 
 def send_phrases(length: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -252,7 +301,10 @@ def send_phrases(length: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa
         ids, _, ph = load(texts, length)
         r = Repeated(ids, ph, list(zip(told.column("_part").to_pylist(), told.column("_data").to_pylist(), strict=True)), buckets)
         rows = []
-        calm, hot = np.flatnonzero(~r.hot), np.flatnonzero(r.hot)
+        calm, hot, lone = (np.flatnonzero(r.level == k) for k in (1, 2, 3))
+        for b, g in deal((mixed(r.trigger[lone]) >> np.uint64(16)) % np.uint64(buckets)):
+            p = lone[g]
+            rows.append((b, part, 7, pack(p.astype("<u4"), r.trigger[p], r.content[p], r.least[p])))
         for b, g in deal((mixed(r.trigger[calm]) >> np.uint64(16)) % np.uint64(buckets)):
             p = calm[g]
             size = r.count[p] + length - 1
@@ -262,23 +314,60 @@ def send_phrases(length: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa
             phrase = np.repeat(hot, n)
             offset = np.arange(len(phrase)) - np.repeat(np.cumsum(n) - n, n)
             strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(ph.buf, length)[r.start[phrase] + offset])
-            h = np.zeros(len(strings), np.uint64)
-            for at in (*range(0, length - 7, 8), length - 8):
-                h = mixed(h ^ np.ascontiguousarray(strings[:, at : at + 8]).view("<u8")[:, 0])
+            eights = [np.ascontiguousarray(strings[:, at : at + 8]).view("<u8")[:, 0] for at in (*range(0, length - 7, 8), length - 8)]
+            h, h2 = np.zeros(len(strings), np.uint64), np.full(len(strings), MIX)
+            for x in eights:
+                h, h2 = mixed(h ^ x), mixed(h2 + x * MIX)
+            row = np.repeat(np.arange(len(hot)), n)
             for b, g in deal((h >> np.uint64(16)) % np.uint64(buckets)):
-                p = phrase[g]
-                rows.append((b, part, 0, pack(p.astype("<u4"), offset[g].astype("<u2"), h[g], h[g], r.least[p], np.full(len(g), length, "<u4"), strings[g].ravel())))
+                used, at = np.unique(row[g], return_inverse=True)
+                rows.append((b, part, 6, pack(hot[used].astype("<u4"), r.least[hot[used]], at.astype("<u4"), offset[g].astype("<u2"), h[g], h2[g])))
         return messages(rows)
 
     return run
 
 
+def above_least(least: np.ndarray, h: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Which are above the least of those that are equal in both hashes."""
+    order = np.lexsort((h2, h))
+    new = np.ones(len(order), bool)
+    new[1:] = (h[order[1:]] != h[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
+    low = np.minimum.reduceat(least[order], np.flatnonzero(new))
+    out = np.empty(len(order), bool)
+    out[order] = low[np.cumsum(new) - 1] < least[order]
+    return out
+
+
 def sort_dictionary(length: int) -> Callable[[pa.Table], pa.Table]:
-    """Answer, for every phrase sent, the runs of its strings that a smaller document has too."""
+    """Answer, for every phrase and string sent, the runs of its strings that a smaller document has too."""
 
     def run(received: pa.Table) -> pa.Table:
-        sent = [unpack(d, "<u4", "<u2", "<u8", "<u8", "<i8", "<u4", "u1") for d in received.column("_data").to_pylist()]
-        part = np.repeat(received.column("_part").to_numpy(), [len(s[0]) for s in sent])
+        bucket = received.column("_to")[0].as_py()
+        found = [f(rows) for kind, f in ((0, phrases), (6, strings), (7, lone)) if (rows := in_kind(received, kind))]
+        out = []
+        for part, number, a, b in found:
+            out += [(to, bucket, 2, pack(number[g], a[g].astype("<u2"), b[g].astype("<u2"))) for to, g in deal(part)] if len(part) else []
+        return messages(out)
+
+    def lone(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
+        sent = [unpack(d, "<u4", "<u8", "<u8", "<i8") for _, d in rows]
+        part = np.repeat([p for p, _ in rows], [len(x[0]) for x in sent])
+        number, trigger, content, least = (np.concatenate([x[i] for x in sent]) for i in range(4))
+        smaller = above_least(least, trigger, content)
+        whole = np.full(int(smaller.sum()), WHOLE)
+        return part[smaller], number[smaller], np.zeros(len(whole), np.int64), whole
+
+    def strings(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
+        sent = [unpack(d, "<u4", "<i8", "<u4", "<u2", "<u8", "<u8") for _, d in rows]
+        part = np.repeat([p for p, _ in rows], [len(x[2]) for x in sent])
+        number, least = (np.concatenate([x[i][x[2]] for x in sent]) for i in (0, 1))
+        offset, h, h2 = (np.concatenate([x[i] for x in sent]) for i in (3, 4, 5))
+        smaller = above_least(least, h, h2)
+        return part[smaller], number[smaller], offset[smaller], offset[smaller] + 1
+
+    def phrases(received: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
+        sent = [unpack(d, "<u4", "<u2", "<u8", "<u8", "<i8", "<u4", "u1") for _, d in received]
+        part = np.repeat([p for p, _ in received], [len(s[0]) for s in sent])
         number, offset, trigger, content, least, size = (np.concatenate([s[i] for s in sent]) for i in range(6))
         data = np.concatenate([s[6] for s in sent])
         size = size.astype(np.int64)
@@ -321,10 +410,7 @@ def sort_dictionary(length: int) -> Callable[[pa.Table], pa.Table]:
         closes[:-1] &= ~smaller[1:] | (inner[1:] == 0)
         a, b = np.flatnonzero(opens), np.flatnonzero(closes)
         p = phrase[a]
-        bucket, rows = received.column("_to")[0].as_py(), []
-        for to, g in deal(part[p]):
-            rows.append((to, bucket, 2, pack(number[p[g]], (inner[a[g]] + offset[p[g]]).astype("<u2"), (inner[b[g]] + offset[p[g]] + 1).astype("<u2"))))
-        return messages(rows)
+        return part[p], number[p], inner[a] + offset[p], inner[b] + offset[p] + 1
 
     return run
 
@@ -346,6 +432,7 @@ def remove_runs(length: int, buckets: int, id_col: str, with_text: bool, others:
         answers = [unpack(d, "<u4", "<u2", "<u2") for k, d in zip(kind, sent, strict=True) if k == 2]
         if answers and len(r.at):
             number, a, b = (np.concatenate([x[i] for x in answers]).astype(np.int64) for i in range(3))
+            b = np.where(b == WHOLE, r.count[number], b)
             # the places of each answered phrase in its least document
             at, of = r.at[~later], r.of[~later]
             order = np.argsort(of, kind="stable")
@@ -396,7 +483,7 @@ def _removed(docs: DataFrame, length: int, id_col: str, text_col: str, with_text
     ident = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
     part = F.pmod(F.xxhash64(ident), F.lit(parts)).cast("int")
     full = docs.select(part.alias("_to"), ident.alias("_id"), text_or_empty(f"`{text_col}`").cast("binary").alias("_data"), *(F.col(f"`{c}`").alias(f"o{k}") for k, c in enumerate(others)))
-    texts = full.select("_to", "_id", "_data")
+    texts = full  # one shuffle serves all three readings
     triggers = texts.groupBy("_to").applyInArrow(send_triggers(length, buckets), MESSAGE)
     repeated = triggers.groupBy("_to").applyInArrow(find_repeated(hot), MESSAGE)
     phrases = texts.groupBy("_to").cogroup(repeated.groupBy("_to")).applyInArrow(send_phrases(length, buckets), MESSAGE)
