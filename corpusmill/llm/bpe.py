@@ -35,7 +35,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 #: Pieces that a worker remembers, and the length from which it does not.
-REMEMBERED, LONG_PIECE = 400_000, 64
+REMEMBERED, LONG_PIECE = 300_000, 64
 #: White space as the tokenizer's pattern has it. Fixed values of Unicode's White_Space.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -57,14 +57,15 @@ def _class(major: str, top: int) -> str:
 def piece_pattern(top: int) -> re.Pattern:
     """The pattern that cuts texts whose largest code point is at most ``top``."""
     letter, number = _class("L", top), _class("N", top)
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+    # Letters first: they are most, and nothing else in the pattern begins like them.
+    return re.compile(f" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{number}]+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
 def pieces(text: str) -> list[str]:
     """The pieces of a text, in order; together they are the text."""
     if text.isascii():
         return piece_pattern(0x7F).findall(text)
-    top = max(text)
+    top = max(set(text))
     return piece_pattern(0x24F if top <= "ɏ" else 0xFFFF if top <= "￿" else sys.maxunicode).findall(text)
 
 
@@ -169,18 +170,21 @@ class Vocabulary:
 
 
 class PieceMemory(dict):
-    """Piece to its ids as little-endian 32-bit integers; forgets all when full."""
+    """Piece to its ids as little-endian 32-bit integers. When full, forgets what it had no use for since it was full last."""
 
     def __init__(self, encode: Callable[[str], Iterable[int]]) -> None:
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array("I", self.encode(piece))
-        if sys.byteorder == "big":
-            ids.byteswap()
-        found = ids.tobytes()
+        found = self.old.get(piece)
+        if found is None:
+            ids = array("I", self.encode(piece))
+            if sys.byteorder == "big":
+                ids.byteswap()
+            found = ids.tobytes()
         if len(piece) < LONG_PIECE:
             if len(self) >= REMEMBERED:
+                self.old = dict(self)
                 self.clear()
             self[piece] = found
         return found
