@@ -22,8 +22,9 @@ of shingles, that decide. Likeness of ``similarity`` needs sets of like size, so
 are banded and a document meets its own band and the next. A leaf names its members that
 have a candidate; these come again with their shingle sets, and the leaf verifies its
 candidates by the exact similarity, nearest first, skipping pairs that are linked
-already. Verified links form the groups. Documents that differ in no block count as
-copies. Fingerprints are estimates: the radius for shingles leaves two standard
+already. Verified links form the groups. Only documents with the same set of shingles, by
+a hash of 128 bits that follows the fingerprint in ``_fp``, count as copies; others with
+equal fingerprints are candidates like any. Fingerprints are estimates: the radius for shingles leaves two standard
 deviations beyond ``similarity``, so about one pair in forty that is just that alike is no
 candidate, and hardly any that is more alike. No pair less alike is ever linked.
 
@@ -37,6 +38,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import accumulate
 from math import acos, ceil, floor, log, pi, sqrt
 from typing import Any
@@ -51,6 +53,8 @@ from .common import mixed, stash
 
 SEED, SAMPLE, LEAF_LOAD, BLOCK = 42, 4096, 12_000, 200_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Words of 64 bits at the end of a document's node that are the hash of its set of shingles.
+KEY = 2
 #: Node numbers from here on stand for fingerprints that no row with an id has.
 NAMELESS = 1 << 62
 
@@ -266,10 +270,11 @@ class WordHashes(dict):
 
 
 def blocks_of(text: str, words: int, bits: int, memory: WordHashes) -> tuple[bytes, int]:
-    """A block of single words and ``bits`` of shingles, as bytes; and the number of distinct shingles."""
+    """A block of single words, ``bits`` of shingles and the key of the set of shingles, as bytes; and the set's size."""
     single, shingles = memory.shingles(text, words)
     prints = [majority_bits(single), *(majority_bits(mixed(shingles + np.uint64(2 * i + 1))) for i in range(bits // 64))]
-    return np.array(prints, ">u8").tobytes(), len(np.unique(shingles))
+    distinct = np.unique(shingles)
+    return np.array(prints, ">u8").tobytes() + blake2b(distinct.tobytes(), digest_size=8 * KEY).digest(), len(distinct)
 
 
 def radius_of(similarity: float, bits: int, spare: float = 2.0) -> int:
@@ -279,7 +284,7 @@ def radius_of(similarity: float, bits: int, spare: float = 2.0) -> int:
 
 
 def candidates(prints: np.ndarray, home: np.ndarray, radius: int, shingle_radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, distance) of pairs of a leaf's homes and members within both radii, in blocks."""
+    """(i, j, distance in shingles) of pairs of a leaf's homes and members within both radii, in blocks."""
     homes = np.flatnonzero(home)
     step = max(1, (1 << 21) // max(1, len(prints)))
     for k in range(0, len(homes), step):
@@ -288,7 +293,7 @@ def candidates(prints: np.ndarray, home: np.ndarray, radius: int, shingle_radius
         i = block[i]
         once = (i < j) | ((i != j) & ~home[j])
         i, j = i[once], j[once]
-        apart = distance(prints[i, 1:], prints[j, 1:])
+        apart = distance(prints[i, 1:-KEY], prints[j, 1:-KEY])
         near = apart <= shingle_radius
         yield i[near], j[near], apart[near]
 
@@ -324,7 +329,7 @@ def as_words(column: Any) -> np.ndarray:
 
 
 def candidate_members(distinct: DataFrame, radius: int, shingle_radius: int, similarity: float, leaf_load: int = LEAF_LOAD) -> DataFrame:
-    """(_fp, _n) one row a fingerprint to (_shard, _fp, _home): members of leaves with a candidate there.
+    """(_fp, _n) one row a set of shingles to (_shard, _fp, _home): members of leaves with a candidate there.
 
     Leaves of more than ``BLOCK`` members are parted into blocks of homes, each of which
     meets all members. How many is told by the tree's sample.

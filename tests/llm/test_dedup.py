@@ -196,6 +196,14 @@ def test_one_document_of_each_group_stays(spark, leaf, monkeypatch):
     assert simhash.distinct_documents(df.where("doc_id < -5")).count() == 0
 
 
+def test_equal_fingerprints_are_no_copies(spark):
+    run = "again " * 400
+    rows = [(k, run + " ".join(f"word{k}at{i}" for i in range(300))) for k in range(4)]
+    rows += [(10, rows[0][1]), (11, rows[0][1].upper()), (12, rows[1][1] + " tail")]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA).repartition(3)
+    assert sorted(r.doc_id for r in simhash.distinct_documents(df).collect()) == [0, 1, 2, 3]
+
+
 def test_repeats_cut_from_documents(spark):
     rows = [*repetitive(3, 40), (900, None), (901, "é" * 60), (902, "x" + "é" * 60), (903, "日本" * 40), (904, "a日本" * 40)]
     df = spark.createDataFrame([(i, t, f"s{i}", None) for i, t in rows], "doc_id bigint, text string, source string, _id string")
