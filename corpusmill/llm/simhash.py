@@ -24,9 +24,11 @@ have a candidate; these come again with their shingle sets, and the leaf verifie
 candidates by the exact similarity, nearest first, skipping pairs that are linked
 already. Verified links form the groups. Only documents with the same set of shingles, by
 a hash of 128 bits that follows the fingerprint in ``_fp``, count as copies; others with
-equal fingerprints are candidates like any. Fingerprints are estimates: the radius for shingles leaves two standard
-deviations beyond ``similarity``, so about one pair in forty that is just that alike is no
-candidate, and hardly any that is more alike. No pair less alike is ever linked.
+equal fingerprints are candidates like any. Blocks are made of distinct words and shingles.
+Fingerprints are estimates, so leaves find only some of the pairs, and these without much
+work. The others are found by :func:`signatures`, of which every pair so alike shares one:
+:func:`all_links` verifies whatever shares a signature and isn't linked yet. So no pair is
+lost, but for collisions of 64-bit hashes of shingles, and no pair less alike is ever linked.
 
 Defined cases: a null or wordless text has fingerprint zero, linked like any other;
 fewer words than a shingle: the whole sequence is the one shingle; repeated rows fall
@@ -49,7 +51,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, stash
+from .common import MIX, mixed, stash
 
 SEED, SAMPLE, LEAF_LOAD, BLOCK = 42, 4096, 12_000, 200_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -272,8 +274,8 @@ class WordHashes(dict):
 def blocks_of(text: str, words: int, bits: int, memory: WordHashes) -> tuple[bytes, int]:
     """A block of single words, ``bits`` of shingles and the key of the set of shingles, as bytes; and the set's size."""
     single, shingles = memory.shingles(text, words)
-    prints = [majority_bits(single), *(majority_bits(mixed(shingles + np.uint64(2 * i + 1))) for i in range(bits // 64))]
     distinct = np.unique(shingles)
+    prints = [majority_bits(np.unique(single)), *(majority_bits(mixed(distinct + np.uint64(2 * i + 1))) for i in range(bits // 64))]
     return np.array(prints, ">u8").tobytes() + blake2b(distinct.tobytes(), digest_size=8 * KEY).digest(), len(distinct)
 
 
@@ -375,23 +377,112 @@ def candidate_members(distinct: DataFrame, radius: int, shingle_radius: int, sim
     return distinct.select("_fp", "_n").mapInArrow(send, schema).groupBy("_shard").applyInArrow(compare, schema)
 
 
-def verified_links(members: DataFrame, texts: DataFrame, words: int, radius: int, shingle_radius: int, similarity: float) -> DataFrame:
-    """(_a, _b): forests of the members' links whose texts, (_fp, _text), have shingle sets at least so alike."""
+def verified_links(members: DataFrame, sets: DataFrame, radius: int, shingle_radius: int, similarity: float) -> DataFrame:
+    """(_a, _b): forests of the members' links, by node, whose sets, (_node, _fp, _set), are at least so alike."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verify(rows: pa.Table) -> pa.Table:
+        node, found = rows.column("_node").to_numpy(), rows.column("_set").combine_chunks()
+        shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in found]
+        a, b = verified_forest(as_words(rows.column("_fp")), rows.column("_home").to_numpy(), shingles, radius, shingle_radius, similarity)
+        return pa.table({"_a": pa.array(node[a], pa.int64()), "_b": pa.array(node[b], pa.int64())})
+
+    return members.join(sets, "_fp").groupBy("_shard").applyInArrow(verify, "_a bigint, _b bigint")
+
+
+def signatures(shingles: np.ndarray, similarity: float) -> np.ndarray:
+    """Hashes of which two ascending sets of distinct hashes share one, if their Jaccard similarity is ``similarity`` or more.
+
+    Sizes are banded by 1 / similarity; a set goes to its own band and, as a guest, to the
+    one below. Sets alike that meet in the band from L to L / similarity on differ in ``most`` =
+    (1 - s) / s ** 2 * L elements at most. The range of hashes is cut into parts, more than ``most`` + 1
+    by ``spare``: all but ``most`` parts are then equal, ``spare`` + 1 or more. Each set leaves out its
+    ``spare`` parts of fewest elements (ties by hash); of the equal parts, that of most elements is left out by neither.
+    """
+    n = len(shingles)
+    if not n:
+        return np.zeros(0, np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(shingles + MIX), dtype=np.uint64)])
+    own, out = floor(log(n) / log(1 / similarity)), []
+    for band in range(max(0, own - 1), own + 1):
+        most = floor((1 - similarity) / similarity ** (2 + band) + 1e-6)
+        spare = max(3, most // 4) if most else 0
+        parts = most + 1 + spare
+        cuts = np.searchsorted(shingles, np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)) if parts > 1 else np.zeros(0, np.int64)
+        at = np.concatenate([[0], cuts, [n]])
+        made = mixed(mixed(total[at[1:]] - total[at[:-1]] + np.uint64(band)) ^ np.arange(parts, dtype=np.uint64))
+        out.append(made[np.lexsort((made, -np.diff(at)))[: most + 1]])
+    return np.concatenate(out)
+
+
+def shared_signatures(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(_node, _text) to (_sig, _node, _hub): signatures that several nodes have; the hub is the least of these."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
         for batch in batches:
-            made = [np.unique(memory.shingles(t or "", words)[1]).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["_fp", "_set"])
+            for k in range(0, batch.num_rows, 256):
+                some = batch.slice(k, 256)
+                made = [signatures(np.unique(memory.shingles(t or "", words)[1]), similarity) for t in some.column(1).to_pylist()]
+                node = np.repeat(some.column(0).to_numpy(), [len(m) for m in made])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64)), pa.array(node, pa.int64())], ["_sig", "_node"])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by signature; the last one of a batch waits for the next batch."""
+        sig, node, hub = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        follows = False  # whether the waiting row goes on a run
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = len(sig)
+            sig, node = np.concatenate([sig, batch.column(0).to_numpy()]), np.concatenate([node, batch.column(1).to_numpy()])
+            same = sig[1:] == sig[:-1]
+            first = np.concatenate([[True], ~same])
+            start = np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))
+            head = node[start]
+            if held:
+                head[start == 0] = hub[0]
+            keep = np.concatenate([[follows], same]) | np.concatenate([same, [False]])
+            keep[-1] = False
+            follows = bool(same[-1]) if len(same) else follows
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, node, head)], ["_sig", "_node", "_hub"])
+            sig, node, hub = sig[-1:], node[-1:], head[-1:]
+        if follows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig, node, hub)], ["_sig", "_node", "_hub"])
+
+    made = texts.select("_node", "_text").mapInArrow(sign, "_sig bigint, _node bigint")
+    return made.repartition("_sig").sortWithinPartitions("_sig", "_node").mapInArrow(several, "_sig bigint, _node bigint, _hub bigint")
+
+
+def alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the distinct pairs (_a, _b) of nodes whose sets are at least so alike."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array([similar(a, b, similarity) for a, b in zip(x, y, strict=True)], pa.bool_()))
 
-    def verify(rows: pa.Table) -> pa.Table:
-        fp, found = rows.column("_fp").combine_chunks(), rows.column("_set").combine_chunks()
-        shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in found]
-        a, b = verified_forest(as_words(fp), rows.column("_home").to_numpy(), shingles, radius, shingle_radius, similarity)
-        return pa.table({"_a": fp.take(pa.array(a)), "_b": fp.take(pa.array(b))})
+    a, b = (sets.select(F.col("_node").alias(c), F.col("_set").alias(c + "set")) for c in ("_a", "_b"))
+    return pairs.join(a, "_a").join(b, "_b").select("_a", "_b", "_aset", "_bset").mapInArrow(verify, "_a bigint, _b bigint")
 
-    made = texts.select("_fp", "_text").mapInArrow(sets, "_fp binary, _set binary")
-    return members.join(made, "_fp").groupBy("_shard").applyInArrow(verify, "_a binary, _b binary")
+
+def all_links(shared: DataFrame, sets: DataFrame, forest: DataFrame, similarity: float) -> DataFrame:
+    """(_node, _label): components of all pairs of nodes so alike; ``forest`` has some of their links.
+
+    First every node meets the hubs of its signatures. Then each node that is not linked to the
+    hub meets all others of the signature that it isn't linked to: of two nodes without a
+    link, one at least is not linked to the hub.
+    """
+    met = shared.where("_node <> _hub").select(F.col("_hub").alias("_a"), F.col("_node").alias("_b")).distinct()
+    edges = stash(alike_pairs(met, sets, similarity).union(forest), "links")
+    labels = components(edges)
+    hub = labels.select(F.col("_node").alias("_hub"), F.col("_label").alias("_main"))
+    told = shared.join(labels, "_node", "left").join(hub, "_hub", "left").select("_sig", "_node", "_hub", F.coalesce("_label", "_node").alias("_label"), F.coalesce("_main", "_hub").alias("_main"))
+    told = stash(told, "told")
+    apart = told.where("_label <> _main").select("_sig", F.col("_node").alias("_a"), F.col("_label").alias("_from"))
+    others = told.where("_node <> _hub").select("_sig", F.col("_node").alias("_b"), F.col("_label").alias("_at"), (F.col("_label") == F.col("_main")).alias("_in"))
+    rest = apart.join(others, "_sig").where("_from <> _at AND (_in OR _a < _b)").select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
+    more = stash(alike_pairs(rest, sets, similarity), "more")
+    return labels if more.isEmpty() else components(edges.union(more))
 
 
 def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 256, radius: int = 12, id_col: str = "doc_id", text_col: str = "text", leaf_load: int = LEAF_LOAD) -> DataFrame:
@@ -406,17 +497,27 @@ def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
             made = [blocks_of(t or "", words, bits, memory) for t in batch.column(text_at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64())], [*names, "~fp", "~n"])
 
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = WordHashes()
+        for batch in batches:
+            made = [np.unique(memory.shingles(t or "", words)[1]).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["_node", "_fp", "_set"])
+
     printed = docs.mapInArrow(run, f"{schema}, `~fp` binary, `~n` bigint")
     printed = stash(printed.withColumn("~row", F.monotonically_increasing_id()), "printed")
     rank = F.struct(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), F.col("~row").alias("row"))
     distinct = printed.groupBy(F.col("~fp").alias("_fp")).agg(F.max("~n").alias("_n"), F.min(rank).alias("_least"))
-    distinct = stash(distinct, "distinct")
+    distinct = stash(distinct.withColumn("_node", F.col("_least.row")), "distinct")
+    texts = printed.select(F.col("~row").alias("_node"), F.col("~fp").alias("_fp"), F.col(f"`{text_col}`").cast("string").alias("_text")).join(distinct.select("_node"), "_node", "left_semi")
+    shared = stash(shared_signatures(texts, words, similarity), "shared")
+    some = stash(shared.select("_node").distinct(), "some")
+    sets = stash(texts.join(some, "_node", "left_semi").select("_node", "_fp", "_text").mapInArrow(sets_of, "_node bigint, _fp binary, _set binary"), "sets")
     shingle_radius = radius_of(similarity, bits)
-    members = stash(candidate_members(distinct, radius, shingle_radius, similarity, leaf_load), "candidates")
-    chosen = distinct.join(members.select("_fp").distinct(), "_fp").select("_fp", F.col("_least.row").alias("~row"))
-    texts = printed.select("~row", F.col(f"`{text_col}`").alias("_text")).join(chosen, "~row")
-    labels = components(verified_links(members, texts, words, radius, shingle_radius, similarity))
-    grouped = distinct.join(labels.select(F.col("_node").alias("_fp"), "_label"), "_fp", "left").groupBy(F.coalesce("_label", "_fp")).agg(F.min("_least").alias("_least"))
+    near = distinct.join(some, "_node", "left_semi")  # no other has a document alike
+    members = candidate_members(near, radius, shingle_radius, similarity, leaf_load)
+    forest = verified_links(members, sets, radius, shingle_radius, similarity)
+    labels = all_links(shared, sets, forest, similarity)
+    grouped = distinct.join(labels, "_node", "left").groupBy(F.coalesce("_label", "_node")).agg(F.min("_least").alias("_least"))
     stay = grouped.select(F.col("_least.row").alias("~row"))
     return printed.join(stay, "~row", "left_semi").select(*(f"`{c}`" for c in names))
 

@@ -204,6 +204,34 @@ def test_equal_fingerprints_are_no_copies(spark):
     assert sorted(r.doc_id for r in simhash.distinct_documents(df).collect()) == [0, 1, 2, 3]
 
 
+def test_signatures_lose_no_pair():
+    rng = np.random.default_rng(5)
+    hits = 0
+    for k in range(4000):
+        n = int(rng.integers(1, 40) if k % 2 else rng.integers(1, 600))
+        x = rng.integers(0, 2**64, n, dtype=np.uint64)
+        cut = int(rng.integers(0, n // 5 + 1))
+        add = int(rng.integers(0, max(1, n // 4 - cut) + 1))
+        x, y = np.unique(x), np.unique(np.concatenate([x[cut:], rng.integers(0, 2**64, add, dtype=np.uint64)]))
+        if simhash.similar(x, y, 0.8):
+            hits += 1
+            assert len(np.intersect1d(simhash.signatures(x, 0.8), simhash.signatures(y, 0.8)))
+    assert hits > 1000
+
+
+def test_no_pair_is_beyond_the_radii(spark):
+    rows = []
+    for k in range(150):  # a fifth cut off, in one block
+        w = [f"t{k}w{i}" for i in range(104)]
+        rows += [(k, " ".join(w)), (1000 + k, " ".join(w[:84]))]
+    for k in range(5):  # a passage many times over
+        w, line = " ".join(f"u{k}w{i}" for i in range(200)), " ".join(f"l{k}w{i}" for i in range(12))
+        rows += [(200 + k, w + " " + line), (1200 + k, w + " " + " ".join([line] * 60))]
+    assert {len(g) for g in brute_groups(rows)} == {2}
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA).repartition(3)
+    assert sorted(r.doc_id for r in simhash.distinct_documents(df).collect()) == [i for i, _ in sorted(rows) if i < 1000]
+
+
 def test_repeats_cut_from_documents(spark):
     rows = [*repetitive(3, 40), (900, None), (901, "é" * 60), (902, "x" + "é" * 60), (903, "日本" * 40), (904, "a日本" * 40)]
     df = spark.createDataFrame([(i, t, f"s{i}", None) for i, t in rows], "doc_id bigint, text string, source string, _id string")
