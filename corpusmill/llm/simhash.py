@@ -11,7 +11,7 @@ and an outer half. The tree gets so many levels that copies of visitors grow as
 the number of fingerprints. Each fingerprint has one home leaf. By the triangle inequality
 only inner fingerprints within ``radius`` of the border can link across it; those
 also visit the outer half, and visitors go on to every half they may link in. So each
-leaf (a shard) sees every pair that could link, and no leaf sees the rest. A leaf
+leaf (a shard, or a grid of pairs of its blocks, if it is large) sees every pair that could link, and no leaf sees the rest. A leaf
 compares its homes with all its members in blocks and returns a forest of the links,
 never all pairs. The forests join up to components by hash-min rounds with pointer
 jumping, each round written to the shared folder.
@@ -42,7 +42,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import accumulate
-from math import acos, ceil, floor, log, pi, sqrt
+from math import acos, ceil, exp, floor, log, pi, sqrt
 from typing import Any
 
 import numpy as np
@@ -54,6 +54,10 @@ from pyspark.sql import functions as F
 from .common import MIX, mixed, stash
 
 SEED, SAMPLE, LEAF_LOAD, BLOCK = 42, 4096, 12_000, 200_000
+#: Members of a block of a leaf, and bytes of shingle sets that meet in one task.
+GRID, SETS = 50_000, 1 << 26
+#: Frequent shingles that signatures avoid.
+COMMON = 1 << 17
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words of 64 bits at the end of a document's node that are the hash of its set of shingles.
 KEY = 2
@@ -212,11 +216,27 @@ def leaf_forest(prints: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.n
     return a, label[a]
 
 
+def grid(hashes: np.ndarray, home: np.ndarray, side: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(block pair, row numbers, which of them are at home): homes of the first block meet all of the second.
+
+    A leaf's rows are dealt into ``side`` blocks by hash. Every pair with a home meets in one block pair.
+    """
+    block = ((hashes >> np.uint64(33)) % np.uint64(side)).astype(np.int64)
+    every = np.arange(len(block))
+    for other in range(side):
+        first = home | (block == other)
+        yield block[first] * side + other, every[first], home[first]
+        second = (other != block) & (~home | (other < block))
+        yield other * side + block[second], every[second], np.zeros(int(second.sum()), bool)
+
+
 def links(distinct: DataFrame, radius: int, leaf_load: int = LEAF_LOAD) -> DataFrame:
     """(_fp, _node) one row a fingerprint to (_a, _b): forests of links, by node."""
     total = distinct.count()
     sample = unhex(distinct.select("_fp").orderBy(F.xxhash64("_fp"), "_fp").limit(SAMPLE).toArrow().column(0)) if total else np.zeros((0, 1), np.uint64)
     nodes = grow(sample, total, radius, leaf_load, depth_of(total, leaf_load / 6))
+    seen = {leaf: len(rows) for leaf, rows, _ in route(nodes, sample, radius)}
+    sides = {leaf: ceil(n * total / len(sample) / GRID) for leaf, n in seen.items()}
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,15 +244,17 @@ def links(distinct: DataFrame, radius: int, leaf_load: int = LEAF_LOAD) -> DataF
                 some = batch.slice(k, 2048)
                 if not some.num_rows:
                     continue
-                for leaf, rows, home in route(nodes, unhex(some.column(0)), radius):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf, np.int32)), *(some.column(c).take(pa.array(rows)) for c in (0, 1)), pa.array(home)], ["_leaf", "_fp", "_node", "_home"])
+                prints = unhex(some.column(0))
+                for leaf, rows, home in route(nodes, prints, radius):
+                    for shard, which, own in grid(mixed(prints[rows, -1]), home, sides.get(leaf, 1)):
+                        yield pa.RecordBatch.from_arrays([pa.array(shard + (leaf << 40)), *(some.column(c).take(pa.array(rows[which])) for c in (0, 1)), pa.array(own)], ["_leaf", "_fp", "_node", "_home"])
 
     def compare(members: pa.Table) -> pa.Table:
         a, b = leaf_forest(unhex(members.column("_fp")), members.column("_home").to_numpy(), radius)
         node = members.column("_node").to_numpy()
         return pa.table({"_a": pa.array(node[a], pa.int64()), "_b": pa.array(node[b], pa.int64())})
 
-    return distinct.select("_fp", "_node").mapInArrow(send, "_leaf int, _fp string, _node bigint, _home boolean").groupBy("_leaf").applyInArrow(compare, "_a bigint, _b bigint")
+    return distinct.select("_fp", "_node").mapInArrow(send, "_leaf bigint, _fp string, _node bigint, _home boolean").groupBy("_leaf").applyInArrow(compare, "_a bigint, _b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -316,7 +338,7 @@ def verified_forest(prints: np.ndarray, home: np.ndarray, sets: list[np.ndarray]
     label = np.arange(n)
     for i, j, d in candidates(prints, home, radius, shingle_radius):
         order = np.argsort(d, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(d[order])) + 1) if len(order) else ():
+        for rows in np.split(order, np.union1d(np.flatnonzero(np.diff(d[order])) + 1, np.arange(4096, len(order), 4096))) if len(order) else ():
             rows = rows[label[i[rows]] != label[j[rows]]]
             linked = rows[[similar(sets[a], sets[b], similarity) for a, b in zip(i[rows].tolist(), j[rows].tolist(), strict=True)]] if len(rows) else rows
             if len(linked):
@@ -333,8 +355,8 @@ def as_words(column: Any) -> np.ndarray:
 def candidate_members(distinct: DataFrame, radius: int, shingle_radius: int, similarity: float, leaf_load: int = LEAF_LOAD) -> DataFrame:
     """(_fp, _n) one row a set of shingles to (_shard, _fp, _home): members of leaves with a candidate there.
 
-    Leaves of more than ``BLOCK`` members are parted into blocks of homes, each of which
-    meets all members. How many is told by the tree's sample.
+    Leaves of more than ``BLOCK`` members, or ``SETS`` bytes of shingle sets, are parted into blocks
+    that do not meet here; :func:`all_links` finds pairs across. How many is told by the tree's sample.
     """
     ratio = log(1 / similarity)
     total = distinct.count()
@@ -348,7 +370,9 @@ def candidate_members(distinct: DataFrame, radius: int, shingle_radius: int, sim
         for band in bands[rows].tolist():
             load[band, leaf] = load.get((band, leaf), 0) + 1
             load[band - 1, leaf] = load.get((band - 1, leaf), 0) + 1
-    parts = {k: ceil(v * scale / BLOCK) for k, v in load.items() if v * scale > BLOCK}
+
+    def parts(b: int, leaf: int) -> int:
+        return ceil(load.get((b, leaf), 1) * scale * max(1 / BLOCK, 8 * exp((b + 2) * ratio) / SETS))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,10 +386,8 @@ def candidate_members(distinct: DataFrame, radius: int, shingle_radius: int, sim
                         at, own = band[rows] - down, home
                         for b in np.unique(at).tolist():
                             here = rows[at == b]
-                            for part in range(parts.get((b, leaf), 1)):
-                                mine = own[at == b] & (block[here] % parts.get((b, leaf), 1) == part)
-                                shard = np.full(len(here), (b + 1 << 40) | (leaf << 20) | part, np.int64)
-                                yield pa.RecordBatch.from_arrays([pa.array(shard), some.column(0).take(pa.array(here)), pa.array(mine)], ["_shard", "_fp", "_home"])
+                            part = block[here] % parts(b, leaf)
+                            yield pa.RecordBatch.from_arrays([pa.array((b + 1 << 40) | (leaf << 20) | part), some.column(0).take(pa.array(here)), pa.array(own[at == b])], ["_shard", "_fp", "_home"])
 
     def compare(members: pa.Table) -> pa.Table:
         prints, seen = as_words(members.column("_fp")), np.zeros(members.num_rows, bool)
@@ -389,40 +411,60 @@ def verified_links(members: DataFrame, sets: DataFrame, radius: int, shingle_rad
     return members.join(sets, "_fp").groupBy("_shard").applyInArrow(verify, "_a bigint, _b bigint")
 
 
-def signatures(shingles: np.ndarray, similarity: float) -> np.ndarray:
+def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
+    """Ascending hashes of shingles that several texts of a sample have, ``COMMON`` at most. They only save work."""
+    share = min(1.0, 2 * SAMPLE / max(1, texts.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = WordHashes()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(memory.shingles(t or "", words)[1]).view(np.int64))], ["_at"])
+
+    some = texts.where(F.pmod(F.xxhash64("_fp"), F.lit(1 << 30)) < int(share * (1 << 30))).select("_text")
+    counted = some.mapInArrow(run, "_at bigint").groupBy("_at").count().where("count > 2").orderBy(F.desc("count"), "_at").limit(COMMON)
+    return np.sort(counted.select("_at").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def signatures(shingles: np.ndarray, similarity: float, common: np.ndarray = np.zeros(0, np.uint64)) -> np.ndarray:
     """Hashes of which two ascending sets of distinct hashes share one, if their Jaccard similarity is ``similarity`` or more.
 
     Sizes are banded by 1 / similarity; a set goes to its own band and, as a guest, to the
     one below. Sets alike that meet in the band from L to L / similarity on differ in ``most`` =
     (1 - s) / s ** 2 * L elements at most. The range of hashes is cut into parts, more than ``most`` + 1
     by ``spare``: all but ``most`` parts are then equal, ``spare`` + 1 or more. Each set leaves out its
-    ``spare`` parts of fewest elements (ties by hash); of the equal parts, that of most elements is left out by neither.
+    ``spare`` parts of fewest elements, first those of fewest that are not ``common`` (ties by hash); of the
+    equal parts, the last in this order is left out by neither, whatever is common.
     """
     n = len(shingles)
     if not n:
         return np.zeros(0, np.uint64)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(shingles + MIX), dtype=np.uint64)])
+    known = np.searchsorted(common, shingles)
+    known = np.take(common, known, mode="clip") == shingles if len(common) else np.zeros(n, bool)
+    rare = np.concatenate([[0], np.cumsum(~known)])
     own, out = floor(log(n) / log(1 / similarity)), []
     for band in range(max(0, own - 1), own + 1):
         most = floor((1 - similarity) / similarity ** (2 + band) + 1e-6)
-        spare = max(3, most // 4) if most else 0
+        spare = most + 3 if most else 0
         parts = most + 1 + spare
         cuts = np.searchsorted(shingles, np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)) if parts > 1 else np.zeros(0, np.int64)
         at = np.concatenate([[0], cuts, [n]])
         made = mixed(mixed(total[at[1:]] - total[at[:-1]] + np.uint64(band)) ^ np.arange(parts, dtype=np.uint64))
-        out.append(made[np.lexsort((made, -np.diff(at)))[: most + 1]])
+        out.append(made[np.lexsort((made, -np.diff(at), rare[at[:-1]] - rare[at[1:]]))[: most + 1]])
     return np.concatenate(out)
 
 
 def shared_signatures(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(_node, _text) to (_sig, _node, _hub): signatures that several nodes have; the hub is the least of these."""
+    """(_node, _fp, _text) to (_sig, _node, _hub): signatures that several nodes have; the hub is the least of these."""
+    common = common_shingles(texts, words)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 some = batch.slice(k, 256)
-                made = [signatures(np.unique(memory.shingles(t or "", words)[1]), similarity) for t in some.column(1).to_pylist()]
+                made = [signatures(np.unique(memory.shingles(t or "", words)[1]), similarity, common) for t in some.column(1).to_pylist()]
                 node = np.repeat(some.column(0).to_numpy(), [len(m) for m in made])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64)), pa.array(node, pa.int64())], ["_sig", "_node"])
 
@@ -454,7 +496,10 @@ def shared_signatures(texts: DataFrame, words: int, similarity: float) -> DataFr
 
 
 def alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the distinct pairs (_a, _b) of nodes whose sets are at least so alike."""
+    """Those of the distinct pairs (_a, _b) of nodes whose sets are at least so alike.
+
+    A hub comes last, when the rows of its many pairs are wide enough for Spark to part them.
+    """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -462,24 +507,24 @@ def alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFra
             yield batch.select([0, 1]).filter(pa.array([similar(a, b, similarity) for a, b in zip(x, y, strict=True)], pa.bool_()))
 
     a, b = (sets.select(F.col("_node").alias(c), F.col("_set").alias(c + "set")) for c in ("_a", "_b"))
-    return pairs.join(a, "_a").join(b, "_b").select("_a", "_b", "_aset", "_bset").mapInArrow(verify, "_a bigint, _b bigint")
+    return pairs.select("_a", "_b").join(b, "_b").join(a, "_a").select("_a", "_b", "_aset", "_bset").mapInArrow(verify, "_a bigint, _b bigint")
 
 
 def all_links(shared: DataFrame, sets: DataFrame, forest: DataFrame, similarity: float) -> DataFrame:
     """(_node, _label): components of all pairs of nodes so alike; ``forest`` has some of their links.
 
-    First every node meets the hubs of its signatures. Then each node that is not linked to the
-    hub meets all others of the signature that it isn't linked to: of two nodes without a
-    link, one at least is not linked to the hub.
+    First every node meets one hub, the least of its signatures' hubs. Then each node that is
+    not linked to the hub of a signature meets all others there that it isn't linked to: of
+    two nodes without a link, one at least is not linked to the hub.
     """
-    met = shared.where("_node <> _hub").select(F.col("_hub").alias("_a"), F.col("_node").alias("_b")).distinct()
+    met = shared.where("_node <> _hub").groupBy(F.col("_node").alias("_b")).agg(F.min("_hub").alias("_a"))
     edges = stash(alike_pairs(met, sets, similarity).union(forest), "links")
     labels = components(edges)
     hub = labels.select(F.col("_node").alias("_hub"), F.col("_label").alias("_main"))
     told = shared.join(labels, "_node", "left").join(hub, "_hub", "left").select("_sig", "_node", "_hub", F.coalesce("_label", "_node").alias("_label"), F.coalesce("_main", "_hub").alias("_main"))
     told = stash(told, "told")
     apart = told.where("_label <> _main").select("_sig", F.col("_node").alias("_a"), F.col("_label").alias("_from"))
-    others = told.where("_node <> _hub").select("_sig", F.col("_node").alias("_b"), F.col("_label").alias("_at"), (F.col("_label") == F.col("_main")).alias("_in"))
+    others = told.select("_sig", F.col("_node").alias("_b"), F.col("_label").alias("_at"), (F.col("_label") == F.col("_main")).alias("_in"))
     rest = apart.join(others, "_sig").where("_from <> _at AND (_in OR _a < _b)").select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
     more = stash(alike_pairs(rest, sets, similarity), "more")
     return labels if more.isEmpty() else components(edges.union(more))

@@ -215,7 +215,8 @@ def test_signatures_lose_no_pair():
         x, y = np.unique(x), np.unique(np.concatenate([x[cut:], rng.integers(0, 2**64, add, dtype=np.uint64)]))
         if simhash.similar(x, y, 0.8):
             hits += 1
-            assert len(np.intersect1d(simhash.signatures(x, 0.8), simhash.signatures(y, 0.8)))
+            for common in (x[:0], np.unique(x[rng.random(n) < 0.6])):
+                assert len(np.intersect1d(simhash.signatures(x, 0.8, common), simhash.signatures(y, 0.8, common)))
     assert hits > 1000
 
 
@@ -232,6 +233,33 @@ def test_no_pair_is_beyond_the_radii(spark):
     assert sorted(r.doc_id for r in simhash.distinct_documents(df).collect()) == [i for i, _ in sorted(rows) if i < 1000]
 
 
+def test_large_leaves_are_parted(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GRID", 20)
+    monkeypatch.setattr(simhash, "SETS", 8 * 120 * 15)
+    rows = near_copies(6, 40)
+    rows += [(5000 + k, " ".join(f"h{i}" if i != k else f"new{k}" for i in range(120))) for k in range(120)]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA).repartition(3)
+    assert sorted(map(tuple, simhash.near_duplicates(df).collect()), key=repr) == brute_components(rows, 4)
+    assert len({r.doc_id for r in simhash.distinct_documents(df).collect()}) == len({min((rows[i][0] for i in g if rows[i][0] is not None), default=None) for g in brute_groups(rows)})
+    distinct = spark.createDataFrame(list({simhash.blocks_of(t or "", 5, 256, simhash.WordHashes()) for _, t in rows}), "_fp binary, _n bigint")
+    members = simhash.candidate_members(distinct, 12, simhash.radius_of(0.8, 256), 0.8)
+    sizes = [r["count"] for r in members.groupBy("_shard").count().collect()]
+    assert sizes and max(sizes) < 60
+
+
+def test_grid_meets_every_pair_with_a_home():
+    rng = np.random.default_rng(1)
+    hashes, home, met = rng.integers(0, 2**64, 90, dtype=np.uint64), rng.random(90) < 0.5, set()
+    shards = defaultdict(list)
+    for shard, rows, own in simhash.grid(hashes, home, 4):
+        for s, r, o in zip(shard.tolist(), rows.tolist(), own.tolist()):
+            shards[s].append((r, o))
+    for members in shards.values():
+        assert len(members) < 60 and len({r for r, _ in members}) == len(members)
+        met |= {frozenset((a, b)) for a, o in members if o for b, _ in members}
+    assert met >= {frozenset((a, b)) for a in np.flatnonzero(home).tolist() for b in range(90)}
+
+
 def test_repeats_cut_from_documents(spark):
     rows = [*repetitive(3, 40), (900, None), (901, "é" * 60), (902, "x" + "é" * 60), (903, "日本" * 40), (904, "a日本" * 40)]
     df = spark.createDataFrame([(i, t, f"s{i}", None) for i, t in rows], "doc_id bigint, text string, source string, _id string")
