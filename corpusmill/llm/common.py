@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: A word: a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Stands for a null id: less than any other.
+NO_ID = -(2**63)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -4,49 +4,49 @@ A byte goes if it is covered by a ``length``-byte string that also starts in a
 document with a smaller id. Strings are judged on the input and never cross
 documents.
 
-Parse. A rolling hash is taken of every ``TRIGGER`` bytes; a place triggers if its
-hash is the least in some string of ``length`` bytes that holds it (equal hashes:
+Parse. A rolling hash goes over every ``TRIGGER`` bytes of a text. A place triggers if
+its hash is the least in some string of ``length`` bytes that holds it (equal hashes:
 the leftmost). So every such string has exactly one trigger, found from its content
-alone, and strings that share their trigger form one phrase: a run of starting
-places, with ``length - 1`` bytes more so that no string leaves its phrase. Equal
-strings get equal triggers wherever they stand. The corpus becomes a dictionary of
-distinct phrases and, for each document, its sequence of phrases (the parse).
-
-Repeated triggers. Documents are dealt into parts by a hash of their id. A part sends
-each distinct trigger with its phrases once, as 32 bits within a bucket of triggers and
-32 of a phrase's hash; a bucket answers which triggers occur in two parts or more
-(rarely also a chance equal, which costs work but no wrong result) and which of them
-have several phrases (missed with a chance of 2 ** -32 for two phrases). Only phrases
-of repeated triggers go on: in unique text, almost none. Where a trigger has one phrase
-everywhere, its hash of 128 bits is all that is sent; its bytes are not needed.
-
-Dictionary. A part sends its distinct repeated phrases with the least document of
-each. By trigger, a dictionary task joins those of all parts; where a trigger has more
-than one phrase, it sorts the phrases' suffixes to the depth of ``length`` bytes: the
-suffix array of its share of the dictionary. Neighbours that agree to that depth are
-one string, and a run of them holds the least document of that string. The task
-answers which strings of each phrase start in a smaller document elsewhere. Triggers in more than
-``hot`` parts are sent string by string, as hashes of 128 bits, and dealt by the string,
-so that no task gathers the many phrases around a frequent passage.
-
-Corpus order. The parse carries the answers back: each document's phrases, in order,
-turn them into the removed runs of its bytes. As results only need order to
-``length`` bytes, and every phrase holds its strings whole, ranks beyond the phrase
-(the suffix array of the parse) are never needed to decide one.
-
-Parts, buckets and tasks scale with ``spark.sql.shuffle.partitions``. Every document
-is read whole, in chunks of bounded memory.
+alone, and strings that share their trigger form one phrase: a run of starting places,
+with ``length - 1`` bytes more so that no string leaves its phrase. Equal strings get
+equal triggers wherever they stand. The corpus becomes a dictionary of distinct phrases
+and, for each document, its sequence of phrases (the parse).
+
+Ranks of the parse. Documents are dealt into parts of ``PART`` bytes by ranges of ids.
+A part sends each of its distinct phrases once, as hashes: one row (trigger, content,
+part). Spark sorts these rows by trigger, content and part. Read in that order, the first row of
+a phrase is its least part, and all others are answered at once: the whole phrase
+starts in a smaller document. Phrases that share their trigger with no other phrase
+need nothing more, as no string of theirs has a neighbour. The others, in their least
+part only, are asked for their bytes.
+
+Suffix array of the dictionary. Spark deals the phrases asked for by trigger. Their suffixes are
+sorted to the depth of ``length`` bytes; neighbours that agree to that depth are one
+string, and a run of them holds the least document of that string. All phrases of a
+trigger are sorted in one array, a few thousand triggers at a time. A trigger of more than ``SHARE``
+phrases is no group anywhere: its suffixes are rows, which Spark itself sorts.
+
+Corpus order. A part reads its answers, (phrase, run of strings that start in a smaller
+document), and its parse carries them to all places where the phrase stands. Order is
+needed to ``length`` bytes only, and as every phrase is that deep, its rank alone is the
+rank of the parse from there: doubling the depth (phrase pairs, and so on) would tell
+nothing more.
+
+Rows follow bytes: a phrase in some 14 bytes of text, none by pairs of parts. A phrase
+is known by 96 bits (44 of its trigger, 52 of its content); where one trigger has
+several phrases, bytes decide. Every document is read whole, hashed in chunks of bounded memory.
 
 Defined cases: a null or empty text has 0 bytes and nothing removed; texts shorter
 than ``length`` stay; repeats within one document stay; rows with equal ids count as
-one document, so copies under one id stay; a null id counts as the smallest; an empty
-table gives an empty result; further columns are ignored.
+one document, so copies under one id stay, and meet in one part; a null id counts as the smallest;
+an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,26 +54,51 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, mixed, shuffle_partitions, text_or_empty
+from .common import MIX, NO_ID, mixed, range_bounds, range_bucket
 
-LENGTH, TRIGGER, HOT, CHUNK = 50, 24, 16, 2 << 20
-MESSAGE = "_to int, _part int, _kind int, _data binary"
-NO_ID = -(2**63)
-WHOLE = 0xFFFF  # in an answer: to the end of the phrase
+LENGTH, TRIGGER, CHUNK, PART, SHARE = 50, 24, 1 << 18, 16 << 20, 4096
+#: Hash bits of a trigger, of a content beside the trigger, and of a content beside the part.
+T_BITS, C_HIGH, C_LOW = 44, 20, 32
+LOW = np.int64((1 << C_LOW) - 1)
+#: What is asked of or answered to a phrase; others are a run of its strings, first << 16 | last + 1.
+WHOLE, BRING, BRING_STRINGS = 0, -1, -2
+TOLD = "a long, b long, span int"
+PHRASE = "key long, doc long, a long, b long, at int, data binary"
+#: Odd numbers: the bases of the rolling hashes of triggers and of contents.
+BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 
 
-def trigger_hashes(buf: np.ndarray, width: int) -> np.ndarray:
-    """Hash of the ``width`` bytes from each place, by 8-byte steps."""
-    n = len(buf) - width + 1
-    eights = np.ndarray(len(buf) - 7, "<u8", buf, strides=(1,))
-    h = np.zeros(n, np.uint64)
-    for at in (*range(0, width - 7, 8), width - 8):
-        h = mixed(h ^ eights[at : at + n])
-    return h
+@lru_cache(maxsize=8)
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of a base and of its inverse, modulo 2 ** 64."""
+    out = []
+    for x in (base, pow(base, -1, 1 << 64)):
+        steps = np.full(n, np.uint64(x))
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
+
+
+class Rolling:
+    """Rolling polynomial hashes of all stretches of a chunk, from one running sum."""
+
+    def __init__(self, buf: np.ndarray, base: int) -> None:
+        self.power, self.inverse = powers(base, CHUNK + 2 * LENGTH if len(buf) < CHUNK + 2 * LENGTH else len(buf) + 1)
+        values = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
+        self.sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(values[buf] * self.power[: len(buf)], out=self.sums[1:])
+
+    def windows(self, width: int) -> np.ndarray:
+        """The hash of the ``width`` bytes from each place."""
+        n = len(self.sums) - width
+        return mixed((self.sums[width:] - self.sums[:n]) * self.inverse[:n])
+
+    def stretches(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[start + size] - self.sums[start]) * self.inverse[start] ^ size.astype(np.uint64))
 
 
 class Phrases:
-    """The phrases of a part's documents, in order: start, strings (how many), trigger, document.
+    """The phrases of a part's documents, in order: start, strings (how many), trigger, content, document.
 
     Starts count from the first byte of all documents end to end.
     """
@@ -84,13 +109,14 @@ class Phrases:
         self.ends = np.cumsum(self.sizes)
         self.buf = np.frombuffer(b"".join(texts), np.uint8)
         found = [self._chunk(a, min(a + CHUNK + length - 1, len(self.buf))) for a in range(0, max(0, len(self.buf) - length + 1), CHUNK)]
-        self.start, self.count, self.trigger = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.uint64)))
+        kinds = (np.int64, np.int64, np.uint64, np.uint64)
+        self.start, self.count, self.trigger, self.content = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, t) for i, t in enumerate(kinds))
         self.doc = np.searchsorted(self.ends, self.start, "right")
 
-    def _chunk(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _chunk(self, a: int, b: int) -> tuple[np.ndarray, ...]:
         buf, length = self.buf[a:b], self.length
         width = min(TRIGGER, length)
-        hashes = trigger_hashes(buf, width)
+        hashes = Rolling(buf, BASES[0]).windows(width)
         bits = np.uint64(len(hashes).bit_length())
         low = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)  # ties: the leftmost
         span, reach = length - width + 1, 1
@@ -102,87 +128,65 @@ class Phrases:
         place = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)  # of the trigger of the string at each start
         whole = np.ones(len(place), bool)  # strings inside one document
         inside = self.ends[(self.ends > a) & (self.ends < b)] - a
-        for i in range(1, length):
-            cut = inside - i
-            whole[cut[(cut >= 0) & (cut < len(whole))]] = False
+        cut = (inside[:, None] - np.arange(1, length)).ravel()
+        whole[cut[(cut >= 0) & (cut < len(whole))]] = False
         change = np.ones(len(place), bool)
         change[1:] = (place[1:] != place[:-1]) | ~whole[:-1]
-        if len(inside):
-            at = inside[inside < len(change)]
-            change[at] = True
+        change[inside[inside < len(change)]] = True
         first = np.flatnonzero(whole & change)
         last = np.ones(len(place), bool)
         last[:-1] = change[1:] | ~whole[1:]
-        last = np.flatnonzero(whole & last)
-        return first + a, last - first + 1, hashes[place[first]]
-
-    def content(self) -> np.ndarray:
-        """A hash of each phrase's bytes: differences of a running polynomial."""
-        table = mixed(np.arange(1, 257, dtype=np.uint64) * MIX)
-        out = np.empty(len(self.start), np.uint64)
-        odd = np.uint64(0xD1342543DE82EF95)
-        size = self.count + self.length - 1
-        step = 200_000
-        for k in range(0, len(out), step):  # by chunks of phrases
-            s, n = self.start[k : k + step], size[k : k + step]
-            base, top = int(s[0]), int((s + n).max())
-            span = table[self.buf[base:top]]
-            weight = np.multiply.accumulate(np.full(top - base, odd))
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(span * weight)])
-            diff = sums[s - base + n] - sums[s - base]
-            inverse = pow(int(odd), -1, 1 << 64)
-            back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int((s - base).max()), np.uint64(inverse))]))
-            out[k : k + step] = mixed(diff * back[s - base] ^ n.astype(np.uint64))
-        return out
-
-
-def gather(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The stretches of ``buf`` end to end."""
-    if not len(start):
-        return np.zeros(0, np.uint8)
-    ends = np.cumsum(size)
-    return buf[np.arange(ends[-1]) + np.repeat(start - ends + size, size)]
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as compressed bytes: text and small numbers shrink by more than Spark's own compression makes of them."""
-    head = np.array([len(arrays), *(a.nbytes for a in arrays)], "<i8")
-    return zstandard.compress(b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]), 3)
-
-
-def unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
-    data = zstandard.decompress(data)
-    n = int(np.frombuffer(data, "<i8", 1)[0])
-    at, out = 8 * (n + 1), []
-    for size, kind in zip(np.frombuffer(data, "<i8", n, 8).tolist(), kinds, strict=True):
-        out.append(np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at))
-        at += size
-    return out
-
-
-def messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
-    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["_to", "_part", "_kind", "_data"])
-
-
-def in_kind(received: pa.Table, kind: int) -> list[tuple[int, bytes]]:
-    """(part, data) of the messages of a kind."""
-    rows = zip(*(received.column(c).to_pylist() for c in ("_kind", "_part", "_data")), strict=True)
-    return [(p, d) for k, p, d in rows if k == kind]
-
-
-def deal(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(bucket, row numbers) for each bucket that occurs."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    return [(int(bucket[g[0]]), g) for g in np.split(order, cuts) if len(g)]
-
-
-def load(texts: pa.Table, length: int) -> tuple[np.ndarray, list[bytes], Phrases]:
-    """Ids, texts and phrases of a part, in an order that any evaluation repeats."""
-    found = sorted(zip(texts.column("_id").to_pylist(), texts.column("_data").to_pylist(), strict=True))
-    ids, data = np.array([i for i, _ in found], np.int64), [t for _, t in found]
-    return ids, data, Phrases(data, length)
+        count = np.flatnonzero(whole & last) - first + 1
+        return first + a, count, hashes[place[first]], Rolling(buf, BASES[1]).stretches(first, count + length - 1)
+
+
+class Part:
+    """A part's documents and their distinct phrases, each at its first place: in the least document of the part.
+
+    ``a``: trigger and upper content; ``b``: lower content; ascending by both. ``of``: the distinct phrase of each phrase.
+    """
+
+    def __init__(self, texts: pa.Table, length: int) -> None:
+        data = [zstandard.decompress(x) for x in texts.column("_data").to_pylist()]
+        self.rows = sorted(range(len(data)), key=list(zip(texts.column("_id").to_pylist(), data, strict=True)).__getitem__)
+        self.data = [data[k] for k in self.rows]
+        self.ids = texts.column("_id").to_numpy()[self.rows]
+        self.rank = np.cumsum(np.concatenate([[0], self.ids[1:] != self.ids[:-1]])) if len(data) else np.zeros(0, np.int64)
+        self.parse = p = Phrases(self.data, length)
+        a = (p.trigger >> np.uint64(64 - T_BITS) << np.uint64(C_HIGH) | p.content >> np.uint64(64 - C_HIGH)).view(np.int64)
+        b = (p.content >> np.uint64(64 - C_HIGH - C_LOW)).view(np.int64) & LOW
+        order = np.lexsort((b, a))  # stable
+        new = changes(a[order], b[order])
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        self.first = order[new]
+        self.a, self.b = a[self.first], b[self.first]
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The numbers of distinct phrases of this part by their hashes."""
+        at, b = np.searchsorted(self.a, a), b & LOW
+        while (off := np.flatnonzero((self.a[at] != a) | (self.b[at] != b))).size:
+            at[off] += 1
+        return at
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def table(schema: str, *columns: object) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    named = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, named, strict=True)], [n for n, _ in named])
+
+
+def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number within the row) of ``counts`` items a row."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def whole_characters(gone: np.ndarray, text: bytes) -> np.ndarray:
@@ -195,302 +199,241 @@ def whole_characters(gone: np.ndarray, text: bytes) -> np.ndarray:
     return np.repeat(np.add.reduceat(gone, head, dtype=np.int64) == size, size)
 
 
-def send_triggers(length: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
-    def run(texts: pa.Table) -> pa.Table:
-        part = texts.column("_to")[0].as_py()
-        ph = load(texts, length)[2]
-        trigger, content = ph.trigger, ph.content().astype(np.uint32)
-        order = np.lexsort((content, trigger))
-        t, c = trigger[order], content[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-        t, c = t[new], c[new]
-        bucket, low = (t >> np.uint64(32)) % np.uint64(buckets), t.astype("<u4")
-        order = np.lexsort((c, low, bucket))
-        bucket, low, c = bucket[order], low[order], c[order]
-        return messages([(b, part, 0, pack(steps(low[g]), c[g])) for b, g in deal(bucket)])
-
-    return run
-
-
-def steps(ascending: np.ndarray) -> np.ndarray:
-    """Differences of 32-bit numbers, first all lowest bytes, then all second ones: the last are mostly zero."""
-    return np.diff(ascending, prepend=np.uint32(0)).astype("<u4").view("u1").reshape(-1, 4).T.ravel()
+def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, as they travel."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        at = batch.schema.names.index("_data")
+        packed = pa.array([pack(x or b"") for x in batch.column(at).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([packed if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
 
-def from_steps(planes: np.ndarray) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4")[:, 0], dtype=np.uint32)
+def send_phrases(length: int) -> Callable[[pa.Table], pa.Table]:
+    """A row for each distinct phrase of a part."""
 
-
-def find_repeated(hot: int) -> Callable[[pa.Table], pa.Table]:
-    """Which triggers of a bucket occur in two parts or more: with several phrases, with such in more than ``hot`` parts, with one phrase."""
-
-    def run(received: pa.Table) -> pa.Table:
-        sent, parts = [unpack(d, "u1", "<u4") for d in received.column("_data").to_pylist()], received.column("_part").to_pylist()
-        sent = [(from_steps(x), c) for x, c in sent]
-        trigger, content = (np.concatenate([x[i] for x in sent]).astype(np.uint64) for i in (0, 1))
-        part = np.repeat(np.arange(len(sent)), [len(x[0]) for x in sent]).astype(np.uint64)
-        values, of = np.unique(trigger, return_inverse=True)
-        n_phrases = counted(trigger << np.uint64(32) | content, values)
-        n_parts = counted(trigger << np.uint64(32) | part, values)
-        bucket, rows, at = received.column("_to")[0].as_py(), [], 0
-        for to, x in zip(parts, sent, strict=True):
-            low, o = x[0], of[at : at + len(x[0])]
-            at += len(low)
-            many, several = n_parts[o] > 1, n_phrases[o] > 1
-            if many.any():
-                busy = n_parts[o] > hot
-                rows.append((to, bucket, 1, pack(*(np.unique(low[many & k]) for k in (several & ~busy, several & busy, ~several)))))
-        return messages(rows)
+    def run(texts: pa.Table) -> pa.Table:
+        part, x = np.int64(texts.column("_part")[0].as_py()), Part(texts, length)
+        return pa.Table.from_batches([table("a long, b long", x.a, x.b | part << C_LOW)])
 
     return run
 
 
-def counted(pairs: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """For each of ``values``, how many distinct ``pairs`` have it as their upper half."""
-    upper = np.unique(pairs) >> np.uint64(32)
-    return np.searchsorted(upper, values, "right") - np.searchsorted(upper, values, "left")
-
+def rank_phrases(nameless: int, share: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows sorted by trigger, content and part: WHOLE for all but a phrase's first part, BRING for
+    the first part of phrases that share their trigger (BRING_STRINGS, if with more than ``share`` phrases)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        before, open_a, open_b, hot = (None, None), none, none, None
+        for a, b in (x for batch in batches for x in [tuple(c.to_numpy() for c in batch.columns)] if len(x[0])):
+            new = changes(a, b & LOW)
+            new[0] = (a[0], b[0] & LOW) != before
+            before = (a[-1], b[-1] & LOW)
+            again = ~new & (b >> C_LOW >= nameless)  # a null id is the smallest: nothing is before it
+            yield table(TOLD, a[again], b[again], np.full(int(again.sum()), WHOLE))
+            # one row a phrase; the last trigger's may go on in the next batch
+            a, b = np.concatenate([open_a, a[new]]), np.concatenate([open_b, b[new]])
+            if not len(a):
+                continue
+            trigger = a >> C_HIGH
+            cut = int(np.searchsorted(trigger, trigger[-1]))
+            if len(a) - cut > share or trigger[-1] == hot:
+                open_a = open_b = none
+                yield ask(a, b, hot)
+                hot = trigger[-1]
+            else:
+                open_a, open_b = a[cut:], b[cut:]
+                yield ask(a[:cut], b[:cut], hot)
+        yield ask(open_a, open_b, hot)
+
+    def ask(a: np.ndarray, b: np.ndarray, hot: int | None) -> pa.RecordBatch:
+        trigger = a >> C_HIGH
+        head = changes(trigger)
+        size = np.diff(np.append(np.flatnonzero(head), len(a)))[np.cumsum(head) - 1] if len(a) else np.zeros(0, np.int64)
+        many = (size > share) | (trigger == hot) if hot is not None else size > share
+        some = many | (size > 1)
+        return table(TOLD, a[some], b[some], np.where(many, BRING_STRINGS, BRING)[some])
 
-class Repeated:
-    """The distinct repeated phrases of a part, in an order that any evaluation repeats.
-
-    ``level``: 1 if the trigger has other phrases too, 2 if it also occurs in many parts,
-    3 if this is its only phrase anywhere, 4 if it is, and in no other part.
-    """
+    return run
 
-    def __init__(self, ids: np.ndarray, ph: Phrases, flags: list[tuple[int, bytes]], buckets: int) -> None:
-        level = np.zeros(len(ph.trigger), np.int8)
-        bucket, low = (ph.trigger >> np.uint64(32)) % np.uint64(buckets), ph.trigger.astype(np.uint32)
-        key = (bucket << np.uint64(32)) | low
-        for value in (1, 2, 3):
-            told = [(np.uint64(b) << np.uint64(32)) | unpack(d, "<u4", "<u4", "<u4")[value - 1].astype(np.uint64) for b, d in flags]
-            if told:
-                level[np.isin(key, np.concatenate(told))] = value
-        doc = ids[ph.doc]
-        order = np.argsort(ph.trigger, kind="stable")
-        t = ph.trigger[order]
-        if len(t):  # repeated within the part: the same trigger in two documents
-            new = np.concatenate([[True], t[1:] != t[:-1]])
-            group = np.cumsum(new) - 1
-            first = np.flatnonzero(new)
-            many = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
-            level[order] = np.where(many[group] & (level[order] == 0), 4, level[order])
-        self.at = np.flatnonzero(level)  # places in the parse
-        content = ph.content()[self.at]
-        trigger = ph.trigger[self.at]
-        order = np.lexsort((doc[self.at], content, trigger))
-        t, c = trigger[order], content[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-        self.of = np.empty(len(order), np.int64)  # distinct phrase of each place
-        self.of[order] = np.cumsum(new) - 1
-        pick = self.at[order[new]]
-        self.least = doc[pick]  # the first in its group has the least id
-        self.start, self.count, self.trigger, self.content = ph.start[pick], ph.count[pick], ph.trigger[pick], c[new]
-        self.level = level[pick]
-        several = np.unique(self.trigger[1:][self.trigger[1:] == self.trigger[:-1]])  # ascending by trigger
-        self.level[(self.level == 4) & np.isin(self.trigger, several)] = 1
 
+def bring_phrases(length: int, nameless: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The bytes of the phrases asked for, or their strings row by row (``at``: which string)."""
 
-def send_phrases(length: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
-        if not texts.num_rows:
-            return messages([])
-        part = texts.column("_to")[0].as_py()
-        ids, _, ph = load(texts, length)
-        r = Repeated(ids, ph, list(zip(told.column("_part").to_pylist(), told.column("_data").to_pylist(), strict=True)), buckets)
-        rows = []
-        calm, hot, lone = (np.flatnonzero(r.level == k) for k in (1, 2, 3))
-        for b, g in deal((mixed(r.trigger[lone]) >> np.uint64(16)) % np.uint64(buckets)):
-            p = lone[g]
-            rows.append((b, part, 7, pack(p.astype("<u4"), r.trigger[p], r.content[p], r.least[p])))
-        for b, g in deal((mixed(r.trigger[calm]) >> np.uint64(16)) % np.uint64(buckets)):
-            p = calm[g]
-            size = r.count[p] + length - 1
-            rows.append((b, part, 0, pack(p.astype("<u4"), np.zeros(len(p), "<u2"), r.trigger[p], r.content[p], r.least[p], size.astype("<u4"), gather(ph.buf, r.start[p], size))))
-        if len(hot):  # string by string; equal ones of the part once, with the least id
-            n = r.count[hot]
-            phrase = np.repeat(hot, n)
-            offset = np.arange(len(phrase)) - np.repeat(np.cumsum(n) - n, n)
-            strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(ph.buf, length)[r.start[phrase] + offset])
-            eights = [np.ascontiguousarray(strings[:, at : at + 8]).view("<u8")[:, 0] for at in (*range(0, length - 7, 8), length - 8)]
-            h, h2 = np.zeros(len(strings), np.uint64), np.full(len(strings), MIX)
-            for x in eights:
-                h, h2 = mixed(h ^ x), mixed(h2 + x * MIX)
-            row = np.repeat(np.arange(len(hot)), n)
-            for b, g in deal((h >> np.uint64(16)) % np.uint64(buckets)):
-                used, at = np.unique(row[g], return_inverse=True)
-                rows.append((b, part, 6, pack(hot[used].astype("<u4"), r.least[hot[used]], at.astype("<u4"), offset[g].astype("<u2"), h[g], h2[g])))
-        return messages(rows)
+        a, b, span = (told.column(c).to_numpy() for c in ("a", "b", "span"))
+        asked = span < 0
+        if not asked.any() or not texts.num_rows:
+            return pa.Table.from_batches([], schema=table(PHRASE, *[[]] * 6).schema)
+        x, part = Part(texts, length), texts.column("_part")[0].as_py()
+        a, b, strings = a[asked], b[asked], span[asked] == BRING_STRINGS
+        place = x.first[x.find(a, b)]
+        start, count = x.parse.start[place], x.parse.count[place]
+        doc = x.rank[x.parse.doc[place]] + (np.int64(part) << 32) if part >= nameless else np.full(len(place), -1)
+        calm, hot = np.flatnonzero(~strings), np.flatnonzero(strings)
+        view, made = memoryview(x.parse.buf), []
+        data = [bytes(view[s : s + n + length - 1]) for s, n in zip(start[calm].tolist(), count[calm].tolist(), strict=True)]
+        made.append(table(PHRASE, a[calm] >> C_HIGH & ((1 << T_BITS) - 1), doc[calm], a[calm], b[calm], np.full(len(calm), -1), data))
+        for k in range(0, len(hot), 1024):
+            row, at = spread(count[hot[k : k + 1024]])
+            row, first = hot[k : k + 1024][row], start[hot[k : k + 1024]][row] + at
+            data = np.lib.stride_tricks.sliding_window_view(x.parse.buf, length)[first]
+            made.append(table(PHRASE, ~string_keys(data), doc[row], a[row], b[row], at, [d.tobytes() for d in data]))
+        return pa.Table.from_batches(made)
 
     return run
 
 
-def above_least(least: np.ndarray, h: np.ndarray, h2: np.ndarray) -> np.ndarray:
-    """Which are above the least of those that are equal in both hashes."""
-    order = np.lexsort((h2, h))
-    new = np.ones(len(order), bool)
-    new[1:] = (h[order[1:]] != h[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
-    low = np.minimum.reduceat(least[order], np.flatnonzero(new))
-    out = np.empty(len(order), bool)
-    out[order] = low[np.cumsum(new) - 1] < least[order]
-    return out
-
-
-def sort_dictionary(length: int) -> Callable[[pa.Table], pa.Table]:
-    """Answer, for every phrase and string sent, the runs of its strings that a smaller document has too."""
-
-    def run(received: pa.Table) -> pa.Table:
-        bucket = received.column("_to")[0].as_py()
-        found = [f(rows) for kind, f in ((0, phrases), (6, strings), (7, lone)) if (rows := in_kind(received, kind))]
-        out = []
-        for part, number, a, b in found:
-            out += [(to, bucket, 2, pack(number[g], a[g].astype("<u2"), b[g].astype("<u2"))) for to, g in deal(part)] if len(part) else []
-        return messages(out)
-
-    def lone(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
-        sent = [unpack(d, "<u4", "<u8", "<u8", "<i8") for _, d in rows]
-        part = np.repeat([p for p, _ in rows], [len(x[0]) for x in sent])
-        number, trigger, content, least = (np.concatenate([x[i] for x in sent]) for i in range(4))
-        smaller = above_least(least, trigger, content)
-        whole = np.full(int(smaller.sum()), WHOLE)
-        return part[smaller], number[smaller], np.zeros(len(whole), np.int64), whole
-
-    def strings(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
-        sent = [unpack(d, "<u4", "<i8", "<u4", "<u2", "<u8", "<u8") for _, d in rows]
-        part = np.repeat([p for p, _ in rows], [len(x[2]) for x in sent])
-        number, least = (np.concatenate([x[i][x[2]] for x in sent]) for i in (0, 1))
-        offset, h, h2 = (np.concatenate([x[i] for x in sent]) for i in (3, 4, 5))
-        smaller = above_least(least, h, h2)
-        return part[smaller], number[smaller], offset[smaller], offset[smaller] + 1
-
-    def phrases(received: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
-        sent = [unpack(d, "<u4", "<u2", "<u8", "<u8", "<i8", "<u4", "u1") for _, d in received]
-        part = np.repeat([p for p, _ in received], [len(s[0]) for s in sent])
-        number, offset, trigger, content, least, size = (np.concatenate([s[i] for s in sent]) for i in range(6))
-        data = np.concatenate([s[6] for s in sent])
-        size = size.astype(np.int64)
-        start = np.cumsum(size) - size
-        # distinct phrases of this share of the dictionary, by trigger
-        order = np.lexsort((least, content, trigger))
-        t, c = trigger[order], content[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-        distinct = np.empty(len(order), np.int64)
-        distinct[order] = np.cumsum(new) - 1
-        pick = order[new]
-        low = least[pick]
-        count = size[pick] - length + 1
-        # its suffixes to the depth of a string, where a trigger has several phrases
-        group = np.cumsum(np.concatenate([[True], t[new][1:] != t[new][:-1]])) - 1
-        several = np.bincount(group)[group] > 1
-        first = np.cumsum(count) - count
-        string_low = np.repeat(low, count)
-        at = np.flatnonzero(several)
-        if len(at):
-            n = count[at]
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[np.repeat(start[pick[at]], n) + inner]).view(f"S{length}")[:, 0]
-            which = np.repeat(first[at], n) + inner
-            array = np.argsort(suffixes)  # every suffix is as long as its type, so trailing zero bytes do not matter
-            ranked = suffixes[array].view("u1").reshape(-1, length)
-            differs = np.ones(len(array), bool)
-            differs[1:] = (ranked[1:] != ranked[:-1]).any(1)
-            heads = np.flatnonzero(differs)
-            lows = np.minimum.reduceat(string_low[which[array]], heads)
-            string_low[which[array]] = lows[np.cumsum(differs) - 1]
-        # back to the phrases as sent
-        n = count[distinct]
-        phrase = np.repeat(np.arange(len(n)), n)
-        inner = np.arange(len(phrase)) - np.repeat(np.cumsum(n) - n, n)
-        smaller = string_low[first[distinct[phrase]] + inner] < least[phrase]
+def string_keys(strings: np.ndarray) -> np.ndarray:
+    """Hashes of rows of bytes, not negative."""
+    h = np.full(len(strings), MIX)
+    for k in range(strings.shape[1]):
+        h = (h ^ strings[:, k]) * np.uint64(BASES[0])
+    return (mixed(h) >> np.uint64(1)).view(np.int64)
+
+
+def sort_dictionary(length: int, load: int = 1 << 15) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Which strings of each phrase a smaller document has, from rows sorted by key, data and document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        before, least = (None, None), 0
+        for batch in batches:
+            single = batch.column("at").to_numpy() >= 0
+            if single.any():  # strings: equal ones are neighbours already
+                some = batch.filter(pa.array(single))
+                key, doc, a, b, at = (some.column(c).to_numpy() for c in ("key", "doc", "a", "b", "at"))
+                data = fixed(some.column("data"), length)
+                new = changes(key, data) if len(key) else np.zeros(0, bool)
+                new[0] = (key[0], data[0].tobytes()) != before
+                start = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+                low = np.where(start < 0, least, doc[start])
+                before, least = (key[-1], data[-1].tobytes()), low[-1]
+                yield table(TOLD, a[low < doc], b[low < doc], (at << 16 | at + 1)[low < doc])
+            if not single.all():
+                held.append(batch.filter(pa.array(~single)))
+            if sum(x.num_rows for x in held) >= load:
+                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                key = rows.column("key").to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))
+                if cut:
+                    yield suffixes(rows.slice(0, cut))
+                    held = [rows.slice(cut)]
+        if held:
+            yield suffixes(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    def suffixes(rows: pa.RecordBatch) -> pa.RecordBatch:
+        doc, a, b = (rows.column(c).to_numpy() for c in ("doc", "a", "b"))
+        column = rows.column("data")
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = np.frombuffer(column.buffers()[2], np.uint8)
+        row, at = spread(np.diff(ends) - length + 1)
+        strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[ends[row] + at])
+        array = np.argsort(strings.view(f"S{length}")[:, 0])  # every suffix is as long as its type, so trailing zero bytes do not matter
+        heads = np.flatnonzero(changes(fixed_view(strings[array])))
+        low = np.minimum.reduceat(doc[row[array]], heads)
+        smaller = np.empty(len(row), bool)
+        smaller[array] = np.repeat(low, np.diff(np.append(heads, len(array)))) < doc[row[array]]
         opens, closes = smaller.copy(), smaller.copy()
-        opens[1:] &= ~smaller[:-1] | (inner[1:] == 0)
-        closes[:-1] &= ~smaller[1:] | (inner[1:] == 0)
-        a, b = np.flatnonzero(opens), np.flatnonzero(closes)
-        p = phrase[a]
-        return part[p], number[p], inner[a] + offset[p], inner[b] + offset[p] + 1
+        opens[1:] &= ~smaller[:-1] | (at[1:] == 0)
+        closes[:-1] &= ~smaller[1:] | (at[1:] == 0)
+        first, last = np.flatnonzero(opens), np.flatnonzero(closes)
+        return table(TOLD, a[row[first]], b[row[first]], at[first] << 16 | at[last] + 1)
 
     return run
 
 
-def remove_runs(length: int, buckets: int, id_col: str, with_text: bool, others: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def fixed(column: pa.Array, length: int) -> np.ndarray:
+    """Values of one length, each as one item."""
+    data = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, length)
+    return fixed_view(data)
+
+
+def fixed_view(data: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(data).view(f"V{data.shape[1]}")[:, 0]
+
+
+def remove_runs(length: int, with_text: bool, others: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
-        ids, data, ph = load(texts, length)
-        kind, sender, sent = (told.column(c).to_pylist() for c in ("_kind", "_part", "_data"))
-        r = Repeated(ids, ph, [(s, d) for k, s, d in zip(kind, sender, sent, strict=True) if k == 1], buckets)
-        mark = np.zeros(len(ph.buf) + 1, np.int32)
+        x = Part(texts, length)
+        p, mark = x.parse, np.zeros(len(x.parse.buf) + 1, np.int32)
 
         def cover(begin: np.ndarray, end: np.ndarray) -> None:
             np.add.at(mark, begin, 1)
             np.add.at(mark, end + length - 1, -1)
 
-        later = ids[ph.doc[r.at]] > r.least[r.of]  # a smaller document of this part has the whole phrase
-        whole = r.at[later]
-        cover(ph.start[whole], ph.start[whole] + ph.count[whole])
-        answers = [unpack(d, "<u4", "<u2", "<u2") for k, d in zip(kind, sent, strict=True) if k == 2]
-        if answers and len(r.at):
-            number, a, b = (np.concatenate([x[i] for x in answers]).astype(np.int64) for i in range(3))
-            b = np.where(b == WHOLE, r.count[number], b)
-            # the places of each answered phrase in its least document
-            at, of = r.at[~later], r.of[~later]
-            order = np.argsort(of, kind="stable")
-            lo, hi = np.searchsorted(of[order], number), np.searchsorted(of[order], number, "right")
-            n = hi - lo
-            place = at[order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]]
-            cover(ph.start[place] + np.repeat(a, n), ph.start[place] + np.repeat(b, n))
+        rank = x.rank[p.doc]
+        later = rank > rank[x.first[x.of]]  # a smaller document of this part has the whole phrase
+        a, b, span = (told.column(c).to_numpy() for c in ("a", "b", "span"))
+        answer = span >= 0
+        which, span = x.find(a[answer], b[answer]), span[answer]
+        whole = np.zeros(len(x.first), bool)
+        whole[which[span == WHOLE]] = True
+        gone = np.flatnonzero(later | whole[x.of])
+        cover(p.start[gone], p.start[gone] + p.count[gone])
+        run = np.flatnonzero(span)
+        if len(run):  # at all places of each answered phrase in its least document
+            stay = np.flatnonzero(~later)
+            stay = stay[np.argsort(x.of[stay], kind="stable")]
+            of = x.of[stay]
+            lo, hi = np.searchsorted(of, which[run]), np.searchsorted(of, which[run], "right")
+            row, n = spread(hi - lo)
+            place, code = p.start[stay[lo[row] + n]], span[run][row].astype(np.int64)
+            cover(place + (code >> 16), place + (code & 0xFFFF))
         gone = np.cumsum(mark[:-1]) > 0
         out: list[list] = [[] for _ in range(7)]
-        for i, text, end in zip(ids.tolist(), data, ph.ends.tolist(), strict=True):
+        for i, text, end in zip(x.ids.tolist(), x.data, p.ends.tolist(), strict=True):
             g = gone[end - len(text) : end]
-            if with_text and len(text):
-                whole = whole_characters(g, text)
-                out[6].append((text if not whole.any() else np.frombuffer(text, np.uint8)[~whole].tobytes()).decode("utf-8", "replace"))
-            elif with_text:
-                out[6].append("")
-            kept = np.frombuffer(text, np.uint8)[~g].tobytes() if len(text) and g.any() else text
-            spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum())
-            for column, v in zip(out, (None if i == NO_ID else i, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None), strict=False):
+            some = bool(g.any())
+            data = np.frombuffer(text, np.uint8)
+            kept = data[~g].tobytes() if some else text
+            if with_text:
+                out[6].append((data[~whole_characters(g, text)].tobytes() if some else text).decode("utf-8", "replace"))
+            spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()) if some else 0
+            for column, v in zip(out, (None if i == NO_ID else i, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), None if with_text else kept), strict=False):
                 column.append(v)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
         named = ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"]
         made = {k: pa.array(v, kind) for k, v, kind in zip(named, out, kinds, strict=True) if with_text or k != "kept_text"}
-        order = sorted(range(texts.num_rows), key=list(zip(texts.column("_id").to_pylist(), texts.column("_data").to_pylist(), strict=True)).__getitem__)
-        made |= {f"o{k}": texts.column(f"o{k}").take(pa.array(order, pa.int64())) for k in range(len(others))}
+        made |= {f"o{k}": texts.column(f"o{k}").take(pa.array(x.rows, pa.int64())) for k in range(len(others))}
         return pa.table(list(made.values()), names=list(made))
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot: int = HOT) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes of every document."""
-    made = _removed(docs, length, id_col, text_col, with_text, hot, [])
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", part: int = PART, share: int = SHARE) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every document."""
+    made = _removed(docs, length, id_col, text_col, False, part, share, [])
     return made.select(F.col("_id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", part: int = PART, share: int = SHARE) -> DataFrame:
     """``docs`` with the repeats taken from its texts; characters that go in part stay whole."""
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    made = _removed(docs, length, id_col, text_col, True, hot, others)
+    made = _removed(docs, length, id_col, text_col, True, part, share, others)
     place = {id_col: "_id", text_col: "kept_text"} | {c: f"o{k}" for k, c in enumerate(others)}
     return made.select(*(F.col(place[c]).cast(t).alias(c) for c, t in docs.dtypes))
 
 
-def _removed(docs: DataFrame, length: int, id_col: str, text_col: str, with_text: bool, hot: int, others: list[str]) -> DataFrame:
-    n = shuffle_partitions(docs.sparkSession)
-    parts, buckets = 2 * n, n
-    ident = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
-    part = F.pmod(F.xxhash64(ident), F.lit(parts)).cast("int")
-    full = docs.select(part.alias("_to"), ident.alias("_id"), text_or_empty(f"`{text_col}`").cast("binary").alias("_data"), *(F.col(f"`{c}`").alias(f"o{k}") for k, c in enumerate(others)))
-    texts = full  # one shuffle serves all three readings
-    triggers = texts.groupBy("_to").applyInArrow(send_triggers(length, buckets), MESSAGE)
-    repeated = triggers.groupBy("_to").applyInArrow(find_repeated(hot), MESSAGE)
-    phrases = texts.groupBy("_to").cogroup(repeated.groupBy("_to")).applyInArrow(send_phrases(length, buckets), MESSAGE)
-    answers = phrases.groupBy("_to").applyInArrow(sort_dictionary(length), MESSAGE)
+def _removed(docs: DataFrame, length: int, id_col: str, text_col: str, with_text: bool, part: int, share: int, others: list[str]) -> DataFrame:
+    ident, data = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string").cast("binary")
+    slim = docs.select(ident.alias("_id"), F.coalesce(data, F.lit(b"")).alias("_data"), *(F.col(f"`{c}`").alias(f"o{k}") for k, c in enumerate(others)))
+    size = F.octet_length("_data") + F.lit(1)
+    known, unknown = slim.agg(F.sum(F.when(F.col("_id").isNotNull(), size)), F.sum(F.when(F.col("_id").isNull(), size))).first()
+    bounds = range_bounds(slim.where("_id IS NOT NULL"), "_id", -(-(known or 0) // part))
+    nameless = -(-(unknown or 0) // part)  # parts of null ids: the first ones
+    number = F.when(F.col("_id").isNull(), F.pmod(F.xxhash64("_data"), F.lit(max(1, nameless)))).otherwise(range_bucket(F.col("_id"), bounds, "long") + nameless)
+    texts = slim.select(number.cast("int").alias("_part"), F.coalesce("_id", F.lit(NO_ID)).alias("_id"), *slim.columns[1:])
+    texts = texts.mapInArrow(squeeze, texts.schema)  # one shuffle serves all three readings
+    of_part, of_told = texts.groupBy("_part"), F.shiftright("b", C_LOW).cast("int").alias("_part")
+    phrases = of_part.applyInArrow(send_phrases(length), "a long, b long")
+    sorted_phrases = phrases.repartition(F.shiftright("a", C_HIGH)).sortWithinPartitions("a", F.col("b").bitwiseAND(int(LOW)), "b")
+    told = sorted_phrases.mapInArrow(rank_phrases(nameless, share), TOLD)
+    asked = of_part.cogroup(told.groupBy(of_told)).applyInArrow(bring_phrases(length, nameless), PHRASE)
+    answers = asked.repartition("key").sortWithinPartitions("key", "data", "doc").mapInArrow(sort_dictionary(length), TOLD)
     types = dict(docs.dtypes)
     schema = "_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary" + ", kept_text string" * with_text + "".join(f", o{k} {types[c]}" for k, c in enumerate(others))
-    return full.groupBy("_to").cogroup(repeated.union(answers).groupBy("_to")).applyInArrow(remove_runs(length, buckets, id_col, with_text, others), schema)
+    return of_part.cogroup(told.union(answers).groupBy(of_told)).applyInArrow(remove_runs(length, with_text, others), schema)
 
 
 def op7_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,23 +52,49 @@ def test_removed_runs(spark, seed):
 
 
 def test_hot_passage_and_small_chunks(spark, monkeypatch):
-    monkeypatch.setattr(pfp, "CHUNK", 300)
     rows = [(i, f"{'q' * (i % 7)}{i} " + "one very common passage that stands in each and every document here " * 2 + str(i * i)) for i in range(60)]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
+    mixed = repetitive(11, 60) + [(None, rows[3][1]), (None, rows[4][1] + " more")]
+    other = spark.createDataFrame([(i, t, "x", "y") for i, t in mixed], SCHEMA)
+    for share, part in ((1, 700), (3, 2000), (4096, 300), (2, 1 << 20)):  # each suffix a row; many parts; one part
+        assert sorted((tuple(r)[:5] for r in pfp.remove_repeats(df, share=share, part=part).collect()), key=repr) == brute_removed(rows)
+        assert sorted((tuple(r)[:5] for r in pfp.remove_repeats(other, share=share, part=part).collect()), key=repr) == brute_removed(mixed)
+    monkeypatch.setattr(pfp, "CHUNK", 300)
     texts = [t.encode() for _, t in rows]
     ph = pfp.Phrases(texts, 50)
     assert (ph.count.sum()) == sum(max(0, len(t) - 49) for t in texts)
-    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
-    for hot in (1, 3):
-        assert sorted((tuple(r)[:5] for r in pfp.remove_repeats(df, hot=hot).collect()), key=repr) == brute_removed(rows)
-    mixed = repetitive(11, 60)
-    df = spark.createDataFrame([(i, t, "x", "y") for i, t in mixed], SCHEMA)
-    assert sorted((tuple(r)[:5] for r in pfp.remove_repeats(df, hot=1).collect()), key=repr) == brute_removed(mixed)
+
+
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_removed_runs_at_other_partition_counts(spark, partitions):
+    rows = repetitive(5, 50)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
+        assert sorted((tuple(r)[:5] for r in pfp.remove_repeats(df, part=3000).collect()), key=repr) == brute_removed(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_sorted_rows_in_small_batches():
+    """Runs that go on in further batches are told as in one batch."""
+    rng = np.random.default_rng(4)
+    n = 400
+    a = np.sort(rng.integers(0, 12, n) << pfp.C_HIGH | rng.integers(0, 9, n))
+    b = rng.integers(0, 3, n) | rng.integers(0, 6, n) << pfp.C_LOW
+    order = np.lexsort((b, b & pfp.LOW, a))
+    rows = pfp.table("a long, b long", a[order], b[order])
+    for share in (2, 8, 1000):
+        run = pfp.rank_phrases(0, share)
+        told = [sorted(zip(*(np.concatenate([x.column(c).to_numpy() for x in run(iter([rows.slice(k, step) for k in range(0, n, step)]))]).tolist() for c in range(3)))) for step in (1, 3, 50, n)]
+        assert told[0] == told[1] == told[2] == told[3]
 
 
 def test_kept_text_and_empty_table(spark):
     rows = repetitive(9, 20)
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
-    for r in pfp.remove_repeats(df, with_text=True).collect():
+    for r in pfp.remove_repeats(df).collect():
         assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed
     assert pfp.remove_repeats(df.where("doc_id < -5")).count() == 0
 
