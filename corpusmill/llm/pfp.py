@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 
 from .common import MIX, NO_ID, mixed, range_bounds, range_bucket
 
-LENGTH, TRIGGER, CHUNK, PART, SHARE = 50, 24, 1 << 18, 16 << 20, 4096
+LENGTH, TRIGGER, CHUNK, PART, SHARE = 50, 24, 1 << 18, 8 << 20, 4096
 #: Hash bits of a trigger, of a content beside the trigger, and of a content beside the part.
 T_BITS, C_HIGH, C_LOW = 44, 20, 32
 LOW = np.int64((1 << C_LOW) - 1)
@@ -218,9 +218,9 @@ def send_phrases(length: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def rank_phrases(nameless: int, share: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From rows sorted by trigger, content and part: WHOLE for all but a phrase's first part, BRING for
-    the first part of phrases that share their trigger (BRING_STRINGS, if with more than ``share`` phrases)."""
+def rank_phrases(nameless: int, share: int, asks: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows sorted by trigger, content and part: WHOLE for all but a phrase's first part; or, if ``asks``, BRING
+    for the first part of phrases that share their trigger (BRING_STRINGS, if with more than ``share`` phrases)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
@@ -229,8 +229,10 @@ def rank_phrases(nameless: int, share: int) -> Callable[[Iterator[pa.RecordBatch
             new = changes(a, b & LOW)
             new[0] = (a[0], b[0] & LOW) != before
             before = (a[-1], b[-1] & LOW)
-            again = ~new & (b >> C_LOW >= nameless)  # a null id is the smallest: nothing is before it
-            yield table(TOLD, a[again], b[again], np.full(int(again.sum()), WHOLE))
+            if not asks:
+                again = ~new & (b >> C_LOW >= nameless)  # a null id is the smallest: nothing is before it
+                yield table(TOLD, a[again], b[again], np.full(int(again.sum()), WHOLE))
+                continue
             # one row a phrase; the last trigger's may go on in the next batch
             a, b = np.concatenate([open_a, a[new]]), np.concatenate([open_b, b[new]])
             if not len(a):
@@ -244,7 +246,8 @@ def rank_phrases(nameless: int, share: int) -> Callable[[Iterator[pa.RecordBatch
             else:
                 open_a, open_b = a[cut:], b[cut:]
                 yield ask(a[:cut], b[:cut], hot)
-        yield ask(open_a, open_b, hot)
+        if asks:
+            yield ask(open_a, open_b, hot)
 
     def ask(a: np.ndarray, b: np.ndarray, hot: int | None) -> pa.RecordBatch:
         trigger = a >> C_HIGH
@@ -262,11 +265,10 @@ def bring_phrases(length: int, nameless: int) -> Callable[[pa.Table, pa.Table],
 
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         a, b, span = (told.column(c).to_numpy() for c in ("a", "b", "span"))
-        asked = span < 0
-        if not asked.any() or not texts.num_rows:
+        if not told.num_rows or not texts.num_rows:
             return pa.Table.from_batches([], schema=table(PHRASE, *[[]] * 6).schema)
         x, part = Part(texts, length), texts.column("_part")[0].as_py()
-        a, b, strings = a[asked], b[asked], span[asked] == BRING_STRINGS
+        strings = span == BRING_STRINGS
         place = x.first[x.find(a, b)]
         start, count = x.parse.start[place], x.parse.count[place]
         doc = x.rank[x.parse.doc[place]] + (np.int64(part) << 32) if part >= nameless else np.full(len(place), -1)
@@ -353,7 +355,7 @@ def fixed_view(data: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(data).view(f"V{data.shape[1]}")[:, 0]
 
 
-def remove_runs(length: int, with_text: bool, others: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def remove_runs(length: int, kept_as: str, others: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         x = Part(texts, length)
         p, mark = x.parse, np.zeros(len(x.parse.buf) + 1, np.int32)
@@ -365,8 +367,7 @@ def remove_runs(length: int, with_text: bool, others: list[str]) -> Callable[[pa
         rank = x.rank[p.doc]
         later = rank > rank[x.first[x.of]]  # a smaller document of this part has the whole phrase
         a, b, span = (told.column(c).to_numpy() for c in ("a", "b", "span"))
-        answer = span >= 0
-        which, span = x.find(a[answer], b[answer]), span[answer]
+        which = x.find(a, b)
         whole = np.zeros(len(x.first), bool)
         whole[which[span == WHOLE]] = True
         gone = np.flatnonzero(later | whole[x.of])
@@ -381,41 +382,43 @@ def remove_runs(length: int, with_text: bool, others: list[str]) -> Callable[[pa
             place, code = p.start[stay[lo[row] + n]], span[run][row].astype(np.int64)
             cover(place + (code >> 16), place + (code & 0xFFFF))
         gone = np.cumsum(mark[:-1]) > 0
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in range(6 if kept_as else 5)]
         for i, text, end in zip(x.ids.tolist(), x.data, p.ends.tolist(), strict=True):
             g = gone[end - len(text) : end]
             some = bool(g.any())
             data = np.frombuffer(text, np.uint8)
             kept = data[~g].tobytes() if some else text
-            if with_text:
-                out[6].append((data[~whole_characters(g, text)].tobytes() if some else text).decode("utf-8", "replace"))
+            if kept_as == "text":
+                out[5].append((data[~whole_characters(g, text)].tobytes() if some else text).decode("utf-8", "replace"))
+            elif kept_as == "bytes":
+                out[5].append(kept)
             spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()) if some else 0
-            for column, v in zip(out, (None if i == NO_ID else i, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), None if with_text else kept), strict=False):
+            for column, v in zip(out, (None if i == NO_ID else i, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest()), strict=False):
                 column.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
-        named = ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"]
-        made = {k: pa.array(v, kind) for k, v, kind in zip(named, out, kinds, strict=True) if with_text or k != "kept_text"}
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if kept_as == "text" else pa.binary())
+        named = ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        made = {k: pa.array(v, kind) for v, k, kind in zip(out, named, kinds, strict=False)}
         made |= {f"o{k}": texts.column(f"o{k}").take(pa.array(x.rows, pa.int64())) for k in range(len(others))}
         return pa.table(list(made.values()), names=list(made))
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", part: int = PART, share: int = SHARE) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every document."""
-    made = _removed(docs, length, id_col, text_col, False, part, share, [])
-    return made.select(F.col("_id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", part: int = PART, share: int = SHARE, kept: bool = True) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes of every document."""
+    made = _removed(docs, length, id_col, text_col, "bytes" if kept else "", part, share, [])
+    return made.withColumnRenamed("_id", id_col)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", part: int = PART, share: int = SHARE) -> DataFrame:
     """``docs`` with the repeats taken from its texts; characters that go in part stay whole."""
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    made = _removed(docs, length, id_col, text_col, True, part, share, others)
-    place = {id_col: "_id", text_col: "kept_text"} | {c: f"o{k}" for k, c in enumerate(others)}
+    made = _removed(docs, length, id_col, text_col, "text", part, share, others)
+    place = {id_col: "_id", text_col: "kept"} | {c: f"o{k}" for k, c in enumerate(others)}
     return made.select(*(F.col(place[c]).cast(t).alias(c) for c, t in docs.dtypes))
 
 
-def _removed(docs: DataFrame, length: int, id_col: str, text_col: str, with_text: bool, part: int, share: int, others: list[str]) -> DataFrame:
+def _removed(docs: DataFrame, length: int, id_col: str, text_col: str, kept_as: str, part: int, share: int, others: list[str]) -> DataFrame:
     ident, data = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string").cast("binary")
     slim = docs.select(ident.alias("_id"), F.coalesce(data, F.lit(b"")).alias("_data"), *(F.col(f"`{c}`").alias(f"o{k}") for k, c in enumerate(others)))
     size = F.octet_length("_data") + F.lit(1)
@@ -428,13 +431,13 @@ def _removed(docs: DataFrame, length: int, id_col: str, text_col: str, with_text
     of_part, of_told = texts.groupBy("_part"), F.shiftright("b", C_LOW).cast("int").alias("_part")
     phrases = of_part.applyInArrow(send_phrases(length), "a long, b long")
     sorted_phrases = phrases.repartition(F.shiftright("a", C_HIGH)).sortWithinPartitions("a", F.col("b").bitwiseAND(int(LOW)), "b")
-    told = sorted_phrases.mapInArrow(rank_phrases(nameless, share), TOLD)
-    asked = of_part.cogroup(told.groupBy(of_told)).applyInArrow(bring_phrases(length, nameless), PHRASE)
+    asks, told = (sorted_phrases.mapInArrow(rank_phrases(nameless, share, x), TOLD) for x in (True, False))
+    asked = of_part.cogroup(asks.groupBy(of_told)).applyInArrow(bring_phrases(length, nameless), PHRASE)
     answers = asked.repartition("key").sortWithinPartitions("key", "data", "doc").mapInArrow(sort_dictionary(length), TOLD)
     types = dict(docs.dtypes)
-    schema = "_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary" + ", kept_text string" * with_text + "".join(f", o{k} {types[c]}" for k, c in enumerate(others))
-    return of_part.cogroup(told.union(answers).groupBy(of_told)).applyInArrow(remove_runs(length, with_text, others), schema)
+    schema = "_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + {"bytes": ", kept binary", "text": ", kept string", "": ""}[kept_as] + "".join(f", o{k} {types[c]}" for k, c in enumerate(others))
+    return of_part.cogroup(told.union(answers).groupBy(of_told)).applyInArrow(remove_runs(length, kept_as, others), schema)
 
 
 def op7_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), kept=False)

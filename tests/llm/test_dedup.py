@@ -86,9 +86,10 @@ def test_sorted_rows_in_small_batches():
     order = np.lexsort((b, b & pfp.LOW, a))
     rows = pfp.table("a long, b long", a[order], b[order])
     for share in (2, 8, 1000):
-        run = pfp.rank_phrases(0, share)
-        told = [sorted(zip(*(np.concatenate([x.column(c).to_numpy() for x in run(iter([rows.slice(k, step) for k in range(0, n, step)]))]).tolist() for c in range(3)))) for step in (1, 3, 50, n)]
-        assert told[0] == told[1] == told[2] == told[3]
+        for asks in (False, True):
+            run = pfp.rank_phrases(0, share, asks)
+            told = [sorted(zip(*(np.concatenate([x.column(c).to_numpy() for x in run(iter([rows.slice(k, step) for k in range(0, n, step)]))]).tolist() for c in range(3)))) for step in (1, 3, 50, n)]
+            assert told[0] and told[0] == told[1] == told[2] == told[3]
 
 
 def test_kept_text_and_empty_table(spark):
