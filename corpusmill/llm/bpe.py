@@ -34,8 +34,8 @@ import pyarrow as pa
 import re
 from pyspark.sql import DataFrame, SparkSession
 
-#: Pieces that a worker remembers, and the length from which it does not.
-REMEMBERED, LONG_PIECE = 300_000, 64
+#: Pieces and words that a worker remembers, and the length from which it does not.
+REMEMBERED, REMEMBERED_WORDS, LONG_PIECE = 200_000, 200_000, 64
 #: White space as the tokenizer's pattern has it. Fixed values of Unicode's White_Space.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -76,12 +76,20 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check_kind(spec: dict) -> None:
+    """Raise unless a tokenizer file is of the kind that this module encodes: byte-level BPE, no normalizer."""
+    cut = spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) or spec["model"].get("dropout"):
+        raise ValueError("not a byte-level BPE tokenizer without normalizer and prefix space")
+
+
 class Vocabulary:
     """Entries, merges, automaton and offset table of a byte-level BPE tokenizer file."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_kind(spec)
         letters = byte_letters()
         ids = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -190,22 +198,78 @@ class PieceMemory(dict):
         return found
 
 
+class Irregular(Exception):
+    """A text that does not fall apart at single spaces and line ends."""
+
+
+class WordMemory(dict):
+    """Word to the ids of ``before`` and the word, for words without white space."""
+
+    def __init__(self, before: str) -> None:
+        self.before, self.old = before, {}
+
+    def __missing__(self, word: str) -> bytes:
+        raise Irregular
+
+    def learn(self, words: Iterable[str], encode: Callable[[list[str]], list[bytes]]) -> None:
+        """Remember ``words``; when full, forget what there was no use for since it was full last."""
+        if len(self) >= REMEMBERED_WORDS:
+            self.old = dict(self)
+            self.clear()
+        new = []
+        for w in words:
+            if w not in self:
+                if w in self.old:
+                    self[w] = self.old[w]
+                elif w.split() == [w]:
+                    new.append(w)
+        self.update(zip(new, encode([self.before + w for w in new]), strict=True))
+
+
 class TextEncoder:
-    """Whole texts to ids: special tokens first, then pieces."""
+    """Whole texts to ids, as little-endian unsigned 32-bit integers: special tokens first, then words or pieces.
 
-    def __init__(self, specials: dict[str, int], encode_piece: Callable[[str], Iterable[int]]) -> None:
-        self.memory = PieceMemory(encode_piece)
+    No piece goes across a space that a word follows, or across a line end between two words.
+    So a text in which white space comes singly, as spaces and line ends, is the same
+    cut into words; only words not remembered are encoded. Any other text goes to ``encode_text``.
+    """
+
+    def __init__(self, specials: dict[str, int], encode_text: Callable[[str], bytes], encode_words: Callable[[list[str]], list[bytes]] | None = None) -> None:
+        self.encode_text = encode_text
+        self.encode_words = encode_words or (lambda words: list(map(encode_text, words)))
+        self.first, self.later, self.end = WordMemory(""), WordMemory(" "), encode_text("\n")
         self.specials = {s: int(i).to_bytes(4, "little") for s, i in specials.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
 
-    def plain(self, text: str) -> bytes:
-        return b"".join(map(self.memory.__getitem__, pieces(text)))
+    def plain(self, lines: list[list[str]]) -> bytes:
+        first, later, end, out = self.first, self.later.__getitem__, self.end, []
+        try:
+            for words in lines:
+                out += (end, first[words[0]], *map(later, words[1:]))
+        except Irregular:
+            return self.encode_text("\n".join(map(" ".join, lines)))
+        return b"".join(out[1:])
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        cut = [self.cut.split(t) if self.cut is not None and any(s in t for s in self.specials) else [t] for t in texts]
+        lines = [[None if x in self.specials else [line.split(" ") for line in x.split("\n")] for x in parts] for parts in cut]
+        first, later = set(), set()
+        for part in (x for parts in lines for x in parts if x is not None):
+            for words in part:
+                first.add(words[0])
+                later.update(words[1:])
+        self.first.learn(first, self.encode_words)
+        self.later.learn(later, self.encode_words)
+        return [b"".join(self.specials[x] if found is None else self.plain(found) for x, found in zip(*pair, strict=True)) for pair in zip(cut, lines, strict=True)]
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if self.cut is None or not any(s in text for s in self.specials):
-            return self.plain(text)
-        return b"".join(self.specials.get(x) or self.plain(x) for x in self.cut.split(text))
+        return self.encode_many([text])[0]
+
+    def batches(self, texts: pa.Array, step: int = 256) -> Iterator[tuple[str, bytes]]:
+        """(text, ids) of each value, null as empty; some at a time, so that no more than these are in memory."""
+        for at in range(0, len(texts), step):
+            some = [t or "" for t in texts.slice(at, step).to_pylist()]
+            yield from zip(some, self.encode_many(some), strict=True)
 
 
 @lru_cache(maxsize=4)
@@ -216,7 +280,8 @@ def vocabulary(path: str) -> Vocabulary:
 @lru_cache(maxsize=4)
 def text_encoder(path: str) -> TextEncoder:
     v = vocabulary(path)
-    return TextEncoder(v.specials, lambda piece: v.encode_piece(piece.encode()))
+    memory = PieceMemory(lambda piece: v.encode_piece(piece.encode()))
+    return TextEncoder(v.specials, lambda text: b"".join(map(memory.__getitem__, pieces(text))))
 
 
 def default_tokenizer() -> str:
@@ -230,9 +295,9 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = text_encoder(path).encode
+        encoder = text_encoder(path)
         for batch in batches:
-            made = [encode(t or "") for t in batch.column(1).to_pylist()]
+            made = [ids for _, ids in encoder.batches(batch.column(1))]
             ends = np.concatenate([[0], np.cumsum([len(b) // 4 for b in made])]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(made), "<u4").astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], [id_col, "token_ids"])
@@ -259,16 +324,15 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc
     schema = f"`{id_col}` bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, v = text_encoder(path).encode, vocabulary(path)
+        encoder, v = text_encoder(path), vocabulary(path)
         for batch in batches:
             counts, ids_sha, text_sha, same = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = encode(text or "")
+            for text, ids in encoder.batches(batch.column(1)):
                 decoded = v.decode(np.frombuffer(ids, "<u4"))
                 counts.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
-                same.append(decoded == (text or ""))
+                same.append(decoded == text)
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
@@ -281,12 +345,12 @@ def tokenised(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "sourc
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, v = text_encoder(path).encode, vocabulary(path)
+        encoder, v = text_encoder(path), vocabulary(path)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):  # bounds the ids in memory
                 some = batch.slice(k, 256)
                 texts = [t or "" for t in some.column(len(keep)).to_pylist()]
-                ids = [np.frombuffer(encode(t), "<u4") for t in texts]
+                ids = [np.frombuffer(x, "<u4") for x in encoder.encode_many(texts)]
                 counts = np.array([len(x) for x in ids], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
                 same = pa.array([v.decode(x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_())

@@ -15,6 +15,8 @@ table gives no file and an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import TextEncoder, default_tokenizer
+from .bpe import TextEncoder, check_kind, default_tokenizer
 from .common import shared_dir, shuffle_partitions, text_or_empty
 
 SCHEMA = "doc_id bigint, n_tokens bigint, file int, file_start bigint, token_ids array<int>"
@@ -35,13 +37,34 @@ ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
 
 @lru_cache(maxsize=4)
 def library_encoder(path: str) -> TextEncoder:
+    """The tokenizers library for texts, and for many words at once: as lines of one text, cut at the line ends' id."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
+
+    def ids(text: str) -> np.ndarray:
+        return np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def words(units: list[str]) -> list[bytes]:
+        if not units:
+            return []
+        found = ids("\n".join(units))
+        cuts = np.flatnonzero(found == end)
+        data, a = memoryview(found).cast("B"), 0
+        out = []
+        for b in (4 * cuts).tolist():
+            out.append(bytes(data[a:b]))
+            a = b + 4
+        return [*out, bytes(data[a:])]
+
+    (end,) = ids("\n").tolist()
+    with open(path, encoding="utf-8") as f:
+        check_kind(json.load(f))
     specials = {x.content: i for i, x in t.get_added_tokens_decoder().items()}
-    return TextEncoder(specials, lambda piece: t.encode(piece, add_special_tokens=False).ids)
+    return TextEncoder(specials, lambda text: ids(text).tobytes(), words)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = 0) -> None:
@@ -49,12 +72,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     tokenizer = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = library_encoder(tokenizer).encode, int(end).to_bytes(4, "little")
+        encoder, tail = library_encoder(tokenizer), int(end).to_bytes(4, "little")
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             for k in range(0, batch.num_rows, 256):  # bounds the ids in memory
                 some = batch.slice(k, 256)
-                made = [encode(t or "") + tail for t in some.column(1).to_pylist()]
+                made = [ids + tail for _, ids in encoder.batches(some.column(1))]
                 counts = np.array([len(b) // 4 for b in made], np.int64)
                 starts = at + np.cumsum(counts) - counts
                 at += int(counts.sum())
