@@ -35,7 +35,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 #: Pieces and words that a worker remembers, and the length from which it does not.
-REMEMBERED, REMEMBERED_WORDS, LONG_PIECE = 200_000, 200_000, 64
+REMEMBERED, REMEMBERED_WORDS, LONG_PIECE = 200_000, 250_000, 64
+#: Marks that often follow a word.
+MARKS = ".,;:!?"
 #: White space as the tokenizer's pattern has it. Fixed values of Unicode's White_Space.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -206,24 +208,38 @@ class WordMemory(dict):
     """Word to the ids of ``before`` and the word, for words without white space."""
 
     def __init__(self, before: str) -> None:
-        self.before, self.old = before, {}
+        self.before, self.old, self.marks = before, {}, {}
 
     def __missing__(self, word: str) -> bytes:
         raise Irregular
 
     def learn(self, words: Iterable[str], encode: Callable[[list[str]], list[bytes]]) -> None:
-        """Remember ``words``; when full, forget what there was no use for since it was full last."""
+        """Remember ``words``; when full, forget what there was no use for since it was full last.
+
+        Letters and one of ``MARKS`` after them are two pieces, so only the letters are encoded.
+        """
         if len(self) >= REMEMBERED_WORDS:
             self.old = dict(self)
             self.clear()
-        new = []
+        if not self.marks:
+            self.marks = dict(zip(MARKS, encode(list(MARKS)), strict=True))
+        old, new, marked = self.old, {}, []
         for w in words:
-            if w not in self:
-                if w in self.old:
-                    self[w] = self.old[w]
-                elif w.split() == [w]:
-                    new.append(w)
+            if w in self or len(w) >= LONG_PIECE:
+                continue
+            if w in old:
+                self[w] = old[w]
+            elif w[-1:] in self.marks and (letters := w[:-1]).isalpha():
+                marked.append((w, letters))
+                if letters in old:
+                    self[letters] = old[letters]
+                elif letters not in self:
+                    new[letters] = None
+            elif w.split() == [w]:
+                new[w] = None
         self.update(zip(new, encode([self.before + w for w in new]), strict=True))
+        for w, letters in marked:
+            self[w] = self[letters] + self.marks[w[-1]]
 
 
 class TextEncoder:

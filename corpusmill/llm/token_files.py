@@ -19,6 +19,7 @@ import json
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import TextEncoder, check_kind, default_tokenizer
+from .bpe import TextEncoder, byte_letters, check_kind, default_tokenizer
 from .common import shared_dir, shuffle_partitions, text_or_empty
 
 SCHEMA = "doc_id bigint, n_tokens bigint, file int, file_start bigint, token_ids array<int>"
@@ -37,7 +38,7 @@ ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
 
 @lru_cache(maxsize=4)
 def library_encoder(path: str) -> TextEncoder:
-    """The tokenizers library for texts, and for many words at once: as lines of one text, cut at the line ends' id."""
+    """The tokenizers library for texts, and for words: letters through its model, others as lines of one text, cut at the line ends' id."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
@@ -48,9 +49,17 @@ def library_encoder(path: str) -> TextEncoder:
     def ids(text: str) -> np.ndarray:
         return np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def piece(letters: str) -> bytes:
+        """Of a space, if any, and letters: one piece, which the library's model takes in its own spelling of bytes."""
+        spelled = letters.replace(" ", space) if letters.isascii() else letters.encode().decode("latin-1").translate(spelling)
+        return array("I", [x.id for x in tokenize(spelled)]).tobytes()
+
     def words(units: list[str]) -> list[bytes]:
-        if not units:
-            return []
+        rest = [u for u in units if not u[u.startswith(" ") :].isalpha()]
+        others = iter(lines(rest) if rest else ())
+        return [piece(u) if u[u.startswith(" ") :].isalpha() else next(others) for u in units]
+
+    def lines(units: list[str]) -> list[bytes]:
         found = ids("\n".join(units))
         cuts = np.flatnonzero(found == end)
         data, a = memoryview(found).cast("B"), 0
@@ -60,6 +69,8 @@ def library_encoder(path: str) -> TextEncoder:
             a = b + 4
         return [*out, bytes(data[a:])]
 
+    spelling = str.maketrans({chr(b): c for c, b in byte_letters().items()})
+    space, tokenize = spelling[ord(" ")], t.model.tokenize
     (end,) = ids("\n").tolist()
     with open(path, encoding="utf-8") as f:
         check_kind(json.load(f))
