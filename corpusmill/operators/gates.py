@@ -32,24 +32,25 @@ def grounded(answers: DataFrame, citations: DataFrame, chunks: DataFrame) -> Dat
     return answers.select("answer_id").join(counted, "answer_id", "left").select("answer_id", F.col("failures").isNull().alias("passed"), F.coalesce("failures", F.lit(0)).alias("failures"))
 
 
-def claims_cited(answers: DataFrame, citations: DataFrame) -> DataFrame:
+def claims_cited(answers: DataFrame, citations: DataFrame, chunks: DataFrame) -> DataFrame:
     """answer_id, passed, uncited: every sentence that claims something lies in one citation's claim.
 
-    In mode "enumeration" each citation's claim must lie in the answer instead.
-    Sentences that refuse, or have no key tokens, claim nothing; an answer without
+    In mode "enumeration" each citation's claim must lie in the answer instead, and an
+    answer that was given no chunks passes. Blank claims are no citations. Sentences that refuse, or have no key tokens, claim nothing; an answer without
     claims passes. With claims but no citations an answer fails.
     """
-    cited = citations.groupBy("answer_id").agg(F.collect_list(gate_tokens(F.col("claim"))).alias("~cited"))
-    both = answers.select("answer_id", "mode", sentences(F.coalesce("answer", F.lit(""))).alias("~all")).join(cited, "answer_id", "left")
+    cited = citations.where(F.btrim("claim") != "").groupBy("answer_id").agg(F.collect_list(gate_tokens(F.col("claim"))).alias("~cited"))
+    given = chunks.select("answer_id").distinct().withColumn("~given", F.lit(True))
+    both = answers.select("answer_id", "mode", sentences(F.coalesce("answer", F.lit(""))).alias("~all")).join(cited, "answer_id", "left").join(given, "answer_id", "left")
     sets = F.coalesce("~cited", F.array().cast("array<array<string>>"))
     made = F.filter(F.transform(F.filter("~all", lambda s: ~is_refusal(s)), gate_tokens), lambda t: F.size(t) > 0)
-    both = both.select("answer_id", "mode", sets.alias("~sets"), made.alias("~claims"))
+    both = both.select("answer_id", F.col("mode").eqNullSafe("enumeration").alias("~lists"), F.col("~given").isNull().alias("~none"), sets.alias("~sets"), made.alias("~claims"))
     claims, sets = F.col("~claims"), F.col("~sets")
     alone = F.filter(claims, lambda t: ~F.exists(sets, lambda c: F.size(F.array_except(t, c)) == 0))
     union = F.array_distinct(F.flatten(claims))
     beyond = F.filter(sets, lambda c: F.size(F.array_except(c, union)) > 0)
-    listed = F.col("mode").eqNullSafe("enumeration") & (F.size(sets) > 0)
-    uncited = F.when(F.size(claims) == 0, 0).when(listed, F.size(beyond)).otherwise(F.size(alone))
+    listed = F.col("~lists") & (F.size(sets) > 0)
+    uncited = F.when((F.size(claims) == 0) | (F.col("~lists") & F.col("~none")), 0).when(listed, F.size(beyond)).otherwise(F.size(alone))
     return both.select("answer_id", uncited.alias("uncited")).select("answer_id", (F.col("uncited") == 0).alias("passed"), F.col("uncited").cast("long").alias("uncited"))
 
 
@@ -63,7 +64,7 @@ def coverage(answers: DataFrame) -> DataFrame:
 def overall(answers: DataFrame, citations: DataFrame, chunks: DataFrame) -> DataFrame:
     """answer_id, the four gates and their conjunction."""
     out = answers.select("answer_id")
-    gates = {"all_claims_cited": claims_cited(answers, citations), "all_cited_ids_in_input": cited_ids(answers, citations, chunks), "groundedness_pass": grounded(answers, citations, chunks), "coverage_ledger_consistent": coverage(answers)}
+    gates = {"all_claims_cited": claims_cited(answers, citations, chunks), "all_cited_ids_in_input": cited_ids(answers, citations, chunks), "groundedness_pass": grounded(answers, citations, chunks), "coverage_ledger_consistent": coverage(answers)}
     for name, gate in gates.items():
         out = out.join(gate.select("answer_id", F.col("passed").alias(name)), "answer_id")
     return out.withColumn("overall", F.expr(" AND ".join(gates)))

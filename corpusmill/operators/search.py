@@ -77,6 +77,23 @@ def hybrid(rows: DataFrame, dense: list[float], sparse: dict[int, float], limit:
     return found, hit_counts(*arms, found)
 
 
+def hybrid_batch(rows: DataFrame, queries: DataFrame, limit: int = 10, k: int = 60, key: str = "point_id", least: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """As :func:`hybrid` for all queries (query, dense, sparse) together: query, key, score, rank; and
+    query, dense_hits, sparse_hits of those that have any.
+
+    The dense arm gives the nearest rows however far, unless their cosine must be above ``least``.
+    """
+    dense = dense_topk_batch(rows, queries.select("query", F.col("dense").alias("vector")), limit, key=key)
+    dense = dense if least is None else dense.where(F.col("score") > least)
+    sparse = sparse_topk_batch(rows, queries, limit, key=key)
+    both = dense.select("query", key, F.col("rank").alias("~d")).join(sparse.select("query", key, F.col("rank").alias("~s")), ["query", key], "full")
+    part = lambda rank: F.coalesce(F.lit(1.0) / (F.lit(k) + F.col(rank)), F.lit(0.0))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), key)  # 2 * limit rows a query
+    fused = both.select("query", key, (part("~d") + part("~s")).alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    counts = both.groupBy("query").agg(F.count("~d").alias("dense_hits"), F.count("~s").alias("sparse_hits"))
+    return fused, counts
+
+
 def hit_counts(dense: DataFrame, sparse: DataFrame, found: DataFrame) -> DataFrame:
     citationable = (F.length("text") > 0) & (F.length("document_path") > 0)
     n = found.agg(F.count("*").alias("candidate_count"), F.count_if(citationable).alias("citationable_count"))
@@ -90,7 +107,8 @@ def passes_gate(candidates: int = 1, dense: int = 1, sparse: int = 1, citationab
 
 def unit(column: pa.ChunkedArray) -> np.ndarray:
     """Rows of length one; a vector of zeros becomes NaN."""
-    m = np.array(column.to_pylist(), np.float64)
+    column = column.combine_chunks()
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
     size = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, size, out=np.full_like(m, np.nan), where=size > 0)
 

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import body_lines, contains_folded, first_words, has_all_tokens, specific_word
+from ..functions.text import body_lines, contains_folded, first_words, has_all_tokens, specific_word, words
 from ..functions.vectors import hash_dense, hash_sparse
-from .search import dense_topk_batch, sparse_topk_batch
+from .search import hybrid_batch
 
 NONSENSE = "xyzzy_nonexistent_term_for_negative_probe"
 
@@ -20,16 +20,18 @@ NONSENSE = "xyzzy_nonexistent_term_for_negative_probe"
 def derive_probes(docs: DataFrame, topical: int = 10, specific: int = 5, negative: int = 5) -> DataFrame:
     """Probes of documents (document_id, ingest_generation, title, raw_text).
 
-    Topical: the title, else the first ten words. Specific: the first telling word of the
+    Topical: the title, where the text has a word of it, else the first ten words (a file
+    may be named unlike its text); none gives no topical probe. Specific: the first telling word of the
     lines that are no headings, else of the text; none gives no specific probe.
     """
     text = F.coalesce("raw_text", F.lit(""))
     name = F.btrim(F.coalesce("title", F.lit("")))
+    named = F.arrays_overlap(words(F.lower(name)), words(F.lower(text)))
     word = F.coalesce(specific_word(body_lines(text)), specific_word(text))
     probe = lambda kind, query, expected, limit: F.struct(F.lit(kind).alias("probe_type"), query.alias("query"), expected.alias("expected"), F.lit(limit).alias("limit"))
     none = F.lit(None).cast("string")
-    made = F.array(probe("topical", F.when(name != "", name).otherwise(first_words(text)), none, topical), probe("specific", word, word, specific), probe("negative", F.lit(NONSENSE), none, negative))
-    return docs.select("document_id", "ingest_generation", F.inline(made)).where("query IS NOT NULL")
+    made = F.array(probe("topical", F.when(named, name).otherwise(first_words(text)), none, topical), probe("specific", word, word, specific), probe("negative", F.lit(NONSENSE), none, negative))
+    return docs.select("document_id", "ingest_generation", F.inline(made)).where("query <> ''")
 
 
 def specific_results(probes: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -44,21 +46,16 @@ def specific_results(probes: DataFrame, chunks: DataFrame) -> DataFrame:
     return both.groupBy("document_id", "ingest_generation").agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("passed"))
 
 
-def found_by_search(probes: DataFrame, chunks: DataFrame, limit: int, rrf_k: int = 60, dense_dim: int = 1024, sparse_dim: int = 30_000, least: float | None = None) -> DataFrame:
+def found_by_search(probes: DataFrame, chunks: DataFrame, limit: int, rrf_k: int = 60, dense_dim: int = 1024, sparse_dim: int = 30_000) -> DataFrame:
     """document_id, ingest_generation, found: whether hybrid search in ``chunks`` (with vectors) for the
-    probe's query brings up the generation. All probes are searched together. The dense arm
-    gives the nearest rows however far they are, unless their cosine must be above ``least``."""
-    asked = probes.select(F.struct("document_id", "ingest_generation").cast("string").alias("query"), "document_id", "ingest_generation", F.col("query").alias("~text"))
-    dense = dense_topk_batch(chunks, asked.select("query", hash_dense(F.col("~text"), dense_dim).alias("vector")), limit)
-    dense = dense if least is None else dense.where(F.col("score") > least)
-    sparse = sparse_topk_batch(chunks, asked.select("query", hash_sparse(F.col("~text"), sparse_dim).alias("sparse")), limit)
-    part = lambda arm: arm.select("query", "point_id", (F.lit(1.0) / (F.lit(rrf_k) + F.col("rank"))).alias("part"))
-    fused = part(dense).unionByName(part(sparse)).groupBy("query", "point_id").agg(F.sum("part").alias("score"))
-    best = fused.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "point_id"))), 1, limit).alias("~best"))  # 2 * limit rows a query
-    hits = best.select("query", F.explode(F.col("~best.point_id")).alias("point_id"))
-    where = chunks.select("point_id", F.struct("document_id", "ingest_generation").cast("string").alias("~of"))
-    hit = hits.join(where, "point_id").where(F.col("query") == F.col("~of")).select("query").distinct().withColumn("found", F.lit(True))
-    return asked.join(hit, "query", "left").select("document_id", "ingest_generation", F.coalesce("found", F.lit(False)).alias("found"))
+    probe's query brings up the generation. Equal queries are searched once, all together.
+    Rows of no likeness at all are no hits: nearest among equals would be a matter of ids."""
+    key = ["document_id", "ingest_generation"]
+    texts = probes.select("query").distinct()
+    asked = texts.select("query", hash_dense(F.col("query"), dense_dim).alias("dense"), hash_sparse(F.col("query"), sparse_dim).alias("sparse"))
+    hits, _ = hybrid_batch(chunks, asked, limit, rrf_k, least=0.0)
+    where = hits.join(chunks.select("point_id", *key), "point_id").select("query", *key).distinct().withColumn("found", F.lit(True))
+    return probes.select("query", *key).join(where, ["query", *key], "left").select(*key, F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def run_probes(probes: DataFrame, chunks: DataFrame, active: DataFrame, rrf_k: int = 60, topical: int = 10, negative: int = 5, dense_dim: int = 1024, sparse_dim: int = 30_000) -> DataFrame:
@@ -70,7 +67,7 @@ def run_probes(probes: DataFrame, chunks: DataFrame, active: DataFrame, rrf_k: i
     """
     sizes = {"dense_dim": dense_dim, "sparse_dim": sparse_dim}
     top = found_by_search(probes.where("probe_type = 'topical'"), chunks, topical, rrf_k, **sizes).withColumnRenamed("found", "topical")
-    neg = found_by_search(probes.where("probe_type = 'negative'"), chunks, negative, rrf_k, **sizes, least=0.0).withColumnRenamed("found", "~absent")
+    neg = found_by_search(probes.where("probe_type = 'negative'"), chunks, negative, rrf_k, **sizes).withColumnRenamed("found", "~absent")
     spec = specific_results(probes, chunks).withColumnRenamed("passed", "specific")
     key = ["document_id", "ingest_generation"]
     own = active.groupBy("document_id").agg(F.count("*").alias("~own"))

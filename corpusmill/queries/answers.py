@@ -23,7 +23,7 @@ def talks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
         F.when(F.col("turn") % 2 == 1, "partial").otherwise("complete").alias("coverage_verdict"), F.when(F.col("conv_id") % 2 == 0, "some is missing").alias("qualification"),
         F.create_map(F.lit("a"), F.when(F.col("turn") % 4 == 1, "empty").otherwise("answered")).alias("ledger"),
     )
-    citations = said.select("answer_id", F.concat(F.lit("Claim. "), F.substring_index("text", " ", 12)).alias("claim"), name(F.col("turn") - 1).alias("chunk_id"))
+    citations = said.select("answer_id", F.concat(F.lit("Claim. "), F.col("text")).alias("claim"), name(F.col("turn") - 1).alias("chunk_id"))
     chunks = said.join(heard, "conv_id").select("answer_id", name(F.col("at")).alias("chunk_id"), F.col("given").alias("text"))
     return answers, citations, chunks
 
@@ -31,7 +31,7 @@ def talks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 TALKS = """
 said AS (SELECT *, conv_id || '/' || turn AS answer_id FROM conversations WHERE role = 'assistant'),
 chunks AS (SELECT answer_id, 'c' || u.turn AS chunk_id, u.text FROM said s JOIN conversations u ON u.conv_id = s.conv_id AND u.role = 'user'),
-citations AS (SELECT answer_id, 'Claim. ' || array_to_string(string_split(text, ' ')[1:12], ' ') AS claim, 'c' || (turn - 1) AS chunk_id FROM said)"""
+citations AS (SELECT answer_id, 'Claim. ' || text AS claim, 'c' || (turn - 1) AS chunk_id FROM said)"""
 
 
 def sql_tokens(column: str) -> str:
@@ -55,15 +55,16 @@ WITH {TALKS},
 parts AS (SELECT answer_id, turn, unnest(string_split(regexp_replace(regexp_replace(text, '(?i)\[source:[^\]]+\]', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM said),
 sent AS (SELECT *, {sql_tokens('s')} AS t FROM parts WHERE trim(s) <> ''),
 claims AS (SELECT * FROM sent WHERE len(t) > 0 AND NOT ({' OR '.join("contains(lower(s), '" + r.replace("'", "''") + "')" for r in REFUSALS)})),
-cited AS (SELECT answer_id, {sql_tokens('claim')} AS c FROM citations),
+cited AS (SELECT answer_id, {sql_tokens('claim')} AS c FROM citations WHERE trim(claim) <> ''),
+unread AS (SELECT answer_id FROM said WHERE turn % 3 = 0 AND answer_id NOT IN (SELECT answer_id FROM chunks)),
 alone AS (SELECT answer_id, count(*) AS n FROM claims JOIN cited USING (answer_id) WHERE NOT list_has_all(c, t) GROUP BY 1),
 whole AS (SELECT answer_id, list_distinct(flatten(list(t))) AS u FROM claims GROUP BY 1),
 beyond AS (SELECT answer_id, count(*) AS n FROM cited JOIN whole USING (answer_id) WHERE NOT list_has_all(u, c) GROUP BY 1)
-SELECT s.answer_id, coalesce(CASE WHEN s.turn % 3 = 0 THEN b.n ELSE a.n END, 0) = 0 AS passed, coalesce(CASE WHEN s.turn % 3 = 0 THEN b.n ELSE a.n END, 0)::BIGINT AS uncited
-FROM said s LEFT JOIN alone a USING (answer_id) LEFT JOIN beyond b USING (answer_id)""")
+SELECT s.answer_id, coalesce(CASE WHEN u.answer_id IS NOT NULL THEN 0 WHEN s.turn % 3 = 0 THEN b.n ELSE a.n END, 0) = 0 AS passed,
+  coalesce(CASE WHEN u.answer_id IS NOT NULL THEN 0 WHEN s.turn % 3 = 0 THEN b.n ELSE a.n END, 0)::BIGINT AS uncited
+FROM said s LEFT JOIN alone a USING (answer_id) LEFT JOIN beyond b USING (answer_id) LEFT JOIN unread u USING (answer_id)""")
 def gate_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers, citations, _ = talks(spark, sf_dir)
-    return gates.claims_cited(answers, citations)
+    return gates.claims_cited(*talks(spark, sf_dir))
 
 
 @query("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import PROBE_STOPWORDS
+from ..functions.text import PROBE_STOPWORDS, first_words
 from ..functions.vectors import cosine, hash_dense, hash_sparse
 from ..operators import evals, search, verify, visibility
 from .base import SQL_WORDS, STORED, query, stored, table
@@ -22,10 +22,10 @@ def with_vectors(rows: DataFrame, column: str = "text") -> DataFrame:
     return rows.withColumns({"dense": hash_dense(F.col(column), DENSE), "sparse": hash_sparse(F.col(column), SPARSE)})
 
 
-def asked(spark: SparkSession, sf_dir: str) -> tuple[list[float], dict[int, float]]:
-    """Vectors of the benchmark's first text: one row."""
-    one = with_vectors(table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1)).first()
-    return one.dense, dict(zip(one.sparse["indices"], one.sparse["values"], strict=True))
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query, dense, sparse: the first ten words of every document whose id is divisible by 100."""
+    rows = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), first_words(F.col("text")).alias("~text"))
+    return with_vectors(rows, "~text").select("query", "dense", "sparse")
 
 
 COSINE = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
@@ -50,34 +50,41 @@ def dense_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ARMS = f"""
-q AS (SELECT {sql_slots('text', 1, DENSE)} AS d, {sql_slots('text', 5, SPARSE)} AS s FROM (SELECT text FROM benchmark ORDER BY item_id LIMIT 1)),
-vec AS (SELECT *, {sql_slots('text', 1, DENSE)} AS d, {sql_slots('text', 5, SPARSE)} AS s FROM visible),
-dense AS (SELECT point_id, round(len(list_intersect(v.d, q.d)) / sqrt(len(v.d)::DOUBLE * len(q.d)), 9) AS score FROM vec v, q WHERE len(v.d) > 0 ORDER BY score DESC, point_id LIMIT 20),
-sparse AS (SELECT point_id, len(list_intersect(v.s, q.s))::DOUBLE AS score FROM vec v, q WHERE list_has_any(v.s, q.s) ORDER BY score DESC, point_id LIMIT 20),
-ranks AS (SELECT point_id, row_number() OVER (ORDER BY score DESC, point_id) AS r FROM dense UNION ALL SELECT point_id, row_number() OVER (ORDER BY score DESC, point_id) FROM sparse),
-fused AS (SELECT point_id, sum(1.0::DOUBLE / (60 + r)) AS score FROM ranks GROUP BY 1 ORDER BY score DESC, point_id LIMIT 20)"""
+q AS (SELECT doc_id AS query, {sql_slots('text', 1, DENSE)} AS d, {sql_slots('text', 5, SPARSE)} AS s FROM (SELECT doc_id, array_to_string(({SQL_WORDS})[1:10], ' ') AS text FROM documents WHERE doc_id % 100 = 0)),
+vec AS (SELECT point_id, {sql_slots('text', 1, DENSE)} AS d, {sql_slots('text', 5, SPARSE)} AS s FROM visible),
+dense AS (SELECT query, point_id, round(len(list_intersect(v.d, q.d)) / sqrt(len(v.d)::DOUBLE * len(q.d)), 9) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, point_id) AS r FROM vec v, q WHERE len(v.d) > 0 AND len(q.d) > 0 QUALIFY r <= 20),
+sparse AS (SELECT query, point_id, len(list_intersect(v.s, q.s))::DOUBLE AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, point_id) AS r FROM vec v, q WHERE list_has_any(v.s, q.s) QUALIFY r <= 20),
+fused AS (SELECT query, point_id, sum(1.0::DOUBLE / (60 + r)) AS score FROM (SELECT query, point_id, r FROM dense UNION ALL SELECT query, point_id, r FROM sparse) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, point_id) <= 20)"""
 
 
-@query(f"WITH {STORED}, {ARMS} SELECT point_id, round(score, 6) AS score FROM sparse")
+@query(f"WITH {STORED}, {ARMS} SELECT query, point_id, round(score, 6) AS score, r::BIGINT AS rank FROM sparse")
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_vectors(visibility.visible(stored(spark, sf_dir)))
-    return search.sparse_topk(rows, asked(spark, sf_dir)[1], 20).select("point_id", F.round("score", 6).alias("score"))
+    found = search.sparse_topk_batch(rows, asked(spark, sf_dir), 20)
+    return found.select("query", "point_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {STORED}, {ARMS} SELECT point_id, document_path, round(score, 6) AS score FROM fused JOIN visible USING (point_id)")
+@query(f"WITH {STORED}, {ARMS} SELECT query, point_id, document_path, round(score, 6) AS score FROM fused JOIN visible USING (point_id)")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = search.hybrid(with_vectors(visibility.visible(stored(spark, sf_dir))), *asked(spark, sf_dir), limit=20)
-    return found.select("point_id", "document_path", F.round("score", 6).alias("score"))
+    rows = with_vectors(visibility.visible(stored(spark, sf_dir)))
+    found, _ = search.hybrid_batch(rows, asked(spark, sf_dir), 20)
+    return found.join(rows.select("point_id", "document_path"), "point_id").select("query", "point_id", "document_path", F.round("score", 6).alias("score"))
 
 
 @query(f"""
 WITH {STORED}, {ARMS}, n AS (
-  SELECT (SELECT count(*) FROM dense)::BIGINT AS dense_hits, (SELECT count(*) FROM sparse)::BIGINT AS sparse_hits, count(*)::BIGINT AS candidate_count,
-         count(*) FILTER (text <> '' AND document_path <> '')::BIGINT AS citationable_count FROM fused JOIN visible USING (point_id))
+  SELECT query, (SELECT count(*) FROM dense d WHERE d.query = q.query)::BIGINT AS dense_hits, (SELECT count(*) FROM sparse s WHERE s.query = q.query)::BIGINT AS sparse_hits,
+         (SELECT count(*) FROM fused f WHERE f.query = q.query)::BIGINT AS candidate_count,
+         (SELECT count(*) FILTER (text <> '' AND document_path <> '') FROM fused f JOIN visible USING (point_id) WHERE f.query = q.query)::BIGINT AS citationable_count FROM q)
 SELECT *, candidate_count >= 1 AND (dense_hits >= 1 OR sparse_hits >= 1) AND citationable_count >= 1 AS passed FROM n""")
 def retriever_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, counts = search.hybrid(with_vectors(visibility.visible(stored(spark, sf_dir))), *asked(spark, sf_dir), limit=20)
-    return counts.withColumn("passed", search.passes_gate())
+    """Hit counts and the verdict for every query."""
+    queries, rows = asked(spark, sf_dir), with_vectors(visibility.visible(stored(spark, sf_dir)))
+    found, counts = search.hybrid_batch(rows, queries, 20)
+    citationable = (F.length("text") > 0) & (F.length("document_path") > 0)
+    told = found.join(rows.select("point_id", citationable.alias("~good")), "point_id").groupBy("query").agg(F.count("*").alias("candidate_count"), F.count_if("~good").alias("citationable_count"))
+    out = queries.select("query").join(counts, "query", "left").join(told, "query", "left")
+    return out.select("query", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("dense_hits", "sparse_hits", "candidate_count", "citationable_count"))).withColumn("passed", search.passes_gate())
 
 
 VERIFY = f"""
@@ -86,7 +93,7 @@ probes AS (SELECT doc_id AS id, 'topical' AS kind, array_to_string(({SQL_WORDS})
            UNION ALL SELECT doc_id, 'negative', '{verify.NONSENSE}', 5 FROM stored WHERE doc_id % 100 = 0),
 asked AS (SELECT *, {sql_slots('query', 1, DENSE)} AS qd, {sql_slots('query', 5, SPARSE)} AS qs FROM probes),
 ranks AS (
-  SELECT id, kind, k, point_id, row_number() OVER (PARTITION BY id, kind ORDER BY round(len(list_intersect(d, qd)) / sqrt(len(d)::DOUBLE * len(qd)), 9) DESC, point_id) AS r FROM asked, view WHERE len(d) > 0 AND len(qd) > 0 AND (kind = 'topical' OR list_has_any(d, qd)) QUALIFY r <= k
+  SELECT id, kind, k, point_id, row_number() OVER (PARTITION BY id, kind ORDER BY round(len(list_intersect(d, qd)) / sqrt(len(d)::DOUBLE * len(qd)), 9) DESC, point_id) AS r FROM asked, view WHERE list_has_any(d, qd) QUALIFY r <= k
   UNION ALL
   SELECT id, kind, k, point_id, row_number() OVER (PARTITION BY id, kind ORDER BY len(list_intersect(s, qs)) DESC, point_id) AS r FROM asked, view WHERE list_has_any(s, qs) QUALIFY r <= k),
 fused AS (SELECT id, kind, k, point_id, row_number() OVER (PARTITION BY id, kind ORDER BY sum(1.0::DOUBLE / (60 + r)) DESC, point_id) AS place FROM ranks GROUP BY 1, 2, 3, 4 QUALIFY place <= k),
@@ -94,18 +101,23 @@ hits AS (SELECT id, kind FROM fused WHERE point_id = 'p' || lpad(id::VARCHAR, 12
 
 
 @query(f"""
-WITH {STORED}, {VERIFY}
-SELECT document_id, ingest_generation::BIGINT AS ingest_generation, EXISTS (FROM hits WHERE id = doc_id AND kind = 'topical') AS topical,
-       NOT EXISTS (FROM hits WHERE id = doc_id AND kind = 'negative') AS negative
-FROM stored WHERE doc_id % 100 = 0""")
+WITH {STORED}, {VERIFY},
+w AS (SELECT *, list_transform({SQL_WORDS}, lambda x: trim(x, '.,;:!?"''()[]{{}}')) AS b FROM stored WHERE doc_id % 100 = 0),
+p AS (SELECT *, list_filter(b, lambda x: length(x) >= 5 AND regexp_full_match(x, '\\p{{L}}+') AND NOT list_contains({PROBE_STOPWORDS}, lower(x)))[1] AS word FROM w),
+v AS (
+  SELECT document_id, ingest_generation::BIGINT AS ingest_generation, len({SQL_WORDS}) = 0 OR EXISTS (FROM hits WHERE id = doc_id AND kind = 'topical') AS topical,
+       word IS NULL OR list_has_all(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), regexp_extract_all(lower(word), '[\\p{{L}}\\p{{N}}_]+')) AND contains(lower(text), lower(word)) AS specific,
+       NOT EXISTS (FROM hits WHERE id = doc_id AND kind = 'negative') AS negative, (SELECT count(*) FROM stored s WHERE s.ingest_state = 'active' AND s.document_id <> p.document_id) < 5 AS deferred
+  FROM p)
+SELECT *, topical AND specific AND (negative OR deferred) AS passed FROM v""")
 def verify_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topical and negative probes of every document whose id is divisible by 100, against all chunks."""
+    """All probes, and the verdict, of every document whose id is divisible by 100, against all chunks."""
     rows = stored(spark, sf_dir)
     mine = rows.where("doc_id % 100 = 0")
     docs = mine.select("document_id", "ingest_generation", F.lit("").alias("title"), F.col("text").alias("raw_text"))
     view = with_vectors(rows.where("ingest_state = 'active' OR doc_id % 100 = 0"))
     out = verify.run_probes(verify.derive_probes(docs), view, rows.where("ingest_state = 'active'"))
-    return out.select("document_id", F.col("ingest_generation").cast("long").alias("ingest_generation"), "topical", "negative")
+    return out.withColumn("ingest_generation", F.col("ingest_generation").cast("long"))
 
 
 @query(rf"""

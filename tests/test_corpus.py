@@ -37,6 +37,8 @@ def test_gates(spark):
     assert not gate(spark, "Whales sing.", [], chunk)["all_claims_cited"]
     listed = gate(spark, "Paris tower, Berlin museum.", [("Paris tower", "c1"), ("Berlin museum", "c1")], chunk, "enumeration")
     assert listed["all_claims_cited"]
+    assert gate(spark, "Whales sing.", [("", "c1")], [], "enumeration")["all_claims_cited"]  # nothing was given to list
+    assert not gate(spark, "Paris tower.", [(" ", "c1")], chunk, "enumeration")["all_claims_cited"]  # a blank claim cites nothing
     assert not gate(spark, "x", [], chunk, ledger={"q": "empty"})["coverage_ledger_consistent"]
     assert gate(spark, "x", [], chunk, verdict="partial", note="q is missing", ledger={"q": "empty"})["coverage_ledger_consistent"]
 
@@ -80,6 +82,16 @@ def test_hybrid(spark):
     assert search.sparse_topk(rows, {}).count() == 0
 
 
+def test_hybrid_batch(spark):
+    schema = "point_id string, dense array<float>, sparse struct<indices:array<int>,values:array<float>>"
+    rows = spark.createDataFrame([("a", [1.0, 0.0], ([1, 5], [1.0, 0.5])), ("b", [1.0, 1.0], ([5], [2.0])), ("c", [0.0, 0.0], ([9], [1.0])), ("d", None, None), ("e", [0.0, 1.0], ([], []))], schema)
+    asked = spark.createDataFrame([("q", [1.0, 0.0], ([5], [1.0])), ("none", [0.0, 0.0], ([], []))], "query string, dense array<float>, sparse struct<indices:array<int>,values:array<float>>")
+    found, counts = search.hybrid_batch(rows, asked, 3)
+    assert [(r.query, r.point_id, round(r.score, 6), r["rank"]) for r in found.orderBy("rank").collect()] == [("q", "a", round(1 / 61 + 1 / 62, 6), 1), ("q", "b", round(1 / 61 + 1 / 62, 6), 2), ("q", "e", round(1 / 63, 6), 3)]
+    assert [tuple(r) for r in counts.collect()] == [("q", 3, 2)]
+    assert [r.dense_hits for r in search.hybrid_batch(rows, asked, 3, least=0.0)[1].collect()] == [2]
+
+
 def test_batch_search_equals_single(spark):
     rows = spark.range(60).selectExpr("id AS point_id", "transform(sequence(0, 5), i -> cast(sin(id * (i + 1)) as float)) AS dense")
     queries = rows.where("point_id < 7").selectExpr("point_id AS query", "dense AS vector")
@@ -121,9 +133,10 @@ def prose(word, n=70):
     return "# About " + word + "\n\nAbout " + word + " we say: " + " ".join(f"{word}{chr(97 + i % 26)}{chr(97 + i // 26)} lorem" for i in range(n))
 
 
-def test_ingest_publishes_after_probes(spark, tmp_path):
-    folder = tmp_path / "in"
-    folder.mkdir()
+@pytest.mark.parametrize("place", ["in", "other", "a/long/way/down", "zz"])  # ids hang on the path; verdicts must not
+def test_ingest_publishes_after_probes(spark, tmp_path, place):
+    folder = tmp_path / place
+    folder.mkdir(parents=True)
     (folder / "a.md").write_text(prose("alpha"))
     (folder / "b.txt").write_text(prose("beta"))
     (folder / "c.data").write_bytes("caf\xe9 latin text without heading".encode("latin-1"))
