@@ -33,25 +33,39 @@ def test_lm_base_and_counts(docs, no_docs, rows):
 
 
 def test_lm_probabilities_sum_to_one(spark):
-    """Every continuation of a context, each as a held-out document of one word, and the unseen word."""
-    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 == 2]
-    train = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 != 2]
-    rng = np.random.default_rng(5)
-    words = [f"w{k}" for k in range(30)]
-    rows = [(i, " ".join(rng.choice(words, 20, p=np.arange(1, 31) / 465))) for i in train[:60]]
-    rows += list(zip(held, [*words, "never-seen", ""]))
-    got = {r.doc_id: r for r in hpylm.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    text_of = dict(rows)
-    first = sum(10 ** r.score for i, r in got.items() if text_of[i] == "")  # the end right away
-    # P(word | start) = P(word, end) / P(end | word); P(end | word) of one class sums with its words, so bound it by the joint mass
-    joint = sum(10 ** got[i].score for i in got if r_is_one_word(text_of[i]))
-    assert 0 < joint + first < 1
-    lift = [got[i].score - got[i].base_score for i in train[:60]]
-    assert np.mean(lift) > 0
+    """One known word ("a"), one unseen ("?"), the end ("."): the nine step probabilities must be those of three distributions.
+
+    Scores of held-out texts give seven equations; two distributions then fix all nine, and the third must hold too.
+    """
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2]
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    texts = ["", "a", "a a", "never", "never never2", "a never", "never a"]
+    rows = [(i, " ".join(["a"] * (1 + i % 4))) for i in train[:90]] + list(zip(held, texts))
+    got = {r.doc_id: 10**r.score for r in hpylm.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string"), part=400).collect()}
+    end, one, two, new, news, one_new, new_one = (got[i] for i in held[: len(texts)])
+    a_a, new_new = two / one, news / new
 
+    def rest(x):  # from P(a | start): what is left for an unseen word, and the sums after "a" and after an unseen word
+        y = 1 - end - x
+        a_end, new_end = one / x, new / y
+        return a_a + a_end + one_new / x / new_end, new_new + new_end + new_one / y / a_end
 
-def r_is_one_word(text):
-    return text != "" and " " not in text
+    gaps = [max(abs(total - 1) for total in rest(x)) for x in np.linspace(one, 1 - end - new, 200_001)[1:-1]]
+    assert min(gaps) < 1e-3
+
+
+def test_lm_does_not_hang_on_partitions(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(rng.choice(words, 30))) for i in range(200)]
+    df, scores = spark.createDataFrame(rows, "doc_id bigint, text string"), []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions, pieces in ((1, 1), (7, 3), (16, 11)):
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        scores.append([r.score for r in hpylm.score_texts(df.repartition(pieces), part=4000).orderBy("doc_id").collect()])
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert np.allclose(scores[0], scores[1], rtol=1e-9) and np.allclose(scores[0], scores[2], rtol=1e-9)
+    assert sum(scores[0]) > 1.2 * sum(r.base_score for r in hpylm.score_texts(df).collect())  # negative: better than the base
 
 
 def test_lm_beats_base_on_held_out(spark):
@@ -150,3 +164,24 @@ def test_classifier_on_held_out_rows(spark):
     alone = {r.doc_id: r.kept for r in weak_labels.classify(docs).collect()}
     assert np.mean([alone[i] for i in good]) > 0.98 and not any(alone[i] for i, _, q, _ in rows if not q)
     assert weak_labels.classify(docs.where("doc_id < -1"), labels).count() == 0
+
+
+def test_drawn_seats_are_those_of_single_moves():
+    """Drawing a dish's seats together agrees with moving its customers one at a time, given the rest."""
+    discount, rng = 0.8, np.random.default_rng(3)
+    for c, odds in ((2, 0.3), (3, 1.5), (7, 0.05), (12, 2.0)):
+        tables, seen = [c], []
+        for step in range(30_000):
+            k = rng.choice(len(tables), p=np.array(tables) / c)
+            tables[k] -= 1
+            tables = [n for n in tables if n]
+            weights = np.array([n - discount for n in tables] + [odds])
+            k = rng.choice(len(weights), p=weights / weights.sum())
+            if k == len(tables):
+                tables.append(1)
+            else:
+                tables[k] += 1
+            if step > 300:
+                seen.append(len(tables))
+        drawn = hpylm.draw(np.full(4000, c), np.full(4000, odds), discount, rng, 4)
+        assert drawn.mean() == pytest.approx(np.mean(seen), rel=0.03)
