@@ -289,18 +289,19 @@ class TextEncoder:
 
 
 @lru_cache(maxsize=4)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def vocabulary(path: str | None) -> Vocabulary:
+    return Vocabulary(path or default_tokenizer())
 
 
 @lru_cache(maxsize=4)
-def text_encoder(path: str) -> TextEncoder:
+def text_encoder(path: str | None) -> TextEncoder:
     v = vocabulary(path)
     memory = PieceMemory(lambda piece: v.encode_piece(piece.encode()))
     return TextEncoder(v.specials, lambda text: b"".join(map(memory.__getitem__, pieces(text))))
 
 
 def default_tokenizer() -> str:
+    """The path on this machine: asked for by the worker that reads the file."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -308,10 +309,9 @@ def default_tokenizer() -> str:
 
 def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, token_ids array<int>: the ids of every text."""
-    path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = text_encoder(path)
+        encoder = text_encoder(tokenizer)
         for batch in batches:
             made = [ids for _, ids in encoder.batches(batch.column(1))]
             ends = np.concatenate([[0], np.cumsum([len(b) // 4 for b in made])]).astype(np.int32)
@@ -323,10 +323,9 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str
 
 def decode_documents(encoded: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
     """id, text: the texts of id lists; a null list has the empty text."""
-    path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        v = vocabulary(tokenizer)
         for batch in batches:
             texts = [v.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
@@ -336,11 +335,10 @@ def decode_documents(encoded: DataFrame, tokenizer: str | None = None, id_col: s
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode in one pass: id, n_tokens, ids_sha256, decoded_sha256, round_trip."""
-    path = tokenizer or default_tokenizer()
     schema = f"`{id_col}` bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, v = text_encoder(path), vocabulary(path)
+        encoder, v = text_encoder(tokenizer), vocabulary(tokenizer)
         for batch in batches:
             counts, ids_sha, text_sha, same = [], [], [], []
             for text, ids in encoder.batches(batch.column(1)):
@@ -356,12 +354,12 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc
 
 
 def tokenised(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"), tokenizer: str | None = None, text_col: str = "text") -> DataFrame:
-    """The columns of ``keep``, n_tokens, token_ids, and whether decoding the ids gives the text back."""
-    path = tokenizer or default_tokenizer()
+    """The columns of ``keep`` that ``docs`` has, n_tokens, token_ids, and whether decoding the ids gives the text back."""
+    keep = tuple(c for c in keep if c in docs.columns)
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, v = text_encoder(path), vocabulary(path)
+        encoder, v = text_encoder(tokenizer), vocabulary(tokenizer)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):  # bounds the ids in memory
                 some = batch.slice(k, 256)

@@ -31,11 +31,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (a local session in a test), a temporary
-    folder is set for the session.
+    Only where a local session names none, as in a test, a temporary folder is set for the
+    session; a cluster must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -78,6 +80,14 @@ def range_bucket(column: Column, bounds: list, kind: str) -> Column:
     return F.coalesce(found, F.lit(0))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until it is no column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "~"
+    return name
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

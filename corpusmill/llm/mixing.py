@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, range_bounds, range_bucket, shuffle_partitions, stash, text_or_empty
+from .common import WORD, free_name, range_bounds, range_bucket, shuffle_partitions, stash, text_or_empty
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -112,9 +112,10 @@ def mix_to_targets(
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings: object) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them."""
-    numbered = stash(docs.withColumn("~row", F.monotonically_increasing_id()), "numbered")
-    taken = mix_to_targets(numbered, id_col, text_col, source_col, carry=("~row",), **settings).select("~row", (F.col("epochs") + F.col("picked")).cast("int").alias("~copies"))
-    repeated = numbered.join(taken.where("`~copies` > 0"), "~row").withColumn("~copy", F.explode(F.sequence(F.lit(1), F.col("~copies"))))
+    row, copies, copy = (free_name(docs, x) for x in ("~row", "~copies", "~copy"))
+    numbered = stash(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    taken = mix_to_targets(numbered, id_col, text_col, source_col, carry=(row,), **settings).select(row, (F.col("epochs") + F.col("picked")).cast("int").alias(copies))
+    repeated = numbered.join(taken.where(F.col(copies) > 0), row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return repeated.select(*(f"`{c}`" for c in docs.columns))
 
 

@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, mixed, stash
+from .common import MIX, free_name, mixed, stash
 
 SEED, SAMPLE, LEAF_LOAD, BLOCK = 42, 4096, 12_000, 200_000
 #: Members of a block of a leaf, and bytes of shingle sets that meet in one task.
@@ -534,13 +534,14 @@ def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     """The rows of ``docs``, one of each group: that of the smallest id, null ids last."""
     names = docs.columns
     text_at = names.index(text_col)
+    row, fp, size = (free_name(docs, x) for x in ("~row", "~fp", "~n"))
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
         for batch in batches:
             made = [blocks_of(t or "", words, bits, memory) for t in batch.column(text_at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64())], [*names, "~fp", "~n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64())], [*names, fp, size])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
@@ -548,12 +549,12 @@ def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
             made = [np.unique(memory.shingles(t or "", words)[1]).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["_node", "_fp", "_set"])
 
-    printed = docs.mapInArrow(run, f"{schema}, `~fp` binary, `~n` bigint")
-    printed = stash(printed.withColumn("~row", F.monotonically_increasing_id()), "printed")
-    rank = F.struct(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), F.col("~row").alias("row"))
-    distinct = printed.groupBy(F.col("~fp").alias("_fp")).agg(F.max("~n").alias("_n"), F.min(rank).alias("_least"))
+    printed = docs.mapInArrow(run, f"{schema}, `{fp}` binary, `{size}` bigint")
+    printed = stash(printed.withColumn(row, F.monotonically_increasing_id()), "printed")
+    rank = F.struct(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), F.col(row).alias("row"))
+    distinct = printed.groupBy(F.col(fp).alias("_fp")).agg(F.max(size).alias("_n"), F.min(rank).alias("_least"))
     distinct = stash(distinct.withColumn("_node", F.col("_least.row")), "distinct")
-    texts = printed.select(F.col("~row").alias("_node"), F.col("~fp").alias("_fp"), F.col(f"`{text_col}`").cast("string").alias("_text")).join(distinct.select("_node"), "_node", "left_semi")
+    texts = printed.select(F.col(row).alias("_node"), F.col(fp).alias("_fp"), F.col(f"`{text_col}`").cast("string").alias("_text")).join(distinct.select("_node"), "_node", "left_semi")
     shared = stash(shared_signatures(texts, words, similarity), "shared")
     some = stash(shared.select("_node").distinct(), "some")
     sets = stash(texts.join(some, "_node", "left_semi").select("_node", "_fp", "_text").mapInArrow(sets_of, "_node bigint, _fp binary, _set binary"), "sets")
@@ -563,8 +564,8 @@ def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     forest = verified_links(members, sets, radius, shingle_radius, similarity)
     labels = all_links(shared, sets, forest, similarity)
     grouped = distinct.join(labels, "_node", "left").groupBy(F.coalesce("_label", "_node")).agg(F.min("_least").alias("_least"))
-    stay = grouped.select(F.col("_least.row").alias("~row"))
-    return printed.join(stay, "~row", "left_semi").select(*(f"`{c}`" for c in names))
+    stay = grouped.select(F.col("_least.row").alias(row))
+    return printed.join(stay, row, "left_semi").select(*(f"`{c}`" for c in names))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 64, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", leaf_load: int = LEAF_LOAD) -> DataFrame:

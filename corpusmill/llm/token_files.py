@@ -37,11 +37,12 @@ ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
 
 
 @lru_cache(maxsize=4)
-def library_encoder(path: str) -> TextEncoder:
+def library_encoder(path: str | None) -> TextEncoder:
     """The tokenizers library for texts, and for words: letters through its model, others as lines of one text, cut at the line ends' id."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
+    path = path or default_tokenizer()
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
@@ -80,7 +81,6 @@ def library_encoder(path: str) -> TextEncoder:
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = 0) -> None:
     spark = docs.sparkSession
-    tokenizer = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tail = library_encoder(tokenizer), int(end).to_bytes(4, "little")

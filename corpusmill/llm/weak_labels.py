@@ -13,8 +13,7 @@ The labellers of toxicity look for abusive terms: a short list, and words and wo
 beginnings that a sample of rows from a table of labels shows to go with toxic
 documents. That table itself is a labeller too, where its sample covers a document.
 
-Bounds: at most ``LABELLED`` labelled rows give terms, at most ``TERMS`` terms are
-kept, and the scorer is fitted on at most ``FITTED`` documents (labelled ones first), in one task. Votes and
+Bounds: at most ``LABELLED`` labelled rows give terms (all that these rows show are kept), and the scorer is fitted on at most ``FITTED`` documents (labelled ones first), in one task. Votes and
 verdicts cover all documents.
 
 Defined cases: a null or empty text gets the scorer's verdict on no words, which is
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import WORD, stash, values
 from .host_rules import measure
 
-LABELLED, TERMS, FITTED = 20_000, 400, 6_000
+LABELLED, FITTED = 20_000, 6_000
 WIDTH, CLEAR_LEAST, TRUST = 1 << 18, 0.95, 5.0
 BEGINNINGS = (5, 7)
 BAD, GOOD, SILENT = 1, 0, 2
@@ -212,8 +211,8 @@ def abusive_terms(sample: DataFrame) -> list[str]:
     starts = [F.transform(words, lambda w: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in BEGINNINGS]  # noqa: B023  used at once
     terms = F.filter(F.array_distinct(F.concat(words, *starts)), lambda t: F.length(t) > 3)
     counted = sample.select("_toxic", F.explode(terms).alias("_term")).groupBy("_term").agg(F.sum("_toxic").alias("_in"), F.sum(F.lit(1) - F.col("_toxic")).alias("_out"))
-    found = counted.where("_in >= 5 AND _in >= 10 * _out").orderBy(F.desc("_in"), "_term").limit(TERMS)
-    return [r._term for r in found.select("_term").collect()]
+    found = counted.where("_in >= 5 AND _in >= 10 * _out").select("_term")
+    return sorted(r._term for r in found.collect())  # words of LABELLED rows at most
 
 
 def prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -260,7 +259,7 @@ def train(texts: DataFrame, labels: DataFrame | None) -> tuple[np.ndarray, dict]
         at = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weights[at])], ["at", "weight"])
 
-    found = examples.coalesce(1).mapInArrow(fit, "at bigint, weight double").toArrow()
+    found = examples.repartition(1).mapInArrow(fit, "at bigint, weight double").toArrow()
     weights = np.zeros(WIDTH + 1)
     weights[found.column("at").to_numpy()] = found.column("weight").to_numpy()
     return weights, {"posterior": posterior, "accuracy": junk_accuracy | toxic_accuracy, "share": (junk_share, toxic_share), "terms": abusive}

@@ -101,7 +101,7 @@ def test_empty_table(spark, tmp_path):
 
 def test_clashing_columns(spark):
     rows, _, _ = corpus()
-    df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA + ", _id int, _row string")
+    df = spark.createDataFrame([(*r, 1, "x", 2, 3, 4) for r in rows], SCHEMA + ", _id int, _row string, `~row` int, `~fp` int, `~copies` int")
     made = pipeline.near_dedup(spark, df, "")
     assert made.columns == df.columns and np.all([r._row == "x" for r in made.collect()])
     assert pipeline.repeats(spark, df, "").columns == df.columns and pipeline.mix(spark, df, "").columns == df.columns
