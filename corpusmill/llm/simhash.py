@@ -426,73 +426,67 @@ def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
     return np.sort(counted.select("_at").toArrow().column(0).to_numpy().view(np.uint64))
 
 
-def signatures(shingles: np.ndarray, similarity: float, common: np.ndarray = np.zeros(0, np.uint64)) -> np.ndarray:
-    """Hashes of which two ascending sets of distinct hashes share one, if their Jaccard similarity is ``similarity`` or more.
-
-    Sizes are banded by 1 / similarity; a set goes to its own band and, as a guest, to the
-    one below. Sets alike that meet in the band from L to L / similarity on differ in ``most`` =
-    (1 - s) / s ** 2 * L elements at most. The range of hashes is cut into parts, more than ``most`` + 1
-    by ``spare``: all but ``most`` parts are then equal, ``spare`` + 1 or more. Each set leaves out its
-    ``spare`` parts of fewest elements, first those of fewest that are not ``common`` (ties by hash); of the
-    equal parts, the last in this order is left out by neither, whatever is common.
+def signatures(shingles: np.ndarray, similarity: float, common: np.ndarray = np.zeros(0, np.uint64)) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of an ascending set of distinct hashes, those of which two sets share one if their Jaccard similarity is
+    ``similarity`` or more; which of these are ``common``; and how many of the set are.
+
+    All sets order their shingles alike: common ones last, else by hash. Sets so alike share
+    n * similarity at least of either's n shingles, so of the first n - n * similarity + 1 one is shared: the
+    first that both have. If they share any that is not common, the first that they share is not.
     """
     n = len(shingles)
-    if not n:
-        return np.zeros(0, np.uint64)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(shingles + MIX), dtype=np.uint64)])
-    known = np.searchsorted(common, shingles)
-    known = np.take(common, known, mode="clip") == shingles if len(common) else np.zeros(n, bool)
-    rare = np.concatenate([[0], np.cumsum(~known)])
-    own, out = floor(log(n) / log(1 / similarity)), []
-    for band in range(max(0, own - 1), own + 1):
-        most = floor((1 - similarity) / similarity ** (2 + band) + 1e-6)
-        spare = most + 3 if most else 0
-        parts = most + 1 + spare
-        cuts = np.searchsorted(shingles, np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)) if parts > 1 else np.zeros(0, np.int64)
-        at = np.concatenate([[0], cuts, [n]])
-        made = mixed(mixed(total[at[1:]] - total[at[:-1]] + np.uint64(band)) ^ np.arange(parts, dtype=np.uint64))
-        out.append(made[np.lexsort((made, -np.diff(at), rare[at[:-1]] - rare[at[1:]]))[: most + 1]])
-    return np.concatenate(out)
+    at = np.searchsorted(common, shingles)
+    known = np.take(common, at, mode="clip") == shingles if len(common) else np.zeros(n, bool)
+    first = np.argsort(known, kind="stable")[: n - ceil(similarity * n - 1e-6) + 1 if n else 0]
+    return shingles[first], known[first], int(known.sum())
 
 
 def shared_signatures(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(_node, _fp, _text) to (_sig, _node, _hub): signatures that several nodes have; the hub is the least of these."""
+    """(_node, _fp, _text) to (_sig, _node, _many, _c, _r, _hub, _least): signatures that several nodes have.
+
+    ``_many``: it is a common shingle; ``_c``, ``_r``: how many of the node's shingles are common, and are not;
+    the hub is the node of fewest not common (of these, the least), and ``_least`` is how many.
+    """
     common = common_shingles(texts, words)
+    names = ["_sig", "_node", "_many", "_c", "_r"]
+    schema = "_sig bigint, _node bigint, _many boolean, _c int, _r int"
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 some = batch.slice(k, 256)
-                made = [signatures(np.unique(memory.shingles(t or "", words)[1]), similarity, common) for t in some.column(1).to_pylist()]
-                node = np.repeat(some.column(0).to_numpy(), [len(m) for m in made])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64)), pa.array(node, pa.int64())], ["_sig", "_node"])
+                sets = [np.unique(memory.shingles(t or "", words)[1]) for t in some.column(1).to_pylist()]
+                made = [signatures(x, similarity, common) for x in sets]
+                count = [len(m[0]) for m in made]
+                c = np.array([m[2] for m in made], np.int32)
+                columns = [np.concatenate([m[0] for m in made]).view(np.int64), np.repeat(some.column(0).to_numpy(), count), np.concatenate([m[1] for m in made])]
+                columns += [np.repeat(c, count), np.repeat(np.array([len(x) for x in sets], np.int32) - c, count)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by signature; the last one of a batch waits for the next batch."""
-        sig, node, hub = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        follows = False  # whether the waiting row goes on a run
+        held: pa.RecordBatch | None = None  # the waiting row, and whether it goes on a run, of which hub
+        follows, hub, least = False, 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held = len(sig)
-            sig, node = np.concatenate([sig, batch.column(0).to_numpy()]), np.concatenate([node, batch.column(1).to_numpy()])
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            sig, node = rows.column(0).to_numpy(), rows.column(1).to_numpy()
             same = sig[1:] == sig[:-1]
-            first = np.concatenate([[True], ~same])
-            start = np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))
-            head = node[start]
-            if held:
-                head[start == 0] = hub[0]
+            start = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(sig)), 0))
+            head, few = node[start], rows.column(4).to_numpy()[start]
+            if follows:
+                head[start == 0], few[start == 0] = hub, least
             keep = np.concatenate([[follows], same]) | np.concatenate([same, [False]])
             keep[-1] = False
-            follows = bool(same[-1]) if len(same) else follows
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, node, head)], ["_sig", "_node", "_hub"])
-            sig, node, hub = sig[-1:], node[-1:], head[-1:]
+            follows, hub, least, held = bool(same[-1]) if len(same) else follows, head[-1], few[-1], rows.slice(rows.num_rows - 1)
+            yield pa.RecordBatch.from_arrays([*rows.filter(pa.array(keep)).columns, pa.array(head[keep]), pa.array(few[keep])], [*names, "_hub", "_least"])
         if follows:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig, node, hub)], ["_sig", "_node", "_hub"])
+            yield pa.RecordBatch.from_arrays([*held.columns, pa.array([hub], pa.int64()), pa.array([least], pa.int32())], [*names, "_hub", "_least"])
 
-    made = texts.select("_node", "_text").mapInArrow(sign, "_sig bigint, _node bigint")
-    return made.repartition("_sig").sortWithinPartitions("_sig", "_node").mapInArrow(several, "_sig bigint, _node bigint, _hub bigint")
+    made = texts.select("_node", "_text").mapInArrow(sign, schema)
+    return made.repartition("_sig").sortWithinPartitions("_sig", "_r", "_node").mapInArrow(several, schema + ", _hub bigint, _least int")
 
 
 def alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -514,18 +508,26 @@ def all_links(shared: DataFrame, sets: DataFrame, forest: DataFrame, similarity:
     """(_node, _label): components of all pairs of nodes so alike; ``forest`` has some of their links.
 
     First every node meets one hub, the least of its signatures' hubs. Then each node that is
-    not linked to the hub of a signature meets all others there that it isn't linked to: of
+    not linked to the hub of a signature meets others there that it isn't linked to: of
     two nodes without a link, one at least is not linked to the hub.
+
+    A common shingle may be in any number of nodes. Pairs that share another shingle too meet there, so here
+    only those count that are alike by their common shingles alone: the smaller number of common ones is ``similarity`` at least of
+    the larger and all others of both. Where the common shingles are the same ones, whoever is like any node is like the
+    hub, which has the fewest others; so nodes that are not like it are out before any pairs are made.
     """
     met = shared.where("_node <> _hub").groupBy(F.col("_node").alias("_b")).agg(F.min("_hub").alias("_a"))
     edges = stash(alike_pairs(met, sets, similarity).union(forest), "links")
     labels = components(edges)
     hub = labels.select(F.col("_node").alias("_hub"), F.col("_label").alias("_main"))
-    told = shared.join(labels, "_node", "left").join(hub, "_hub", "left").select("_sig", "_node", "_hub", F.coalesce("_label", "_node").alias("_label"), F.coalesce("_main", "_hub").alias("_main"))
+    told = shared.join(labels, "_node", "left").join(hub, "_hub", "left").select("_sig", "_node", "_many", "_c", "_r", "_least", F.coalesce("_label", "_node").alias("_label"), F.coalesce("_main", "_hub").alias("_main"))
     told = stash(told, "told")
-    apart = told.where("_label <> _main").select("_sig", F.col("_node").alias("_a"), F.col("_label").alias("_from"))
-    others = told.select("_sig", F.col("_node").alias("_b"), F.col("_label").alias("_at"), (F.col("_label") == F.col("_main")).alias("_in"))
-    rest = apart.join(others, "_sig").where("_from <> _at AND (_in OR _a < _b)").select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
+    hopeful = ~F.col("_many") | (F.col("_r") + F.col("_least") <= F.lit(1 / similarity - 1 + 1e-9) * F.col("_c"))  # no partner has fewer others than the hub
+    apart = told.where((F.col("_label") != F.col("_main")) & hopeful).select("_sig", F.col("_node").alias("_a"), F.col("_label").alias("_from"), "_many", F.col("_c").alias("_ca"), F.col("_r").alias("_ra"))
+    others = told.select("_sig", F.col("_node").alias("_b"), F.col("_label").alias("_at"), (F.col("_label") == F.col("_main")).alias("_in"), F.col("_c").alias("_cb"), F.col("_r").alias("_rb"))
+    alike = F.least("_ca", "_cb") + F.when(F.col("_many"), 0).otherwise(F.least("_ra", "_rb")) >= F.lit(similarity - 1e-9) * (F.greatest("_ca", "_cb") + F.when(F.col("_many"), F.col("_ra") + F.col("_rb")).otherwise(F.greatest("_ra", "_rb")))
+    rest = apart.join(others, ["_sig"]).where((F.col("_from") != F.col("_at")) & (F.col("_in") | (F.col("_a") < F.col("_b"))) & alike)
+    rest = rest.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
     more = stash(alike_pairs(rest, sets, similarity), "more")
     return labels if more.isEmpty() else components(edges.union(more))
 

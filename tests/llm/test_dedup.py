@@ -243,7 +243,11 @@ def test_signatures_lose_no_pair():
         if simhash.similar(x, y, 0.8):
             hits += 1
             for common in (x[:0], np.unique(x[rng.random(n) < 0.6])):
-                assert len(np.intersect1d(simhash.signatures(x, 0.8, common), simhash.signatures(y, 0.8, common)))
+                (a, a_known, a_all), (b, b_known, _) = simhash.signatures(x, 0.8, common), simhash.signatures(y, 0.8, common)
+                met = np.intersect1d(a, b)
+                assert len(met) and a_all == np.isin(x, common).sum()
+                if len(np.setdiff1d(np.intersect1d(x, y), common)):  # they share one that is not common: they meet there
+                    assert np.setdiff1d(met, common).size and (~a_known).any() and (~b_known).any()
     assert hits > 1000
 
 
@@ -260,6 +264,20 @@ def test_no_pair_is_beyond_the_radii(spark):
     assert sorted(r.doc_id for r in simhash.distinct_documents(df).collect()) == [i for i, _ in sorted(rows) if i < 1000]
 
 
+def test_documents_around_a_common_passage(spark, monkeypatch):
+    """Alike only by a passage that very many share: in all shares from half of the text to all of it."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(k, passage + " " + " ".join(f"o{k}x{i}" for i in range(k % 40))) for k in range(160)]
+    rows += [(1000 + k, " ".join(passage.split()[: 40 + k]) + " " + " ".join(f"s{k}x{i}" for i in range(k % 7))) for k in range(20)]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA).repartition(3)
+    want = sorted(min(rows[i][0] for i in g) for g in brute_groups(rows))
+    assert sorted(r.doc_id for r in simhash.distinct_documents(df).collect()) == want
+    made = []
+    monkeypatch.setattr(simhash, "alike_pairs", lambda pairs, sets, similarity, f=simhash.alike_pairs: made.append(pairs.count()) or f(pairs, sets, similarity))
+    simhash.distinct_documents(df).count()
+    assert max(made) < 6 * len(rows)  # of 16110 pairs
+
+
 def test_large_leaves_are_parted(spark, monkeypatch):
     monkeypatch.setattr(simhash, "GRID", 20)
     monkeypatch.setattr(simhash, "SETS", 8 * 120 * 15)
