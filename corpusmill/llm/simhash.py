@@ -48,6 +48,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -282,7 +283,10 @@ class WordHashes(dict):
 
     def shingles(self, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the words and of the shingles of a text, repeats included."""
-        found = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+        return self.of(text.encode("utf-8", "surrogatepass"), words)
+
+    def of(self, data: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
+        found = data.translate(LOWER).split()
         single = np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
         width = min(words, len(found))
         if not width:
@@ -347,6 +351,18 @@ def verified_forest(prints: np.ndarray, home: np.ndarray, sets: list[np.ndarray]
     return a, label[a]
 
 
+class ShingleSets:
+    """Distinct shingle hashes of compressed texts, which are a third of the size of their sets; the last one is remembered."""
+
+    def __init__(self, words: int) -> None:
+        self.memory, self.words, self.last = WordHashes(), words, (b"", np.zeros(0, np.uint64))
+
+    def __call__(self, packed: bytes) -> np.ndarray:
+        if packed != self.last[0]:
+            self.last = packed, np.unique(self.memory.of(zstandard.decompress(packed), self.words)[1])
+        return self.last[1]
+
+
 def as_words(column: Any) -> np.ndarray:
     values = column.to_pylist()
     return np.frombuffer(b"".join(values), ">u8").astype(np.uint64).reshape(len(values), -1) if values else np.zeros((0, 1), np.uint64)
@@ -399,12 +415,12 @@ def candidate_members(distinct: DataFrame, radius: int, shingle_radius: int, sim
     return distinct.select("_fp", "_n").mapInArrow(send, schema).groupBy("_shard").applyInArrow(compare, schema)
 
 
-def verified_links(members: DataFrame, sets: DataFrame, radius: int, shingle_radius: int, similarity: float) -> DataFrame:
-    """(_a, _b): forests of the members' links, by node, whose sets, (_node, _fp, _set), are at least so alike."""
+def verified_links(members: DataFrame, sets: DataFrame, words: int, radius: int, shingle_radius: int, similarity: float) -> DataFrame:
+    """(_a, _b): forests of the members' links, by node, whose texts, (_node, _fp, _set), are at least so alike."""
 
     def verify(rows: pa.Table) -> pa.Table:
-        node, found = rows.column("_node").to_numpy(), rows.column("_set").combine_chunks()
-        shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in found]
+        node, sets_of = rows.column("_node").to_numpy(), ShingleSets(words)
+        shingles = [sets_of(x.as_py()) for x in rows.column("_set")]
         a, b = verified_forest(as_words(rows.column("_fp")), rows.column("_home").to_numpy(), shingles, radius, shingle_radius, similarity)
         return pa.table({"_a": pa.array(node[a], pa.int64()), "_b": pa.array(node[b], pa.int64())})
 
@@ -489,22 +505,23 @@ def shared_signatures(texts: DataFrame, words: int, similarity: float) -> DataFr
     return made.repartition("_sig").sortWithinPartitions("_sig", "_r", "_node").mapInArrow(several, schema + ", _hub bigint, _least int")
 
 
-def alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def alike_pairs(pairs: DataFrame, sets: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of the distinct pairs (_a, _b) of nodes whose sets are at least so alike.
 
     A hub comes last, when the rows of its many pairs are wide enough for Spark to part them.
     """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = ShingleSets(words), ShingleSets(words)
         for batch in batches:
-            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array([similar(a, b, similarity) for a, b in zip(x, y, strict=True)], pa.bool_()))
+            x, y = batch.column(2), batch.column(3)
+            yield batch.select([0, 1]).filter(pa.array([similar(first(a.as_py()), second(b.as_py()), similarity) for a, b in zip(x, y, strict=True)], pa.bool_()))
 
     a, b = (sets.select(F.col("_node").alias(c), F.col("_set").alias(c + "set")) for c in ("_a", "_b"))
     return pairs.select("_a", "_b").join(b, "_b").join(a, "_a").select("_a", "_b", "_aset", "_bset").mapInArrow(verify, "_a bigint, _b bigint")
 
 
-def all_links(shared: DataFrame, sets: DataFrame, forest: DataFrame, similarity: float) -> DataFrame:
+def all_links(shared: DataFrame, sets: DataFrame, forest: DataFrame, words: int, similarity: float) -> DataFrame:
     """(_node, _label): components of all pairs of nodes so alike; ``forest`` has some of their links.
 
     First every node meets one hub, the least of its signatures' hubs. Then each node that is
@@ -517,7 +534,7 @@ def all_links(shared: DataFrame, sets: DataFrame, forest: DataFrame, similarity:
     hub, which has the fewest others; so nodes that are not like it are out before any pairs are made.
     """
     met = shared.where("_node <> _hub").groupBy(F.col("_node").alias("_b")).agg(F.min("_hub").alias("_a"))
-    edges = stash(alike_pairs(met, sets, similarity).union(forest), "links")
+    edges = stash(alike_pairs(met, sets, words, similarity).union(forest), "links")
     labels = components(edges)
     hub = labels.select(F.col("_node").alias("_hub"), F.col("_label").alias("_main"))
     told = shared.join(labels, "_node", "left").join(hub, "_hub", "left").select("_sig", "_node", "_many", "_c", "_r", "_least", F.coalesce("_label", "_node").alias("_label"), F.coalesce("_main", "_hub").alias("_main"))
@@ -528,7 +545,7 @@ def all_links(shared: DataFrame, sets: DataFrame, forest: DataFrame, similarity:
     alike = F.least("_ca", "_cb") + F.when(F.col("_many"), 0).otherwise(F.least("_ra", "_rb")) >= F.lit(similarity - 1e-9) * (F.greatest("_ca", "_cb") + F.when(F.col("_many"), F.col("_ra") + F.col("_rb")).otherwise(F.greatest("_ra", "_rb")))
     rest = apart.join(others, ["_sig"]).where((F.col("_from") != F.col("_at")) & (F.col("_in") | (F.col("_a") < F.col("_b"))) & alike)
     rest = rest.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
-    more = stash(alike_pairs(rest, sets, similarity), "more")
+    more = stash(alike_pairs(rest, sets, words, similarity), "more")
     return labels if more.isEmpty() else components(edges.union(more))
 
 
@@ -545,10 +562,10 @@ def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
             made = [blocks_of(t or "", words, bits, memory) for t in batch.column(text_at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64())], [*names, fp, size])
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = WordHashes()
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            made = [np.unique(memory.shingles(t or "", words)[1]).tobytes() for t in batch.column(2).to_pylist()]
+            made = [pack((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["_node", "_fp", "_set"])
 
     printed = docs.mapInArrow(run, f"{schema}, `{fp}` binary, `{size}` bigint")
@@ -559,12 +576,12 @@ def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     texts = printed.select(F.col(row).alias("_node"), F.col(fp).alias("_fp"), F.col(f"`{text_col}`").cast("string").alias("_text")).join(distinct.select("_node"), "_node", "left_semi")
     shared = stash(shared_signatures(texts, words, similarity), "shared")
     some = stash(shared.select("_node").distinct(), "some")
-    sets = stash(texts.join(some, "_node", "left_semi").select("_node", "_fp", "_text").mapInArrow(sets_of, "_node bigint, _fp binary, _set binary"), "sets")
+    sets = stash(texts.join(some, "_node", "left_semi").select("_node", "_fp", "_text").mapInArrow(packed, "_node bigint, _fp binary, _set binary"), "sets")
     shingle_radius = radius_of(similarity, bits)
     near = distinct.join(some, "_node", "left_semi")  # no other has a document alike
     members = candidate_members(near, radius, shingle_radius, similarity, leaf_load)
-    forest = verified_links(members, sets, radius, shingle_radius, similarity)
-    labels = all_links(shared, sets, forest, similarity)
+    forest = verified_links(members, sets, words, radius, shingle_radius, similarity)
+    labels = all_links(shared, sets, forest, words, similarity)
     grouped = distinct.join(labels, "_node", "left").groupBy(F.coalesce("_label", "_node")).agg(F.min("_least").alias("_least"))
     stay = grouped.select(F.col("_least.row").alias(row))
     return printed.join(stay, row, "left_semi").select(*(f"`{c}`" for c in names))
