@@ -52,7 +52,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, free_name, mixed, stash
+from .common import MIX, free_name, mixed, stash, values
 
 SEED, SAMPLE, LEAF_LOAD, BLOCK = 42, 4096, 12_000, 200_000
 #: Members of a block of a leaf, and bytes of shingle sets that meet in one task.
@@ -424,7 +424,7 @@ def verified_links(members: DataFrame, sets: DataFrame, words: int, radius: int,
         a, b = verified_forest(as_words(rows.column("_fp")), rows.column("_home").to_numpy(), shingles, radius, shingle_radius, similarity)
         return pa.table({"_a": pa.array(node[a], pa.int64()), "_b": pa.array(node[b], pa.int64())})
 
-    return members.join(sets, "_fp").groupBy("_shard").applyInArrow(verify, "_a bigint, _b bigint")
+    return members.join(sets.drop("_counts"), "_fp").groupBy("_shard").applyInArrow(verify, "_a bigint, _b bigint")
 
 
 def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
@@ -505,20 +505,42 @@ def shared_signatures(texts: DataFrame, words: int, similarity: float) -> DataFr
     return made.repartition("_sig").sortWithinPartitions("_sig", "_r", "_node").mapInArrow(several, schema + ", _hub bigint, _least int")
 
 
+def shingle_counts(shingles: np.ndarray) -> bytes:
+    """How many of a set's hashes begin with each of 64 values (65535 at most), and the set's size."""
+    counts = np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=64)
+    return np.minimum(counts, 65535).astype("<u2").tobytes() + len(shingles).to_bytes(4, "little")
+
+
+def may_be_alike(x: list[bytes], y: list[bytes], similarity: float) -> np.ndarray:
+    """Whether sets of these counts can be so alike: counts differ in no more than the sets do."""
+    a, b = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, 132) for v in (x, y))
+    h, g = (np.ascontiguousarray(v[:, :128]).view("<u2").astype(np.int32) for v in (a, b))
+    n = sum(np.ascontiguousarray(v[:, 128:]).view("<u4")[:, 0].astype(np.int64) for v in (a, b))
+    return np.abs(h - g).sum(1) <= (1 - similarity) / (1 + similarity) * n + 1e-6
+
+
 def alike_pairs(pairs: DataFrame, sets: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of the distinct pairs (_a, _b) of nodes whose sets are at least so alike.
 
+    Counts of their shingles by beginning, which are small, put out most pairs before the texts are fetched.
     A hub comes last, when the rows of its many pairs are wide enough for Spark to part them.
     """
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.select([0, 1]).filter(pa.array(may_be_alike(batch.column(2).to_pylist(), batch.column(3).to_pylist(), similarity)))
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = ShingleSets(words), ShingleSets(words)
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
             yield batch.select([0, 1]).filter(pa.array([similar(first(a.as_py()), second(b.as_py()), similarity) for a, b in zip(x, y, strict=True)], pa.bool_()))
 
+    a, b = (sets.select(F.col("_node").alias(c), F.col("_counts").alias(c + "counts")) for c in ("_a", "_b"))
+    pairs = pairs.select("_a", "_b").join(b, "_b").join(a, "_a").select("_a", "_b", "_acounts", "_bcounts").mapInArrow(counted, "_a bigint, _b bigint")
     a, b = (sets.select(F.col("_node").alias(c), F.col("_set").alias(c + "set")) for c in ("_a", "_b"))
-    return pairs.select("_a", "_b").join(b, "_b").join(a, "_a").select("_a", "_b", "_aset", "_bset").mapInArrow(verify, "_a bigint, _b bigint")
+    return pairs.join(b, "_b").join(a, "_a").select("_a", "_b", "_aset", "_bset").mapInArrow(verify, "_a bigint, _b bigint")
 
 
 def all_links(shared: DataFrame, sets: DataFrame, forest: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -563,10 +585,11 @@ def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64())], [*names, fp, size])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack, memory = zstandard.ZstdCompressor(level=1).compress, WordHashes()
         for batch in batches:
-            made = [pack((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["_node", "_fp", "_set"])
+            data = [(t or "").encode("utf-8", "surrogatepass") for t in values(batch.column(2))]
+            counts = [shingle_counts(np.unique(memory.of(d, words)[1])) for d in data]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(pack, data), pa.binary()), pa.array(counts, pa.binary())], ["_node", "_fp", "_set", "_counts"])
 
     printed = docs.mapInArrow(run, f"{schema}, `{fp}` binary, `{size}` bigint")
     printed = stash(printed.withColumn(row, F.monotonically_increasing_id()), "printed")
@@ -576,7 +599,7 @@ def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     texts = printed.select(F.col(row).alias("_node"), F.col(fp).alias("_fp"), F.col(f"`{text_col}`").cast("string").alias("_text")).join(distinct.select("_node"), "_node", "left_semi")
     shared = stash(shared_signatures(texts, words, similarity), "shared")
     some = stash(shared.select("_node").distinct(), "some")
-    sets = stash(texts.join(some, "_node", "left_semi").select("_node", "_fp", "_text").mapInArrow(packed, "_node bigint, _fp binary, _set binary"), "sets")
+    sets = stash(texts.join(some, "_node", "left_semi").select("_node", "_fp", "_text").mapInArrow(packed, "_node bigint, _fp binary, _set binary, _counts binary"), "sets")
     shingle_radius = radius_of(similarity, bits)
     near = distinct.join(some, "_node", "left_semi")  # no other has a document alike
     members = candidate_members(near, radius, shingle_radius, similarity, leaf_load)

@@ -242,6 +242,7 @@ def test_signatures_lose_no_pair():
         x, y = np.unique(x), np.unique(np.concatenate([x[cut:], rng.integers(0, 2**64, add, dtype=np.uint64)]))
         if simhash.similar(x, y, 0.8):
             hits += 1
+            assert simhash.may_be_alike([simhash.shingle_counts(x)], [simhash.shingle_counts(y)], 0.8).all()
             for common in (x[:0], np.unique(x[rng.random(n) < 0.6])):
                 (a, a_known, a_all), (b, b_known, _) = simhash.signatures(x, 0.8, common), simhash.signatures(y, 0.8, common)
                 met = np.intersect1d(a, b)
