@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import identity, text, vectors
 from corpusmill.operators import chunking, journal
 from corpusmill.settings import load_settings
-from corpusmill.sources import routing
+from corpusmill.sources import readers, routing  # noqa: F401  readers register their loaders when imported
 
 
 def column(spark, values, f, kind="string"):
