@@ -293,13 +293,18 @@ def vocabulary(path: str | None) -> Vocabulary:
     return Vocabulary(path or default_tokenizer())
 
 
-@lru_cache(maxsize=4)
-def text_encoder(path: str | None) -> TextEncoder:
+def new_encoder(path: str | None) -> TextEncoder:
     v = vocabulary(path)
     memory = PieceMemory(lambda piece: v.encode_piece(piece.encode()))
     return TextEncoder(v.specials, lambda text: b"".join(map(memory.__getitem__, pieces(text))))
 
 
+@lru_cache(maxsize=4)
+def text_encoder(path: str | None) -> TextEncoder:
+    """An encoder that stays with the worker, with the words that it remembers."""
+    return new_encoder(path)
+
+
 def default_tokenizer() -> str:
     """The path on this machine: asked for by the worker that reads the file."""
     import public_tokenizers
@@ -359,7 +364,7 @@ def tokenised(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "sourc
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, v = text_encoder(tokenizer), vocabulary(tokenizer)
+        encoder, v = new_encoder(tokenizer), vocabulary(tokenizer)  # its words go with the task: other stages share the worker
         for batch in batches:
             for k in range(0, batch.num_rows, 256):  # bounds the ids in memory
                 some = batch.slice(k, 256)

@@ -140,11 +140,11 @@ def fit_scorer(rows: Iterable[tuple[str, float]], updates: int = 24_000, alpha:
     examples = []
     for text, target in rows:
         slots, counts = np.unique(features.of(Rates(text)), return_counts=True)
-        examples.append((slots, np.minimum(counts, 8).astype(np.float64), target))
+        examples.append((slots.astype(np.int32), np.minimum(counts, 8).astype(np.uint8), target))  # small types: all examples stay in memory
     z, n = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
     for _ in range(-(-updates // max(1, len(examples)))):
         for slots, counts, target in examples:
-            at, x = slots, counts
+            at, x = slots, counts.astype(np.float64)
             step = (beta + np.sqrt(n[at])) / alpha + l2
             w = np.where(np.abs(z[at]) > l1, -(z[at] - np.sign(z[at]) * l1) / step, 0.0)
             g = (1 / (1 + np.exp(-np.clip(w @ x + intercept, -30, 30))) - target) * x
