@@ -276,7 +276,7 @@ class WordHashes(dict):
     """Word to its XXH64; forgets all when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word, SEED)
         return found
@@ -434,7 +434,7 @@ def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
         for batch in batches:
-            for t in batch.column(0).to_pylist():
+            for t in values(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(memory.shingles(t or "", words)[1]).view(np.int64))], ["_at"])
 
     some = texts.where(F.pmod(F.xxhash64("_fp"), F.lit(1 << 30)) < int(share * (1 << 30))).select("_text")
@@ -581,7 +581,7 @@ def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
         for batch in batches:
-            made = [blocks_of(t or "", words, bits, memory) for t in batch.column(text_at).to_pylist()]
+            made = [blocks_of(t or "", words, bits, memory) for t in values(batch.column(text_at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64())], [*names, fp, size])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

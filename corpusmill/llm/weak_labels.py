@@ -13,7 +13,8 @@ The labellers of toxicity look for abusive terms: a short list, and words and wo
 beginnings that a sample of rows from a table of labels shows to go with toxic
 documents. That table itself is a labeller too, where its sample covers a document.
 
-Bounds: at most ``LABELLED`` labelled rows give terms (all that these rows show are kept), and the scorer is fitted on at most ``FITTED`` documents (labelled ones first), in one task. Votes and
+Bounds: at most ``LABELLED`` labelled rows give terms (all that these rows show are kept), and the
+scorer is fitted on at most ``FITTED`` documents (labelled ones first), in one task. Votes and
 verdicts cover all documents.
 
 Defined cases: a null or empty text gets the scorer's verdict on no words, which is
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from operator import eq
+from operator import eq, itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ from .host_rules import measure
 
 LABELLED, FITTED = 20_000, 6_000
 WIDTH, CLEAR_LEAST, TRUST = 1 << 18, 0.95, 5.0
+#: Words that a task remembers the terms of; beyond, it forgets all and goes on.
+WORDS = 100_000
 BEGINNINGS = (5, 7)
 BAD, GOOD, SILENT = 1, 0, 2
 #: The terms that the abuse labeller starts from.
@@ -90,7 +93,7 @@ class TermHits(dict):
         self.found = found
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > WORDS:
             self.clear()
         bare, *starts = terms_of(word)
         hit = self[word] = (bare in ABUSE_LIST) + 2 * (bare in self.found) + 4 * any(x in self.found for x in starts)
@@ -118,7 +121,7 @@ class Features:
     def word(self, word: str) -> tuple[int, ...]:
         found = self.of_word.get(word)
         if found is None:
-            if len(self.of_word) > 300_000:
+            if len(self.of_word) > WORDS:
                 self.of_word.clear()
             found = self.of_word[word] = tuple(map(self.slot, dict.fromkeys(terms_of(word))))
         return found
@@ -130,17 +133,21 @@ class Features:
         return np.array([s for w in rates.distinct for s in self.word(w)] + self.rates(rates), np.int64)
 
 
-def fit_scorer(rows: Iterable[tuple[str, float]], updates: int = 24_000, alpha: float = 0.2, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, intercept: float = -2.0) -> np.ndarray:
-    """Weights of the hashed features and, last, the intercept, from texts and probabilities of being bad.
+Example = tuple[np.ndarray, np.ndarray, float]
+
+
+def example(features: Features, text: str, target: float) -> Example:
+    """Slots, counts (8 at most) and target of a text, in small types: all examples stay in memory."""
+    slots, counts = np.unique(features.of(Rates(text)), return_counts=True)
+    return slots.astype(np.int32), np.minimum(counts, 8).astype(np.uint8), target
+
+
+def fit_scorer(examples: list[Example], updates: int = 24_000, alpha: float = 0.2, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, intercept: float = -2.0) -> np.ndarray:
+    """Weights of the hashed features and, last, the intercept, from examples of texts and probabilities of being bad.
 
     Examples are passed until ``updates`` are made. The intercept is fixed: a text
     without evidence is kept.
     """
-    features = Features()
-    examples = []
-    for text, target in rows:
-        slots, counts = np.unique(features.of(Rates(text)), return_counts=True)
-        examples.append((slots.astype(np.int32), np.minimum(counts, 8).astype(np.uint8), target))  # small types: all examples stay in memory
     z, n = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
     for _ in range(-(-updates // max(1, len(examples)))):
         for slots, counts, target in examples:
@@ -253,9 +260,13 @@ def train(texts: DataFrame, labels: DataFrame | None) -> tuple[np.ndarray, dict]
     examples = texts.join(F.broadcast(chosen), "_id").select("_id", "_text", "_pattern")  # FITTED rows at most
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((i, t, p) for b in batches for i, t, p in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True))
-        rows.sort(key=lambda r: zlib.crc32(str(r[0]).encode()))
-        weights = fit_scorer((t, posterior[p]) for _, t, p in rows) if rows else np.zeros(WIDTH + 1)
+        features, made = Features(), []
+        for batch in batches:  # texts go as they come, examples stay
+            for i, t, p in zip(*(values(batch.column(c)) for c in range(3)), strict=True):
+                data = t.encode("utf-8", "surrogatepass")
+                made.append(((zlib.crc32(str(i).encode()), i, zlib.crc32(data), p), example(features, t, posterior[p])))
+        made.sort(key=itemgetter(0))
+        weights = fit_scorer([x for _, x in made]) if made else np.zeros(WIDTH + 1)
         at = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weights[at])], ["at", "weight"])
 
@@ -278,7 +289,7 @@ class Scorer:
         for w in rates.distinct:
             hits = self.known.get(w)
             if hits is None:
-                if len(self.known) > 200_000:
+                if len(self.known) > WORDS:
                     self.known.clear()
                 hits = self.known[w] = tuple(s for s in map(Features.slot, dict.fromkeys(terms_of(w))) if s in slim)
             for s in hits:
