@@ -1,7 +1,9 @@
 """The corpus as two Parquet tables: chunks, only ever appended, and a small log of generation states.
 
 A generation becomes visible when its ``active`` row is in the log, so a publish is
-one small write. There is one writer at a time (:func:`single_writer`).
+one small write. Every write of chunks has an id, which the log names before the chunks
+come: chunks of a write that was broken off or overtaken are read by no one, and no read
+has to drop duplicates. There is one writer at a time (:func:`single_writer`).
 """
 
 from __future__ import annotations
@@ -16,6 +18,10 @@ from pyspark.sql import functions as F
 from ..operators import visibility
 from ..schemas import CHUNK, GENERATION_STATE
 
+#: The fields of a generation, and of one write of it.
+KEY = ["document_id", "ingest_generation"]
+WRITE = [*KEY, "write_id"]
+
 
 class CorpusTable:
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -37,32 +43,45 @@ class CorpusTable:
     def log(self) -> DataFrame:
         return self._read(f"{self.path}/generation_state", GENERATION_STATE)
 
+    def states(self) -> DataFrame:
+        """document_id, ingest_generation, ingest_state, write_id: what holds of every generation."""
+        newest = F.max_by(F.struct("state", "write_id"), F.col("seq"))
+        held = self.log().groupBy(*KEY).agg(newest.alias("~held"))
+        return held.select(*KEY, F.col("~held.state").alias("ingest_state"), F.col("~held.write_id").alias("write_id"))
+
+    def _rows(self, states: DataFrame) -> DataFrame:
+        """Chunks of the writes that ``states`` names, with their state."""
+        rows = self._read(self._version(), f"{CHUNK}, write_id string")
+        return rows.join(states, WRITE).select(*_names(CHUNK), "ingest_state")
+
     def chunks(self) -> DataFrame:
-        """All chunks with the state of their generation; without one: pending. A chunk written twice counts once."""
-        rows = self._read(self._version(), CHUNK).dropDuplicates(["point_id", "ingest_generation"])
-        states = visibility.latest_states(self.log())
-        joined = rows.join(states, ["document_id", "ingest_generation"], "left")
-        return joined.withColumn("ingest_state", F.coalesce("ingest_state", F.lit("pending"))).where("ingest_state <> 'retired'")
+        """All chunks with the state of their generation, but for retired ones."""
+        return self._rows(self.states().where("ingest_state <> 'retired'"))
+
+    def heads(self) -> DataFrame:
+        """document_id, ingest_generation, ingest_state, write_id: the highest active generation of each document, from the log alone."""
+        newest = F.max_by(F.struct("ingest_generation", "ingest_state", "write_id"), F.col("ingest_generation"))
+        return self.states().where("ingest_state = 'active'").groupBy("document_id").agg(newest.alias("~head")).select("document_id", "~head.*")
 
     def visible(self) -> DataFrame:
-        """What readers see: the heads come from the small log, chunks are pruned by a join with them."""
-        active = visibility.latest_states(self.log()).where("ingest_state = 'active'")
-        heads = active.groupBy("document_id").agg(F.max("ingest_generation").alias("ingest_generation"))
-        rows = self._read(self._version(), CHUNK).dropDuplicates(["point_id", "ingest_generation"])
-        return rows.join(heads, ["document_id", "ingest_generation"]).withColumn("ingest_state", F.lit("active"))
+        """What readers see: chunks joined with the heads, which come from the small log."""
+        return self._rows(self.heads())
+
+    def append(self, chunks: DataFrame, write_id: str) -> None:
+        """Add chunks of a write that the log has announced."""
+        chunks.select(*_names(CHUNK), F.lit(write_id).alias("write_id")).write.mode("append").parquet(self._version())
 
-    def append(self, chunks: DataFrame) -> None:
-        chunks.select(*(c.split()[0] for c in _fields(CHUNK))).write.mode("append").parquet(self._version())
+    def set_states(self, generations: DataFrame, state: str, write_id: str | None = None) -> int:
+        """Log a state for each (document_id, ingest_generation); returns how many.
 
-    def set_states(self, generations: DataFrame, state: str) -> int:
-        """Log a state for each (document_id, ingest_generation); returns how many."""
+        Without ``write_id`` they keep the write that the log has for them; those that it does not know are left out.
+        """
         rows = generations.select("document_id", F.col("ingest_generation").cast("int")).distinct()
-        first = self.log().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
-        logged = rows.select("*", F.lit(state).alias("state"), F.lit(first).cast("bigint").alias("seq"), F.current_timestamp().alias("at"))
-        n = rows.count()
-        if n:
-            logged.write.mode("append").parquet(f"{self.path}/generation_state")
-        return n
+        rows = rows.withColumn("write_id", F.lit(write_id)) if write_id is not None else rows.join(self.states().select(*WRITE), KEY)
+        seq = (self.log().agg(F.max("seq")).first()[0] or 0) + 1
+        logged = rows.select(*KEY, F.lit(state).alias("state"), F.lit(seq).cast("bigint").alias("seq"), F.current_timestamp().alias("at"), "write_id")
+        logged.write.mode("append").parquet(f"{self.path}/generation_state")
+        return self.log().where(F.col("seq") == seq).count()
 
     def generation(self, document_id: str, number: int) -> DataFrame:
         return self.chunks().where((F.col("document_id") == document_id) & (F.col("ingest_generation") == number) & (F.col("ingest_state") == "active")).orderBy("chunk_index")
@@ -71,7 +90,8 @@ class CorpusTable:
         """Rewrite the chunks that readers see to a new folder and name it; the counts of what went."""
         counts = visibility.gc_counts(self.chunks()).first().asDict()
         folder = f"chunks-{uuid.uuid4().hex}"
-        self.visible().select(*(c.split()[0] for c in _fields(CHUNK))).write.parquet(f"{self.path}/{folder}")
+        rows = self._read(self._version(), f"{CHUNK}, write_id string")
+        rows.join(self.heads().select(*WRITE), WRITE, "left_semi").write.parquet(f"{self.path}/{folder}")
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         names = hadoop.Path(f"{self.path}/snapshots")
         fs = names.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -80,13 +100,13 @@ class CorpusTable:
         return counts
 
 
-def _fields(ddl: str) -> list[str]:
-    """The fields of a schema string; commas inside brackets do not part them."""
+def _names(ddl: str) -> list[str]:
+    """The names of a schema string's fields; commas inside brackets do not part them."""
     out, depth, start = [], 0, 0
     for i, c in enumerate(ddl + ","):
         depth += (c == "<") - (c == ">")
         if c == "," and not depth:
-            out.append(ddl[start:i].strip())
+            out.append(ddl[start:i].split()[0])
             start = i + 1
     return out
 

@@ -25,8 +25,9 @@ def ingest(table: CorpusTable, documents: DataFrame, tags: tuple[str, ...] = (),
 
     Encrypted, scanned and unreadable documents are skipped or errors. A document whose
     content is that of its active generation is a no-op (unless ``force``). The rest
-    are chunked, embedded and written; those whose probes pass are published in one
-    write to the state log, the others stay invisible and marked failed.
+    are chunked, embedded and written; those whose probes pass, and whose chunks are all
+    there, are published in one write to the state log, the others stay invisible and
+    marked failed. If a step raises, nothing is published and the whole write is marked failed.
     """
     with single_writer(table.spark, table.path):
         heads = visibility.active_content(table.visible())
@@ -45,25 +46,21 @@ def ingest(table: CorpusTable, documents: DataFrame, tags: tuple[str, ...] = (),
             "point_id": point_id(F.col("document_id"), F.col("document_sha256"), F.col("chunk_index")),
             "tags": F.array(*map(F.lit, tags)).cast("array<string>"), "ingested_at": F.current_timestamp(),
         })
-        table.append(embedding.embed_hashing(filled, settings.dense_dim, settings.sparse_dim))
-
+        key, write_id = ["document_id", "ingest_generation"], uuid.uuid4().hex
         mine = new.select("document_id", F.col("generation").cast("int").alias("ingest_generation"), "title", "raw_text")
-        rows = table.chunks()
-        key = ["document_id", "ingest_generation"]
-        written = rows.join(mine.select(*key), key, "left_semi")
-        view = rows.where("ingest_state = 'active'").unionByName(written.where("ingest_state <> 'active'"))
-        probes = verify.derive_probes(mine, settings.topical_limit, settings.specific_limit, settings.negative_limit)
-        sizes = {"dense_dim": settings.dense_dim, "sparse_dim": settings.sparse_dim}
-        checked = verify.run_probes(probes, view, table.visible(), settings.rrf_k, settings.topical_limit, settings.negative_limit, **sizes)
-        counts = written.groupBy(*key).agg(F.count("*").alias("chunk_count"))
-        # a document without any words has no chunk: nothing to find, nothing to publish
-        judged = fixed(table, mine.select(*key).join(checked, key, "left").join(counts, key, "left"))
-        passed = F.coalesce(F.col("passed"), F.lit(False)) | F.col("chunk_count").isNull()
-        table.set_states(judged.where(passed & F.col("chunk_count").isNotNull()), "active")
-        table.set_states(judged.where(~passed), "failed")
-        result = plan.join(judged.select("document_id", "chunk_count", passed.alias("~passed"), "topical", "specific", "negative"), "document_id", "left")
+        # announced first: chunks that an earlier, broken write left for these generations are no longer read
+        table.set_states(mine, "pending", write_id)
+        try:
+            table.append(embedding.embed_hashing(filled, settings.dense_dim, settings.sparse_dim), write_id)
+            judged = judge(table, mine, settings)
+            table.set_states(judged.where("`~passed` AND chunk_count > 0"), "active", write_id)
+            table.set_states(judged.where("NOT `~passed`"), "failed", write_id)
+        except BaseException:
+            table.set_states(mine, "failed", write_id)
+            raise
+        result = plan.join(judged.select("document_id", "chunk_count", "~passed", "topical", "specific", "negative", "whole"), "document_id", "left")
         outcome = F.coalesce("outcome", F.when(F.col("~passed"), F.lit("success")).otherwise(F.lit("index_suspect")))
-        failed = F.concat_ws(", ", *(F.when(~F.col(p), F.lit(p)) for p in ("topical", "specific", "negative")))
+        failed = F.concat_ws(", ", *(F.when(~F.col(p), F.lit(p)) for p in ("topical", "specific", "negative", "whole")))
         report = result.select(
             F.col("document_path").alias("path"), "document_id", outcome.alias("outcome"), F.col("generation").cast("int").alias("generation"),
             F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "loader_verdict", F.coalesce("error", F.when(outcome == "index_suspect", failed)).alias("detail"),
@@ -74,6 +71,26 @@ def ingest(table: CorpusTable, documents: DataFrame, tags: tuple[str, ...] = (),
         return table.spark.read.parquet(path).where(F.col("at") == F.lit(at)).drop("at")
 
 
+def judge(table: CorpusTable, mine: DataFrame, settings: Settings) -> DataFrame:
+    """document_id, ingest_generation, topical, specific, negative, chunk_count, whole, ~passed of pending generations.
+
+    ``whole``: chunks number 0 to the last one are there, once each. A document without
+    any words has no chunk: nothing to find, nothing to publish, so it passes.
+    """
+    key = ["document_id", "ingest_generation"]
+    rows = table.chunks()
+    written = rows.join(mine.select(*key), key, "left_semi")
+    view = rows.where("ingest_state = 'active'").unionByName(written.where("ingest_state <> 'active'"))
+    probes = verify.derive_probes(mine, settings.topical_limit, settings.specific_limit, settings.negative_limit)
+    sizes = {"dense_dim": settings.dense_dim, "sparse_dim": settings.sparse_dim}
+    checked = verify.run_probes(probes, view, table.visible(), settings.rrf_k, settings.topical_limit, settings.negative_limit, **sizes)
+    whole = (F.count("*") == F.max("chunk_index") + 1) & (F.count_distinct("chunk_index") == F.count("*"))
+    counts = written.groupBy(*key).agg(F.count("*").alias("chunk_count"), whole.alias("whole"))
+    both = mine.select(*key).join(checked, key, "left").join(counts, key, "left")
+    passed = F.col("chunk_count").isNull() | (F.coalesce("passed", F.lit(False)) & F.col("whole"))
+    return fixed(table, both.withColumn("~passed", passed))
+
+
 def report_totals(report: DataFrame) -> dict[str, int]:
     """Counts of paths by their worst outcome."""
     return reports.totals(reports.by_path(report)).first().asDict()

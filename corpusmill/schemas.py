@@ -10,8 +10,9 @@ CHUNK = (
     "tags array<string>, producer string, ingested_at timestamp, loader_version string, chunker_version string, embedding_model string, "
     "text string, point_id string, dense array<float>, sparse struct<indices:array<int>,values:array<float>>"
 )
-#: One row for each step of a generation: pending, active, retired or failed. The last by ``seq`` holds.
-GENERATION_STATE = "document_id string, ingest_generation int, state string, seq bigint, at timestamp"
+#: One row for each step of a generation: pending, active, retired or failed, and the write that it speaks of.
+#: The last by ``seq`` holds; chunks of any other write of the generation are no longer read.
+GENERATION_STATE = "document_id string, ingest_generation int, state string, seq bigint, at timestamp, write_id string"
 JOURNAL = (
     "ts timestamp, event string, run_id string, ask_id string, ingest_id string, attempt_id string, agent string, gate string, "
     "gate_score double, verdict string, model string, escalated int, tokens int, spend double, detail map<string,string>"

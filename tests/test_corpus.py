@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import cli
 from corpusmill.operators import evals, gates, lexical, reports, search, visibility
+from corpusmill.plans import ingest as ingesting
 from corpusmill.plans.corpus_table import CorpusTable, single_writer
 from corpusmill.plans.ingest import ingest, report_totals
 from corpusmill.settings import Settings
@@ -197,3 +198,36 @@ def test_reports(spark):
     paths = reports.by_path(rows)
     assert sorted(map(tuple, paths.collect())) == [("p", "error", 2, 1), ("q", "success", 1, 4)]
     assert reports.totals(paths).first().asDict() == {"total_paths": 2, "no_op_count": 0, "success_count": 1, "skipped_count": 0, "index_suspect_count": 0, "error_count": 1}
+
+
+def test_a_broken_write_is_never_read(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.md").write_text(prose("alpha"))
+    table = CorpusTable(spark, str(tmp_path / "table"))
+    read = lambda: read_documents(read_files(spark, str(folder)))
+    with monkeypatch.context() as m:
+        m.setattr(ingesting, "judge", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            ingest(table, read(), (), SMALL)
+    assert table.visible().count() == 0 and [r.ingest_state for r in table.states().collect()] == ["failed"]
+    with single_writer(spark, table.path):  # the lock is free again
+        left = table.chunks().count()
+    assert left > 0 and table.chunks().where("ingest_state = 'failed'").count() == left
+    assert [r.outcome for r in ingest(table, read(), (), SMALL).collect()] == ["success"]
+    seen = table.visible().count()  # same generation, same point ids: the broken write's rows are gone
+    assert seen == left == table.chunks().count() == table.visible().select("point_id").distinct().count()
+    table.set_states(table.heads(), "retired")
+    assert table.visible().count() == 0 == table.chunks().count()
+    assert table.set_states(spark.createDataFrame([("nobody", 1)], "document_id string, ingest_generation int"), "active") == 0
+
+
+def test_chunks_that_are_missing_fail_a_generation(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.md").write_text(prose("alpha", 400))
+    table = CorpusTable(spark, str(tmp_path / "table"))
+    append = table.append
+    monkeypatch.setattr(table, "append", lambda rows, write_id: append(rows.where("chunk_index <> 1"), write_id))
+    report = ingest(table, read_documents(read_files(spark, str(folder))), (), SMALL).first()
+    assert report.outcome == "index_suspect" and "whole" in report.detail and table.visible().count() == 0
