@@ -34,6 +34,8 @@ import pyarrow as pa
 import re
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import lean
+
 #: Pieces and words that a worker remembers, and the length from which it does not.
 REMEMBERED, REMEMBERED_WORDS, LONG_PIECE = 200_000, 250_000, 64
 #: Marks that often follow a word.
@@ -315,6 +317,7 @@ def default_tokenizer() -> str:
 def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, token_ids array<int>: the ids of every text."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(tokenizer)
         for batch in batches:
@@ -329,6 +332,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str
 def decode_documents(encoded: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
     """id, text: the texts of id lists; a null list has the empty text."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(tokenizer)
         for batch in batches:
@@ -342,6 +346,7 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc
     """Encode and decode in one pass: id, n_tokens, ids_sha256, decoded_sha256, round_trip."""
     schema = f"`{id_col}` bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, v = text_encoder(tokenizer), vocabulary(tokenizer)
         for batch in batches:
@@ -363,6 +368,7 @@ def tokenised(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "sourc
     keep = tuple(c for c in keep if c in docs.columns)
     types = dict(docs.dtypes)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, v = new_encoder(tokenizer), vocabulary(tokenizer)  # its words go with the task: other stages share the worker
         for batch in batches:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -96,3 +97,17 @@ def values(column: pa.Array, step: int = 256) -> Iterator:
     """The values of a column as Python objects, a few at a time."""
     for at in range(0, len(column), step):
         yield from column.slice(at, step).to_pylist()
+
+
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(run: Batches) -> Batches:
+    """``run``, and once its task is done, Arrow's pool gives back what it keeps: workers wait for other stages, where it would count."""
+
+    @wraps(run)
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return both

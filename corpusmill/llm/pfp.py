@@ -54,7 +54,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, NO_ID, mixed, range_bounds, range_bucket
+from .common import MIX, NO_ID, lean, mixed, range_bounds, range_bucket
 
 LENGTH, TRIGGER, CHUNK, PART, SHARE = 50, 24, 1 << 18, 8 << 20, 4096
 #: Hash bits of a trigger, of a content beside the trigger, and of a content beside the part.
@@ -222,6 +222,7 @@ def rank_phrases(nameless: int, share: int, asks: bool) -> Callable[[Iterator[pa
     """From rows sorted by trigger, content and part: WHOLE for all but a phrase's first part; or, if ``asks``, BRING
     for the first part of phrases that share their trigger (BRING_STRINGS, if with more than ``share`` phrases)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
         before, open_a, open_b, hot = (None, None), none, none, None
@@ -297,6 +298,7 @@ def string_keys(strings: np.ndarray) -> np.ndarray:
 def sort_dictionary(length: int, load: int = 1 << 15) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Which strings of each phrase a smaller document has, from rows sorted by key, data and document."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         before, least = (None, None), 0

@@ -52,7 +52,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, free_name, mixed, stash, values
+from .common import MIX, free_name, lean, mixed, stash, values
 
 SEED, SAMPLE, LEAF_LOAD, BLOCK = 42, 4096, 12_000, 200_000
 #: Members of a block of a leaf, and bytes of shingle sets that meet in one task.
@@ -93,6 +93,7 @@ def fingerprint(text: str, words: int = 4, bits: int = 64) -> str:
 def fingerprints(docs: DataFrame, words: int = 4, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id, _fp of every document."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [fingerprint(t or "", words, bits) for t in batch.column(1).to_pylist()]
@@ -239,6 +240,7 @@ def links(distinct: DataFrame, radius: int, leaf_load: int = LEAF_LOAD) -> DataF
     seen = {leaf: len(rows) for leaf, rows, _ in route(nodes, sample, radius)}
     sides = {leaf: ceil(n * total / len(sample) / GRID) for leaf, n in seen.items()}
 
+    @lean
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2048):
@@ -390,6 +392,7 @@ def candidate_members(distinct: DataFrame, radius: int, shingle_radius: int, sim
     def parts(b: int, leaf: int) -> int:
         return ceil(load.get((b, leaf), 1) * scale * max(1 / BLOCK, 8 * exp((b + 2) * ratio) / SETS))
 
+    @lean
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2048):
@@ -431,6 +434,7 @@ def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
     """Ascending hashes of shingles that several texts of a sample have, ``COMMON`` at most. They only save work."""
     share = min(1.0, 2 * SAMPLE / max(1, texts.count()))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
         for batch in batches:
@@ -467,6 +471,7 @@ def shared_signatures(texts: DataFrame, words: int, similarity: float) -> DataFr
     names = ["_sig", "_node", "_many", "_c", "_r"]
     schema = "_sig bigint, _node bigint, _many boolean, _c int, _r int"
 
+    @lean
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
         for batch in batches:
@@ -480,6 +485,7 @@ def shared_signatures(texts: DataFrame, words: int, similarity: float) -> DataFr
                 columns += [np.repeat(c, count), np.repeat(np.array([len(x) for x in sets], np.int32) - c, count)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
+    @lean
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by signature; the last one of a batch waits for the next batch."""
         held: pa.RecordBatch | None = None  # the waiting row, and whether it goes on a run, of which hub
@@ -526,11 +532,13 @@ def alike_pairs(pairs: DataFrame, sets: DataFrame, words: int, similarity: float
     A hub comes last, when the rows of its many pairs are wide enough for Spark to part them.
     """
 
+    @lean
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield batch.select([0, 1]).filter(pa.array(may_be_alike(batch.column(2).to_pylist(), batch.column(3).to_pylist(), similarity)))
 
+    @lean
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = ShingleSets(words), ShingleSets(words)
         for batch in batches:
@@ -578,12 +586,14 @@ def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     row, fp, size = (free_name(docs, x) for x in ("~row", "~fp", "~n"))
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
         for batch in batches:
             made = [blocks_of(t or "", words, bits, memory) for t in values(batch.column(text_at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64())], [*names, fp, size])
 
+    @lean
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, memory = zstandard.ZstdCompressor(level=1).compress, WordHashes()
         for batch in batches:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, stash, values
+from .common import WORD, lean, stash, values
 from .host_rules import measure
 
 LABELLED, FITTED = 20_000, 6_000
@@ -230,6 +230,7 @@ def cast_votes(texts: DataFrame, abusive: list[str]) -> DataFrame:
     """(_id, _text, _junk, _toxic) to (_id, _pattern): a digit for each labeller's vote."""
     found = frozenset(abusive)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = TermHits(found)
         for batch in batches:
@@ -259,6 +260,7 @@ def train(texts: DataFrame, labels: DataFrame | None) -> tuple[np.ndarray, dict]
     chosen = stash(chosen.orderBy(F.col("_pattern").endswith(str(SILENT)), F.xxhash64("_id"), "_id").limit(FITTED), "chosen")
     examples = texts.join(F.broadcast(chosen), "_id").select("_id", "_text", "_pattern")  # FITTED rows at most
 
+    @lean
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, made = Features(), []
         for batch in batches:  # texts go as they come, examples stay
@@ -307,6 +309,7 @@ def score(texts: DataFrame, weights: np.ndarray) -> DataFrame:
     """(_id, _text) to (_id, _score): the scorer's probability of being bad."""
     slim = slim_weights(weights)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(slim)
         for batch in batches:
@@ -321,6 +324,7 @@ def good_documents(docs: DataFrame, labels: DataFrame | None = None, id_col: str
     weights, _ = train(prepare(docs, id_col, text_col), labels)
     slim, text_at = slim_weights(weights), docs.columns.index(text_col)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(slim)
         for batch in batches:
