@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, host_rules, hpylm, mixing, pfp, shards, simhash, token_files, weak_labels
+from . import bpe, chat, fingerprints, host_rules, hpylm, mixing, pfp, repair, shards, simhash, token_files, weak_labels, whitening
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         token_files.op8_token_files,
         simhash.op9_simhash,
         mixing.op10_mix_sources,
+        chat.op11_chat_format,
+        repair.op12_conversation_repair,
+        whitening.op13_whitening,
     )
 }
-ORACLES = {"op4_host_rules": host_rules.OP4_SQL, "op10_mix_sources": mixing.OP10_SQL}
+ORACLES = {"op4_host_rules": host_rules.OP4_SQL, "op10_mix_sources": mixing.OP10_SQL, "op11_chat_format": chat.OP11_SQL, "op12_conversation_repair": repair.OP12_SQL}
