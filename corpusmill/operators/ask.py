@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .search import hybrid_batch
+from ..plans.corpus_index import CorpusIndex, View
 
 
 def evidence(found: DataFrame, sub_queries: DataFrame, key: str = "point_id") -> DataFrame:
@@ -24,12 +24,12 @@ def ledger(found: DataFrame, sub_queries: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("hits") > 0, "answered").otherwise("empty"))
 
 
-def answer_parts(rows: DataFrame, sub_queries: DataFrame, limit: int = 10, k: int = 60, key: str = "point_id", least: float | None = 0.0) -> tuple[DataFrame, DataFrame]:
-    """Evidence and ledger of all questions together: sub_queries are (ask, query, dense, sparse), ``rows`` a visible view.
+def answer_parts(index: CorpusIndex, sub_queries: DataFrame, limit: int = 10, k: int = 60, view: View | None = None, least: float | None = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Evidence and ledger of all questions together: sub_queries are (ask, query, dense, sparse), ``view`` shows what readers see of the index.
 
     A sub-query of several questions is searched once. Rows of no likeness are no
     evidence, unless ``least`` is None: else no sub-query would ever be empty.
     """
     asked = sub_queries.select("query", "dense", "sparse").dropDuplicates(["query"])
-    found, _ = hybrid_batch(rows, asked, limit, k, key, least)
-    return evidence(found, sub_queries, key), ledger(found, sub_queries)
+    found, _ = index.hybrid(asked, limit, k, view, least)
+    return evidence(found, sub_queries, index.key), ledger(found, sub_queries)

@@ -1,4 +1,7 @@
-"""Exhaustive reads: chunks that hold all tokens of a term, exact counts, and documents by metadata."""
+"""Exhaustive reads: chunks that hold all tokens of a term, exact counts, and documents by metadata.
+
+Scans, for rows without an index; :mod:`..plans.corpus_index` answers the same from stored postings.
+"""
 
 from __future__ import annotations
 
@@ -19,7 +22,12 @@ def lexscan(rows: DataFrame, term: str) -> DataFrame:
 
 def lexscan_counts(rows: DataFrame, term: str) -> DataFrame:
     """One row: chunk_count, document_count, occurrence_count."""
-    return lexscan(rows, term).agg(F.count("*").alias("chunk_count"), F.count_distinct("document_id").alias("document_count"), F.coalesce(F.sum("occurrences"), F.lit(0)).alias("occurrence_count"))
+    return scan_counts(lexscan(rows, term))
+
+
+def scan_counts(found: DataFrame) -> DataFrame:
+    """The same of what a scan found."""
+    return found.agg(F.count("*").alias("chunk_count"), F.count_distinct("document_id").alias("document_count"), F.coalesce(F.sum("occurrences"), F.lit(0)).alias("occurrence_count"))
 
 
 def scroll(rows: DataFrame, fields: list[str]) -> DataFrame:

@@ -85,7 +85,11 @@ def hybrid_batch(rows: DataFrame, queries: DataFrame, limit: int = 10, k: int =
     """
     dense = dense_topk_batch(rows, queries.select("query", F.col("dense").alias("vector")), limit, key=key)
     dense = dense if least is None else dense.where(F.col("score") > least)
-    sparse = sparse_topk_batch(rows, queries, limit, key=key)
+    return fuse_batch(dense, sparse_topk_batch(rows, queries, limit, key=key), limit, k, key)
+
+
+def fuse_batch(dense: DataFrame, sparse: DataFrame, limit: int = 10, k: int = 60, key: str = "point_id") -> tuple[DataFrame, DataFrame]:
+    """Both arms (query, key, rank) of all queries, fused: query, key, score, rank; and query, dense_hits, sparse_hits."""
     both = dense.select("query", key, F.col("rank").alias("~d")).join(sparse.select("query", key, F.col("rank").alias("~s")), ["query", key], "full")
     part = lambda rank: F.coalesce(F.lit(1.0) / (F.lit(k) + F.col(rank)), F.lit(0.0))
     order = Window.partitionBy("query").orderBy(F.desc("score"), key)  # 2 * limit rows a query
@@ -113,21 +117,13 @@ def unit(column: pa.ChunkedArray) -> np.ndarray:
     return np.divide(m, size, out=np.full_like(m, np.nan), where=size > 0)
 
 
-def dense_topk_batch(rows: DataFrame, queries: DataFrame, k: int = 10, vector: str = "dense", key: str = "point_id", block: int = 4096) -> DataFrame:
-    """query, key, score, rank: the best ``k`` rows of every query (query, vector), by cosine similarity.
+#: Bytes of the vectors that meet in one task.
+PART_BYTES = 32 << 20
 
-    A grid: rows are dealt into parts and queries into blocks of about ``block``, and
-    each part meets each block as one matrix product. A part keeps its own best ``k``
-    for a query before anything more is shuffled. Rows and queries with a null or zero
-    vector have no result.
-    """
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    asked = queries.where(F.col("vector").isNotNull()).select("query", "vector")
-    blocks = max(1, -(-asked.count() // block))
-    slim = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = slim.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).withColumn("block", each(blocks))
-    right = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("part", each(parts))
+
+def grid(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """query, key, score: rows (keys, key, vector) and queries (keys, query, vector) that have the same ``keys``
+    meet as one matrix product, and each keeps a query's best ``k``. Ties go to the smaller key."""
     types = dict(left.dtypes)["key"], dict(right.dtypes)["query"]
 
     def best(members: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -147,9 +143,27 @@ def dense_topk_batch(rows: DataFrame, queries: DataFrame, k: int = 10, vector: s
                 scores += s[top].tolist()
         return pa.table({"query": wanted.column("query").take(pa.array(found, pa.int64())), "key": members.column("key").take(pa.array(hits, pa.int64())), "score": pa.array(scores, pa.float64())})
 
-    scored = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(best, f"query {types[1]}, key {types[0]}, score double")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, f"query {types[1]}, key {types[0]}, score double")
+
+
+def dense_topk_batch(rows: DataFrame, queries: DataFrame, k: int = 10, vector: str = "dense", key: str = "point_id", block: int = 4096, part_bytes: int = PART_BYTES) -> DataFrame:
+    """query, key, score, rank: the best ``k`` rows of every query (query, vector), by cosine similarity.
+
+    A grid, for rows without an index (:mod:`.cells` has one): rows are dealt into parts of
+    about ``part_bytes`` and queries into blocks of about ``block``, and each part meets each
+    block as one matrix product. A part keeps its own best ``k`` for a query before
+    anything more is shuffled. Rows and queries with a null or zero vector have no result.
+    """
+    slim = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
+    entries = slim.agg(F.sum(F.size("vector").cast("long"))).first()[0] or 0
+    parts = max(1, -(-entries * 8 // part_bytes))
+    asked = queries.where(F.col("vector").isNotNull()).select("query", "vector")
+    blocks = max(1, -(-asked.count() // block))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = slim.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).withColumn("block", each(blocks))
+    right = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("part", each(parts))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "key")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("key", key)
+    return grid(left, right, ["part", "block"], k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("key", key)
 
 
 def sparse_topk_batch(rows: DataFrame, queries: DataFrame, k: int = 10, vector: str = "sparse", key: str = "point_id") -> DataFrame:

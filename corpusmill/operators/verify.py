@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import body_lines, contains_folded, first_words, has_all_tokens, specific_word, words
-from ..functions.vectors import hash_dense, hash_sparse
-from .search import hybrid_batch
+from ..functions.vectors import cosine, hash_dense, hash_sparse
+from ..plans.corpus_index import CorpusIndex, View
+from ..plans.storage import stash
+
+#: What names a generation.
+KEY = ["document_id", "ingest_generation"]
 
 NONSENSE = "xyzzy_nonexistent_term_for_negative_probe"
 
@@ -46,33 +50,67 @@ def specific_results(probes: DataFrame, chunks: DataFrame) -> DataFrame:
     return both.groupBy("document_id", "ingest_generation").agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("passed"))
 
 
-def found_by_search(probes: DataFrame, chunks: DataFrame, limit: int, rrf_k: int = 60, dense_dim: int = 1024, sparse_dim: int = 30_000) -> DataFrame:
-    """document_id, ingest_generation, found: whether hybrid search in ``chunks`` (with vectors) for the
-    probe's query brings up the generation. Equal queries are searched once, all together.
+def asked_for(probes: DataFrame, dense_dim: int, sparse_dim: int) -> DataFrame:
+    """query (its text), dense, sparse, of the distinct queries of probes."""
+    return probes.select("query").distinct().select("query", hash_dense(F.col("query"), dense_dim).alias("dense"), hash_sparse(F.col("query"), sparse_dim).alias("sparse"))
+
+
+def found_by_search(probes: DataFrame, index: CorpusIndex, view: View, limit: int, rrf_k: int = 60, dense_dim: int = 1024, sparse_dim: int = 30_000) -> DataFrame:
+    """document_id, ingest_generation, found: whether hybrid search in what ``view`` shows, for the
+    probe's query, brings up the generation. Equal queries are searched once, all together.
     Rows of no likeness at all are no hits: nearest among equals would be a matter of ids."""
-    key = ["document_id", "ingest_generation"]
-    texts = probes.select("query").distinct()
-    asked = texts.select("query", hash_dense(F.col("query"), dense_dim).alias("dense"), hash_sparse(F.col("query"), sparse_dim).alias("sparse"))
-    hits, _ = hybrid_batch(chunks, asked, limit, rrf_k, least=0.0)
-    where = hits.join(chunks.select("point_id", *key), "point_id").select("query", *key).distinct().withColumn("found", F.lit(True))
-    return probes.select("query", *key).join(where, ["query", *key], "left").select(*key, F.coalesce("found", F.lit(False)).alias("found"))
+    hits, _ = index.hybrid(asked_for(probes, dense_dim, sparse_dim), limit, rrf_k, view, least=0.0)
+    places = fetch_keys(index, hits.select("query", index.key)).select("query", *KEY).distinct().withColumn("found", F.lit(True))
+    return probes.select("query", *KEY).join(places, ["query", *KEY], "left").select(*KEY, F.coalesce("found", F.lit(False)).alias("found"))
+
 
+def fetch_keys(index: CorpusIndex, hits: DataFrame) -> DataFrame:
+    """``hits`` with the generations of their rows."""
+    return hits.join(index.entries.select(index.key, *KEY), index.key)
 
-def run_probes(probes: DataFrame, chunks: DataFrame, active: DataFrame, rrf_k: int = 60, topical: int = 10, negative: int = 5, dense_dim: int = 1024, sparse_dim: int = 30_000) -> DataFrame:
+
+def found_by_rank(probes: DataFrame, index: CorpusIndex, view: View, limit: int, rrf_k: int = 60, dense_dim: int = 1024, sparse_dim: int = 30_000) -> DataFrame:
+    """As :func:`found_by_search`, by counting what beats the generation's own chunks.
+
+    The best score of a generation's own chunks for its query is a floor: only rows that
+    reach it are looked for, and a chunk of it that is among the first ``limit`` of an arm
+    has its true rank there. A chunk of ranks a and b is beaten after fusion only by rows
+    that one of the arms puts before it, so by a + b - 2 at most: fewer than the limit, and
+    the generation is found. In neither arm's first ``limit``, and it is not. Only what this leaves open is searched in full.
+    """
+    asked = stash(asked_for(probes, dense_dim, sparse_dim), "probes")
+    mine = probes.select("query", *KEY).distinct()
+    own = view(index.entries).join(mine, KEY).select("query", *KEY, index.key, F.col("dense").alias("~d"), F.col("sparse").alias("~s")).join(asked, "query")
+    pairs = F.arrays_zip(F.col("~s")["indices"].alias("i"), F.col("~s")["values"].alias("v"))
+    weights = F.map_from_arrays(F.col("sparse")["indices"], F.col("sparse")["values"])
+    dotted = F.aggregate(F.filter(pairs, lambda p: F.map_contains_key(weights, p["i"])), F.lit(0.0), lambda s, p: s + F.try_element_at(weights, p["i"]).cast("double") * p["v"].cast("double"))
+    scores = stash(own.select("query", *KEY, index.key, F.round(cosine(F.col("~d"), F.col("dense")), 9).alias("near"), dotted.alias("dot")), "own")
+    best = scores.groupBy("query", *KEY).agg(F.max("near").alias("near"), F.max("dot").alias("dot")).groupBy("query").agg(F.min("near").alias("near"), F.min("dot").alias("dot"))  # several documents may ask alike
+    floors = best.where("near IS NOT NULL").select("query", (F.col("near") - 2e-9).alias("floor")), best.where("dot IS NOT NULL").select("query", (F.col("dot") - F.abs("dot") * 1e-9 - 1e-9).alias("floor"))
+    dense, sparse = index.arms(asked, limit, view, 0.0, floors)
+    ranks = scores.join(dense.select("query", index.key, F.col("rank").alias("a")), ["query", index.key], "left").join(sparse.select("query", index.key, F.col("rank").alias("b")), ["query", index.key], "left")
+    told = ranks.groupBy("query", *KEY).agg(F.min(F.col("a") + F.col("b")).alias("both"), F.max(F.coalesce("a", "b")).alias("any"))
+    sure = F.when(F.col("both") - 2 < limit, True).when(F.col("any").isNull(), False)
+    judged = stash(mine.join(told, ["query", *KEY], "left").select("query", *KEY, sure.alias("found")), "judged")
+    rest = found_by_search(judged.where("found IS NULL").select("query", *KEY), index, view, limit, rrf_k, dense_dim, sparse_dim)
+    return judged.where("found IS NOT NULL").select(*KEY, "found").unionByName(rest)
+
+
+def run_probes(probes: DataFrame, index: CorpusIndex, view: View, active: View, rrf_k: int = 60, topical: int = 10, negative: int = 5, dense_dim: int = 1024, sparse_dim: int = 30_000) -> DataFrame:
     """document_id, ingest_generation, topical, specific, negative, deferred, passed.
 
-    ``chunks`` is the verification view, ``active`` the chunks that readers see. The
+    ``view`` shows the verification view of the index, ``active`` the chunks that readers see. The
     negative probe is deferred, which passes, while other documents have fewer active
     chunks than its limit. A probe that was not asked passes.
     """
     sizes = {"dense_dim": dense_dim, "sparse_dim": sparse_dim}
-    top = found_by_search(probes.where("probe_type = 'topical'"), chunks, topical, rrf_k, **sizes).withColumnRenamed("found", "topical")
-    neg = found_by_search(probes.where("probe_type = 'negative'"), chunks, negative, rrf_k, **sizes).withColumnRenamed("found", "~absent")
-    spec = specific_results(probes, chunks).withColumnRenamed("passed", "specific")
-    key = ["document_id", "ingest_generation"]
-    own = active.groupBy("document_id").agg(F.count("*").alias("~own"))
-    total = active.agg(F.count("*").alias("~all"))
-    out = probes.select(*key).distinct().join(top, key, "left").join(spec, key, "left").join(neg, key, "left").join(own, "document_id", "left").crossJoin(total)  # one row
+    top = found_by_rank(probes.where("probe_type = 'topical'"), index, view, topical, rrf_k, **sizes).withColumnRenamed("found", "topical")
+    neg = found_by_search(probes.where("probe_type = 'negative'"), index, view, negative, rrf_k, **sizes).withColumnRenamed("found", "~absent")
+    spec = specific_results(probes, view(index.entries)).withColumnRenamed("passed", "specific")
+    seen = active(index.entries)
+    own = seen.groupBy("document_id").agg(F.count("*").alias("~own"))
+    total = seen.agg(F.count("*").alias("~all"))
+    out = probes.select(*KEY).distinct().join(top, KEY, "left").join(spec, KEY, "left").join(neg, KEY, "left").join(own, "document_id", "left").crossJoin(total)  # one row
     deferred = F.col("~all") - F.coalesce("~own", F.lit(0)) < negative
-    out = out.select(*key, F.coalesce("topical", F.lit(True)).alias("topical"), F.coalesce("specific", F.lit(True)).alias("specific"), (~F.coalesce("~absent", F.lit(False))).alias("negative"), deferred.alias("deferred"))
+    out = out.select(*KEY, F.coalesce("topical", F.lit(True)).alias("topical"), F.coalesce("specific", F.lit(True)).alias("specific"), (~F.coalesce("~absent", F.lit(False))).alias("negative"), deferred.alias("deferred"))
     return out.withColumn("passed", F.col("topical") & F.col("specific") & (F.col("negative") | F.col("deferred")))

@@ -30,7 +30,8 @@ def ingest(table: CorpusTable, documents: DataFrame, tags: tuple[str, ...] = (),
     marked failed. If a step raises, nothing is published and the whole write is marked failed.
     """
     with single_writer(table.spark, table.path):
-        heads = visibility.active_content(table.visible())
+        table.ensure(settings.dense_dim, settings.sparse_dim)
+        heads = table.heads().select("document_id", "document_sha256", F.col("ingest_generation").alias("newest"))  # from the log: no chunk is read
         plan = visibility.with_next_generation(documents.dropDuplicates(["document_id"]), heads)
         if force:
             plan = plan.withColumn("generation", F.when(F.col("no_op"), F.col("generation") + 1).otherwise(F.col("generation"))).withColumn("no_op", F.lit(False))
@@ -47,7 +48,7 @@ def ingest(table: CorpusTable, documents: DataFrame, tags: tuple[str, ...] = (),
             "tags": F.array(*map(F.lit, tags)).cast("array<string>"), "ingested_at": F.current_timestamp(),
         })
         key, write_id = ["document_id", "ingest_generation"], uuid.uuid4().hex
-        mine = new.select("document_id", F.col("generation").cast("int").alias("ingest_generation"), "title", "raw_text")
+        mine = new.select("document_id", F.col("generation").cast("int").alias("ingest_generation"), "title", "raw_text", "document_sha256")
         # announced first: chunks that an earlier, broken write left for these generations are no longer read
         table.set_states(mine, "pending", write_id)
         try:
@@ -77,13 +78,13 @@ def judge(table: CorpusTable, mine: DataFrame, settings: Settings) -> DataFrame:
     ``whole``: chunks number 0 to the last one are there, once each. A document without
     any words has no chunk: nothing to find, nothing to publish, so it passes.
     """
-    key = ["document_id", "ingest_generation"]
-    rows = table.chunks()
-    written = rows.join(mine.select(*key), key, "left_semi")
-    view = rows.where("ingest_state = 'active'").unionByName(written.where("ingest_state <> 'active'"))
-    probes = verify.derive_probes(mine, settings.topical_limit, settings.specific_limit, settings.negative_limit)
+    key, index, states = ["document_id", "ingest_generation"], table.index(), fixed(table, table.states())
+    own = states.join(mine.select(*key), key, "left_semi")
+    view, active = table.view(states.where("ingest_state = 'active'").unionByName(own.where("ingest_state <> 'active'"))), table.view(fixed(table, table.heads()))
+    written = table.view(own)(index.entries)
+    probes = fixed(table, verify.derive_probes(mine, settings.topical_limit, settings.specific_limit, settings.negative_limit))
     sizes = {"dense_dim": settings.dense_dim, "sparse_dim": settings.sparse_dim}
-    checked = verify.run_probes(probes, view, table.visible(), settings.rrf_k, settings.topical_limit, settings.negative_limit, **sizes)
+    checked = verify.run_probes(probes, index, view, active, settings.rrf_k, settings.topical_limit, settings.negative_limit, **sizes)
     whole = (F.count("*") == F.max("chunk_index") + 1) & (F.count_distinct("chunk_index") == F.count("*"))
     counts = written.groupBy(*key).agg(F.count("*").alias("chunk_count"), whole.alias("whole"))
     both = mine.select(*key).join(checked, key, "left").join(counts, key, "left")

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ask, visibility
-from .base import STORED, query, stored
-from .retrieval import ARMS, asked, with_vectors
+from ..operators import ask
+from .base import STORED, query
+from .prepared import indexed, seen
+from .retrieval import ARMS, asked
 
 #: As in the search queries, but rows of no likeness are no hits.
 LIKE = ARMS.replace("WHERE len(v.d) > 0 AND len(q.d) > 0", "WHERE list_has_any(v.d, q.d)")
 
 
 def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = with_vectors(visibility.visible(stored(spark, sf_dir)))
     sub = asked(spark, sf_dir).withColumn("ask", F.expr("query div 300"))
-    return ask.answer_parts(rows, sub, 20)
+    return ask.answer_parts(indexed(spark, sf_dir), sub, 20, view=seen)
 
 
 @query(f"WITH {STORED}, {LIKE} SELECT query // 300 AS ask, point_id, round(max(score), 6) AS score, count(*) AS sub_queries FROM fused GROUP BY 1, 2")

@@ -6,22 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import PROBE_STOPWORDS, first_words
-from ..functions.vectors import cosine, hash_dense, hash_sparse
-from ..operators import evals, search, verify, visibility
+from ..functions.vectors import cosine
+from ..operators import evals, search, verify
+from ..operators.cells import dense_topk_cells
+from ..operators.postings import sparse_topk_pruned
 from .base import SQL_WORDS, STORED, query, stored, table
-
-DENSE, SPARSE = 1024, 30_000
-
+from .prepared import DENSE, SPARSE, indexed, seen, vector_cells, with_vectors
 
 def sql_slots(column: str, at: int, size: int) -> str:
     words = SQL_WORDS.replace("(text,", f"(lower({column}),")
     return f"list_sort(list_distinct(list_transform(list_distinct({words}), lambda w: ('0x' || substr(md5(w), {at}, 4))::INT % {size})))"
 
 
-def with_vectors(rows: DataFrame, column: str = "text") -> DataFrame:
-    return rows.withColumns({"dense": hash_dense(F.col(column), DENSE), "sparse": hash_sparse(F.col(column), SPARSE)})
-
-
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query, dense, sparse: the first ten words of every document whose id is divisible by 100."""
     rows = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), first_words(F.col("text")).alias("~text"))
@@ -45,7 +41,7 @@ def dense_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 100 against all vectors."""
     rows = table(spark, sf_dir, "embeddings")
     queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
-    out = search.dense_topk_batch(rows, queries, 10, "embedding", "vec_id")
+    out = dense_topk_cells(vector_cells(spark, sf_dir), queries, 10).best
     return out.select("query", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -59,16 +55,15 @@ fused AS (SELECT query, point_id, sum(1.0::DOUBLE / (60 + r)) AS score FROM (SEL
 
 @query(f"WITH {STORED}, {ARMS} SELECT query, point_id, round(score, 6) AS score, r::BIGINT AS rank FROM sparse")
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_vectors(visibility.visible(stored(spark, sf_dir)))
-    found = search.sparse_topk_batch(rows, asked(spark, sf_dir), 20)
+    found = sparse_topk_pruned(indexed(spark, sf_dir).weights, asked(spark, sf_dir), 20, view=seen).best
     return found.select("query", "point_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {STORED}, {ARMS} SELECT query, point_id, document_path, round(score, 6) AS score FROM fused JOIN visible USING (point_id)")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_vectors(visibility.visible(stored(spark, sf_dir)))
-    found, _ = search.hybrid_batch(rows, asked(spark, sf_dir), 20)
-    return found.join(rows.select("point_id", "document_path"), "point_id").select("query", "point_id", "document_path", F.round("score", 6).alias("score"))
+    index = indexed(spark, sf_dir)
+    found, _ = index.hybrid(asked(spark, sf_dir), 20, view=seen)
+    return found.join(index.entries.select("point_id", "document_path"), "point_id").select("query", "point_id", "document_path", F.round("score", 6).alias("score"))
 
 
 @query(f"""
@@ -79,10 +74,10 @@ WITH {STORED}, {ARMS}, n AS (
 SELECT *, candidate_count >= 1 AND (dense_hits >= 1 OR sparse_hits >= 1) AND citationable_count >= 1 AS passed FROM n""")
 def retriever_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit counts and the verdict for every query."""
-    queries, rows = asked(spark, sf_dir), with_vectors(visibility.visible(stored(spark, sf_dir)))
-    found, counts = search.hybrid_batch(rows, queries, 20)
+    queries, index = asked(spark, sf_dir), indexed(spark, sf_dir)
+    found, counts = index.hybrid(queries, 20, view=seen)
     citationable = (F.length("text") > 0) & (F.length("document_path") > 0)
-    told = found.join(rows.select("point_id", citationable.alias("~good")), "point_id").groupBy("query").agg(F.count("*").alias("candidate_count"), F.count_if("~good").alias("citationable_count"))
+    told = found.join(index.entries.select("point_id", citationable.alias("~good")), "point_id").groupBy("query").agg(F.count("*").alias("candidate_count"), F.count_if("~good").alias("citationable_count"))
     out = queries.select("query").join(counts, "query", "left").join(told, "query", "left")
     return out.select("query", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("dense_hits", "sparse_hits", "candidate_count", "citationable_count"))).withColumn("passed", search.passes_gate())
 
@@ -112,11 +107,9 @@ v AS (
 SELECT *, topical AND specific AND (negative OR deferred) AS passed FROM v""")
 def verify_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All probes, and the verdict, of every document whose id is divisible by 100, against all chunks."""
-    rows = stored(spark, sf_dir)
-    mine = rows.where("doc_id % 100 = 0")
-    docs = mine.select("document_id", "ingest_generation", F.lit("").alias("title"), F.col("text").alias("raw_text"))
-    view = with_vectors(rows.where("ingest_state = 'active' OR doc_id % 100 = 0"))
-    out = verify.run_probes(verify.derive_probes(docs), view, rows.where("ingest_state = 'active'"))
+    docs = stored(spark, sf_dir).where("doc_id % 100 = 0").select("document_id", "ingest_generation", F.lit("").alias("title"), F.col("text").alias("raw_text"))
+    view = lambda rows: rows.where("ingest_state = 'active' OR doc_id % 100 = 0")
+    out = verify.run_probes(verify.derive_probes(docs), indexed(spark, sf_dir), view, lambda rows: rows.where("ingest_state = 'active'"))
     return out.withColumn("ingest_generation", F.col("ingest_generation").cast("long"))
 
 
@@ -145,7 +138,7 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relevant: vectors of the same label among the next 99."""
     rows = table(spark, sf_dir, "embeddings")
     chosen = rows.where("vec_id % 100 = 0")
-    ranked = search.dense_topk_batch(rows, chosen.select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), 20, "embedding", "vec_id")
+    ranked = dense_topk_cells(vector_cells(spark, sf_dir), chosen.select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), 20).best
     ranked = ranked.select(F.col("query").alias("case_id"), F.col("vec_id").alias("document_id"), "rank")
     cases = chosen.select(F.col("vec_id").alias("case_id"), "label")
     of = F.expr("vec_id - vec_id % 100")

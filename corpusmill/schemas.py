@@ -1,4 +1,4 @@
-"""Schemas of the tables, as DDL strings."""
+"""Schemas of the tables, as DDL strings. The names of the fields."""
 
 DOCUMENT = (
     "source_id string, source_type string, document_id string, document_path string, document_sha256 string, title string, "
@@ -12,7 +12,7 @@ CHUNK = (
 )
 #: One row for each step of a generation: pending, active, retired or failed, and the write that it speaks of.
 #: The last by ``seq`` holds; chunks of any other write of the generation are no longer read.
-GENERATION_STATE = "document_id string, ingest_generation int, state string, seq bigint, at timestamp, write_id string"
+GENERATION_STATE = "document_id string, ingest_generation int, state string, seq bigint, at timestamp, write_id string, document_sha256 string"
 JOURNAL = (
     "ts timestamp, event string, run_id string, ask_id string, ingest_id string, attempt_id string, agent string, gate string, "
     "gate_score double, verdict string, model string, escalated int, tokens int, spend double, detail map<string,string>"
