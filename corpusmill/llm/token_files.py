@@ -114,17 +114,19 @@ def stream_places(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and the crc32 of the ids as they stand in the files."""
+    """doc_id, start, n_tokens and the crc32 of the ids as they stand in the files. A count that differs from the ids read fails the query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(3)
             ends, values = lists.offsets.to_numpy(), memoryview(lists.values.to_numpy(zero_copy_only=False).astype("<u4")).cast("B")
             crcs = [zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            counts = pa.array(np.diff(ends).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), counts, pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "n_read", "ids_crc32"])
+            counts = np.diff(ends).astype(np.int64)
+            if not np.array_equal(counts, batch.column(2).to_numpy()):
+                raise ValueError("a file's counts of tokens are not those of its lists")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return stream_places(spark, path).select("doc_id", "start", "n_tokens", "token_ids").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, n_read bigint, ids_crc32 bigint")
+    return stream_places(spark, path).select("doc_id", "start", "n_tokens", "token_ids").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def read_tokens(spark: SparkSession, path: str, first_id: int, last_id: int) -> DataFrame:
