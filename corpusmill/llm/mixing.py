@@ -53,31 +53,26 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return levels.select("_source", "_source_size", filled.alias("_target"))
 
 
-def mix_to_targets(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: tuple[float, ...] = WEIGHTS,
-    share: float = 1.5,
-    cap: float = 2.0,
-    seed: str = "",
-    carry: tuple[str, ...] = (),
-) -> DataFrame:
-    """One row per document: id, _source, size, source_size, target, epochs, picked, taken, and the columns of ``carry``."""
+def draws(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """_id, _source, _size, _key and the columns of ``carry``, row by row."""
     text = text_or_empty(text_col)
     sized = docs.select(
         F.col(id_col).cast("long").alias("_id"),
         F.col(source_col).cast("string").alias("_source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("_size"),
         text.alias("_text"),
-        *carry,
+        *(f"`{c}`" for c in carry),
     )
     draw = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit(""))).cast("binary"))
     uniform = (F.conv(F.substring(draw, 1, 13), 16, 10).cast("double") + 1.0) / F.lit(float(2**52 + 1))
-    slim = stash(sized.select("_id", "_source", "_size", *carry, (-F.log(uniform) / word_length_quality(F.col("_text"), F.col("_size"))).alias("_key")), "mixing")
+    key = (-F.log(uniform) / word_length_quality(F.col("_text"), F.col("_size"))).alias("_key")
+    return sized.select("_id", "_source", "_size", *(f"`{c}`" for c in carry), key)
+
 
-    bounds = range_bounds(slim, "_key", shuffle_partitions(docs.sparkSession))
+def decided(slim: DataFrame, weights: tuple[float, ...], share: float, cap: float, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Of draws: _id, _source, _size, _key, _source_size, _target, _epochs, _picked and the columns of ``carry``, which order rows of equal key, id and size."""
+    extra = [f"`{c}`" for c in carry]
+    bounds = range_bounds(slim, "_key", shuffle_partitions(slim.sparkSession))
     ranged = slim.withColumn("_range", range_bucket(F.col("_key"), bounds, "double"))
     totals = ranged.groupBy("_source", "_range").agg(F.sum("_size").alias("_range_size"))
     targets = source_targets(totals.groupBy("_source").agg(F.sum("_range_size").alias("_source_size")), weights, share, cap)
@@ -86,37 +81,87 @@ def mix_to_targets(
     t, s = targets.alias("t"), starts.alias("s")
     starts = s.join(t, F.col("s._source").eqNullSafe(F.col("t._source"))).select("s._source", "s._range", "_start", "_source_size", "_target")
 
-    inside = Window.partitionBy("_source", "_range").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_source", "_range").orderBy("_key", "_id", "_size", *extra).rowsBetween(Window.unboundedPreceding, -1)
     run = ranged.withColumn("_run", F.coalesce(F.sum("_size").over(inside), F.lit(0))).alias("r")
     s = starts.alias("s")
-    joined = run.join(s, F.col("r._source").eqNullSafe(F.col("s._source")) & (F.col("r._range") == F.col("s._range"))).select("r._id", "r._source", "_size", "_run", "_start", "_source_size", "_target", *carry)
+    joined = run.join(s, F.col("r._source").eqNullSafe(F.col("s._source")) & (F.col("r._range") == F.col("s._range"))).select("r._id", "r._source", "_size", "_key", "_run", "_start", "_source_size", "_target", *extra)
     epochs = F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(F.lit(0))
     rest = F.col("_target") - F.col("_epochs") * F.col("_source_size")
     middle = F.col("_start") + F.col("_run") + F.col("_size") / 2
-    return (
-        joined.withColumn("_epochs", epochs.cast("long"))
-        .withColumn("_picked", ((F.col("_size") > 0) & (middle <= rest)).cast("long"))
-        .select(
-            F.col("_id").alias(id_col),
-            "_source",
-            F.col("_size").alias("size"),
-            F.col("_source_size").alias("source_size"),
-            F.col("_target").alias("target"),
-            F.col("_epochs").alias("epochs"),
-            F.col("_picked").alias("picked"),
-            ((F.col("_epochs") + F.col("_picked")) * F.col("_size")).alias("taken"),
-            *carry,
-        )
+    return joined.withColumn("_epochs", epochs.cast("long")).withColumn("_picked", ((F.col("_size") > 0) & (middle <= rest)).cast("long"))
+
+
+def mix_to_targets(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = 1.5,
+    cap: float = 2.0,
+    seed: str = "",
+) -> DataFrame:
+    """One row per document: id, _source, size, source_size, target, epochs, picked, taken."""
+    slim = stash(draws(docs, id_col, text_col, source_col, seed), "mixing")
+    return decided(slim, weights, share, cap).select(
+        F.col("_id").alias(id_col),
+        "_source",
+        F.col("_size").alias("size"),
+        F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"),
+        F.col("_epochs").alias("epochs"),
+        F.col("_picked").alias("picked"),
+        ((F.col("_epochs") + F.col("_picked")) * F.col("_size")).alias("taken"),
     )
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings: object) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them."""
-    row, copies, copy = (free_name(docs, x) for x in ("~row", "~copies", "~copy"))
-    numbered = stash(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    taken = mix_to_targets(numbered, id_col, text_col, source_col, carry=(row,), **settings).select(row, (F.col("epochs") + F.col("picked")).cast("int").alias(copies))
-    repeated = numbered.join(taken.where(F.col(copies) > 0), row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
-    return repeated.select(*(f"`{c}`" for c in docs.columns))
+#: Sources whose borders are broadcast; with more they are joined as any other table.
+FEW_SOURCES = 10_000
+
+
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = 1.5,
+    cap: float = 2.0,
+    seed: str = "",
+) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, in any order.
+
+    What a source picks is the beginning of its order, so one border a source tells a
+    row's copies from its own draw: texts are neither sorted nor shuffled. Rows of
+    equal key, id and size go by a hash of all their columns; where only some of a
+    border's equal rows are picked, these rows are the same, and one stands for all.
+    """
+    same, source, key, size, doc, copies, lot = (free_name(docs, x) for x in ("~same", "~source", "~key", "~size", "~doc", "~copies", "~lot"))
+    plain = [c for c, kind in docs.dtypes if not kind.startswith("map")]
+    told = docs.withColumn(same, F.xxhash64(*(F.col(f"`{c}`") for c in plain)))
+    slim = stash(draws(told, id_col, text_col, source_col, seed, (same,)), "mixing")
+    order = F.struct("_key", "_id", "_size", same)
+    cut = decided(slim, weights, share, cap, (same,)).groupBy("_source").agg(F.max("_epochs").alias("_epochs"), F.max(F.when(F.col("_picked") == 1, order)).alias("_last"), F.sum("_picked").alias("_picks"))
+    cut = stash(cut.select(F.col("_source").alias("_of"), "_epochs", "_last", "_picks"), "borders")
+    hint = F.broadcast if cut.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES else (lambda df: df)
+    by_source = lambda df, column: df.join(hint(cut), F.col(column).eqNullSafe(F.col("_of")))
+    sized = by_source(slim.where("_size > 0"), "_source").groupBy("_of").agg(F.count_if(order < F.col("_last")).alias("less"), F.count_if(order == F.col("_last")).alias("equal"))
+    c, n = cut.alias("c"), sized.alias("n")
+    left = F.coalesce(F.col("_picks") - F.col("less"), F.lit(0))
+    cut = stash(c.join(n, F.col("c._of").eqNullSafe(F.col("n._of")), "left").select("c._of", "_epochs", "_last", left.alias("_left"), (left >= F.coalesce("equal", F.lit(0))).alias("_all")), "borders")
+
+    own = draws(told.withColumn(doc, F.struct(*(f"`{c}`" for c in docs.columns))), id_col, text_col, source_col, seed, (same, doc))
+    met = by_source(own.select(F.col("_source").alias(source), F.struct("_key", "_id", "_size", same).alias(key), F.col("_size").alias(size), f"`{doc}`"), f"`{source}`")
+    at_border = (F.col(f"`{size}`") > 0) & (F.col(f"`{key}`") == F.col("_last"))
+    picked = (F.col(f"`{size}`") > 0) & ((F.col(f"`{key}`") < F.col("_last")) | (at_border & F.col("_all")))
+    many = (F.col("_epochs") + F.coalesce(picked, F.lit(False)).cast("long")).cast("int")
+    columns = [F.col(f"`{doc}`")[c].alias(c) for c in docs.columns]
+    out = met.withColumn(copies, many).where(F.col(f"`{copies}`") > 0).withColumn(lot, F.explode(F.sequence(F.lit(1), F.col(f"`{copies}`")))).select(*columns)
+    if cut.where("NOT _all").isEmpty():
+        return out
+    stands = met.where("NOT _all").where(at_border).groupBy("_of").agg(F.first(doc).alias(doc), F.max("_left").alias("_left"))
+    lots = stands.withColumn(lot, F.explode(F.sequence(F.lit(0), F.expr("(_left - 1) div 4096")))).repartition("_of", lot)
+    return out.unionByName(lots.withColumn(copies, F.explode(F.sequence(F.lit(1), F.least(F.lit(4096), F.col("_left") - F.col(f"`{lot}`") * 4096)))).select(*columns))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

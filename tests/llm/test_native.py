@@ -49,6 +49,21 @@ def test_epochs_come_before_picks(docs):
     assert got.groupBy("_source").agg(F.countDistinct("epochs").alias("n")).where("n > 1").count() == 0
 
 
+def test_mixed_documents_are_what_the_mix_takes(spark, docs, no_docs, rows):
+    many = [(None, "the same words here", "en", "hot", 5, "x", 1, "y")] * 101 + [(7, "one two", "en", "hot", 1, "x", 1, "y")]
+    hot = spark.createDataFrame(many, docs.schema).repartition(3)
+    for df in (docs, hot, docs.unionByName(hot)):
+        taken = defaultdict(int)
+        for r in mixing.mix_to_targets(df).collect():
+            taken[(r.doc_id, r._source)] += r.epochs + r.picked
+        made = defaultdict(int)
+        for r in mixing.mixed_documents(df).collect():
+            made[(r.doc_id, r.source)] += 1
+        assert made == {k: n for k, n in taken.items() if n}
+        assert set(map(repr, mixing.mixed_documents(df).collect())) <= set(map(repr, df.collect()))
+    assert mixing.mixed_documents(no_docs).count() == 0
+
+
 def test_keys_prefer_quality(spark):
     many = spark.range(4000).selectExpr("id as doc_id", "CASE WHEN id % 2 = 0 THEN 'fivers fivers' ELSE 'x y' END AS text", "'s' AS source")
     r = mixing.mix_to_targets(many, share=0.5).groupBy((F.col("doc_id") % 2).alias("odd")).agg(F.sum("picked").alias("n")).collect()
