@@ -1,17 +1,17 @@
-"""Chunking: word windows in built-in functions; Markdown blocks with a small Python helper.
+"""Chunking: word windows and heading ancestry in built-in functions; Markdown blocks with a Python helper.
 
 Every operator is a narrow transformation of its input rows, without a shuffle.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import markdown
 from ..functions.text import let, words
 
 CHUNKER_VERSION = "chunker:1.0"
@@ -69,128 +69,82 @@ def chunk_pages(docs: DataFrame, pages_col: str = "page_texts", window: int = 22
     return out.select(*rest, "chunk_index", F.col("~r.page").alias("pdf_page"), F.col("~r.start").alias("chunk_start_word"), F.col("~r.end").alias("chunk_end_word"), F.col("~r.text").alias("text"))
 
 
-FENCE = re.compile(r" {0,3}(`{3,}|~{3,})\s*(.*)$")
-HEADING = re.compile(r" {0,3}(#{1,6})(?:\s+(.*?))?(?:\s+#+)?\s*$")
-RULE = re.compile(r" {0,3}\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
-MARKUP = re.compile(r"!?\[([^\]]*)\]\([^)]*\)|[*_]{1,3}(?=\S)|(?<=\S)[*_]{1,3}")
+def blocks(text: str) -> Iterator[tuple[str, int, str]]:
+    """(kind, level, text) of a Markdown text's top blocks, see :mod:`..functions.markdown`."""
+    for b in markdown.blocks(text):
+        yield b.kind, b.level, b.text
 
 
-def plain(text: str) -> str:
-    """Inline text without links' targets and emphasis marks; code stays."""
-    return MARKUP.sub(lambda m: m[1] or "", text)
+def with_blocks(docs: DataFrame, text_col: str = "raw_text", out: str = "~blocks") -> DataFrame:
+    """``docs`` with its text's blocks: kind, level, text, words, and the lines they come from. Null: none."""
+    text_at, piece = docs.columns.index(text_col), pa.list_(pa.struct([("kind", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("words", pa.int32()), ("first_line", pa.int32()), ("last_line", pa.int32())]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                made = [[(b.kind, b.level, b.text, len(b.text.split()), b.first, b.last) for b in markdown.blocks(t or "")] for t in some.column(text_at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([[dict(zip(("kind", "level", "text", "words", "first_line", "last_line"), x, strict=True)) for x in m] for m in made], piece)], [*some.schema.names, out])
 
-def blocks(text: str) -> Iterator[tuple[str, int, str]]:
-    """(kind, level, text) of heading, code, table and prose blocks in order. Subset: ATX and underlined
-    headings, both fences, pipe tables; lists, quotes and all else are prose."""
-    lines, at, prose = text.splitlines(), 0, []
-
-    def flush() -> Iterator[tuple[str, int, str]]:
-        if prose:
-            yield "prose", 0, plain(" ".join(prose))
-            prose.clear()
-
-    while at < len(lines):
-        line = lines[at]
-        if fence := FENCE.match(line):
-            yield from flush()
-            inner, at = [], at + 1
-            while at < len(lines) and not re.match(rf" {{0,3}}{re.escape(fence[1][0])}{{{len(fence[1])},}}\s*$", lines[at]):
-                inner.append(lines[at])
-                at += 1
-            yield "code", 0, "\n".join([f"```{fence[2].strip()}", *inner, "```"])
-        elif heading := HEADING.match(line):
-            yield from flush()
-            yield "heading", len(heading[1]), plain((heading[2] or "").strip())
-        elif "|" in line and at + 1 < len(lines) and "|" in lines[at + 1] and RULE.match(lines[at + 1]):
-            yield from flush()
-            rows = [line]
-            at += 2
-            while at < len(lines) and "|" in lines[at]:
-                rows.append(lines[at])
-                at += 1
-            at -= 1
-            yield "table", 0, "\n".join(" ".join(plain(c.strip()) for c in r.strip().strip("|").split("|")) for r in rows)
-        elif prose and re.match(r" {0,3}(=+|-+)\s*$", line):
-            level, last = (1 if "=" in line else 2), prose.pop()
-            yield from flush()
-            yield "heading", level, plain(last)
-        elif not line.strip():
-            yield from flush()
-        else:
-            prose.append(line.strip())
-        at += 1
-    yield from flush()
-
-
-def markdown_chunks(text: str, window: int) -> list[tuple[str, str | None, int]]:
-    """(text, heading path, first word) of the chunks before they are cut to windows.
-
-    Prose blocks under one heading gather while they fit a window; code and tables stand alone.
+    kinds = "".join(f"`{c}` {t}, " for c, t in docs.dtypes)
+    return docs.mapInArrow(run, kinds + f"`{out}` array<struct<kind:string,level:int,text:string,words:int,first_line:int,last_line:int>>")
+
+
+def heading_path(path: Column) -> Column:
+    """The headings above, outermost first; none: null."""
+    return F.when(F.size(path) > 0, F.array_join(F.transform(path, lambda h: F.concat(F.repeat(F.lit("#"), h["level"]), F.lit(" "), h["text"])), " | "))
+
+
+def gathered(found: Column, window: int) -> Column:
+    """The chunks of an array of blocks, before windows: text, path, at (its first word), whole (never cut).
+
+    A fold over the blocks. Its state is the headings above, the word count so far, and the
+    prose gathered since the last heading, code or table, which is put out when the next block would
+    not fit a window. A heading counts its mark as a word.
     """
-    out, path, gathered, size, at, start = [], [], [], 0, 0, 0
-
-    def where() -> str | None:
-        return " | ".join("#" * n + " " + t for n, t in path) or None
-
-    def flush() -> None:
-        nonlocal size
-        if gathered:
-            out.append((" ".join(gathered), where(), start))
-        gathered.clear()
-        size = 0
-
-    for kind, level, block in blocks(text):
-        n = len(block.split())
-        if kind == "heading":
-            flush()
-            while path and path[-1][0] >= level:
-                path.pop()
-            path.append((level, block))
-            n += 1
-        elif kind == "prose":
-            if gathered and size + n > window:
-                flush()
-            if not gathered:
-                start = at
-            if n:
-                gathered.append(block)
-            size += n
-        else:
-            flush()
-            out.append((block, where(), -1 - at))  # whole: no window cuts it
-        at += n
-    flush()
-    return out
+    heading = "struct<level:int,text:string>"
+    piece = "struct<text:string,path:string,at:int,whole:boolean>"
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    start = F.struct(none(heading).alias("path"), F.lit(0).alias("at"), none("string").alias("prose"), F.lit(0).alias("size"), F.lit(0).alias("since"), none(piece).alias("out"))
 
+    def state(path: Column, at: Column, prose: Column, size: Column, since: Column, out: Column) -> Column:
+        return F.struct(path.alias("path"), at.cast("int").alias("at"), prose.alias("prose"), size.cast("int").alias("size"), since.cast("int").alias("since"), out.cast(f"array<{piece}>").alias("out"))
 
-def chunk_markdown(docs: DataFrame, text_col: str = "raw_text", window: int = 220, overlap: int = 40, least_tail: int = 80) -> DataFrame:
-    """Chunks by blocks, with heading_path. Code and tables are never cut. No block, yet words: prose windows."""
-    names = [c for c in docs.columns if c != text_col]
-    text_at = docs.columns.index(text_col)
-    types = dict(docs.dtypes)
-    piece = pa.list_(pa.struct([("text", pa.string()), ("path", pa.string()), ("at", pa.int32())]))
+    def made(text: Column, s: Column, at: Column, whole: bool) -> Column:
+        return F.array(F.struct(text.alias("text"), heading_path(s["path"]).alias("path"), at.alias("at"), F.lit(whole).alias("whole")).cast(piece))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for text in batch.column(text_at).to_pylist():
-                found = markdown_chunks(text or "", window) or [(text or "", None, 0)]
-                made.append([{"text": t, "path": p, "at": a} for t, p, a in found])
-            kept = [c for i, c in enumerate(batch.columns) if i != text_at]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(made, piece)], [*names, "~pieces"])
+    def put_out(s: Column) -> Column:
+        """What is out, with the gathered prose."""
+        return F.when(F.size(s["prose"]) > 0, F.concat(s["out"], made(F.array_join(s["prose"], " "), s, s["since"], False))).otherwise(s["out"])
+
+    def step(s: Column, b: Column) -> Column:
+        above = F.filter(s["path"], lambda h: h["level"] < b["level"])
+        headed = state(F.concat(above, F.array(F.struct(b["level"].alias("level"), b["text"].alias("text")))), s["at"] + b["words"] + 1, none("string"), F.lit(0), F.lit(0), put_out(s))
+        alone = state(s["path"], s["at"] + b["words"], none("string"), F.lit(0), F.lit(0), F.concat(put_out(s), made(b["text"], s, s["at"], True)))
+        full = (s["size"] > 0) & (s["size"] + b["words"] > window)
+        fresh = state(s["path"], s["at"] + b["words"], F.array(b["text"]), b["words"], s["at"], put_out(s))
+        more = state(s["path"], s["at"] + b["words"], F.concat(s["prose"], F.array(b["text"])), s["size"] + b["words"], s["since"], s["out"])
+        said = F.when(b["words"] == 0, s).when(full | (s["size"] == 0), fresh).otherwise(more)
+        return F.when(b["kind"] == "heading", headed).when(b["kind"].isin("code", "table"), alone).otherwise(said)
 
-    schema = "".join(f"`{c}` {types[c]}, " for c in names) + "`~pieces` array<struct<text:string,path:string,at:int>>"
-    pieces = docs.mapInArrow(run, schema)
-    rest = [F.col(f"`{c}`") for c in names]
+    return F.aggregate(found, start, step, put_out)
+
+
+def chunk_markdown(docs: DataFrame, text_col: str = "raw_text", window: int = 220, overlap: int = 40, least_tail: int = 80) -> DataFrame:
+    """Chunks by blocks, with heading_path. Code and tables are never cut. No block but headings, yet words: prose windows."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    plain = F.array(F.struct(text.alias("text"), F.lit(None).cast("string").alias("path"), F.lit(0).alias("at"), F.lit(False).alias("whole")))
+    found = with_blocks(docs, text_col).withColumn("~found", gathered(F.col("~blocks"), window))
+    pieces = found.select(*rest, F.when(F.size("~found") > 0, F.col("~found")).otherwise(plain).alias("~pieces"))
 
     def cut(p: Column) -> Column:
         return let(words(p["text"]), lambda split: cut_words(p, split))
 
     def cut_words(p: Column, split: Column) -> Column:
-        whole = F.array(F.struct((-1 - p["at"]).alias("start"), (F.size(split) - 1 - p["at"]).alias("end"), p["path"].alias("path"), p["text"].alias("text")))
+        whole = F.array(F.struct(p["at"].alias("start"), (p["at"] + F.size(split)).alias("end"), p["path"].alias("path"), p["text"].alias("text")))
         ranged = F.transform(windows(F.size(split), window, overlap, least_tail), lambda r: F.struct((p["at"] + r["start"]).alias("start"), (p["at"] + r["end"]).alias("end"), p["path"].alias("path"), slice_words(split, r["start"], r["end"]).alias("text")))
-        return F.when(p["at"] < 0, whole).otherwise(ranged)
+        return F.when(p["whole"], whole).otherwise(ranged)
 
     out = pieces.select(*rest, F.posexplode(F.flatten(F.transform("~pieces", cut))).alias("chunk_index", "~r"))
     return out.select(*rest, "chunk_index", F.col("~r.path").alias("heading_path"), F.col("~r.start").alias("chunk_start_word"), F.col("~r.end").alias("chunk_end_word"), F.col("~r.text").alias("text"))

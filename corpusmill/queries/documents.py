@@ -109,11 +109,52 @@ def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as Markdown. No SQL: blocks need a parser; tested on small texts."""
+def markdown_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as they are, read as Markdown. No SQL: their marks need a parser; tested on small texts."""
     return chunking.chunk_markdown(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
 
 
+def as_markdown(docs: DataFrame) -> DataFrame:
+    """doc_id, text: every token of a document's text, laid out with headings, code, a quote, a nested list, a table and a comment."""
+    tokens, lit, id_ = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.lit, F.col("doc_id").cast("string")
+    w = docs.select("doc_id", F.coalesce(tokens, F.array().cast("array<string>")).alias("w")).withColumn("a", F.expr("size(w) div 4"))
+    quarter = lambda i: F.slice("w", F.col("a") * i + 1, F.col("a"))
+    rows = lambda part, mark: F.array_join(F.transform(F.sequence(lit(0), F.floor((F.size(part) - 1) / 10).cast("int"), lit(1)), lambda i: F.concat(lit(mark), F.array_join(F.slice(part, i * 10 + 1, 10), " "))), "\n")
+    lines = lambda part, mark="": F.when(F.size(part) > 0, rows(part, mark)).otherwise("")
+    code = lines(quarter(1))
+    text = F.concat(
+        lit("Head "), id_, lit(" *x*\n===\n\n"), lines(quarter(0)), lit("\n\n## Code `c` ##\n\n~~~py\n"), code, F.when(code != "", "\n").otherwise(""), lit("~~~\n\n### Deep [link](http://x)\n\n> "),
+        lines(quarter(2)), lit("\n\n- item\n\n  1. "), F.array_join(F.slice("w", F.col("a") * 3 + 1, F.greatest(F.size("w"), lit(1))), " "),
+        lit("\n\n# Table\n\n| a | b |\n| --- | :-: |\n| "), id_, lit(" | t |\n\n<!-- note -->\n"),
+    )
+    return w.select("doc_id", text.alias("text"))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[\p{L}\p{N}]+'), []) AS w FROM documents),
+s AS (SELECT *, len(w) // 4 AS a, len(w) - 3 * (len(w) // 4) AS m FROM t),
+code AS (SELECT *, w[a + 1 : 2 * a] AS c FROM s),
+pieces AS (
+  SELECT doc_id, 1 AS nr, '# Head ' || doc_id || ' x' AS path, 4 AS pos, w[1 : a] AS v, NULL AS whole FROM s
+  UNION ALL SELECT doc_id, 2, '# Head ' || doc_id || ' x | ## Code `c`', 7 + a, [], '```py' || chr(10) || array_to_string(list_transform(range((a + 9) // 10), lambda i: array_to_string(c[i * 10 + 1 : i * 10 + 10], ' ') || chr(10)), '') || '```' FROM code
+  UNION ALL SELECT doc_id, 3, '# Head ' || doc_id || ' x | ## Code `c` | ### Deep link', 12 + 2 * a, CASE WHEN 1 + m + a > 220 THEN w[2 * a + 1 : 3 * a] ELSE w[2 * a + 1 : 3 * a] || ['item'] || w[3 * a + 1 :] END, NULL FROM s
+  UNION ALL SELECT doc_id, 4, '# Head ' || doc_id || ' x | ## Code `c` | ### Deep link', 12 + 3 * a, ['item'] || w[3 * a + 1 :], NULL FROM s WHERE 1 + m + a > 220
+  UNION ALL SELECT doc_id, 5, '# Table', 15 + 3 * a + m, [], 'a b' || chr(10) || doc_id || ' t' FROM s
+  UNION ALL SELECT doc_id, 6, '# Table', 19 + 3 * a + m, ['<!--', 'note', '-->'], NULL FROM s),
+sized AS (SELECT *, CASE WHEN whole IS NULL THEN len(v) ELSE len(regexp_extract_all(whole, '\S+')) END AS n FROM pieces),
+many AS (SELECT *, CASE WHEN whole IS NOT NULL OR n <= 220 THEN 1 ELSE ceil((n - 220) / 180.0)::INT + 1 END AS k FROM sized WHERE n > 0),
+last AS (SELECT *, k - CASE WHEN k > 1 AND n - (k - 1) * 180 < 80 THEN 1 ELSE 0 END AS last FROM many),
+cut AS (SELECT *, unnest(range(last)) AS i FROM last)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY nr, i) - 1)::BIGINT AS chunk_index, path AS heading_path, (pos + i * 180)::BIGINT AS chunk_start_word,
+       (pos + CASE WHEN i = last - 1 THEN n ELSE i * 180 + 220 END)::BIGINT AS chunk_end_word,
+       sha256(coalesce(whole, array_to_string(v[i * 180 + 1 : CASE WHEN i = last - 1 THEN n ELSE i * 180 + 220 END], ' '))) AS text_sha256
+FROM cut""")
+def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tokens of every document, laid out as Markdown and cut by its blocks."""
+    cut = chunking.chunk_markdown(as_markdown(table(spark, sf_dir, "documents")), "text")
+    return cut.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "heading_path", *(F.col(c).cast("long").alias(c) for c in ("chunk_start_word", "chunk_end_word")), identity.text_sha256(F.col("text")).alias("text_sha256"))
+
+
 @query(f"""
 WITH w AS (SELECT doc_id, text, {SQL_WORDS} AS w FROM documents),
 bare AS (SELECT *, list_transform(w, lambda x: trim(x, '.,;:!?"''()[]{{}}')) AS b FROM w)
