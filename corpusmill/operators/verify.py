@@ -18,7 +18,9 @@ from ..plans.storage import stash
 #: What names a generation.
 KEY = ["document_id", "ingest_generation"]
 
+# Queries that nothing should answer, of an ingest and of a later look.
 NONSENSE = "xyzzy_nonexistent_term_for_negative_probe"
+ANOTHER = "zxqjvf_wbhkm_plxnq_gjrtv_dfwck"
 
 
 def derive_probes(docs: DataFrame, topical: int = 10, specific: int = 5, negative: int = 5) -> DataFrame:
@@ -38,6 +40,20 @@ def derive_probes(docs: DataFrame, topical: int = 10, specific: int = 5, negativ
     return docs.select("document_id", "ingest_generation", F.inline(made)).where("query <> ''")
 
 
+def probes_of_chunks(chunks: DataFrame, topical: int = 10, specific: int = 5, negative: int = 5, nonsense: str = ANOTHER) -> DataFrame:
+    """Probes of generations that are stored, from their chunks (document_id, ingest_generation, chunk_index, title, text).
+
+    Topical: the title, else the first ten words of the first chunk. Specific: the first telling word of the first chunk that has one.
+    """
+    word = specific_word(F.coalesce("text", F.lit("")))
+    told = chunks.groupBy(*KEY).agg(F.min_by(F.struct("title", "text"), F.col("chunk_index")).alias("~first"), F.min_by(word, F.when(word.isNotNull(), F.col("chunk_index"))).alias("~word"))
+    query = F.coalesce(F.nullif(F.btrim("~first.title"), F.lit("")), first_words(F.coalesce("~first.text", F.lit(""))))
+    none = F.lit(None).cast("string")
+    probe = lambda kind, query, expected, limit: F.struct(F.lit(kind).alias("probe_type"), query.alias("query"), expected.alias("expected"), F.lit(limit).alias("limit"))
+    made = F.array(probe("topical", query, none, topical), probe("specific", F.col("~word"), F.col("~word"), specific), probe("negative", F.lit(nonsense), none, negative))
+    return told.select(*KEY, F.inline(made)).where("query <> ''")
+
+
 def specific_results(probes: DataFrame, chunks: DataFrame) -> DataFrame:
     """document_id, passed: a chunk of the generation has all tokens of the query and holds what is expected.
 
