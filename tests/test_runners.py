@@ -157,3 +157,54 @@ def test_run_counter_on_a_stream(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if kept is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
     last = spark.read.parquet(str(tmp_path / "out")).groupBy("run_id").agg(F.max_by(F.struct("event", "dispatches"), "batch").alias("x")).select("run_id", "x.*").collect()
     assert sorted((r.run_id, r.event, r.dispatches) for r in last) == [("r1", "RUN_START", 2), ("r2", "ASK_START", 0), ("r3", None, 1)]
+
+
+def test_commands(spark, tmp_path, capsys):
+    from corpusmill import cli
+    from corpusmill.plans.corpus_table import CorpusTable
+
+    folder, table = tmp_path / "in", str(tmp_path / "table")
+    folder.mkdir()
+    (folder / "a.md").write_text("# About whales\n\nAbout whales we say that humpback whales sing at night.")
+    (folder / "b.bin").write_bytes(b"\x00\x01 binary but wanted as text, says the caller")
+    run = lambda *argv, at=table: cli.main(["--table", at, *argv] if at else list(argv), spark)
+    said = lambda: [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert run("ingest", str(folder / "a.md"), "--source-type", "nothing") == 2
+    assert run("verify", "nobody") == 1 and said()[0]["error"] == "not_found"
+    assert run("status") == 0 and said()[0]["table_exists"] is False
+    assert run("ingest", str(folder), "--source-type", "markdown") == 0
+    assert said()[0]["success_count"] == 2
+    rows = {r.title: r for r in CorpusTable(spark, table).visible().collect()}
+    assert run("verify", rows["About whales"].document_id) == 0
+    told = said()[0]
+    assert told["passed"] and told["topical"] and told["specific"] and told["probes"]["topical"] == "About whales" and told["probes"]["specific"] == "whales"
+    assert run("verify", rows["About whales"].document_id, "--generation", "7") == 1
+    said()
+    assert run("search", "whales sing", "--limit", "1") == 0
+    counts, best = said()
+    assert counts["candidate_count"] == 1 and counts["passes_gate"] and best["title"] == "About whales" and best["score"] > 0
+    assert run("lexscan", "whales", "--document-path", "nowhere") == 0 and said()[0]["chunk_count"] == 0
+    assert run("lexscan", "whales humpback") == 0 and said()[1]["occurrences"] == 0
+    assert run("scroll", "--count", "--source-type", "markdown") == 0 and said()[0] == {"document_count": 2, "chunk_count": 2}
+    (tmp_path / "table" / "writer.lock").write_text("")
+    assert run("gc") == 3 and run("ingest", str(folder)) == 3
+    (tmp_path / "table" / "writer.lock").unlink()
+    case = {"id": "x", "query": "humpback whales", "search_mode": "hybrid", "expected": {"relevant_document_ids": [rows["About whales"].document_id], "thresholds": {"recall_at_1": 1.0, "min_mrr": 1.0}}}
+    capsys.readouterr()
+    assert run("cases", "retrieval", write(tmp_path / "r.yaml", [case])) == 0 and said()[0] == {"cases": 1, "passed": 1}
+    assert run("cases", "gates", write(tmp_path / "g.yaml", GATE_CASES), at=None) == 0
+    assert run("gate", write(tmp_path / "one.yaml", GATE_CASES[:1]), at=None) == 0 and run("gate", str(tmp_path / "g.yaml"), at=None) == 1
+    (tmp_path / "empty.yaml").write_text("cases: []")
+    assert run("gate", str(tmp_path / "empty.yaml"), at=None) == 2 and run("cases", "retrieval", "x", at=None) == 2
+    journal = str(tmp_path / "journal")
+    capsys.readouterr()
+    assert run("journal", "RUN_START", "--run-id", "r1", "--paths", "3", "--tokens", "many", at=journal) == 0
+    assert said()[0]["detail"] == {"paths": 3}
+    assert run("journal", "NOPE", at=journal) == 0 and run("journal", at=journal) == 2
+    assert run("journal", "--list", "5", at=journal) == 0 and [e["event"] for e in said()[0]] == ["RUN_START"]
+    assert run("journal", "--runs", "5", at=journal) == 0 and said()[0][0]["dispatches"] == 0
+    import shutil
+
+    for part in (tmp_path / "table").glob("v-*/chunks"):
+        shutil.rmtree(part)  # the log still speaks of them
+    assert run("status") == 5 and said()[0]["documents_without_chunks"] == 2
