@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
 from ..plans.corpus_index import CorpusIndex, View
+from .postings import PLACE, fetch, holding
 
 
 def evidence(found: DataFrame, sub_queries: DataFrame, key: str = "point_id") -> DataFrame:
@@ -33,3 +35,23 @@ def answer_parts(index: CorpusIndex, sub_queries: DataFrame, limit: int = 10, k:
     asked = sub_queries.select("query", "dense", "sparse").dropDuplicates(["query"])
     found, _ = index.hybrid(asked, limit, k, view, least)
     return evidence(found, sub_queries, index.key), ledger(found, sub_queries)
+
+
+#: Kinds of questions. What a collection holds is listed in full; the others are searched for.
+SEARCHED, LISTED = ("recall", "synthesis"), "enumeration"
+
+
+def answer_routed(index: CorpusIndex, sub_queries: DataFrame, limit: int = 10, k: int = 60, view: View | None = None, least: float | None = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Evidence and ledger of questions of every kind: sub_queries are (ask, ask_type, query, text, dense, sparse).
+
+    Recall and synthesis (of one and of several sub-queries) go through hybrid search, up to
+    ``limit`` rows for each. An enumeration is exhaustive: all rows that hold all tokens of the text, from
+    the postings, without a score. An unknown kind is taken as recall.
+    """
+    lists = F.coalesce(F.col("ask_type") == LISTED, F.lit(False))
+    found, told = answer_parts(index, sub_queries.where(~lists), limit, k, view, least)
+    listed = sub_queries.where(lists)
+    hits = holding(index.tokens, listed.select("query", tokens(F.coalesce("text", F.lit(""))).alias("tokens")).dropDuplicates(["query"]))
+    rows = index.entries if view is None else view(index.entries)
+    all_of = fetch(rows.select(*PLACE, index.key), hits).select("query", index.key, F.lit(None).cast("double").alias("score"))
+    return found.unionByName(evidence(all_of, listed, index.key)), told.unionByName(ledger(all_of, listed))

@@ -197,6 +197,8 @@ def test_reports(spark):
     rows = spark.createDataFrame([("p", "d1", "no_op", 1), ("p", "d2", "error", 0), ("q", "d3", "success", 4)], "path string, document_id string, outcome string, chunk_count long")
     paths = reports.by_path(rows)
     assert sorted(map(tuple, paths.collect())) == [("p", "error", 2, 1), ("q", "success", 1, 4)]
+    more = reports.path_details(rows.withColumn("generation", F.lit(2)).unionByName(spark.createDataFrame([("p", "d0", "error", 0, None)], "path string, document_id string, outcome string, chunk_count long, generation int")))
+    assert [tuple(r)[1:] for r in more.orderBy("path").collect()] == [("error", 3, 1, ["d0", "d1", "d2"], [None, 2, 2], {"no_op": 1, "error": 2}), ("success", 1, 4, ["d3"], [2], {"success": 1})]
     assert reports.totals(paths).first().asDict() == {"total_paths": 2, "no_op_count": 0, "success_count": 1, "skipped_count": 0, "index_suspect_count": 0, "error_count": 1}
 
 
