@@ -462,14 +462,14 @@ def signatures(shingles: np.ndarray, similarity: float, common: np.ndarray = np.
 
 
 def shared_signatures(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(_node, _fp, _text) to (_sig, _node, _many, _c, _r, _hub, _least): signatures that several nodes have.
+    """(_node, _fp, _text) to (_sig, _node, _many, _c, _r, _p, _hub, _least): signatures that several nodes have.
 
-    ``_many``: it is a common shingle; ``_c``, ``_r``: how many of the node's shingles are common, and are not;
+    ``_many``: it is a common shingle; ``_c``, ``_r``: how many of the node's shingles are common, and are not; ``_p``: how many come before it;
     the hub is the node of fewest not common (of these, the least), and ``_least`` is how many.
     """
     common = common_shingles(texts, words)
-    names = ["_sig", "_node", "_many", "_c", "_r"]
-    schema = "_sig bigint, _node bigint, _many boolean, _c int, _r int"
+    names = ["_sig", "_node", "_many", "_c", "_r", "_p"]
+    schema = "_sig bigint, _node bigint, _many boolean, _c int, _r int, _p int"
 
     @lean
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,7 +482,7 @@ def shared_signatures(texts: DataFrame, words: int, similarity: float) -> DataFr
                 count = [len(m[0]) for m in made]
                 c = np.array([m[2] for m in made], np.int32)
                 columns = [np.concatenate([m[0] for m in made]).view(np.int64), np.repeat(some.column(0).to_numpy(), count), np.concatenate([m[1] for m in made])]
-                columns += [np.repeat(c, count), np.repeat(np.array([len(x) for x in sets], np.int32) - c, count)]
+                columns += [np.repeat(c, count), np.repeat(np.array([len(x) for x in sets], np.int32) - c, count), np.concatenate([np.arange(n, dtype=np.int32) for n in count])]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
     @lean
@@ -562,18 +562,24 @@ def all_links(shared: DataFrame, sets: DataFrame, forest: DataFrame, words: int,
     only those count that are alike by their common shingles alone: the smaller number of common ones is ``similarity`` at least of
     the larger and all others of both. Where the common shingles are the same ones, whoever is like any node is like the
     hub, which has the fewest others; so nodes that are not like it are out before any pairs are made.
+
+    A pair alike meets at the first signature that both have, in the order that all sets follow. Of what comes
+    before it in either set they share nothing, so the rest of both must be enough. A pair that meets elsewhere is
+    judged as if it were the first: what is alike has met there before.
     """
     met = shared.where("_node <> _hub").groupBy(F.col("_node").alias("_b")).agg(F.min("_hub").alias("_a"))
     edges = stash(alike_pairs(met, sets, words, similarity).union(forest), "links")
     labels = components(edges)
     hub = labels.select(F.col("_node").alias("_hub"), F.col("_label").alias("_main"))
-    told = shared.join(labels, "_node", "left").join(hub, "_hub", "left").select("_sig", "_node", "_many", "_c", "_r", "_least", F.coalesce("_label", "_node").alias("_label"), F.coalesce("_main", "_hub").alias("_main"))
+    told = shared.join(labels, "_node", "left").join(hub, "_hub", "left").select("_sig", "_node", "_many", "_c", "_r", "_p", "_least", F.coalesce("_label", "_node").alias("_label"), F.coalesce("_main", "_hub").alias("_main"))
     told = stash(told, "told")
     hopeful = ~F.col("_many") | (F.col("_r") + F.col("_least") <= F.lit(1 / similarity - 1 + 1e-9) * F.col("_c"))  # no partner has fewer others than the hub
-    apart = told.where((F.col("_label") != F.col("_main")) & hopeful).select("_sig", F.col("_node").alias("_a"), F.col("_label").alias("_from"), "_many", F.col("_c").alias("_ca"), F.col("_r").alias("_ra"))
-    others = told.select("_sig", F.col("_node").alias("_b"), F.col("_label").alias("_at"), (F.col("_label") == F.col("_main")).alias("_in"), F.col("_c").alias("_cb"), F.col("_r").alias("_rb"))
+    apart = told.where((F.col("_label") != F.col("_main")) & hopeful).select("_sig", F.col("_node").alias("_a"), F.col("_label").alias("_from"), "_many", F.col("_c").alias("_ca"), F.col("_r").alias("_ra"), F.col("_p").alias("_pa"))
+    others = told.select("_sig", F.col("_node").alias("_b"), F.col("_label").alias("_at"), (F.col("_label") == F.col("_main")).alias("_in"), F.col("_c").alias("_cb"), F.col("_r").alias("_rb"), F.col("_p").alias("_pb"))
     alike = F.least("_ca", "_cb") + F.when(F.col("_many"), 0).otherwise(F.least("_ra", "_rb")) >= F.lit(similarity - 1e-9) * (F.greatest("_ca", "_cb") + F.when(F.col("_many"), F.col("_ra") + F.col("_rb")).otherwise(F.greatest("_ra", "_rb")))
-    rest = apart.join(others, ["_sig"]).where((F.col("_from") != F.col("_at")) & (F.col("_in") | (F.col("_a") < F.col("_b"))) & alike)
+    left = F.least(F.col("_ca") + F.col("_ra") - F.col("_pa"), F.col("_cb") + F.col("_rb") - F.col("_pb"))
+    enough = left >= F.lit(similarity / (1 + similarity)) * (F.col("_ca") + F.col("_ra") + F.col("_cb") + F.col("_rb")) - 1e-6
+    rest = apart.join(others, ["_sig"]).where((F.col("_from") != F.col("_at")) & (F.col("_in") | (F.col("_a") < F.col("_b"))) & alike & enough)
     rest = rest.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
     more = stash(alike_pairs(rest, sets, words, similarity), "more")
     return labels if more.isEmpty() else components(edges.union(more))
