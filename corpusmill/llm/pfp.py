@@ -54,7 +54,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, NO_ID, lean, mixed, range_bounds, range_bucket
+from .common import MIX, NO_ID, frugal, frugal_cogroup, frugal_group, mixed, range_bounds, range_bucket
 
 LENGTH, TRIGGER, CHUNK, PART, SHARE = 50, 24, 1 << 18, 8 << 20, 4096
 #: Hash bits of a trigger, of a content beside the trigger, and of a content beside the part.
@@ -222,7 +222,7 @@ def rank_phrases(nameless: int, share: int, asks: bool) -> Callable[[Iterator[pa
     """From rows sorted by trigger, content and part: WHOLE for all but a phrase's first part; or, if ``asks``, BRING
     for the first part of phrases that share their trigger (BRING_STRINGS, if with more than ``share`` phrases)."""
 
-    @lean
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
         before, open_a, open_b, hot = (None, None), none, none, None
@@ -298,7 +298,7 @@ def string_keys(strings: np.ndarray) -> np.ndarray:
 def sort_dictionary(length: int, load: int = 1 << 15) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Which strings of each phrase a smaller document has, from rows sorted by key, data and document."""
 
-    @lean
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         before, least = (None, None), 0
@@ -431,14 +431,14 @@ def _removed(docs: DataFrame, length: int, id_col: str, text_col: str, kept_as:
     texts = slim.select(number.cast("int").alias("_part"), F.coalesce("_id", F.lit(NO_ID)).alias("_id"), *slim.columns[1:])
     texts = texts.mapInArrow(squeeze, texts.schema)  # one shuffle serves all three readings
     of_part, of_told = texts.groupBy("_part"), F.shiftright("b", C_LOW).cast("int").alias("_part")
-    phrases = of_part.applyInArrow(send_phrases(length), "a long, b long")
+    phrases = of_part.applyInArrow(frugal_group(send_phrases(length)), "a long, b long")
     sorted_phrases = phrases.repartition(F.shiftright("a", C_HIGH)).sortWithinPartitions("a", F.col("b").bitwiseAND(int(LOW)), "b")
     asks, told = (sorted_phrases.mapInArrow(rank_phrases(nameless, share, x), TOLD) for x in (True, False))
-    asked = of_part.cogroup(asks.groupBy(of_told)).applyInArrow(bring_phrases(length, nameless), PHRASE)
+    asked = of_part.cogroup(asks.groupBy(of_told)).applyInArrow(frugal_cogroup(bring_phrases(length, nameless)), PHRASE)
     answers = asked.repartition("key").sortWithinPartitions("key", "data", "doc").mapInArrow(sort_dictionary(length), TOLD)
     types = dict(docs.dtypes)
     schema = "_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + {"bytes": ", kept binary", "text": ", kept string", "": ""}[kept_as] + "".join(f", o{k} {types[c]}" for k, c in enumerate(others))
-    return of_part.cogroup(told.union(answers).groupBy(of_told)).applyInArrow(remove_runs(length, kept_as, others), schema)
+    return of_part.cogroup(told.union(answers).groupBy(of_told)).applyInArrow(frugal_cogroup(remove_runs(length, kept_as, others)), schema)
 
 
 def op7_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,13 +52,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, free_name, lean, mixed, stash, values
+from .common import MIX, free_name, frugal, frugal_group, lean, mixed, stash, values
 
 SEED, SAMPLE, LEAF_LOAD, BLOCK = 42, 4096, 12_000, 200_000
 #: Members of a block of a leaf, and bytes of shingle sets that meet in one task.
 GRID, SETS = 50_000, 1 << 26
-#: Frequent shingles that signatures avoid.
-COMMON = 1 << 17
+#: Frequent shingles that signatures avoid, at most, and texts that tell them.
+COMMON, COMMON_SAMPLE = 1 << 18, 1 << 15
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words of 64 bits at the end of a document's node that are the hash of its set of shingles.
 KEY = 2
@@ -392,7 +392,7 @@ def candidate_members(distinct: DataFrame, radius: int, shingle_radius: int, sim
     def parts(b: int, leaf: int) -> int:
         return ceil(load.get((b, leaf), 1) * scale * max(1 / BLOCK, 8 * exp((b + 2) * ratio) / SETS))
 
-    @lean
+    @frugal
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2048):
@@ -415,7 +415,7 @@ def candidate_members(distinct: DataFrame, radius: int, shingle_radius: int, sim
         return members.filter(pa.array(seen))
 
     schema = "_shard bigint, _fp binary, _home boolean"
-    return distinct.select("_fp", "_n").mapInArrow(send, schema).groupBy("_shard").applyInArrow(compare, schema)
+    return distinct.select("_fp", "_n").mapInArrow(send, schema).groupBy("_shard").applyInArrow(frugal_group(compare), schema)
 
 
 def verified_links(members: DataFrame, sets: DataFrame, words: int, radius: int, shingle_radius: int, similarity: float) -> DataFrame:
@@ -427,14 +427,14 @@ def verified_links(members: DataFrame, sets: DataFrame, words: int, radius: int,
         a, b = verified_forest(as_words(rows.column("_fp")), rows.column("_home").to_numpy(), shingles, radius, shingle_radius, similarity)
         return pa.table({"_a": pa.array(node[a], pa.int64()), "_b": pa.array(node[b], pa.int64())})
 
-    return members.join(sets.drop("_counts"), "_fp").groupBy("_shard").applyInArrow(verify, "_a bigint, _b bigint")
+    return members.join(sets.drop("_counts"), "_fp").groupBy("_shard").applyInArrow(frugal_group(verify), "_a bigint, _b bigint")
 
 
 def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
-    """Ascending hashes of shingles that several texts of a sample have, ``COMMON`` at most. They only save work."""
-    share = min(1.0, 2 * SAMPLE / max(1, texts.count()))
+    """Ascending hashes of shingles that several texts of a sample (about ``COMMON_SAMPLE``) have, ``COMMON`` at most. They only save work."""
+    share = min(1.0, COMMON_SAMPLE / max(1, texts.count()))
 
-    @lean
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
         for batch in batches:
@@ -471,7 +471,7 @@ def shared_signatures(texts: DataFrame, words: int, similarity: float) -> DataFr
     names = ["_sig", "_node", "_many", "_c", "_r", "_p"]
     schema = "_sig bigint, _node bigint, _many boolean, _c int, _r int, _p int"
 
-    @lean
+    @frugal
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
         for batch in batches:
@@ -485,7 +485,7 @@ def shared_signatures(texts: DataFrame, words: int, similarity: float) -> DataFr
                 columns += [np.repeat(c, count), np.repeat(np.array([len(x) for x in sets], np.int32) - c, count), np.concatenate([np.arange(n, dtype=np.int32) for n in count])]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
-    @lean
+    @frugal
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by signature; the last one of a batch waits for the next batch."""
         held: pa.RecordBatch | None = None  # the waiting row, and whether it goes on a run, of which hub
@@ -532,13 +532,13 @@ def alike_pairs(pairs: DataFrame, sets: DataFrame, words: int, similarity: float
     A hub comes last, when the rows of its many pairs are wide enough for Spark to part them.
     """
 
-    @lean
+    @frugal
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield batch.select([0, 1]).filter(pa.array(may_be_alike(batch.column(2).to_pylist(), batch.column(3).to_pylist(), similarity)))
 
-    @lean
+    @frugal
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = ShingleSets(words), ShingleSets(words)
         for batch in batches:
@@ -592,14 +592,14 @@ def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     row, fp, size = (free_name(docs, x) for x in ("~row", "~fp", "~n"))
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
 
-    @lean
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
         for batch in batches:
             made = [blocks_of(t or "", words, bits, memory) for t in values(batch.column(text_at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64())], [*names, fp, size])
 
-    @lean
+    @frugal
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, memory = zstandard.ZstdCompressor(level=1).compress, WordHashes()
         for batch in batches:
