@@ -99,25 +99,36 @@ def looks_like_text(content: Column) -> Column:
     return F.when(F.length(content) == 0, True).when(F.regexp_count(letters, F.lit(r"\x00")) > 0, False).otherwise(odd <= 0.3 * F.length(content))
 
 
+# Characters that are no letters, marks, numbers, punctuation or white space; and those that are replacement or control characters.
+NOT_GOOD = rf"[^\p{{L}}\p{{M}}\p{{N}}\p{{P}}{SPACES}]"
+BAD = r"[\x{FFFD}\p{Cf}\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f]"
+
+
+def share_of(text: Column, count: Column, empty: float) -> Column:
+    return F.when(F.length(text) == 0, empty).otherwise(count / F.nullif(F.length(text), F.lit(0)))
+
+
 def good_ratio(text: Column) -> Column:
-    """Share of letters, marks, numbers, punctuation and white space; empty: 1."""
-    good = F.regexp_count(text, F.lit(rf"[\p{{L}}\p{{M}}\p{{N}}\p{{P}}{SPACES}]"))
-    return F.when(F.length(text) == 0, 1.0).otherwise(good / F.nullif(F.length(text), F.lit(0)))
+    """Share of letters, marks, numbers, punctuation and white space; empty: 1. The few others are counted: a match is an object."""
+    return share_of(text, F.length(text) - F.regexp_count(text, F.lit(NOT_GOOD)), 1.0)
 
 
 def bad_ratio(text: Column) -> Column:
     """Share of replacement and control characters other than white space; empty: 0."""
-    bad = F.regexp_count(text, F.lit(r"[\x{FFFD}\p{Cf}\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f]"))
-    return F.when(F.length(text) == 0, 0.0).otherwise(bad / F.nullif(F.length(text), F.lit(0)))
+    return share_of(text, F.regexp_count(text, F.lit(BAD)), 0.0)
 
 
 def page_verdict(text: Column) -> Column:
     """Verdict on text taken from pages: scanned, low_confidence or ok."""
-    return (
-        F.when(F.length(F.replace(text, F.lit("\n"), F.lit(""))) < 100, "scanned")
-        .when((good_ratio(text) < 0.7) | (bad_ratio(text) > 0.1), "low_confidence")
-        .otherwise("ok")
-    )
+    return quality(text)["verdict"]
+
+
+def quality(text: Column) -> Column:
+    """Struct of good, bad and verdict, each counted once."""
+    scanned = F.length(F.replace(text, F.lit("\n"), F.lit(""))) < 100
+    verdict = lambda r: F.when(scanned, "scanned").when((r["good"] < 0.7) | (r["bad"] > 0.1), "low_confidence").otherwise("ok")
+    ratios = F.struct(good_ratio(text).alias("good"), bad_ratio(text).alias("bad"))
+    return let(ratios, lambda r: F.struct(r["good"].alias("good"), r["bad"].alias("bad"), verdict(r).alias("verdict")))
 
 
 def redact(text: Column) -> Column:

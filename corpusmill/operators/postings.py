@@ -124,11 +124,11 @@ def sparse_topk_pruned(
     vector: str = "sparse",
     view: Callable[[DataFrame], DataFrame] | None = None,
     floor: DataFrame | None = None,
-    seeds: int = 1000,
+    seeds: int | None = None,
 ) -> Pruned:
     """The best ``k`` rows of each sparse query (query, sparse) by dot product, ties by key, with bounds that skip what cannot be among them.
 
-    1. Some rows of each query's rarest terms, about ``seeds``, are scored in full: their
+    1. Some rows of each query's rarest terms, about ``seeds`` (ten times k), are scored in full: their
        k-th best score is a threshold. Fewer than k give none, and nothing is skipped.
     2. A query's most common terms are set aside as long as all of them together stay
        below the threshold (max-score): a row that has no other term of it cannot reach
@@ -143,8 +143,8 @@ def sparse_topk_pruned(
     floor): rows that score less are not asked for, which skips more; those from there on
     have the ranks that they have among all.
     """
-    seen = index.entries if view is None else view(index.entries)
-    asked = stash(queries.where(F.size(F.col("sparse")["indices"]) > 0).select("query", "sparse"), "asked")
+    seen, seeds = index.entries if view is None else view(index.entries), 10 * k if seeds is None else seeds
+    asked = stash(queries.where(F.size(F.col("sparse")["indices"]) > 0).select("query", "sparse", F.col("sparse").alias("~q")), "asked")
     entries_of = asked.select("query", F.inline(sparse_terms(F.col("sparse")))).withColumnRenamed("weight", "w")
     weight = F.col("w").cast("double")
     bound = F.greatest(weight * F.col("top").cast("double"), weight * F.col("low").cast("double"), F.lit(0.0))
@@ -163,10 +163,11 @@ def sparse_topk_pruned(
     first = picked.join(index.blocks.select("term", "slice", "locals"), ["term", "slice"]).select("query", "slice", F.explode("locals").alias("local")).distinct()
 
     def scored(pairs: DataFrame) -> DataFrame:
-        both = fetch(seen.select(*PLACE, key, F.col(vector).alias("~v")), pairs).join(asked.withColumnRenamed("sparse", "~q"), "query")
-        weights = F.map_from_arrays(F.col("~q")["indices"], F.col("~q")["values"])
-        own = F.filter(sparse_terms(F.col("~v")), lambda p: F.map_contains_key(weights, p["term"]))
-        score = F.aggregate(own, F.lit(0.0), lambda s, p: s + F.try_element_at(weights, p["term"]).cast("double") * p["weight"].cast("double"))
+        both = fetch(seen.select(*PLACE, key, F.col(vector).alias("~v")), pairs).join(asked.select("query", "~q"), "query")
+        # terms and weights in step: what both have, in the same order
+        shared = F.array_intersect(F.col("~q")["indices"], F.col("~v")["indices"])
+        value = lambda of, i: F.get(F.col(of)["values"], (F.array_position(F.col(of)["indices"], i) - 1).cast("int")).cast("double")
+        score = F.aggregate(shared, F.lit(0.0), lambda s, i: s + value("~q", i) * value("~v", i))
         return both.select("query", key, score.alias("score"))
 
     order = Window.partitionBy("query").orderBy(F.desc("score"), key)

@@ -97,9 +97,9 @@ def found_by_rank(probes: DataFrame, index: CorpusIndex, view: View, limit: int,
     asked = stash(asked_for(probes, dense_dim, sparse_dim), "probes")
     mine = probes.select("query", *KEY).distinct()
     own = view(index.entries).join(mine, KEY).select("query", *KEY, index.key, F.col("dense").alias("~d"), F.col("sparse").alias("~s")).join(asked, "query")
-    pairs = F.arrays_zip(F.col("~s")["indices"].alias("i"), F.col("~s")["values"].alias("v"))
-    weights = F.map_from_arrays(F.col("sparse")["indices"], F.col("sparse")["values"])
-    dotted = F.aggregate(F.filter(pairs, lambda p: F.map_contains_key(weights, p["i"])), F.lit(0.0), lambda s, p: s + F.try_element_at(weights, p["i"]).cast("double") * p["v"].cast("double"))
+    shared = F.array_intersect(F.col("sparse")["indices"], F.col("~s")["indices"])
+    value = lambda of, i: F.get(F.col(of)["values"], (F.array_position(F.col(of)["indices"], i) - 1).cast("int")).cast("double")
+    dotted = F.aggregate(shared, F.lit(0.0), lambda s, i: s + value("sparse", i) * value("~s", i))
     scores = stash(own.select("query", *KEY, index.key, F.round(cosine(F.col("~d"), F.col("dense")), 9).alias("near"), dotted.alias("dot")), "own")
     best = scores.groupBy("query", *KEY).agg(F.max("near").alias("near"), F.max("dot").alias("dot")).groupBy("query").agg(F.min("near").alias("near"), F.min("dot").alias("dot"))  # several documents may ask alike
     floors = best.where("near IS NOT NULL").select("query", (F.col("near") - 2e-9).alias("floor")), best.where("dot IS NOT NULL").select("query", (F.col("dot") - F.abs("dot") * 1e-9 - 1e-9).alias("floor"))

@@ -57,8 +57,8 @@ SELECT doc_id, round(coalesce(g, 1), 6) AS good, round(coalesce(b, 0), 6) AS bad
        CASE WHEN length(replace(text, chr(10), '')) < 100 THEN 'scanned' WHEN g < 0.7 OR b > 0.1 THEN 'low_confidence' ELSE 'ok' END AS verdict
 FROM m""")
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(text.good_ratio(t), 6).alias("good"), F.round(text.bad_ratio(t), 6).alias("bad"), text.page_verdict(t).alias("verdict"))
+    told = table(spark, sf_dir, "documents").select("doc_id", text.quality(F.col("text")).alias("q"))
+    return told.select("doc_id", F.round("q.good", 6).alias("good"), F.round("q.bad", 6).alias("bad"), "q.verdict")
 
 
 @query(r"""
