@@ -13,9 +13,11 @@ The labellers of toxicity look for abusive terms: a short list, and words and wo
 beginnings that a sample of rows from a table of labels shows to go with toxic
 documents. That table itself is a labeller too, where its sample covers a document.
 
-Bounds: at most ``LABELLED`` labelled rows give terms (all that these rows show are kept), and the
-scorer is fitted on at most ``FITTED`` documents (labelled ones first), in one task. Votes and
-verdicts cover all documents.
+Bounds: at most ``LABELLED`` labelled rows give terms (all that these rows show are kept). The
+scorer is fitted in one task, on at most ``FITTED`` documents of ``FITTED_BYTES`` together. Of both,
+``KNOWN_SHARE`` is for documents that the table of labels covers, the rest for others; neither kind
+takes the other's place, so labelled and unlabelled documents train at every size. A document
+whose rows have more than ``LONGEST`` bytes is not drawn. Votes and verdicts cover all documents.
 
 Defined cases: a null or empty text gets the scorer's verdict on no words, which is
 "kept" unless training says otherwise; repeated rows get the same verdict; null ids
@@ -31,13 +33,13 @@ from operator import eq, itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, lean, stash, values
 from .host_rules import measure
 
-LABELLED, FITTED = 20_000, 6_000
+LABELLED, FITTED, FITTED_BYTES, LONGEST, KNOWN_SHARE = 20_000, 6_000, 96 << 20, 1 << 20, 0.75
 WIDTH, CLEAR_LEAST, TRUST = 1 << 18, 0.95, 5.0
 #: Words that a task remembers the terms of; beyond, it forgets all and goes on.
 WORDS = 100_000
@@ -227,17 +229,35 @@ def prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def cast_votes(texts: DataFrame, abusive: list[str]) -> DataFrame:
-    """(_id, _text, _junk, _toxic) to (_id, _pattern): a digit for each labeller's vote."""
+    """(_id, _text, _junk, _toxic) to (_id, _bytes, _pattern): a digit for each labeller's vote."""
     found = frozenset(abusive)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = TermHits(found)
         for batch in batches:
-            made = ["".join(map(str, votes(Rates(t), terms, j, x))) for t, j, x in zip(*(values(batch.column(c)) for c in (1, 2, 3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["_id", "_pattern"])
+            made = ["".join(map(str, votes(Rates(t), terms, j, x))) for t, j, x in zip(*(values(batch.column(c)) for c in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], ["_id", "_bytes", "_pattern"])
 
-    return texts.select("_id", "_text", "_junk", "_toxic").mapInArrow(run, "_id bigint, _pattern string")
+    size = F.octet_length("_text").cast("long").alias("_bytes")
+    return texts.select("_id", size, "_text", "_junk", "_toxic").mapInArrow(run, "_id bigint, _bytes bigint, _pattern string")
+
+
+def drawn(voted: DataFrame, rows: int = FITTED, size: int = FITTED_BYTES, longest: int = LONGEST) -> DataFrame:
+    """(_id, _pattern) of the documents that the scorer is fitted on, from (_id, _bytes, _pattern) rows.
+
+    Both kinds, with and without the annotator's vote, come in the order of a hash of the id, until their share of rows or bytes is full.
+    An id's rows count together, with a byte each besides their texts, so an id that many rows have is not drawn.
+    """
+    ids = voted.where("_id IS NOT NULL").groupBy("_id").agg(F.min("_pattern").alias("_pattern"), F.sum(F.col("_bytes") + 1).alias("_bytes"))
+    ids = ids.where(F.col("_bytes") <= longest).withColumn("_order", F.xxhash64("_id"))
+    so_far = Window.orderBy("_order", "_id").rowsBetween(Window.unboundedPreceding, 0)
+
+    def kind(silent: bool, share: float) -> DataFrame:
+        some = ids.where(F.col("_pattern").endswith(str(SILENT)) == F.lit(silent)).orderBy("_order", "_id").limit(round(share * rows))
+        return some.withColumn("_sum", F.sum("_bytes").over(so_far)).where(F.col("_sum") <= share * size).select("_id", "_pattern")  # of the rows that were drawn
+
+    return kind(False, KNOWN_SHARE).union(kind(True, 1 - KNOWN_SHARE))
 
 
 def train(texts: DataFrame, labels: DataFrame | None) -> tuple[np.ndarray, dict]:
@@ -256,8 +276,7 @@ def train(texts: DataFrame, labels: DataFrame | None) -> tuple[np.ndarray, dict]
     junk, junk_accuracy, junk_share = estimate(summed((p[:cut], n) for p, n in patterns), JUNK, CLEAR_LEAST)
     toxic, toxic_accuracy, toxic_share = estimate(summed((p[cut:], n) for p, n in patterns), TOXIC, CLEAR_LEAST)
     posterior = {p: 1 - (1 - junk[p[:cut]]) * (1 - toxic[p[cut:]]) for p, _ in patterns}
-    chosen = voted.where("_id IS NOT NULL").groupBy("_id").agg(F.min("_pattern").alias("_pattern"))
-    chosen = stash(chosen.orderBy(F.col("_pattern").endswith(str(SILENT)), F.xxhash64("_id"), "_id").limit(FITTED), "chosen")
+    chosen = stash(drawn(voted), "chosen")
     examples = texts.join(F.broadcast(chosen), "_id").select("_id", "_text", "_pattern")  # FITTED rows at most
 
     @lean

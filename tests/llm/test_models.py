@@ -185,3 +185,59 @@ def test_drawn_seats_are_those_of_single_moves():
                 seen.append(len(tables))
         drawn = hpylm.draw(np.full(4000, c), np.full(4000, odds), discount, rng, 4)
         assert drawn.mean() == pytest.approx(np.mean(seen), rel=0.03)
+
+
+def test_posteriors_are_those_of_bayes_rule():
+    rng = np.random.default_rng(6)
+    bad = rng.random(4000) < 0.25
+    votes = np.array([np.where(bad, rng.random(4000) < h, rng.random(4000) > c) for h, c in ((0.8, 0.9), (0.7, 0.95), (0.9, 0.85))]).astype(int)
+    counts = sorted(Counter("".join(map(str, v)) for v in votes.T).items())
+    posterior, found, share = weak_labels.estimate(counts, ("a", "b", "c"))
+    for pattern, _ in counts:
+        up, down = share, 1 - share
+        for vote, name in zip(map(int, pattern), "abc"):
+            hit, clear = found[name]
+            up *= hit if vote == weak_labels.BAD else 1 - hit
+            down *= 1 - clear if vote == weak_labels.BAD else clear
+        assert posterior[pattern] == pytest.approx(up / (up + down), abs=1e-6)
+
+
+@pytest.mark.parametrize(("known", "others"), [(0, 0), (0, 300), (10, 300), (300, 5), (300, 300)])
+def test_both_kinds_train_at_every_size(spark, known, others):
+    rows, size, longest = 40, 40 * 60, 150
+    made = [(i, 20 + i * 37 % 100, "0" if i < known else "2") for i in range(known + others)]
+    made += [(5000, 10, "0")] * 30 + [(5001, longest, "0"), (5002, 10**9, "2"), (None, 1, "0"), (5003, 0, "2"), (5003, 0, "2")]
+    voted = spark.createDataFrame(made, "_id bigint, _bytes bigint, _pattern string").repartition(3)
+    order = {r._id: r.h for r in voted.selectExpr("_id", "xxhash64(_id) h").collect()}
+    total = Counter()
+    for i, n, _ in made:
+        total[i] += n + 1
+    kind = {i: p for i, _, p in made}
+    want = set()
+    for p, share in (("0", 0.75), ("2", 0.25)):
+        ids = sorted((i for i in total if i is not None and total[i] <= longest and kind[i] == p), key=lambda i: (order[i], i))[: round(share * rows)]
+        sums = np.cumsum([total[i] for i in ids])
+        want |= {(i, p) for i, s in zip(ids, sums) if s <= share * size}
+    got = [tuple(r) for r in weak_labels.drawn(voted, rows, size, longest).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert not {5000, 5001, 5002, None} & {i for i, _ in got}
+    if known == others == 300:
+        assert {p for _, p in got} == {"0", "2"}
+
+
+def test_scores_are_the_weights_sums(spark):
+    rows = corpus(np.random.default_rng(8), 300)
+    long_text = " ".join(f"w{k % 9000} {rows[k % 300][1][:40]}" for k in range(20_000))
+    texts = [(i, t) for i, t, _, _ in rows] + [(3, rows[3][1]), (4, None), (4, ""), (None, rows[4][1]), (None, rows[4][1]), (9001, long_text), (9002, long_text)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, q, x) for i, _, q, x in rows if i % 2], "doc_id bigint, quality int, toxic int")
+    weights, _ = weak_labels.train(weak_labels.prepare(docs, "doc_id", "text"), labels)
+    features, want = weak_labels.Features(), []
+    for i, t in texts:
+        slots, counts = np.unique(features.of(weak_labels.Rates(t or "")), return_counts=True)
+        score = 1 / (1 + np.exp(-(weights[slots] @ np.minimum(counts, 8) + weights[-1])))
+        want.append((i if i is not None else -1, score))
+    got = [(r.doc_id if r.doc_id is not None else -1, r.score, r.kept) for r in weak_labels.classify(docs, labels).collect()]
+    assert [g[0] for g in sorted(got)] == [w[0] for w in sorted(want)]
+    assert [g[1] for g in sorted(got)] == pytest.approx([w[1] for w in sorted(want)], abs=1e-9)
+    assert all(kept == (s < 0.5) for _, s, kept in got)
