@@ -202,29 +202,6 @@ def test_posteriors_are_those_of_bayes_rule():
         assert posterior[pattern] == pytest.approx(up / (up + down), abs=1e-6)
 
 
-@pytest.mark.parametrize(("known", "others"), [(0, 0), (0, 300), (10, 300), (300, 5), (300, 300)])
-def test_both_kinds_train_at_every_size(spark, known, others):
-    rows, size, longest = 40, 40 * 60, 150
-    made = [(i, 20 + i * 37 % 100, "0" if i < known else "2") for i in range(known + others)]
-    made += [(5000, 10, "0")] * 30 + [(5001, longest, "0"), (5002, 10**9, "2"), (None, 1, "0"), (5003, 0, "2"), (5003, 0, "2")]
-    voted = spark.createDataFrame(made, "_id bigint, _bytes bigint, _pattern string").repartition(3)
-    order = {r._id: r.h for r in voted.selectExpr("_id", "xxhash64(_id) h").collect()}
-    total = Counter()
-    for i, n, _ in made:
-        total[i] += n + 1
-    kind = {i: p for i, _, p in made}
-    want = set()
-    for p, share in (("0", 0.75), ("2", 0.25)):
-        ids = sorted((i for i in total if i is not None and total[i] <= longest and kind[i] == p), key=lambda i: (order[i], i))[: round(share * rows)]
-        sums = np.cumsum([total[i] for i in ids])
-        want |= {(i, p) for i, s in zip(ids, sums) if s <= share * size}
-    got = [tuple(r) for r in weak_labels.drawn(voted, rows, size, longest).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
-    assert not {5000, 5001, 5002, None} & {i for i, _ in got}
-    if known == others == 300:
-        assert {p for _, p in got} == {"0", "2"}
-
-
 def test_scores_are_the_weights_sums(spark):
     rows = corpus(np.random.default_rng(8), 300)
     long_text = " ".join(f"w{k % 9000} {rows[k % 300][1][:40]}" for k in range(20_000))
