@@ -4,17 +4,19 @@ A fingerprint takes every shingle of a text (repeats included), hashes it with X
 and sets each bit that is set in over half of the hashes. Texts link if their
 fingerprints differ in at most ``radius`` bits, and linked texts form components.
 
-Equal fingerprints are first merged to one row, so copies cost nothing later. A
-vantage-point tree is grown on the driver from a sample of ``SAMPLE`` fingerprints
-at most: a node's vantage point and distance part the fingerprints into an inner
-and an outer half. The tree gets so many levels that copies of visitors grow as the root of
-the number of fingerprints. Each fingerprint has one home leaf. By the triangle inequality
+Equal fingerprints are first merged to one row, a node with a number of its own, so copies
+cost nothing later and ids of any value, repeated or null, do no harm. The bits are parted into one block more than
+``radius``: linked fingerprints agree on one of them, so each fingerprint goes to the bucket of
+each of its blocks, ``radius + 1`` rows at any size of the table. A bucket of more than ``GRID``
+rows is parted by blocks of the other bits in the same way, and by pairs of its own blocks if that is not enough.
+In a bucket of more than ``leaf_load`` rows a vantage-point tree is grown: a node's
+vantage point and distance part the fingerprints into an inner
+and an outer half. Each fingerprint has one home leaf. By the triangle inequality
 only inner fingerprints within ``radius`` of the border can link across it; those
-also visit the outer half, and visitors go on to every half they may link in. So each
-leaf (a shard, or a grid of pairs of its blocks, if it is large) sees every pair that could link, and no leaf sees the rest. A leaf
-compares its homes with all its members in blocks and returns a forest of the links,
+also visit the outer half, and visitors go on to every half they may link in. A leaf
+compares its homes with all its members in blocks; a task returns a forest of the links,
 never all pairs. The forests join up to components by hash-min rounds with pointer
-jumping, each round written to the shared folder.
+jumping, each round written to the shared folder. A component's id is the smallest id of its fingerprints' rows.
 
 :func:`distinct_documents` keeps one document of each group of alike word shingles.
 There a fingerprint has more blocks: one of single words, that the tree parts, and some
@@ -32,7 +34,7 @@ lost, but for collisions of 64-bit hashes of shingles, and no pair less alike is
 
 Defined cases: a null or wordless text has fingerprint zero, linked like any other;
 fewer words than a shingle: the whole sequence is the one shingle; repeated rows fall
-in one component; a null id is never a component's id, and a component of null ids
+in one component, rows that share an id alone do not link; a null id is never a component's id, and a component of null ids
 alone has the null component; an empty table gives an empty result; further columns
 are ignored.
 """
@@ -62,8 +64,8 @@ COMMON, COMMON_SAMPLE = 1 << 18, 1 << 15
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words of 64 bits at the end of a document's node that are the hash of its set of shingles.
 KEY = 2
-#: Node numbers from here on stand for fingerprints that no row with an id has.
-NAMELESS = 1 << 62
+#: Rows of a bucket beyond which it grows a tree.
+BUCKET_LOAD = 2048
 
 
 def shingle_hashes(text: str, words: int, seed: int = SEED) -> np.ndarray:
@@ -197,6 +199,13 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of ``n`` nodes that join what the links ``a``, ``b`` join, fewer than ``n``."""
+    label = roots(n, a, b)
+    a = np.flatnonzero(label != np.arange(n))
+    return a, label[a]
+
+
 def leaf_forest(prints: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the links between homes and members of a leaf."""
     n, homes = len(prints), np.flatnonzero(home)
@@ -210,12 +219,8 @@ def leaf_forest(prints: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.n
         apart = i != j
         a, b = np.concatenate([a, i[apart]]), np.concatenate([b, j[apart]])
         if len(a) > 4 * n + (1 << 20):
-            label = roots(n, a, b)
-            a = np.flatnonzero(label != np.arange(n))
-            b = label[a]
-    label = roots(n, a, b)
-    a = np.flatnonzero(label != np.arange(n))
-    return a, label[a]
+            a, b = forest(n, a, b)
+    return forest(n, a, b)
 
 
 def grid(hashes: np.ndarray, home: np.ndarray, side: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -232,32 +237,115 @@ def grid(hashes: np.ndarray, home: np.ndarray, side: int) -> Iterator[tuple[np.n
         yield other * side + block[second], every[second], np.zeros(int(second.sum()), bool)
 
 
-def links(distinct: DataFrame, radius: int, leaf_load: int = LEAF_LOAD) -> DataFrame:
+def blocks_of_bits(within: np.ndarray, radius: int) -> list[np.ndarray]:
+    """Masks that part the bits of a mask into one block more than ``radius``: fingerprints so near agree on one of them."""
+    at = np.flatnonzero(np.unpackbits(within.view(np.uint8), bitorder="little"))
+    bits = np.zeros((radius + 1, 64 * len(within)), np.uint8)
+    for row, part in zip(bits, np.array_split(at, radius + 1), strict=True):
+        row[part] = 1
+    return list(np.packbits(bits, axis=1, bitorder="little").view(np.uint64))
+
+
+def bucket_keys(prints: np.ndarray, mask: np.ndarray, salt: int) -> np.ndarray:
+    """Equal for fingerprints that agree on the bits of ``mask``."""
+    out = np.full(len(prints), mixed(np.array([salt], np.uint64) * MIX)[0], np.uint64)
+    for word, some in zip(prints.T, mask, strict=True):
+        out = mixed(out ^ (word & some)) + np.uint64(1)
+    return out
+
+
+def buckets(prints: np.ndarray, radius: int, large: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(keys, row numbers, whether they are finer): every pair within ``radius`` has a key in common.
+
+    Fingerprints that agree on a block have one key, and so ``radius + 1`` keys each. Where that is one of the keys
+    ``large``, the other bits are parted into blocks again, on one of which a pair must agree too.
+    """
+    every = np.full(prints.shape[1], 2**64 - 1, np.uint64)
+    for i, mask in enumerate(blocks_of_bits(every, radius)):
+        key = bucket_keys(prints, mask, i + 1)
+        much = np.isin(key, large)
+        yield key[~much], np.flatnonzero(~much), False
+        if much.any():
+            rows = np.flatnonzero(much)
+            for j, other in enumerate(blocks_of_bits(~mask, radius)):
+                yield bucket_keys(prints[rows], mask | other, (i + 1 << 20) + j), rows, True
+
+
+def bucket_links(key: np.ndarray, prints: np.ndarray, radius: int, leaf_load: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links between rows of equal keys, by row number. Many rows of one key are parted by a vantage-point tree."""
+    n, order = len(key), np.argsort(key, kind="stable")
+    key, sorted_prints = key[order], prints[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.zeros(0, np.int64)
+    many = np.diff(np.append(start, n))
+    a = b = np.zeros(0, np.int64)
+
+    def more(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal a, b
+        a, b = np.concatenate([a, i]), np.concatenate([b, j])
+        if len(a) > 4 * n + (1 << 20):
+            a, b = forest(n, a, b)
+
+    end = np.repeat(np.where(many > leaf_load, 0, start + many), many)
+    at, step = np.arange(n), 0
+    while len(at):  # each row with the one so many rows on
+        step += 1
+        at = at[at + step < end[at]]
+        near = at[distance(sorted_prints[at], sorted_prints[at + step]) <= radius]
+        more(near, near + step)
+    for first, size in zip(start[many > leaf_load].tolist(), many[many > leaf_load].tolist(), strict=True):
+        own = sorted_prints[first : first + size]
+        nodes = grow(own[:: -(-size // SAMPLE)], size, radius, leaf_load, depth_of(size, leaf_load / 6))
+        for _, rows, home in route(nodes, own, radius):
+            i, j = leaf_forest(own[rows], home, radius)
+            more(first + rows[i], first + rows[j])
+    return order[a], order[b]
+
+
+def links(distinct: DataFrame, radius: int, leaf_load: int = BUCKET_LOAD) -> DataFrame:
     """(_fp, _node) one row a fingerprint to (_a, _b): forests of links, by node."""
     total = distinct.count()
     sample = unhex(distinct.select("_fp").orderBy(F.xxhash64("_fp"), "_fp").limit(SAMPLE).toArrow().column(0)) if total else np.zeros((0, 1), np.uint64)
-    nodes = grow(sample, total, radius, leaf_load, depth_of(total, leaf_load / 6))
-    seen = {leaf: len(rows) for leaf, rows, _ in route(nodes, sample, radius)}
-    sides = {leaf: ceil(n * total / len(sample) / GRID) for leaf, n in seen.items()}
+    scale, none = total / max(1, len(sample)), np.zeros(0, np.uint64)
+
+    def loads(large: np.ndarray, finer: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of more than ``GRID`` rows, as the sample tells, and how many."""
+        found = [k for k, _, fine in buckets(sample, radius, large) if fine == finer]
+        keys, many = np.unique(np.concatenate([none, *found]), return_counts=True)
+        return keys[many * scale > GRID], many[many * scale > GRID] * scale
+
+    large, _ = loads(none, False)
+    sides = {k: ceil(n / GRID) for k, n in zip(*(x.tolist() for x in loads(large, True)), strict=True)}
+    shards = np.uint64(max(1, -(-total * (radius + 1) // GRID)))
+
+    def parted(key: np.ndarray, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of a key that is large even so meet in pairs of blocks."""
+        plain = ~np.isin(key, np.array(list(sides), np.uint64))
+        yield key[plain], np.flatnonzero(plain)
+        for k in np.unique(key[~plain]).tolist():
+            rows, side = np.flatnonzero(key == k), np.int64(sides[k])
+            for pair, which, _ in grid(mixed(prints[rows, -1]), np.ones(len(rows), bool), int(side)):
+                once = pair // side < pair % side
+                yield mixed(mixed(pair[once].astype(np.uint64) + np.uint64(1)) ^ np.uint64(k)), rows[which[once]]
 
     @lean
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 2048):
-                some = batch.slice(k, 2048)
+            for k in range(0, batch.num_rows, 8192):
+                some = batch.slice(k, 8192)
                 if not some.num_rows:
                     continue
                 prints = unhex(some.column(0))
-                for leaf, rows, home in route(nodes, prints, radius):
-                    for shard, which, own in grid(mixed(prints[rows, -1]), home, sides.get(leaf, 1)):
-                        yield pa.RecordBatch.from_arrays([pa.array(shard + (leaf << 40)), *(some.column(c).take(pa.array(rows[which])) for c in (0, 1)), pa.array(own)], ["_leaf", "_fp", "_node", "_home"])
+                for keys, rows, finer in buckets(prints, radius, large):
+                    for key, which in parted(keys, prints[rows]) if finer and sides else [(keys, np.arange(len(rows)))]:
+                        yield pa.RecordBatch.from_arrays([pa.array((key % shards).astype(np.int64)), pa.array(key.view(np.int64)), *(some.column(c).take(pa.array(rows[which])) for c in (0, 1))], ["_shard", "_key", "_fp", "_node"])
 
     def compare(members: pa.Table) -> pa.Table:
-        a, b = leaf_forest(unhex(members.column("_fp")), members.column("_home").to_numpy(), radius)
-        node = members.column("_node").to_numpy()
+        a, b = bucket_links(members.column("_key").to_numpy(), unhex(members.column("_fp")), radius, leaf_load)
+        node, at = np.unique(members.column("_node").to_numpy(), return_inverse=True)
+        a, b = forest(len(node), at[a], at[b])
         return pa.table({"_a": pa.array(node[a], pa.int64()), "_b": pa.array(node[b], pa.int64())})
 
-    return distinct.select("_fp", "_node").mapInArrow(send, "_leaf bigint, _fp string, _node bigint, _home boolean").groupBy("_leaf").applyInArrow(compare, "_a bigint, _b bigint")
+    return distinct.select("_fp", "_node").mapInArrow(send, "_shard bigint, _key bigint, _fp string, _node bigint").groupBy("_shard").applyInArrow(compare, "_a bigint, _b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -626,15 +714,16 @@ def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     return printed.join(stay, row, "left_semi").select(*(f"`{c}`" for c in names))
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 64, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", leaf_load: int = LEAF_LOAD) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 64, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", leaf_load: int = BUCKET_LOAD) -> DataFrame:
     """id, fingerprint and component_id (the smallest id reachable by links) of every document."""
     prints = stash(fingerprints(docs, words, bits, id_col, text_col), "fingerprints")
-    nameless = F.shiftrightunsigned(F.xxhash64("_fp"), 3) + F.lit(NAMELESS)
-    distinct = stash(prints.groupBy("_fp").agg(F.min("_id").alias("_least")).select("_fp", F.coalesce("_least", nameless).alias("_node")), "distinct")
+    distinct = prints.groupBy("_fp").agg(F.min("_id").alias("_least")).withColumn("_node", F.monotonically_increasing_id())
+    distinct = stash(distinct, "distinct")
     labels = components(links(distinct, radius, leaf_load))
-    named = distinct.join(labels, "_node", "left").select("_fp", F.coalesce("_label", "_node").alias("_label"))
-    component = F.when(F.col("_label") < NAMELESS, F.col("_label"))
-    return prints.join(named, "_fp").select(F.col("_id").alias(id_col), F.col("_fp").alias("fingerprint"), component.alias("component_id"))
+    named = stash(distinct.join(labels, "_node", "left").select("_fp", "_least", F.coalesce("_label", "_node").alias("_label")), "named")
+    least = named.groupBy("_label").agg(F.min("_least").alias("_id_of"))
+    component = named.join(least, "_label").select("_fp", F.col("_id_of").alias("component_id"))
+    return prints.join(component, "_fp").select(F.col("_id").alias(id_col), F.col("_fp").alias("fingerprint"), "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

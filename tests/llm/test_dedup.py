@@ -153,6 +153,32 @@ def test_components(spark, leaf, tmp_path):
     assert simhash.near_duplicates(df.where("doc_id < -5")).count() == 0
 
 
+def test_components_with_large_and_repeated_ids(spark):
+    """An id is only what a component is named by: ids from 2**62 on count, and rows that share an id alone do not link."""
+    rows = [(2**62 + 7, "a b c d e"), (2**63 - 1, "a b c d e"), (-(2**63), "q"), (5, "one text of its own"), (5, "quite another one here"), (2, "quite another one here"), (None, "nobody's words")]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
+    assert sorted(map(tuple, simhash.near_duplicates(df).collect()), key=repr) == brute_components(rows, 4)
+
+
+@pytest.mark.parametrize("load, large", [(4, 10**6), (50, 60), (10**6, 25)])
+def test_buckets_lose_no_pair_and_copies_stay(spark, monkeypatch, load, large):
+    """Every link is found, whether buckets grow trees, are parted by further blocks, or by pairs of blocks; and copies do not grow with the table."""
+    monkeypatch.setattr(simhash, "GRID", large)
+    rng = np.random.default_rng(load)
+    base = rng.integers(0, 2**64, 30, dtype=np.uint64)
+    made = [base, *(base ^ np.uint64(1 << int(a)) ^ np.uint64(1 << int(b)) for a, b in rng.integers(0, 64, (12, 2)))]
+    made += [base[:1] ^ np.uint64(1 << int(a)) ^ np.uint64(1 << int(b)) ^ np.uint64(1 << int(c)) for a, b, c in rng.integers(0, 64, (200, 3))]
+    prints = np.unique(np.concatenate(made))
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4
+    want = simhash.roots(len(prints), *np.nonzero(near))
+    df = spark.createDataFrame([(f"{p:016x}", i) for i, p in enumerate(prints.tolist())], "_fp string, _node bigint")
+    found = [(r._a, r._b) for r in simhash.links(df, 4, load).collect()]
+    assert all(near[a, b] or want[a] == want[b] for a, b in found)
+    assert (simhash.roots(len(prints), *np.array(found).T) == want).all()
+    none = np.zeros(0, np.uint64)
+    assert sum(len(rows) for _, rows, _ in simhash.buckets(prints[:, None], 4, none)) == 5 * len(prints)
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)
