@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import let, words
 
@@ -46,3 +52,48 @@ def hash_sparse(text: Column, size: int = 30_000) -> Column:
     """Weight one at the words' slots."""
     ones = lambda slots: F.transform(slots, lambda _: F.lit(1.0).cast("float"))
     return let(hashed(text, 5, size), lambda slots: F.struct(slots.alias("indices"), ones(slots).alias("values")))
+
+
+class WordSlots(dict):
+    """Word to its two slots, as :func:`hashed` has them; forgets all when full."""
+
+    def __init__(self, dense: int, sparse: int) -> None:
+        super().__init__()
+        self.dense, self.sparse = dense, sparse
+
+    def __missing__(self, word: str) -> tuple[int, int]:
+        if len(self) > 200_000:
+            self.clear()
+        digits = md5(word.encode("utf-8", "surrogatepass")).hexdigest()
+        found = self[word] = int(digits[:4], 16) % self.dense, int(digits[4:8], 16) % self.sparse
+        return found
+
+
+def with_hash_vectors(rows: DataFrame, column: str, dense: int = 1024, sparse: int = 30_000) -> DataFrame:
+    """``rows`` with dense and sparse, as :func:`hash_dense` and :func:`hash_sparse` make them of a text; a word is hashed once a task."""
+    names, width = rows.columns, len(rows.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = WordSlots(dense, sparse)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                some = batch.slice(k, 512)
+                texts = some.column(width).to_pylist()
+                told = [[slots[w] for w in set(t.split())] if t is not None else [] for t in texts]
+                matrix, gone = np.zeros((len(texts), dense), np.float32), np.array([t is None for t in texts])
+                listed, ends = [], [0]
+                for row, found in zip(matrix, told, strict=True):
+                    at = list({d for d, _ in found})
+                    row[at] = np.float32(1.0 / np.sqrt(max(1, len(at))))
+                    listed += sorted({s for _, s in found})
+                    ends.append(len(listed))
+                near = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * dense, pa.int32()), pa.array(matrix.ravel()), mask=pa.array(gone))
+                offsets = pa.array(ends, pa.int32())
+                indices = pa.ListArray.from_arrays(offsets, pa.array(listed, pa.int32()), mask=pa.array(gone))
+                weights = pa.ListArray.from_arrays(offsets, pa.array(np.ones(len(listed), np.float32)), mask=pa.array(gone))
+                both = pa.StructArray.from_arrays([indices, weights], ["indices", "values"])
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in range(width)), near, both], [*names, "dense", "sparse"])
+
+    numbers = T.ArrayType(T.FloatType())
+    schema = T.StructType([*rows.schema.fields, T.StructField("dense", numbers), T.StructField("sparse", T.StructType([T.StructField("indices", T.ArrayType(T.IntegerType())), T.StructField("values", numbers)]))])
+    return rows.select("*", F.lower(F.col(column)).alias("~low")).mapInArrow(run, schema)

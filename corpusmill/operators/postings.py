@@ -16,6 +16,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ from ..plans.storage import stash
 
 #: Rows of a slice, folders that blocks are dealt into, and slices that a fetch names one by one.
 SLICE, BUCKETS, NAMED = 16_384, 64, 1000
+#: Queries that meet a slice in one task.
+QUERIES = 4096
 PLACE = ["slice", "local"]
 #: Sums in another order may differ by this share.
 SLACK = 1e-9
@@ -59,9 +64,26 @@ def sparse_terms(vector: Column) -> Column:
 
 def blocks_of(entries: DataFrame, terms: Column) -> DataFrame:
     """The blocks of ``terms``, an array of (term, weight) for each row."""
-    flat = entries.select(*PLACE, F.inline(terms))
-    listed = flat.groupBy("term", "slice").agg(F.sort_array(F.collect_list(F.struct("local", "weight"))).alias("p"), F.min("weight").alias("low"), F.max("weight").alias("top"))
-    return listed.select("term", "slice", F.size("p").alias("n"), "low", "top", F.col("p.local").alias("locals"), F.col("p.weight").alias("weights"))
+    listed = entries.select(*PLACE, terms.alias("terms"))
+    kind = dict(listed.select(F.explode("terms").alias("t")).select("t.term", "t.weight").dtypes)
+
+    def gather(rows: pa.Table) -> pa.Table:
+        rows = rows.select(["slice", "local", "terms"]).combine_chunks()
+        lists = rows.column("terms").combine_chunks()
+        flat, parent = pc.list_flatten(lists), pc.list_parent_indices(lists)
+        held = flat.field("term").dictionary_encode()
+        local, weight = rows.column("local").to_numpy()[parent.to_numpy()], flat.field("weight").to_numpy(zero_copy_only=False)
+        code = held.indices.to_numpy()
+        order = np.lexsort((weight, local, code))
+        local, weight = local[order], weight[order]
+        n = np.bincount(code, minlength=len(held.dictionary))
+        start = np.cumsum(n) - n
+        ends = pa.array(np.append(start, len(code)), pa.int32())
+        low, top = (np.asarray(f.reduceat(weight, start)) if len(start) else weight for f in (np.minimum, np.maximum))
+        whole = [held.dictionary, pa.repeat(rows.column("slice")[0], len(start)), pa.array(n, pa.int32()), pa.array(low), pa.array(top)]
+        return pa.table([*whole, pa.ListArray.from_arrays(ends, pa.array(local)), pa.ListArray.from_arrays(ends, pa.array(weight))], ["term", "slice", "n", "low", "top", "locals", "weights"])
+
+    return listed.groupBy("slice").applyInArrow(gather, f"term {kind['term']}, slice string, n int, low {kind['weight']}, top {kind['weight']}, locals array<int>, weights array<{kind['weight']}>")
 
 
 def write_blocks(blocks: DataFrame, path: str, **parts: str) -> None:
@@ -108,6 +130,54 @@ def holding_all(index: Postings, wanted: list[str]) -> DataFrame:
     return holding(Postings(index.entries, some), asked).select(*PLACE)
 
 
+def best_of_slices(index: Postings, seen: DataFrame, asked: DataFrame, pairs: DataFrame, k: int, blocks: int) -> DataFrame:
+    """query, slice, local, score: the best ``k`` rows of each pair of a query and a slice (query, slice, ~low) that ``seen`` has and
+    that score ``~low`` at least (null: any), ties by local. A slice's lists meet a block of queries in one task."""
+    kinds, term = dict(asked.dtypes), dict(index.blocks.dtypes)["term"]
+    wanted = asked.select(F.explode(F.col("sparse")["indices"]).alias("term")).distinct()
+    # the rows that are seen come as a list without a term
+    rows = seen.groupBy("slice").agg(F.sort_array(F.collect_list("local")).alias("locals")).select(F.lit(None).cast(term).alias("term"), "slice", "locals", F.lit(None).cast(dict(index.blocks.dtypes)["weights"]).alias("weights"))
+    met = pairs.join(asked, "query").select("slice", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"), "query", F.col("sparse")["indices"].alias("indices"), F.col("sparse")["values"].alias("values"), "~low")
+    lists = index.blocks.join(wanted, "term", "left_semi").select("term", "slice", "locals", "weights").unionByName(rows)
+    lists = lists.join(met.select("slice", "block").distinct(), "slice").select(*(F.col(c).alias(c) for c in ("term", "slice", "block", "locals", "weights")))
+
+    def best(lists: pa.Table, queries: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        terms, held = lists.column("term").to_pylist(), {}
+        shown = np.zeros(0, np.int64)
+        for i, t in enumerate(terms if queries.num_rows else []):
+            at = lists.column("locals")[i].values.to_numpy().astype(np.int64)
+            if t is None:
+                shown = at
+            else:
+                held[t] = at, lists.column("weights")[i].values.to_numpy(zero_copy_only=False).astype(np.float64)
+        size = 1 + max([int(at[-1]) for at, _ in held.values()] + [int(shown[-1]) if len(shown) else -1])
+        visible = np.zeros(size, bool)
+        visible[shown] = True
+        lows = queries.column("~low").to_numpy(zero_copy_only=False).astype(float)
+        for i in range(queries.num_rows):
+            mine = [(held[t], w) for t, w in zip(queries.column("indices")[i].as_py(), queries.column("values")[i].as_py(), strict=True) if t in held]
+            if not mine:
+                continue
+            at = np.concatenate([a for (a, _), _ in mine])
+            score = np.bincount(at, np.concatenate([v * w for (_, v), w in mine]), size)  # in the order of the query's terms
+            hit = visible & (np.bincount(at, minlength=size) > 0)
+            if not np.isnan(lows[i]):
+                hit &= score >= lows[i]
+            rows = np.flatnonzero(hit)
+            s = score[rows]
+            if len(s) > k:
+                near = s >= np.partition(s, -k)[-k]
+                rows, s = rows[near], s[near]
+            top = np.argsort(-s, kind="stable")[:k]
+            found.append((np.full(len(top), i), rows[top], s[top]))
+        i, rows, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        some = queries.select(["query", "slice"]).take(pa.array(i))
+        return pa.table([*some.columns, pa.array(rows, pa.int32()), pa.array(s, pa.float64())], ["query", "slice", "local", "score"])
+
+    return lists.groupBy("slice", "block").cogroup(met.groupBy("slice", "block")).applyInArrow(best, f"query {kinds['query']}, slice string, local int, score double")
+
+
 @dataclass(frozen=True)
 class Pruned:
     """``best``: query, key, score, rank. ``terms``: query, term, df, theta, essential; a term that is not essential is not read for candidates."""
@@ -128,15 +198,14 @@ def sparse_topk_pruned(
 ) -> Pruned:
     """The best ``k`` rows of each sparse query (query, sparse) by dot product, ties by key, with bounds that skip what cannot be among them.
 
-    1. Some rows of each query's rarest terms, about ``seeds`` (ten times k), are scored in full: their
+    1. The slices with some rows of each query's rarest terms, about ``seeds`` (ten times k), are scored in full: the
        k-th best score is a threshold. Fewer than k give none, and nothing is skipped.
     2. A query's most common terms are set aside as long as all of them together stay
        below the threshold (max-score): a row that has no other term of it cannot reach
-       the threshold, so only the other terms' lists are read for candidates.
-    3. Of these lists, blocks of slices are skipped whose greatest weights stay below the
-       threshold even together (block-max).
-    4. A candidate's sum over the lists that were read, plus all that the terms set aside
-       could add, must reach the threshold; only those are scored in full.
+       the threshold, so slices without the other terms are skipped.
+    3. So are all slices whose greatest weights stay below the threshold even together (block-max).
+    4. In the others the lists of a query's terms are summed up slice by slice (:func:`best_of_slices`),
+       and only the best ``k`` rows of a slice leave it.
 
     Results are those of scoring everything, for weights of any sign. ``view`` filters
     rows (a function of a DataFrame of entries) before anything is ranked. ``floor`` (query,
@@ -144,7 +213,7 @@ def sparse_topk_pruned(
     have the ranks that they have among all.
     """
     seen, seeds = index.entries if view is None else view(index.entries), 10 * k if seeds is None else seeds
-    asked = stash(queries.where(F.size(F.col("sparse")["indices"]) > 0).select("query", "sparse", F.col("sparse").alias("~q")), "asked")
+    asked = stash(queries.where(F.size(F.col("sparse")["indices"]) > 0).select("query", "sparse"), "asked")
     entries_of = asked.select("query", F.inline(sparse_terms(F.col("sparse")))).withColumnRenamed("weight", "w")
     weight = F.col("w").cast("double")
     bound = F.greatest(weight * F.col("top").cast("double"), weight * F.col("low").cast("double"), F.lit(0.0))
@@ -160,19 +229,13 @@ def sparse_topk_pruned(
     lot = F.pmod(F.xxhash64("slice"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     picked = met.join(chosen, ["query", "term"]).withColumn("first", F.min(F.struct(lot.alias("lot"), "slice")).over(Window.partitionBy("query", "term"))["slice"])
     picked = picked.where((lot < F.col("share")) | (F.col("slice") == F.col("first"))).select("query", "term", "slice")
-    first = picked.join(index.blocks.select("term", "slice", "locals"), ["term", "slice"]).select("query", "slice", F.explode("locals").alias("local")).distinct()
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        both = fetch(seen.select(*PLACE, key, F.col(vector).alias("~v")), pairs).join(asked.select("query", "~q"), "query")
-        # terms and weights in step: what both have, in the same order
-        shared = F.array_intersect(F.col("~q")["indices"], F.col("~v")["indices"])
-        value = lambda of, i: F.get(F.col(of)["values"], (F.array_position(F.col(of)["indices"], i) - 1).cast("int")).cast("double")
-        score = F.aggregate(shared, F.lit(0.0), lambda s, i: s + value("~q", i) * value("~v", i))
-        return both.select("query", key, score.alias("score"))
-
     order = Window.partitionBy("query").orderBy(F.desc("score"), key)
     ranked = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    theta = ranked(scored(first)).where(F.col("rank") == k).select("query", F.col("score").alias("theta"))
+    first = stash(picked.select("query", "slice").distinct(), "first")
+    blocks = max(1, -(-asked.count() // QUERIES))
+    keyed = lambda hits: hits.join(seen.select(*PLACE, key), PLACE).select("query", key, "score")
+    begun = stash(ranked(keyed(best_of_slices(index, seen, asked, first.withColumn("~low", F.lit(None).cast("double")), k, blocks))), "begun")
+    theta = begun.where(F.col("rank") == k).select("query", F.col("score").alias("theta"))
     if floor is not None:
         theta = theta.unionByName(floor.select("query", F.col("floor").alias("theta"))).groupBy("query").agg(F.max("theta").alias("theta"))
 
@@ -185,8 +248,6 @@ def sparse_topk_pruned(
 
     lows = told.groupBy("query").agg(F.first("~low").alias("~low"))
     kept = met.groupBy("query", "slice").agg(F.sum("bound").alias("~bound")).join(lows, "query").where(F.col("~low").isNull() | (F.col("~bound") >= F.col("~low"))).select("query", "slice")
-    read = index.blocks.select("term", "slice", "locals", "weights").join(told.where("essential"), "term").join(kept, ["query", "slice"])
-    rows = read.select("query", "slice", "w", "~low", "rest", F.inline(F.arrays_zip(F.col("locals").alias("local"), F.col("weights").alias("weight"))))
-    sums = rows.groupBy("query", *PLACE).agg(F.sum(weight * F.col("weight").cast("double")).alias("part"), F.first("rest").alias("rest"), F.first("~low").alias("~low"))
-    able = stash(sums.where(F.col("~low").isNull() | (F.col("part") + F.col("rest") >= F.col("~low"))).select("query", *PLACE), "able")
-    return Pruned(ranked(scored(able)), told.select("query", "term", "df", "theta", "essential"))
+    more = stash(kept.join(first, ["query", "slice"], "left_anti").join(lows, "query"), "kept")
+    best = begun.drop("rank").unionByName(keyed(best_of_slices(index, seen, asked, more, k, blocks)))
+    return Pruned(ranked(best), told.select("query", "term", "df", "theta", "essential"))

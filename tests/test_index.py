@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import tokens
-from corpusmill.functions.vectors import hash_dense, hash_sparse
+from corpusmill.functions.vectors import hash_dense, hash_sparse, with_hash_vectors
 from corpusmill.operators import cells, lexical, postings, search, verify
 from corpusmill.plans.corpus_index import build_index
 from corpusmill.plans.corpus_table import CARRY, CorpusTable
@@ -80,6 +80,35 @@ def test_pruned_sparse_search_is_exact(spark, seeds, negative):
     assert [r for r in some if r[3] >= 2] == [r for r in key(got.best) if r[3] >= 2]
 
 
+def test_rows_that_leave_a_slice_are_bounded(spark):
+    """A query of words that all rows have, and ties without end: k rows of a slice at most leave it, and no list is spread out in rows."""
+    n, slices = 600, 4
+    rows = spark.createDataFrame([(f"p{i:05d}", (list(range(8)) + [100 + i], [1.0] * 9)) for i in range(n)], "point_id string, sparse struct<indices:array<int>,values:array<float>>")
+    queries = spark.createDataFrame([(q, (list(range(8)), [1.0] * 8)) for q in range(40)], "query int, sparse struct<indices:array<int>,values:array<float>>")
+    entries = stash(postings.sliced(rows, size=n // slices), "entries")
+    index = postings.Postings(entries, stash(postings.blocks_of(entries, postings.sparse_terms(F.col("sparse"))), "blocks"))
+    pairs = queries.select("query").crossJoin(entries.select("slice").distinct()).withColumn("~low", F.lit(None).cast("double"))
+    assert postings.best_of_slices(index, entries, queries, pairs, 5, 3).count() == 40 * slices * 5
+    best = postings.sparse_topk_pruned(index, queries, 5).best.collect()
+    assert sorted((r.query, r["rank"], r.point_id, r.score) for r in best) == [(q, k + 1, f"p{k:05d}", 8.0) for q in range(40) for k in range(5)]
+
+
+def test_vectors_of_a_pass_equal_those_of_columns(spark):
+    texts = ["", " \n", None, "The the THE", "mañana ÜBER x_1\x1cy\u3000z\xa0w\u1680v", "İstanbul ΣΑΣ ß 日本 🙂🙂", " ".join(f"w{i}" for i in range(3000))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for dense, sparse in ((64, 500), (1024, 30_000)):
+        want = df.withColumns({"dense": hash_dense(F.col("text"), dense), "sparse": hash_sparse(F.col("text"), sparse)})
+        got = with_hash_vectors(df, "text", dense, sparse)
+        assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_parts_of_an_index_are_built_when_asked_for(corpus, monkeypatch):
+    rows, _ = corpus
+    monkeypatch.setattr("corpusmill.plans.corpus_index.build_cells", None)
+    index = build_index(rows, ("seen",))
+    assert index.lexscan("the").count() > 0 and index.weights.blocks.count() > 0
+
+
 def test_cells_are_exact_and_skip(spark):
     rng = np.random.default_rng(1)
     centre = rng.normal(size=(30, 16))
