@@ -64,9 +64,14 @@ def tokens(text: Column) -> Column:
 
 
 def has_all_tokens(text: Column, query: Column) -> Column:
-    """Whether every token of ``query`` occurs in ``text``, in any order. A query without tokens matches nothing."""
+    """Whether every token of ``query`` occurs in ``text``, in any order. A query without tokens matches nothing.
+
+    A token occurs where it stands with no character of a token at either side; looking ends at the first such place.
+    """
     wanted = tokens(query)
-    return (F.size(wanted) > 0) & (F.size(F.array_except(wanted, tokens(text))) == 0)
+    part = TOKEN[:-2] + "\U00010000]"  # a letter like others: one beyond U+FFFF in the pattern makes Java look back by whole characters
+    alone = lambda t: F.concat(t, F.lit(f"(?<!{part}"), t, F.lit(f")(?!{part})"))
+    return (F.size(wanted) > 0) & let(F.lower(text), lambda low: F.forall(wanted, lambda t: F.contains(low, t) & F.regexp_like(low, alone(t))))
 
 
 def occurrences(text: Column, term: Column) -> Column:
@@ -143,7 +148,8 @@ def redact_map(detail: Column) -> Column:
 
 
 def first_words(text: Column, n: int = 10) -> Column:
-    return F.array_join(F.slice(words(text), 1, n), " ")
+    head = F.split(text, f"[{SPACES}]+", n + 2)  # an empty string before leading space, n words, and the rest as it is
+    return F.array_join(F.slice(F.filter(head, lambda w: w != ""), 1, n), " ")
 
 
 def body_lines(text: Column) -> Column:
@@ -153,10 +159,20 @@ def body_lines(text: Column) -> Column:
 
 
 def specific_word(text: Column) -> Column:
-    """The first word of five letters or more that is no stop word, without marks around it; none: null."""
-    bare = F.transform(words(text), lambda w: F.btrim(w, F.lit(EDGES)))
-    fit = F.filter(bare, lambda w: (F.length(w) >= 5) & w.rlike(r"^\p{L}+$") & ~F.lower(w).isin(PROBE_STOPWORDS))
-    return F.get(fit, F.lit(0))
+    """The first word of five letters or more that is no stop word, without marks around it; none: null. It is looked for among
+    the first words, and in the whole text only if none of them is one."""
+
+    def first(found: Column) -> Column:
+        bare = F.transform(found, lambda w: F.btrim(w, F.lit(EDGES)))
+        fit = F.filter(bare, lambda w: (F.length(w) >= 5) & w.rlike(r"^\p{L}+$") & ~F.lower(w).isin(PROBE_STOPWORDS))
+        return F.get(fit, F.lit(0))
+
+    return F.coalesce(first(F.slice(F.split(text, f"[{SPACES}]+", 33), 1, 32)), first(words(text)))
+
+
+def body_word(text: Column) -> Column:
+    """The specific word of the lines that are no headings, else of the text."""
+    return F.when(F.contains(text, F.lit("#")), F.coalesce(specific_word(body_lines(text)), specific_word(text))).otherwise(specific_word(text))
 
 
 def gate_tokens(text: Column) -> Column:

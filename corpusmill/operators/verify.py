@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import body_lines, contains_folded, first_words, has_all_tokens, specific_word, words
+from ..functions.text import body_word, contains_folded, first_words, has_all_tokens, specific_word, words
 from ..functions.vectors import cosine, hash_dense, hash_sparse
 from ..plans.corpus_index import CorpusIndex, View
 from ..plans.storage import stash
@@ -32,12 +32,13 @@ def derive_probes(docs: DataFrame, topical: int = 10, specific: int = 5, negativ
     """
     text = F.coalesce("raw_text", F.lit(""))
     name = F.btrim(F.coalesce("title", F.lit("")))
-    named = F.arrays_overlap(words(F.lower(name)), words(F.lower(text)))
-    word = F.coalesce(specific_word(body_lines(text)), specific_word(text))
+    named = (name != "") & F.arrays_overlap(words(F.lower(name)), words(F.lower(text)))
+    told = docs.select("document_id", "ingest_generation", body_word(text).alias("~word"), F.when(named, name).otherwise(first_words(text)).alias("~topic"))
+    word = F.col("~word")
     probe = lambda kind, query, expected, limit: F.struct(F.lit(kind).alias("probe_type"), query.alias("query"), expected.alias("expected"), F.lit(limit).alias("limit"))
     none = F.lit(None).cast("string")
-    made = F.array(probe("topical", F.when(named, name).otherwise(first_words(text)), none, topical), probe("specific", word, word, specific), probe("negative", F.lit(NONSENSE), none, negative))
-    return docs.select("document_id", "ingest_generation", F.inline(made)).where("query <> ''")
+    made = F.array(probe("topical", F.col("~topic"), none, topical), probe("specific", word, word, specific), probe("negative", F.lit(NONSENSE), none, negative))
+    return told.select("document_id", "ingest_generation", F.inline(made)).where("query <> ''")
 
 
 def probes_of_chunks(chunks: DataFrame, topical: int = 10, specific: int = 5, negative: int = 5, nonsense: str = ANOTHER) -> DataFrame:

@@ -174,3 +174,33 @@ def test_markdown_blocks(spark):
     assert [c.chunk_index for c in got[2]] == [0, 1, 2, 3, 4] and [len(c.text.split()) for c in got[2]] == [30, 30, 30, 30, 102]
     assert [(c.chunk_start_word, c.chunk_end_word) for c in got[2]][:2] == [(2, 32), (32, 62)]
     assert all(re.search("w0", c.text) for c in got[2][:4])
+
+
+def test_tokens_of_a_text_are_told_as_by_listing_them(spark):
+    texts = ["the", "The end", "other", "the_", "_the the", "\U0001d400the", "the\U0001d400", "\U0001d400 the\U0001d7d9 the", "日本the", "日本 the", "x the\u0301", "the" * 9, "12the 12", "", "\U0001f642the\U0001f642", "ethe thee the-"]
+    queries = ["the", "The 12", "12", "日本", "\U0001d400", "the_", "", "...", "the x"]
+    df = spark.createDataFrame([(t, q) for t in texts for q in queries], "t string, q string")
+    wanted, held = text.tokens(F.col("q")), text.tokens(F.col("t"))
+    listed = (F.size(wanted) > 0) & (F.size(F.array_except(wanted, held)) == 0)
+    rows = df.select("t", "q", text.has_all_tokens(F.col("t"), F.col("q")).alias("got"), listed.alias("want")).collect()
+    assert [r for r in rows if r.got != r.want] == [] and {r.want for r in rows} == {True, False}
+
+
+def test_first_words_need_no_more_than_the_first(spark):
+    """Texts whose first words, or specific word, come before, at or after the end of what is looked at first."""
+    base = [" ".join(["ab"] * n + ["telling", "words"]) for n in (0, 5, 30, 31, 32, 33, 80)]
+    texts = [lead + t + tail for t in base for lead in ("", " \u3000", "# heading\n") for tail in ("", " ", "\n#only about")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    told = [F.array_join(F.slice(text.words(F.col("t")), 1, 10), " ").alias("ten"), text.first_words(F.col("t")).alias("got"), text.specific_word(F.col("t")).alias("word"), text.body_word(F.col("t")).alias("body")]
+    for r in df.select("t", *told).collect():
+        assert r.got == r.ten and r.word == ("heading" if "# heading" in r.t else "telling") and r.body == "telling"
+    plan = df.select(text.first_words(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert ", 12)" in plan  # the split ends there
+
+
+def test_one_term_is_scanned_without_an_index(spark, monkeypatch):
+    from corpusmill.queries import QUERIES, prepared
+
+    monkeypatch.setattr(prepared, "build_index", None)
+    assert QUERIES["lexscan_counts"](spark, "/root/testdata/sf0.001").first().chunk_count > 0
+    assert QUERIES["lexscan_rows"](spark, "/root/testdata/sf0.001").count() > 0
