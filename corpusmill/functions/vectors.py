@@ -7,6 +7,7 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,43 +55,42 @@ def hash_sparse(text: Column, size: int = 30_000) -> Column:
     return let(hashed(text, 5, size), lambda slots: F.struct(slots.alias("indices"), ones(slots).alias("values")))
 
 
-class WordSlots(dict):
-    """Word to its two slots, as :func:`hashed` has them; forgets all when full."""
+def word_slots(texts: pa.Array, dense: int, sparse: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each text has a word at each dense slot; and the sparse slots of all texts' words, text by text, with their ends.
 
-    def __init__(self, dense: int, sparse: int) -> None:
-        super().__init__()
-        self.dense, self.sparse = dense, sparse
-
-    def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) > 200_000:
-            self.clear()
-        digits = md5(word.encode("utf-8", "surrogatepass")).hexdigest()
-        found = self[word] = int(digits[:4], 16) % self.dense, int(digits[4:8], 16) % self.sparse
-        return found
+    All words lie in one Arrow array, of which only the distinct ones are hashed: most words of a batch are copies or occur once, so nothing is remembered.
+    """
+    lists = pc.utf8_split_whitespace(texts)
+    parent, held = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists).dictionary_encode()
+    found = held.dictionary.cast(pa.binary()).to_pylist()
+    digests = np.frombuffer(b"".join([md5(w).digest()[:4] for w in found]), ">u2").reshape(-1, 2).astype(np.int64)
+    empty = np.array([not w for w in found], bool)  # beside white space at an end
+    code = held.indices.to_numpy()
+    if empty.any():
+        parent, code = (x[~empty[code]] for x in (parent, code))
+    near, far = np.zeros((len(texts), dense), bool), np.zeros((len(texts), sparse), bool)
+    near[parent, (digests[:, 0] % dense)[code]] = True
+    far[parent, (digests[:, 1] % sparse)[code]] = True
+    listed = np.flatnonzero(far) % sparse
+    return near, listed.astype(np.int32), np.append(0, np.cumsum(np.count_nonzero(far, axis=1))).astype(np.int32)
 
 
 def with_hash_vectors(rows: DataFrame, column: str, dense: int = 1024, sparse: int = 30_000) -> DataFrame:
-    """``rows`` with dense and sparse, as :func:`hash_dense` and :func:`hash_sparse` make them of a text; a word is hashed once a task."""
+    """``rows`` with dense and sparse, as :func:`hash_dense` and :func:`hash_sparse` make them of a text; a word is hashed once a batch."""
     names, width = rows.columns, len(rows.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = WordSlots(dense, sparse)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 some = batch.slice(k, 512)
-                texts = some.column(width).to_pylist()
-                told = [[slots[w] for w in set(t.split())] if t is not None else [] for t in texts]
-                matrix, gone = np.zeros((len(texts), dense), np.float32), np.array([t is None for t in texts])
-                listed, ends = [], [0]
-                for row, found in zip(matrix, told, strict=True):
-                    at = list({d for d, _ in found})
-                    row[at] = np.float32(1.0 / np.sqrt(max(1, len(at))))
-                    listed += sorted({s for _, s in found})
-                    ends.append(len(listed))
-                near = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * dense, pa.int32()), pa.array(matrix.ravel()), mask=pa.array(gone))
-                offsets = pa.array(ends, pa.int32())
-                indices = pa.ListArray.from_arrays(offsets, pa.array(listed, pa.int32()), mask=pa.array(gone))
-                weights = pa.ListArray.from_arrays(offsets, pa.array(np.ones(len(listed), np.float32)), mask=pa.array(gone))
+                texts = some.column(width)
+                told, listed, ends = word_slots(texts.fill_null(""), dense, sparse)
+                parts = (1.0 / np.sqrt(np.maximum(1, np.count_nonzero(told, axis=1)))).astype(np.float32)
+                gone = texts.is_null()
+                near = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * dense, pa.int32()), pa.array((told * parts[:, None]).ravel()), mask=gone)
+                offsets = pa.array(ends)
+                indices = pa.ListArray.from_arrays(offsets, pa.array(listed), mask=gone)
+                weights = pa.ListArray.from_arrays(offsets, pa.array(np.ones(len(listed), np.float32)), mask=gone)
                 both = pa.StructArray.from_arrays([indices, weights], ["indices", "values"])
                 yield pa.RecordBatch.from_arrays([*(some.column(c) for c in range(width)), near, both], [*names, "dense", "sparse"])
 

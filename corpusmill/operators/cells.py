@@ -5,8 +5,8 @@ driver). Every vector goes to the cell of the pivot at the least angle; a cell k
 least and greatest angle to its pivot. The angle on a sphere obeys the triangle
 inequality, so all members of a cell are at least ``max(a - far, near - a)`` away from a
 query at angle ``a`` from the pivot. A query first meets its nearest cells until they hold
-k rows; their k-th best cosine is a threshold, and of the other cells only those are met
-whose bound reaches it. What is fitted on the sample decides how much is skipped, never
+``SEEDS`` times k rows (a view may show few of them); their k-th best cosine is a threshold, and of the
+other cells only those are met whose bound reaches it, and only rows that reach it leave them. What is fitted on the sample decides how much is skipped, never
 what is found.
 
 Cells are cut into parts of bounded bytes, by a hash of the key, so that copies of one
@@ -27,6 +27,7 @@ from ..plans.storage import stash
 from .search import grid
 
 SAMPLE, PIVOTS, ROUNDS, PART_BYTES = 8192, 1024, 4, 32 << 20
+SEEDS = 10
 #: Angles are off by less than this, scores by less than that.
 ANGLE, SCORE = 1e-6, 2e-9
 
@@ -80,7 +81,10 @@ def centres_of(slim: DataFrame, pivots: int | None = None, part_bytes: int = PAR
     if not size.n:
         return np.zeros((0, 1))
     many = pivots or int(min(PIVOTS, max(1, size.n * size.d * 4 // part_bytes, np.sqrt(size.n) / 2)))
-    sample = slim.orderBy(F.xxhash64("key")).limit(SAMPLE).select("vector").toArrow().column(0).combine_chunks()  # bounded
+    picked = slim.where(F.pmod(F.xxhash64("key"), F.lit(max(1, size.n))) < SAMPLE)  # about SAMPLE rows; sorting would carry as many vectors out of each task
+    sample = picked.select("vector").limit(2 * SAMPLE).toArrow().column(0).combine_chunks()  # bounded
+    if not len(sample):
+        sample = slim.select("vector").limit(1).toArrow().column(0).combine_chunks()
     return fit_pivots(directions(sample), many)
 
 
@@ -122,12 +126,12 @@ def build_cells(rows: DataFrame, vector: str = "dense", key: str = "point_id", c
     centres = centres_of(slim, pivots, part_bytes)
     if not len(centres):
         return cells_of(slim.select(F.lit(0).alias("cell"), "*"), key, centres, slim.select(F.lit(0).alias("cell"), F.lit(0).alias("n"), F.lit(0.0).alias("near"), F.lit(0.0).alias("far")))
-    kept = stash(laid_out(dealt(slim, centres)), "cells")
+    kept = stash(dealt(slim, centres), "cells")  # searches join cells with all rows: no order of theirs would spare reading
     return cells_of(kept.drop("angle"), key, centres, cell_stats(kept), part_bytes)
 
 
 def visits(cells: Cells, queries: DataFrame, k: int, first: bool) -> DataFrame:
-    """query, vector, cell: the nearest cells that together hold k rows; or the others that may hold one that reaches ``theta``."""
+    """query, cell, theta: the nearest cells that together hold ``SEEDS`` times k rows (theta: null); or the others that may hold one that reaches ``theta``."""
     kind, pivots, n, near, far = dict(queries.dtypes)["query"], cells.pivots, cells.n, cells.near, cells.far
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,19 +143,20 @@ def visits(cells: Cells, queries: DataFrame, k: int, first: bool) -> DataFrame:
                     continue
                 a = angles(np.nan_to_num(q), pivots)
                 order = np.argsort(a, axis=1, kind="stable")
-                enough = np.cumsum(n[order], axis=1) - n[order] < k  # the cells before hold fewer than k
+                enough = np.cumsum(n[order], axis=1) - n[order] < SEEDS * k  # the cells before hold fewer
                 mine = np.zeros_like(enough)
                 np.put_along_axis(mine, order, enough, axis=1)
+                theta = pa.nulls(part.num_rows, pa.float64()) if first else part.column("theta")
                 if not first:
-                    theta = part.column("theta").to_numpy(zero_copy_only=False)[:, None]
+                    reached = theta.to_numpy(zero_copy_only=False)[:, None]
                     least = np.maximum(0.0, np.maximum(a - far, near - a) - ANGLE)
-                    mine = ~mine & (np.cos(np.minimum(least, np.pi)) + SCORE >= np.nan_to_num(theta.astype(float), nan=-2.0))
+                    mine = ~mine & (np.cos(np.minimum(least, np.pi)) + SCORE >= np.nan_to_num(reached.astype(float), nan=-2.0))
                 mine &= (n > 0) & np.isfinite(q).all(axis=1)[:, None]
                 who, cell = np.nonzero(mine)
                 who = pa.array(who)
-                yield pa.RecordBatch.from_arrays([part.column("query").take(who), part.column("vector").take(who), pa.array(cell, pa.int32())], ["query", "vector", "cell"])
+                yield pa.RecordBatch.from_arrays([part.column("query").take(who), pa.array(cell, pa.int32()), theta.take(who)], ["query", "cell", "theta"])
 
-    return queries.mapInArrow(run, f"query {kind}, vector {dict(queries.dtypes)['vector']}, cell int")
+    return queries.mapInArrow(run, f"query {kind}, cell int, theta double")
 
 
 @dataclass(frozen=True)
@@ -178,7 +183,7 @@ def dense_topk_cells(cells: Cells, queries: DataFrame, k: int = 10, view: Callab
         met = right.select("cell", "part", F.col("block").alias("block")).distinct()
         own = F.pmod(F.xxhash64("key"), F.get(parts, F.col("cell"))).cast("int")
         left = rows.select("cell", own.alias("part"), "key", "vector").join(met, ["cell", "part"]).select(*(F.col(c).alias(c) for c in ("cell", "part", "block", "key", "vector")))
-        return grid(left, right, ["cell", "part", "block"], k)
+        return grid(left, right.join(asked.hint("merge"), "query"), ["cell", "part", "block"], k)  # vectors are not kept a visit
 
     first = stash(visits(cells, asked, k, True), "visits")
     begun = stash(ranked(meet(first)), "begun")

@@ -27,6 +27,8 @@ from ..plans.storage import stash
 
 #: Rows of a slice, folders that blocks are dealt into, and slices that a fetch names one by one.
 SLICE, BUCKETS, NAMED = 16_384, 64, 1000
+#: Rows of a slice that go to a task together when entries are made.
+SPREAD = 256
 #: Queries that meet a slice in one task.
 QUERIES = 4096
 PLACE = ["slice", "local"]
@@ -53,6 +55,12 @@ def sliced(rows: DataFrame, key: str = "point_id", name: str = "", size: int = S
     return dealt.withColumn("local", F.row_number().over(Window.partitionBy("slice").orderBy(key)) - 1)
 
 
+def spread(rows: DataFrame, size: int = SPREAD) -> DataFrame:
+    """Sliced rows, dealt to many tasks by pieces of a slice: there are fewer slices than tasks, or not evenly as many."""
+    many = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(many, "slice", F.floor(F.col("local") / size)).sortWithinPartitions(*PLACE)
+
+
 def text_terms(text: Column) -> Column:
     """The tokens of a text as terms, of weight one."""
     return F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(1.0).cast("float").alias("weight")))
@@ -87,8 +95,11 @@ def blocks_of(entries: DataFrame, terms: Column) -> DataFrame:
 
 
 def write_blocks(blocks: DataFrame, path: str, **parts: str) -> None:
-    """Append blocks to a table. Ranges of (bucket, term, slice) are dealt, so that a common term's blocks go to many tasks."""
-    own = blocks.withColumn("bucket", bucket(F.col("term"))).repartitionByRange("bucket", "term", "slice").sortWithinPartitions("bucket", "term", "slice")
+    """Append blocks to a table. They are dealt by bucket and a hash of the slice, so that a common term's blocks go to several tasks;
+    ranges would have to be found by making all blocks once before."""
+    many = max(1, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    share = F.pmod(F.xxhash64("slice"), F.lit(max(4, -(-many // 16))))
+    own = blocks.withColumn("bucket", bucket(F.col("term"))).repartition(many, "bucket", share).sortWithinPartitions("bucket", "term", "slice")
     for name, value in parts.items():
         own = own.withColumn(name, F.lit(value))
     own.write.partitionBy(*parts, "bucket").mode("append").parquet(path)

@@ -123,7 +123,7 @@ PART_BYTES = 32 << 20
 
 def grid(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> DataFrame:
     """query, key, score: rows (keys, key, vector) and queries (keys, query, vector) that have the same ``keys``
-    meet as one matrix product, and each keeps a query's best ``k``. Ties go to the smaller key."""
+    meet as one matrix product, and each keeps a query's best ``k`` (where queries have a ``theta``, of those that reach it). Ties go to the smaller key."""
     types = dict(left.dtypes)["key"], dict(right.dtypes)["query"]
 
     def best(members: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -131,17 +131,22 @@ def grid(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> DataFram
             return pa.table({"query": wanted.column("query").slice(0, 0), "key": members.column("key").slice(0, 0), "score": pa.array([], pa.float64())})
         members = members.sort_by("key")  # so that ties go to the smaller key
         vectors = unit(members.column("vector"))
-        found, hits, scores = [], [], []
+        least = wanted.column("theta").to_numpy().astype(float) if "theta" in wanted.column_names else np.full(wanted.num_rows, np.nan)
+        least, found = np.nan_to_num(least, nan=-np.inf), []
         for at in range(0, wanted.num_rows, 256):
             some = np.round(unit(wanted.column("vector").slice(at, 256)) @ vectors.T, 9) + 0.0
-            for i, s in enumerate(np.nan_to_num(some, nan=-np.inf)):
-                near = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, -k)[-k])
-                top = near[np.argsort(-s[near], kind="stable")][:k]
-                top = top[np.isfinite(s[top])]
-                found += [at + i] * len(top)
-                hits += top.tolist()
-                scores += s[top].tolist()
-        return pa.table({"query": wanted.column("query").take(pa.array(found, pa.int64())), "key": members.column("key").take(pa.array(hits, pa.int64())), "score": pa.array(scores, pa.float64())})
+            np.nan_to_num(some, copy=False, nan=-np.inf)
+            low = least[at : at + 256]
+            if some.shape[1] > k:
+                low = np.maximum(low, np.partition(some, -k, axis=1)[:, -k])
+            who, hit = np.nonzero((some >= low[:, None]) & np.isfinite(some))
+            score = some[who, hit]
+            order = np.lexsort((hit, -score, who))
+            who, hit, score = who[order], hit[order], score[order]
+            place = np.arange(len(who)) - np.searchsorted(who, who)  # among the hits of a query
+            found.append((at + who[place < k], hit[place < k], score[place < k]))
+        who, hit, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"query": wanted.column("query").take(pa.array(who)), "key": members.column("key").take(pa.array(hit)), "score": pa.array(score)})
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, f"query {types[1]}, key {types[0]}, score double")
 

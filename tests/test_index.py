@@ -130,6 +130,27 @@ def test_cells_are_exact_and_skip(spark):
     assert [r for r in some if r[3] >= 0.9] == [r for r in want if r[3] >= 0.9]
 
 
+def test_visits_carry_no_vectors_and_hits_reach_the_threshold(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(f"p{i:03d}", rng.normal(size=8).tolist(), i % 10 == 0) for i in range(600)], "point_id string, dense array<float>, seen boolean")
+    asked = df.limit(5).select(F.col("point_id").alias("query"), F.col("dense").alias("vector"))
+    built = cells.build_cells(df, carry=("seen",), pivots=30)
+    first = cells.visits(built, asked, 2, True)
+    assert first.columns == ["query", "cell", "theta"]
+    held = first.groupBy("query").agg(F.sum(F.get(F.lit(built.n.tolist()), F.col("cell"))).alias("n")).collect()
+    assert len(held) == 5 and min(r.n for r in held) >= 2 * cells.SEEDS  # a view of one in ten shows two
+    left = df.select(F.lit(0).alias("part"), F.col("point_id").alias("key"), F.col("dense").alias("vector"))
+    right = asked.withColumns({"part": F.lit(0), "theta": F.lit(0.5).cast("double")})
+    free = search.grid(left, right.drop("theta"), ["part"], 600).where("score >= 0.5")
+    held = search.grid(left, right, ["part"], 600)
+    assert sorted(map(tuple, held.collect())) == sorted(map(tuple, free.collect())) and 5 < held.count() < 3000
+
+
+def test_entries_are_made_in_more_tasks_than_slices(spark):
+    rows = postings.spread(postings.sliced(spark.range(300).select(F.col("id").cast("string").alias("point_id")), size=300), 10)
+    assert rows.select("slice").distinct().count() == 1 < rows.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
 def test_empty_index(corpus):
     rows, _ = corpus
     index = build_index(rows.limit(0), ("seen",))
