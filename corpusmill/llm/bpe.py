@@ -31,6 +31,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import re
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,8 @@ from .common import lean
 
 #: Pieces and words that a worker remembers, and the length from which it does not.
 REMEMBERED, REMEMBERED_WORDS, LONG_PIECE = 200_000, 250_000, 64
+#: Bytes of texts that are encoded together.
+PORTION_BYTES = 4 << 20
 #: Marks that often follow a word.
 MARKS = ".,;:!?"
 #: White space as the tokenizer's pattern has it. Fixed values of Unicode's White_Space.
@@ -202,18 +205,20 @@ class PieceMemory(dict):
         return found
 
 
-class Irregular(Exception):
-    """A text that does not fall apart at single spaces and line ends."""
-
-
 class WordMemory(dict):
-    """Word to the ids of ``before`` and the word, for words without white space."""
+    """Word to the ids of ``before`` and the word, for words without white space; a text with other words does not fall apart at single spaces and line ends."""
 
     def __init__(self, before: str) -> None:
         self.before, self.old, self.marks = before, {}, {}
 
-    def __missing__(self, word: str) -> bytes:
-        raise Irregular
+    def all_of(self, words: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The ids of distinct words, learned where they are not known; of a word that is not remembered, none."""
+        found = list(map(self.get, words))
+        rest = [i for i, x in enumerate(found) if x is None]
+        self.learn([words[i] for i in rest], encode)
+        for i in rest:
+            found[i] = self.get(words[i], b"")
+        return found
 
     def learn(self, words: Iterable[str], encode: Callable[[list[str]], list[bytes]]) -> None:
         """Remember ``words``; when full, forget what there was no use for since it was full last.
@@ -225,23 +230,23 @@ class WordMemory(dict):
             self.clear()
         if not self.marks:
             self.marks = dict(zip(MARKS, encode(list(MARKS)), strict=True))
-        old, new, marked = self.old, {}, []
+        old, new, marked, marks = self.old, {}, [], self.marks
         for w in words:
             if w in self or len(w) >= LONG_PIECE:
                 continue
             if w in old:
                 self[w] = old[w]
-            elif w[-1:] in self.marks and (letters := w[:-1]).isalpha():
+            elif w[-1:] in marks and (letters := w[:-1]).isalpha():
                 marked.append((w, letters))
                 if letters in old:
                     self[letters] = old[letters]
                 elif letters not in self:
                     new[letters] = None
-            elif w.split() == [w]:
+            elif w.isalpha() or w.split() == [w]:
                 new[w] = None
         self.update(zip(new, encode([self.before + w for w in new]), strict=True))
         for w, letters in marked:
-            self[w] = self[letters] + self.marks[w[-1]]
+            self[w] = self[letters] + marks[w[-1]]
 
 
 class TextEncoder:
@@ -259,37 +264,68 @@ class TextEncoder:
         self.specials = {s: int(i).to_bytes(4, "little") for s, i in specials.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
 
-    def plain(self, lines: list[list[str]]) -> bytes:
-        first, later, end, out = self.first, self.later.__getitem__, self.end, []
-        try:
-            for words in lines:
-                out += (end, first[words[0]], *map(later, words[1:]))
-        except Irregular:
-            return self.encode_text("\n".join(map(" ".join, lines)))
-        return b"".join(out[1:])
+    def plain(self, parts: list[str]) -> list[bytes]:
+        """The ids of texts without special tokens. Words are told apart by Arrow, a distinct word is looked up once, and ids are gathered for all words together."""
+        lines = pc.split_pattern(pa.array(parts, pa.large_string()), "\n")
+        split = pc.split_pattern(pc.list_flatten(lines), " ")
+        line_at, word_at = lines.offsets.to_numpy(), split.offsets.to_numpy()
+        held = pc.list_flatten(split).dictionary_encode()
+        words, code = held.dictionary.to_pylist(), held.indices.to_numpy().astype(np.int64)
+        first = np.zeros(len(code), bool)
+        first[word_at[:-1]] = True
+        found: list[bytes] = []
+        place = np.zeros((2, len(words)), np.int64)
+        for later, memory in enumerate((self.first, self.later)):
+            flags = np.zeros(len(words), bool)
+            flags[code[first != later]] = True
+            used = np.flatnonzero(flags)
+            place[later, used] = np.arange(len(found), len(found) + len(used))
+            found += memory.all_of([words[i] for i in used.tolist()], self.encode_words)
+        # a line's end is a word before each line but a text's first, where it is nothing
+        found += (self.end, b"")
+        item = np.empty(len(code) + len(word_at) - 1, np.int64)
+        starts = word_at[:-1] + np.arange(len(word_at) - 1)
+        inside = np.ones(len(item), bool)
+        inside[starts] = False
+        item[inside] = place[np.where(first, 0, 1), code]
+        item[starts] = len(found) - 2
+        text_at = np.append(starts, len(item))[line_at]
+        item[text_at[:-1]] = len(found) - 1
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, begin, size = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes, sizes[item]
+        ends = np.append(0, np.cumsum(size))
+        ids = ids[np.repeat(begin[item] - ends[:-1], size) + np.arange(ends[-1])]
+        strange = sizes == 0  # words without ids: their texts are encoded whole
+        strange[-1] = False
+        odd = np.append(0, np.cumsum(strange[item]))
+        cuts, odd = ends[text_at].tolist(), odd[text_at].tolist()
+        return [ids[cuts[i] : cuts[i + 1]].tobytes() if odd[i] == odd[i + 1] else self.encode_text(t) for i, t in enumerate(parts)]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut.split(t) if self.cut is not None and any(s in t for s in self.specials) else [t] for t in texts]
-        lines = [[None if x in self.specials else [line.split(" ") for line in x.split("\n")] for x in parts] for parts in cut]
-        first, later = set(), set()
-        for part in (x for parts in lines for x in parts if x is not None):
-            for words in part:
-                first.add(words[0])
-                later.update(words[1:])
-        self.first.learn(first, self.encode_words)
-        self.later.learn(later, self.encode_words)
-        return [b"".join(self.specials[x] if found is None else self.plain(found) for x, found in zip(*pair, strict=True)) for pair in zip(cut, lines, strict=True)]
+        made = iter(self.plain([x for parts in cut for x in parts if x not in self.specials]))
+        return [b"".join([self.specials[x] if x in self.specials else next(made) for x in parts]) for parts in cut]
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
 
-    def batches(self, texts: pa.Array, step: int = 256) -> Iterator[tuple[str, bytes]]:
+    def batches(self, texts: pa.Array) -> Iterator[tuple[str, bytes]]:
         """(text, ids) of each value, null as empty; some at a time, so that no more than these are in memory."""
-        for at in range(0, len(texts), step):
-            some = [t or "" for t in texts.slice(at, step).to_pylist()]
+        for at, end in portions(texts):
+            some = [t or "" for t in texts.slice(at, end - at).to_pylist()]
             yield from zip(some, self.encode_many(some), strict=True)
 
 
+def portions(texts: pa.Array, most: int = PORTION_BYTES, rows: int = 2048) -> Iterator[tuple[int, int]]:
+    """Where to cut a column so that each portion has ``most`` bytes, or is a single text, and ``rows`` values at most."""
+    upto, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < len(upto):
+        before = int(upto[at - 1]) if at else 0
+        end = min(max(at + 1, int(np.searchsorted(upto, before + most, "right"))), at + rows)
+        yield at, end
+        at = end
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str | None) -> Vocabulary:
     return Vocabulary(path or default_tokenizer())

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import TextEncoder, byte_letters, check_kind, default_tokenizer
+from .bpe import TextEncoder, byte_letters, check_kind, default_tokenizer, portions
 from .common import shared_dir, shuffle_partitions, text_or_empty
 
 SCHEMA = "doc_id bigint, n_tokens bigint, file int, file_start bigint, token_ids array<int>"
@@ -50,15 +50,20 @@ def library_encoder(path: str | None) -> TextEncoder:
     def ids(text: str) -> np.ndarray:
         return np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def piece(letters: str) -> bytes:
-        """Of a space, if any, and letters: one piece, which the library's model takes in its own spelling of bytes."""
-        spelled = letters.replace(" ", space) if letters.isascii() else letters.encode().decode("latin-1").translate(spelling)
-        return array("I", [x.id for x in tokenize(spelled)]).tobytes()
-
     def words(units: list[str]) -> list[bytes]:
-        rest = [u for u in units if not u[u.startswith(" ") :].isalpha()]
-        others = iter(lines(rest) if rest else ())
-        return [piece(u) if u[u.startswith(" ") :].isalpha() else next(others) for u in units]
+        """A space, if any, and letters are one piece, which the library's model takes in its own spelling of bytes."""
+        out, rest = [], []
+        for i, u in enumerate(units):
+            if u.isalpha() or (u[:1] == " " and u[1:].isalpha()):
+                spelled = u.replace(" ", space) if u.isascii() else u.encode().decode("latin-1").translate(spelling)
+                out.append(array("I", [x.id for x in tokenize(spelled)]).tobytes())
+            else:
+                rest.append(i)
+                out.append(b"")
+        if rest:
+            for i, ids_of in zip(rest, lines([units[i] for i in rest]), strict=True):
+                out[i] = ids_of
+        return out
 
     def lines(units: list[str]) -> list[bytes]:
         found = ids("\n".join(units))
@@ -86,8 +91,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         encoder, tail = library_encoder(tokenizer), int(end).to_bytes(4, "little")
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):  # bounds the ids in memory
-                some = batch.slice(k, 256)
+            for k, upto in portions(batch.column(1)):  # bounds the ids in memory
+                some = batch.slice(k, upto - k)
                 made = [ids + tail for _, ids in encoder.batches(some.column(1))]
                 counts = np.array([len(b) // 4 for b in made], np.int64)
                 starts = at + np.cumsum(counts) - counts

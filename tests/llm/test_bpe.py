@@ -3,6 +3,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -92,3 +93,24 @@ def test_token_file_layout(spark, docs, tmp_path):
             assert "RLE_DICTIONARY" in columns["token_ids.list.element"].encodings
             assert "DELTA_BINARY_PACKED" in columns["n_tokens"].encodings
             assert columns["doc_id"].has_column_index and columns["doc_id"].has_offset_index
+
+
+def test_portions_are_cut_by_bytes():
+    texts = pa.array(["a" * 3, None, "b" * 10, "", "cc", "d"])
+    assert list(bpe.portions(texts, 4, 3)) == [(0, 2), (2, 3), (3, 6)]
+    assert list(bpe.portions(texts.slice(2), 4, 2)) == [(0, 1), (1, 3), (3, 4)] and list(bpe.portions(texts.slice(6))) == []
+
+
+def test_a_known_word_is_not_learned_again():
+    asked = []
+
+    def words(units):
+        asked.extend(units)
+        return [u.encode("utf-32-le") for u in units]
+
+    encoder = bpe.TextEncoder({"</s>": 9}, lambda text: text.encode("utf-32-le"), words)
+    long, texts = "x" * bpe.LONG_PIECE, ["a bb\nccc", "", "a  b", "bb</s>a bb", "\n\n", f"a {bpe.LONG_PIECE * 'x'}"]
+    want = [t.encode("utf-32-le") if "</s>" not in t else b"".join([x.encode("utf-32-le") for x in ("bb",)] + [(9).to_bytes(4, "little")] + ["a bb".encode("utf-32-le")]) for t in texts]
+    assert encoder.encode_many(texts) == want and encoder.encode_many([]) == []
+    told = len(asked)
+    assert encoder.encode_many(texts) == want and len(asked) == told and long not in asked
