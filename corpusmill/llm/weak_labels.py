@@ -90,13 +90,13 @@ class TermHits(dict):
     """Word to 1 if it is a listed term, plus 2 if found to be one, plus 4 if it begins like one; forgets all when full."""
 
     def __init__(self, found: frozenset) -> None:
-        self.found = found
+        self.found, self.starts = found, frozenset(x[:-1] for x in found if x.endswith("*"))
 
     def __missing__(self, word: str) -> int:
         if len(self) > WORDS:
             self.clear()
-        bare, *starts = terms_of(word)
-        hit = self[word] = (bare in ABUSE_LIST) + 2 * (bare in self.found) + 4 * any(x in self.found for x in starts)
+        bare, found = word.strip(EDGES).lower(), self.found
+        hit = self[word] = (bare in ABUSE_LIST) + 2 * (bare in found) + 4 * any(bare[:n] in self.starts for n in BEGINNINGS)
         return hit
 
 
@@ -133,6 +133,20 @@ class Features:
         return np.array([s for w in rates.distinct for s in self.word(w)] + self.rates(rates), np.int64)
 
 
+def word_slots(word: str) -> list[int]:
+    """As :meth:`Features.word`, for words that are not remembered: most occur once."""
+    bare = word.strip(EDGES).lower()
+    if not bare.isascii() or bare[-1:] == "*":  # a mark of its own may make a beginning equal to the word
+        return list(map(Features.slot, dict.fromkeys(terms_of(word))))
+    data = bare.encode()
+    out, size = [zlib.crc32(data) % WIDTH], 0
+    for n in BEGINNINGS:
+        if size < len(data[:n]) or not size:
+            out.append(zlib.crc32(data[:n] + b"*") % WIDTH)
+        size = max(1, len(data[:n]))
+    return out
+
+
 Example = tuple[np.ndarray, np.ndarray, float]
 
 
@@ -293,7 +307,7 @@ class Scorer:
             if hits is None:
                 if len(self.known) > WORDS:
                     self.known.clear()
-                hits = self.known[w] = tuple(s for s in map(Features.slot, dict.fromkeys(terms_of(w))) if s in slim)
+                hits = self.known[w] = tuple([s for s in word_slots(w) if s in slim])
             for s in hits:
                 capped[s] = capped.get(s, 0) + 1
         total += sum(slim[s] * min(n, 8) for s, n in capped.items())

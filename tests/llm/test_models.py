@@ -218,3 +218,13 @@ def test_scores_are_the_weights_sums(spark):
     assert [g[0] for g in sorted(got)] == [w[0] for w in sorted(want)]
     assert [g[1] for g in sorted(got)] == pytest.approx([w[1] for w in sorted(want)], abs=1e-9)
     assert all(kept == (s < 0.5) for _, s, kept in got)
+
+
+def test_slots_and_hits_of_words_equal_those_of_their_terms():
+    words = ["", "*", "abcd*", "abcde*", "abcde", "abcdefg", "Abcdefgh.", "(ÜBERALLES)", "über", "Moron!", "a*b", "abcdef*"]
+    found = frozenset(["abcde*", "überall*", "abcdefg", "*"])
+    hits = weak_labels.TermHits(found)
+    for w in words:
+        bare, *starts = weak_labels.terms_of(w)
+        assert weak_labels.word_slots(w) == list(weak_labels.Features().word(w))
+        assert hits[w] == (bare in weak_labels.ABUSE_LIST) + 2 * (bare in found) + 4 * any(x in found for x in starts)
