@@ -6,6 +6,7 @@ Every operator is a narrow transformation of its input rows, without a shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -77,14 +78,18 @@ def blocks(text: str) -> Iterator[tuple[str, int, str]]:
 
 def with_blocks(docs: DataFrame, text_col: str = "raw_text", out: str = "~blocks") -> DataFrame:
     """``docs`` with its text's blocks: kind, level, text, words, and the lines they come from. Null: none."""
-    text_at, piece = docs.columns.index(text_col), pa.list_(pa.struct([("kind", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("words", pa.int32()), ("first_line", pa.int32()), ("last_line", pa.int32())]))
+    text_at = docs.columns.index(text_col)
+    piece = {"kind": pa.string(), "level": pa.int32(), "text": pa.string(), "words": pa.int32(), "first_line": pa.int32(), "last_line": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 some = batch.slice(at, 64)
-                made = [[(b.kind, b.level, b.text, len(b.text.split()), b.first, b.last) for b in markdown.blocks(t or "")] for t in some.column(text_at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([[dict(zip(("kind", "level", "text", "words", "first_line", "last_line"), x, strict=True)) for x in m] for m in made], piece)], [*some.schema.names, out])
+                made = [list(markdown.blocks(t or "")) for t in some.column(text_at).to_pylist()]
+                flat = [(b.kind, b.level, b.text, len(b.text.split()), b.first, b.last) for m in made for b in m]
+                told = pa.StructArray.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate(piece.values())], list(piece))
+                ends = pa.array(list(accumulate(map(len, made), initial=0)), pa.int32())
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.ListArray.from_arrays(ends, told)], [*some.schema.names, out])
 
     kinds = "".join(f"`{c}` {t}, " for c, t in docs.dtypes)
     return docs.mapInArrow(run, kinds + f"`{out}` array<struct<kind:string,level:int,text:string,words:int,first_line:int,last_line:int>>")

@@ -119,11 +119,10 @@ def as_markdown(docs: DataFrame) -> DataFrame:
     tokens, lit, id_ = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.lit, F.col("doc_id").cast("string")
     w = docs.select("doc_id", F.coalesce(tokens, F.array().cast("array<string>")).alias("w")).withColumn("a", F.expr("size(w) div 4"))
     quarter = lambda i: F.slice("w", F.col("a") * i + 1, F.col("a"))
-    rows = lambda part, mark: F.array_join(F.transform(F.sequence(lit(0), F.floor((F.size(part) - 1) / 10).cast("int"), lit(1)), lambda i: F.concat(lit(mark), F.array_join(F.slice(part, i * 10 + 1, 10), " "))), "\n")
-    lines = lambda part, mark="": F.when(F.size(part) > 0, rows(part, mark)).otherwise("")
-    code = lines(quarter(1))
+    before = lambda i: F.when(i % 10 != 0, " ").when(i > 0, "\n").otherwise("")  # noqa: E731  ten tokens a line; a slice a line would copy all tokens each time
+    lines = lambda part: F.array_join(F.transform(part, lambda x, i: F.concat(before(i), x)), "")
     text = F.concat(
-        lit("Head "), id_, lit(" *x*\n===\n\n"), lines(quarter(0)), lit("\n\n## Code `c` ##\n\n~~~py\n"), code, F.when(code != "", "\n").otherwise(""), lit("~~~\n\n### Deep [link](http://x)\n\n> "),
+        lit("Head "), id_, lit(" *x*\n===\n\n"), lines(quarter(0)), lit("\n\n## Code `c` ##\n\n~~~py\n"), lines(quarter(1)), F.when(F.col("a") > 0, "\n").otherwise(""), lit("~~~\n\n### Deep [link](http://x)\n\n> "),
         lines(quarter(2)), lit("\n\n- item\n\n  1. "), F.array_join(F.slice("w", F.col("a") * 3 + 1, F.greatest(F.size("w"), lit(1))), " "),
         lit("\n\n# Table\n\n| a | b |\n| --- | :-: |\n| "), id_, lit(" | t |\n\n<!-- note -->\n"),
     )

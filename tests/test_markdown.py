@@ -1,5 +1,7 @@
 """The Markdown parser on small texts: containers, leaves, lines, and no text that it fails on."""
 
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.markdown import blocks, inline
 from corpusmill.operators import chunking
+from corpusmill.queries.documents import as_markdown
 
 
 def told(text):
@@ -94,3 +97,23 @@ def test_heading_path_is_a_fold(spark):
     assert got[4] == [(None, "quoted x", 0, 2)]
     lines = chunking.with_blocks(df, "t").where("id = 1").select(F.inline("~blocks")).collect()
     assert [(r.kind, r.level, r.first_line) for r in lines][:3] == [("heading", 1, 0), ("prose", 0, 2), ("heading", 3, 4)]
+
+
+def test_layout_takes_time_by_length(spark):
+    """Ten tokens a line; no line copies all tokens."""
+    docs = spark.createDataFrame([(1, 23), (2, 3), (3, 200_000)], "doc_id long, n int")
+    docs = docs.select("doc_id", F.array_join(F.transform(F.sequence(F.lit(1), "n"), lambda i: i.cast("string")), " ").alias("text"))
+    as_markdown(docs.where("doc_id < 3")).collect()
+    began = time.time()
+    got = {r.doc_id: r.text.split("\n") for r in as_markdown(docs).collect()}
+    assert time.time() - began < 10
+    assert got[1][3] == "1 2 3 4 5" and got[2][3] == "" and "> 11 12 13 14 15" in got[1] and "~~~py" in got[2]
+    assert [len(x.split()) for x in got[3][3:5003]] == [10] * 5000 and got[3][5002].endswith(" 50000")
+
+
+def test_lines_of_letters_are_text():
+    text = "\n".join(["five plain words of text"] * 40_000)
+    began = time.process_time()
+    assert told(text) == [("prose", text.replace("\n", " "))]
+    assert time.process_time() - began < 1.5
+    assert told("a\n    b\n\n    c\nd | e\n--|--\nf") == [("prose", "a b"), ("code", "```\nc\n```"), ("table", "d e\nf")]
