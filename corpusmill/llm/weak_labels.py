@@ -27,10 +27,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from operator import eq, itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,8 @@ LABELLED, FITTED = 20_000, 6_000
 WIDTH, CLEAR_LEAST, TRUST = 1 << 18, 0.95, 5.0
 #: Words that a task remembers the terms of; beyond, it forgets all and goes on.
 WORDS = 100_000
+#: Bytes of texts that are looked at together.
+PORTION = 2 << 20
 BEGINNINGS = (5, 7)
 BAD, GOOD, SILENT = 1, 0, 2
 #: The terms that the abuse labeller starts from.
@@ -100,12 +104,83 @@ class TermHits(dict):
         return hit
 
 
-def votes(rates: Rates, terms: TermHits, junk: int | None, toxic: int | None) -> list[int]:
-    """BAD, GOOD or SILENT of each labeller, in the order of JUNK and TOXIC."""
+def votes(rates: Rates, hits: Iterable[int], junk: int | None, toxic: int | None) -> list[int]:
+    """BAD, GOOD or SILENT of each labeller, in the order of JUNK and TOXIC. ``hits``: how many distinct words are listed, found, begin like found ones."""
     out = [BAD if rates.values[k] > LIMITS[k] else GOOD for k in JUNK[:-1]]
-    seen = list(filter(None, map(terms.__getitem__, rates.distinct)))
-    hits = [BAD if x else GOOD for x in (any(h & 1 for h in seen), sum(h & 2 for h in seen) > 2, sum(h & 4 for h in seen) > 4)]
-    return [*out, SILENT if junk is None else junk, *hits, SILENT if toxic is None else toxic]
+    told = [BAD if n >= least else GOOD for n, least in zip(hits, (1, 2, 2), strict=True)]
+    return [*out, SILENT if junk is None else junk, *told, SILENT if toxic is None else toxic]
+
+
+class Held:
+    """The distinct words of some texts, as numbers: ``text`` and ``word`` of each pair; ``words``, and their ``bare`` forms in lower case.
+    The slots of ``others``, which are longer than ``LONG`` bytes or end in a star, are looked at one by one."""
+
+    def __init__(self, rates: list[Rates]) -> None:
+        held = pa.array(chain.from_iterable(r.distinct for r in rates), pa.string()).dictionary_encode()
+        self.text, self.word = np.repeat(np.arange(len(rates)), [len(r.distinct) for r in rates]), held.indices.to_numpy()
+        self.words = held.dictionary
+        bare = pc.ascii_trim(self.words, EDGES)
+        letters = pc.invert(pc.string_is_ascii(bare))  # Python alone knows what they are in lower case
+        lower = pa.array([x.lower() for x in bare.filter(letters).to_numpy(zero_copy_only=False)], pa.string())
+        self.bare = pc.replace_with_mask(pc.ascii_lower(bare), letters, lower)
+        self.others = np.flatnonzero(pc.or_(pc.greater(pc.binary_length(self.bare), LONG), pc.ends_with(self.bare, "*")).to_numpy(zero_copy_only=False))
+        self.starts = [pc.utf8_slice_codeunits(self.bare, 0, n) for n in BEGINNINGS]
+
+    def hits(self, terms: TermHits) -> np.ndarray:
+        """As ``terms`` has them, of each distinct word."""
+        within = lambda column, listed: pc.is_in(column, pa.array(sorted(listed), pa.string())).to_numpy(zero_copy_only=False)
+        return within(self.bare, ABUSE_LIST) + 2 * within(self.bare, terms.found) + 4 * np.any([within(x, terms.starts) for x in self.starts], axis=0)
+
+    def slots(self) -> tuple[np.ndarray, np.ndarray]:
+        """(word, slot): as :func:`word_slots` has them."""
+        whole, *begun = checked(self.bare), *(step(checked(x), np.uint8(STAR)) for x in self.starts)
+        easy = np.ones(len(self.bare), bool)
+        easy[self.others] = False
+        longer = easy & (pc.utf8_length(self.bare).to_numpy(zero_copy_only=False) > BEGINNINGS[0])
+        more = np.array([(i, s) for i in self.others.tolist() for s in word_slots(self.words[i].as_py())], np.int64).reshape(-1, 2)
+        word = np.concatenate([*map(np.flatnonzero, (easy, easy, longer)), more[:, 0]])
+        slot = np.concatenate([whole[easy], begun[0][easy], begun[1][longer]])
+        return word, np.append((~slot).astype(np.int64) % WIDTH, more[:, 1])
+
+
+def checked(strings: pa.Array) -> np.ndarray:
+    """The state of CRC32 after the first ``LONG`` bytes of each string."""
+    size = np.minimum(pc.binary_length(strings).to_numpy(zero_copy_only=False), LONG)
+    order = np.argsort(-size, kind="stable")  # longer ones come first
+    at, data = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset :][order], np.frombuffer(strings.buffers()[2] or b"", np.uint8)
+    left = len(size) - np.cumsum(np.bincount(size, minlength=1))  # how many have a byte more
+    state = np.full(len(size), 0xFFFFFFFF, np.uint32)
+    for i, n in enumerate(left[:-1].tolist()):
+        state[:n] = step(state[:n], data[at[:n] + i])
+    out = np.empty_like(state)
+    out[order] = state
+    return out
+
+
+def step(state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """CRC32 after another byte of each."""
+    return TABLE[(state ^ byte) & np.uint32(255)] ^ (state >> np.uint32(8))
+
+
+def crc_table() -> np.ndarray:
+    at = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        at = np.where(at & np.uint32(1), np.uint32(0xEDB88320) ^ (at >> np.uint32(1)), at >> np.uint32(1))
+    return at
+
+
+TABLE, STAR, LONG = crc_table(), ord("*"), 64
+
+
+def rated(column: pa.Array) -> Iterator[tuple[int, list[Rates]]]:
+    """Where a portion of texts begins, and their rates: 256 texts at most, or of ``PORTION`` bytes, or a single one."""
+    at = 0
+    while at < len(column):
+        n = 256
+        while n > 1 and column.slice(at, n).nbytes > PORTION:
+            n //= 2
+        yield at, [Rates(t or "") for t in column.slice(at, n).to_pylist()]
+        at += n
 
 
 class Features:
@@ -248,7 +323,12 @@ def cast_votes(texts: DataFrame, abusive: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = TermHits(found)
         for batch in batches:
-            made = ["".join(map(str, votes(Rates(t), terms, j, x))) for t, j, x in zip(*(values(batch.column(c)) for c in (1, 2, 3)), strict=True)]
+            made, junk, toxic = [], batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for at, rates in rated(batch.column(1)):
+                held, end = Held(rates), at + len(rates)
+                hit = held.hits(terms)[held.word]
+                n = np.stack([np.bincount(held.text, hit & bit > 0, len(rates)) for bit in (1, 2, 4)], axis=1)
+                made += ["".join(map(str, votes(*x))) for x in zip(rates, n.tolist(), junk[at:end], toxic[at:end], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["_id", "_pattern"])
 
     return texts.select("_id", "_text", "_junk", "_toxic").mapInArrow(run, "_id bigint, _pattern string")
@@ -293,30 +373,41 @@ def train(texts: DataFrame, labels: DataFrame | None) -> tuple[np.ndarray, dict]
 
 
 class Scorer:
-    """The probability of being bad that trained weights give a text."""
-
-    def __init__(self, slim: dict[int, float]) -> None:
-        self.slim, self.features, self.known = slim, Features(), {}
-
-    def __call__(self, text: str) -> float:
-        rates, slim = Rates(text), self.slim
-        total = slim.get(WIDTH, 0.0) + sum(slim.get(s, 0.0) for s in self.features.rates(rates))
-        capped: dict[int, int] = {}
-        for w in rates.distinct:
-            hits = self.known.get(w)
-            if hits is None:
-                if len(self.known) > WORDS:
-                    self.known.clear()
-                hits = self.known[w] = tuple([s for s in word_slots(w) if s in slim])
-            for s in hits:
-                capped[s] = capped.get(s, 0) + 1
-        total += sum(slim[s] * min(n, 8) for s, n in capped.items())
-        return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
-
-
-def slim_weights(weights: np.ndarray) -> dict[int, float]:
+    """The probabilities of being bad that trained weights give to texts."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        self.weights, self.features = weights, Features()
+
+    def of(self, rates: list[Rates]) -> np.ndarray:
+        held, weights = Held(rates), self.weights
+        word, slot = held.slots()
+        telling = weights[slot] != 0  # a word's slots are few, and most tell nothing
+        word, slot = word[telling], slot[telling]
+        order = np.argsort(word, kind="stable")
+        n = np.bincount(word, minlength=len(held.words))
+        first = np.cumsum(n) - n
+        many = n[held.word]
+        text, before = np.repeat(held.text, many), np.cumsum(many) - many
+        at = np.repeat(first[held.word] - before, many) + np.arange(many.sum())
+        pairs, counts = np.unique(text * WIDTH + slot[order][at], return_counts=True)
+        total = np.bincount(pairs // WIDTH, weights[pairs % WIDTH] * np.minimum(counts, 8), len(rates))
+        total += [weights[WIDTH] + sum(weights[s] for s in self.features.rates(r)) for r in rates]
+        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+    def column(self, texts: pa.Array) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(self.of(rates) for _, rates in rated(texts))])
+
+
+def slim_weights(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where weights are not zero, and they: what goes to the tasks."""
     at = np.flatnonzero(weights)
-    return dict(zip(at.tolist(), weights[at].tolist(), strict=True))
+    return at.astype(np.int32), weights[at]
+
+
+def full_weights(slim: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    weights = np.zeros(WIDTH + 1)
+    weights[slim[0]] = slim[1]
+    return weights
 
 
 def score(texts: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -325,10 +416,9 @@ def score(texts: DataFrame, weights: np.ndarray) -> DataFrame:
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(slim)
+        scorer = Scorer(full_weights(slim))
         for batch in batches:
-            made = [scorer(text) for text in values(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.float64())], ["_id", "_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.column(batch.column(1)))], ["_id", "_score"])
 
     return texts.select("_id", "_text").mapInArrow(run, "_id bigint, _score double")
 
@@ -340,9 +430,9 @@ def good_documents(docs: DataFrame, labels: DataFrame | None = None, id_col: str
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(slim)
+        scorer = Scorer(full_weights(slim))
         for batch in batches:
-            yield batch.filter(pa.array([scorer(t or "") < limit for t in values(batch.column(text_at))], pa.bool_()))
+            yield batch.filter(pa.array(scorer.column(batch.column(text_at)) < limit))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -3,6 +3,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +229,20 @@ def test_slots_and_hits_of_words_equal_those_of_their_terms():
         bare, *starts = weak_labels.terms_of(w)
         assert weak_labels.word_slots(w) == list(weak_labels.Features().word(w))
         assert hits[w] == (bare in weak_labels.ABUSE_LIST) + 2 * (bare in found) + 4 * any(x in found for x in starts)
+
+
+def test_words_of_texts_are_looked_at_together():
+    """Slots and hits of all words of a portion are those of each word alone, however odd; long and many texts are cut into portions."""
+    texts = ["", "*", "a* .*. b", "abcde abcdef. (ABCDEFG) abcdefgh", "stupid, STUPID! scum", "İΣΣς Étés! étésabcd", "x" * 63 + " " + "x" * 65 + ". z*", "é" * 70, None, "a b a b"]
+    held = weak_labels.Held([weak_labels.Rates(t or "") for t in texts])
+    words, slots = held.words.to_pylist(), {}
+    for word, slot in zip(*held.slots()):
+        slots.setdefault(words[word], []).append(slot)
+    assert {w: sorted(s) for w, s in slots.items()} == {w: sorted(weak_labels.word_slots(w)) for w in {w for t in texts for w in (t or "").split()}}
+    terms = weak_labels.TermHits(frozenset(("abcde", "abcdef*", "abcde*", "étésa*")))
+    assert held.hits(terms).tolist() == [weak_labels.TermHits(terms.found)[w] for w in words]
+    assert sorted(zip(held.text.tolist(), map(words.__getitem__, held.word.tolist()))) == sorted((i, w) for i, t in enumerate(texts) for w in set((t or "").split()))
+    cut = pa.array(["x"] * 300 + ["y" * (3 << 20)] * 2)
+    sizes = [len(rates) for _, rates in weak_labels.rated(cut)]
+    assert sum(sizes) == 302 and max(sizes) <= 256 and sizes[-2:] == [1, 1]
+    assert len(weak_labels.Scorer(np.zeros(weak_labels.WIDTH + 1)).column(pa.array([], pa.string()))) == 0
