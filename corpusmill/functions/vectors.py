@@ -62,17 +62,18 @@ def word_slots(texts: pa.Array, dense: int, sparse: int) -> tuple[np.ndarray, np
     """
     lists = pc.utf8_split_whitespace(texts)
     parent, held = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists).dictionary_encode()
-    found = held.dictionary.cast(pa.binary()).to_pylist()
-    digests = np.frombuffer(b"".join([md5(w).digest()[:4] for w in found]), ">u2").reshape(-1, 2).astype(np.int64)
-    empty = np.array([not w for w in found], bool)  # beside white space at an end
+    found = held.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    digests = np.frombuffer(b"".join([md5(w).digest() for w in found]), ">u2").reshape(-1, 8)[:, :2].astype(np.int64)
+    empty = pc.equal(pc.binary_length(held.dictionary), 0).to_numpy(zero_copy_only=False)  # beside white space at an end
     code = held.indices.to_numpy()
     if empty.any():
         parent, code = (x[~empty[code]] for x in (parent, code))
-    near, far = np.zeros((len(texts), dense), bool), np.zeros((len(texts), sparse), bool)
+    near = np.zeros((len(texts), dense), bool)
     near[parent, (digests[:, 0] % dense)[code]] = True
-    far[parent, (digests[:, 1] % sparse)[code]] = True
-    listed = np.flatnonzero(far) % sparse
-    return near, listed.astype(np.int32), np.append(0, np.cumsum(np.count_nonzero(far, axis=1))).astype(np.int32)
+    far = np.sort(parent.astype(np.int64) * sparse + (digests[:, 1] % sparse)[code])  # most of a text's slots are empty
+    far = far[np.append(True, far[1:] != far[:-1])[: len(far)]]
+    ends = np.searchsorted(far, np.arange(len(texts) + 1) * sparse)
+    return near, (far % sparse).astype(np.int32), ends.astype(np.int32)
 
 
 def with_hash_vectors(rows: DataFrame, column: str, dense: int = 1024, sparse: int = 30_000) -> DataFrame:

@@ -62,8 +62,10 @@ def fit_pivots(sample: np.ndarray, many: int, rounds: int = ROUNDS) -> np.ndarra
     pivots = pivots[np.random.default_rng(0).permutation(len(pivots))[:many]]
     for _ in range(rounds):
         own = np.argmax(sample @ pivots.T, axis=1)
+        order = np.argsort(own, kind="stable")
+        held, start = np.unique(own[order], return_index=True)
         sums = np.zeros_like(pivots)
-        np.add.at(sums, own, sample)
+        sums[held] = np.add.reduceat(sample[order], start)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
         pivots = np.where(size > 1e-9, sums / np.maximum(size, 1e-9), pivots)
     return pivots

@@ -76,13 +76,16 @@ def blocks_of(entries: DataFrame, terms: Column) -> DataFrame:
     kind = dict(listed.select(F.explode("terms").alias("t")).select("t.term", "t.weight").dtypes)
 
     def gather(rows: pa.Table) -> pa.Table:
-        rows = rows.select(["slice", "local", "terms"]).combine_chunks()
+        rows = rows.select(["slice", "local", "terms"]).sort_by("local").combine_chunks()
         lists = rows.column("terms").combine_chunks()
         flat, parent = pc.list_flatten(lists), pc.list_parent_indices(lists)
         held = flat.field("term").dictionary_encode()
         local, weight = rows.column("local").to_numpy()[parent.to_numpy()], flat.field("weight").to_numpy(zero_copy_only=False)
         code = held.indices.to_numpy()
-        order = np.lexsort((weight, local, code))
+        small = code.astype(np.uint16) if len(held.dictionary) <= 1 << 16 else code  # short numbers are sorted by digits
+        order = np.argsort(small, kind="stable")  # rows lie by local
+        if ((local[order][1:] == local[order][:-1]) & (code[order][1:] == code[order][:-1])).any():  # a row has a term twice
+            order = np.lexsort((weight, local, code))
         local, weight = local[order], weight[order]
         n = np.bincount(code, minlength=len(held.dictionary))
         start = np.cumsum(n) - n

@@ -1,11 +1,15 @@
 """Postings, pruned search, cells and the table that keeps them, against scans of everything."""
 
 import random
+import tracemalloc
+from hashlib import md5
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.functions import vectors
 from corpusmill.functions.text import tokens
 from corpusmill.functions.vectors import hash_dense, hash_sparse, with_hash_vectors
 from corpusmill.operators import cells, lexical, postings, search, verify
@@ -280,3 +284,23 @@ def test_search_over_several_writes(spark, table):
 def test_status_of_no_table(spark, tmp_path):
     told = CorpusTable(spark, str(tmp_path / "none")).status().first()
     assert (told.table_exists, told.point_count, told.document_count, told.last_ingested_at, told.healthy) == (False, 0, 0, None, False)
+
+
+def test_word_slots_make_no_table_of_texts_times_slots():
+    texts = pa.array(["", " a ", "a b\na", "Ü é x", "a"] * 400)
+    tracemalloc.start()
+    near, listed, ends = vectors.word_slots(texts, 64, 1 << 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20  # 125 MB as a table
+    for i, t in enumerate(texts.to_pylist()[:5]):
+        digests = [md5(w.encode()).digest() for w in set(t.split())]
+        assert np.flatnonzero(near[i]).tolist() == sorted({int.from_bytes(d[:2], "big") % 64 for d in digests})
+        assert listed[ends[i] : ends[i + 1]].tolist() == sorted({int.from_bytes(d[2:4], "big") for d in digests})
+
+
+def test_a_term_that_a_row_has_twice(spark):
+    terms = "array(named_struct('term', 'b', 'weight', 2f), named_struct('term', 'a', 'weight', 1f), named_struct('term', 'b', 'weight', 1f))"
+    rows = spark.createDataFrame([("s", i) for i in (2, 0, 1)], "slice string, local int")
+    got = {r.term: (r.n, r.low, r.top, r.locals, r.weights) for r in postings.blocks_of(rows, F.expr(terms)).collect()}
+    assert got == {"a": (3, 1.0, 1.0, [0, 1, 2], [1.0] * 3), "b": (6, 1.0, 2.0, [0, 0, 1, 1, 2, 2], [1.0, 2.0] * 3)}
