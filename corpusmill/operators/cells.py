@@ -15,19 +15,23 @@ vector may fill a cell of any size and no task gets more than a part.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import stash
-from .search import grid
 
 SAMPLE, PIVOTS, ROUNDS, PART_BYTES = 8192, 1024, 4, 32 << 20
 SEEDS = 10
+#: Bytes of the queries that go to all tasks at once, and rows that meet them together.
+BLOCK_BYTES, CHUNK = 128 << 20, 2048
 #: Angles are off by less than this, scores by less than that.
 ANGLE, SCORE = 1e-6, 2e-9
 
@@ -128,7 +132,7 @@ def build_cells(rows: DataFrame, vector: str = "dense", key: str = "point_id", c
     centres = centres_of(slim, pivots, part_bytes)
     if not len(centres):
         return cells_of(slim.select(F.lit(0).alias("cell"), "*"), key, centres, slim.select(F.lit(0).alias("cell"), F.lit(0).alias("n"), F.lit(0.0).alias("near"), F.lit(0.0).alias("far")))
-    kept = stash(dealt(slim, centres), "cells")  # searches join cells with all rows: no order of theirs would spare reading
+    kept = stash(dealt(slim, centres).sortWithinPartitions("cell"), "cells")  # a query skips runs of rows by their cell
     return cells_of(kept.drop("angle"), key, centres, cell_stats(kept), part_bytes)
 
 
@@ -169,29 +173,151 @@ class Met:
     visits: DataFrame
 
 
-def dense_topk_cells(cells: Cells, queries: DataFrame, k: int = 10, view: Callable[[DataFrame], DataFrame] | None = None, floor: DataFrame | None = None, block: int = 4096) -> Met:
+@dataclass(frozen=True)
+class Block:
+    """Some queries: names; directions, or places and values of the entries that are not zero, where these are few; whether each meets each cell; the least score that each asks for (NaN: any)."""
+
+    names: pa.Array
+    vectors: np.ndarray | list[tuple[np.ndarray, np.ndarray]]
+    met: np.ndarray
+    least: np.ndarray
+
+
+def block_of(rows: pa.Table, cells: int) -> Block:
+    """Of query, vector, cells (a list) and least."""
+    rows = rows.combine_chunks()
+    names, vectors, listed = (rows.column(c).combine_chunks() for c in ("query", "vector", "cells"))
+    met = np.zeros((len(names), cells), bool)
+    met[pc.list_parent_indices(listed).to_numpy(), listed.flatten().to_numpy()] = True
+    far = directions(vectors)
+    least = rows.column("least").to_numpy().astype(float)
+    if np.count_nonzero(far) * 16 > far.size:
+        return Block(names, far, met, least)
+    return Block(names, [(at, v[at]) for v in far for at in [np.flatnonzero(v)]], met, least)
+
+
+class Best:
+    """The best ``k`` rows of each query of a block among those that it was shown; ties go to the smaller key."""
+
+    def __init__(self, block: Block, k: int, limit: int = 1 << 19) -> None:
+        self.k, self.limit = k, max(limit, 2 * k * len(block.names))
+        self.least = np.nan_to_num(block.least, nan=-np.inf)  # grows to the score of the k-th
+        self.held: list[pa.Table] = []
+        self.size = 0
+
+    def add(self, who: np.ndarray, key: pa.Array, score: np.ndarray) -> None:
+        self.held.append(pa.table({"who": pa.array(who, pa.int32()), "key": key, "score": score}))
+        self.size += len(who)
+        if self.size > self.limit:
+            self.cut()
+
+    def cut(self) -> pa.Table | None:
+        if not self.held:
+            return None
+        rows = pa.concat_tables(self.held).sort_by([("who", "ascending"), ("score", "descending"), ("key", "ascending")])
+        who = rows.column("who").to_numpy()
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        last = place == self.k - 1
+        self.least[who[last]] = np.maximum(self.least[who[last]], rows.column("score").to_numpy()[last])
+        self.held = [rows.filter(pa.array(place < self.k))]
+        self.size = self.held[0].num_rows
+        return self.held[0]
+
+
+def reached(score: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and rounded value of each row's best ``k`` entries that reach ``least``; ties go to the left."""
+    hits = score >= (least - SCORE)[:, None]
+    many = np.flatnonzero(np.count_nonzero(hits, axis=1) > 4 * k)
+    if len(many):
+        some = score[many]
+        hits[many] &= some >= np.partition(some, -k, axis=1)[:, [-k]] - SCORE
+    n, hit = np.nonzero(hits)
+    value = np.round(score[n, hit], 9) + 0.0
+    good = value >= least[n]
+    n, hit, value = n[good], hit[good], value[good]
+    order = np.lexsort((hit, -value, n))
+    order = order[np.arange(len(n)) - np.searchsorted(n, n) < k]  # rows stay in order
+    return n[order], hit[order], value[order]
+
+
+def scan(rows: DataFrame, held: Broadcast[Block], k: int, kind: str) -> DataFrame:
+    """query, key, score: for each query of a block the best ``k`` rows of each task, among rows (cell, key, vector) of the cells that it meets, and perhaps of others.
+
+    Rows are read where they lie, and only what is found is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = held.value
+        best, few = Best(block, k), isinstance(block.vectors, list)
+        room = np.empty(max((len(at) for at, _ in block.vectors), default=0) * CHUNK if few else 0)
+        for batch in batches:
+            for start in range(0, batch.num_rows, CHUNK):
+                some = batch.slice(start, CHUNK)
+                who = np.flatnonzero(block.met[:, np.unique(some.column("cell").to_numpy())].any(axis=1))
+                if not len(who):
+                    continue
+                some = some.take(pc.sort_indices(some.column("key")))  # so that ties go to the smaller key
+                vectors = np.ascontiguousarray(directions(some.column("vector")).T)
+                for i in range(0, len(who), 256):
+                    part = who[i : i + 256]
+                    if few:
+                        score = np.empty((len(part), some.num_rows))
+                        for to, q in zip(score, part, strict=True):
+                            at, values = block.vectors[q]
+                            mine = room[: len(at) * some.num_rows].reshape(len(at), -1)
+                            np.dot(values, np.take(vectors, at, axis=0, out=mine, mode="clip"), out=to)
+                    else:
+                        score = block.vectors[part] @ vectors
+                    n, hit, value = reached(score, best.least[part], k)
+                    if len(n):
+                        best.add(part[n], some.column("key").take(pa.array(hit)), value)
+        found = best.cut()
+        if found is not None:
+            names = block.names.take(found.column("who").combine_chunks())
+            yield from pa.table({"query": names, "key": found.column("key"), "score": found.column("score")}).combine_chunks().to_batches()
+
+    return rows.select("cell", "key", "vector").mapInArrow(run, f"query {kind}, key {dict(rows.dtypes)['key']}, score double")
+
+
+def dense_topk_cells(cells: Cells, queries: DataFrame, k: int = 10, view: Callable[[DataFrame], DataFrame] | None = None, floor: DataFrame | None = None, block: int | None = None, least: float | None = None) -> Met:
     """The best ``k`` rows of every query (query, vector), as scoring all rows would give them. ``view`` filters rows by carried
-    columns. ``floor`` (query, floor): rows that score less are not asked for, which skips more."""
+    columns. ``floor`` (query, floor): rows that score less are not asked for, which skips more; nor are rows that do not score more than ``least``.
+
+    Queries are taken in blocks of ``BLOCK_BYTES`` at most, one after the other: a block goes to all tasks, and
+    these read the rows twice, first those of the nearest cells. So neither rows nor queries are ever shuffled with their vectors.
+    """
     rows = cells.rows if view is None else view(cells.rows)
-    asked = stash(queries.where(F.col("vector").isNotNull()).select("query", "vector"), "asked")
-    blocks = max(1, -(-asked.count() // block))
-    parts = F.lit(cells.parts.astype(int).tolist() or [1])
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "key")
-    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-    def meet(who: DataFrame) -> DataFrame:
-        part = F.explode(F.sequence(F.lit(0), F.get(parts, F.col("cell")) - 1))
-        right = who.withColumn("part", part).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
-        met = right.select("cell", "part", F.col("block").alias("block")).distinct()
-        own = F.pmod(F.xxhash64("key"), F.get(parts, F.col("cell"))).cast("int")
-        left = rows.select("cell", own.alias("part"), "key", "vector").join(met, ["cell", "part"]).select(*(F.col(c).alias(c) for c in ("cell", "part", "block", "key", "vector")))
-        return grid(left, right.join(asked.hint("merge"), "query"), ["cell", "part", "block"], k)  # vectors are not kept a visit
-
-    first = stash(visits(cells, asked, k, True), "visits")
-    begun = stash(ranked(meet(first)), "begun")
-    theta = begun.where(F.col("rank") == k).select("query", F.col("score").alias("theta"))
+    asked = queries.where(F.col("vector").isNotNull()).select("query", "vector")
+    bars = [F.lit(None).cast("double") if least is None else F.lit((math.floor(least * 1e9) + 1) / 1e9)]  # scores have nine decimals
     if floor is not None:
-        theta = theta.unionByName(floor.select("query", F.col("floor").alias("theta"))).groupBy("query").agg(F.max("theta").alias("theta"))
-    more = stash(visits(cells, asked.join(theta, "query", "left"), k, False), "visits")
-    best = ranked(begun.drop("rank").unionByName(meet(more)))
-    return Met(best.withColumnRenamed("key", cells.key), first.unionByName(more).select("query", "cell"))
+        asked, bars = asked.join(floor.select("query", "floor"), "query", "left"), [*bars, F.col("floor")]
+    asked = stash(asked.select("query", "vector", F.greatest(*bars, *bars).alias("bar")), "asked")
+    kinds, spark = f"query {dict(asked.dtypes)['query']}, key {dict(rows.dtypes)['key']}, score double, rank int", rows.sparkSession
+    none = spark.createDataFrame([], kinds)
+    blocks = -(-asked.count() // (block or max(1, BLOCK_BYTES // (8 * cells.pivots.shape[1]))))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "key")
+    best, met = none, spark.createDataFrame([], f"query {dict(asked.dtypes)['query']}, cell int")
+
+    def meet(some: DataFrame, who: DataFrame) -> DataFrame:
+        """The best rows of ``some`` queries (query, vector, least) in the cells that they meet, and perhaps in others."""
+        listed = who.groupBy("query").agg(F.collect_list("cell").alias("cells"))
+        told = some.join(listed, "query").select("query", "vector", "cells", F.col("bar").alias("least")).toArrow()
+        if not told.num_rows:
+            return none
+        mine = block_of(told, len(cells.n))
+        here = np.flatnonzero(mine.met.any(axis=0))
+        near = rows.where(F.col("cell").isin(here.tolist())) if 2 * len(here) < len(cells.n) else rows
+        held = spark.sparkContext.broadcast(mine)  # of bounded bytes
+        found = scan(near, held, k, dict(asked.dtypes)["query"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        found = stash(found, "best")
+        held.destroy()
+        return found
+
+    for b in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
+        first = stash(visits(cells, some, k, True), "visits").select("query", "cell")
+        theta = meet(some, first).where(F.col("rank") == k).select("query", F.col("score").alias("theta"))
+        some = stash(some.join(theta, "query", "left").select("query", "vector", F.greatest("bar", "theta").alias("bar")), "asked")
+        more = stash(visits(cells, some.withColumnRenamed("bar", "theta"), k, False), "visits").select("query", "cell")
+        best, met = best.unionByName(meet(some, first.unionByName(more))), met.unionByName(first).unionByName(more)
+    return Met(best.withColumnRenamed("key", cells.key), met)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +24,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..plans.storage import stash
+from ..plans.storage import passing, stash, without_leftovers
 
 #: Rows of a slice, folders that blocks are dealt into, and slices that a fetch names one by one.
 SLICE, BUCKETS, NAMED = 16_384, 64, 1000
 #: Rows of a slice that go to a task together when entries are made.
 SPREAD = 256
-#: Queries that meet a slice in one task.
-QUERIES = 4096
+#: Queries that are answered together: they meet a slice in one task.
+QUERIES = 16_384
 PLACE = ["slice", "local"]
 #: Sums in another order may differ by this share.
 SLACK = 1e-9
@@ -71,8 +72,8 @@ def sparse_terms(vector: Column) -> Column:
 
 
 def blocks_of(entries: DataFrame, terms: Column) -> DataFrame:
-    """The blocks of ``terms``, an array of (term, weight) for each row."""
-    listed = entries.select(*PLACE, terms.alias("terms"))
+    """The blocks of ``terms``, an array of (term, weight) for each row. Rows go to their slice before their terms are listed, which take twice the bytes."""
+    listed = entries.repartition("slice").sortWithinPartitions(*PLACE).select(*PLACE, terms.alias("terms"))
     kind = dict(listed.select(F.explode("terms").alias("t")).select("t.term", "t.weight").dtypes)
 
     def gather(rows: pa.Table) -> pa.Table:
@@ -105,7 +106,8 @@ def write_blocks(blocks: DataFrame, path: str, **parts: str) -> None:
     own = blocks.withColumn("bucket", bucket(F.col("term"))).repartition(many, "bucket", share).sortWithinPartitions("bucket", "term", "slice")
     for name, value in parts.items():
         own = own.withColumn(name, F.lit(value))
-    own.write.partitionBy(*parts, "bucket").mode("append").parquet(path)
+    with without_leftovers(blocks.sparkSession):
+        own.write.partitionBy(*parts, "bucket").mode("append").option("compression", "zstd").parquet(path)
 
 
 def fetch(entries: DataFrame, hits: DataFrame, named: int = NAMED) -> DataFrame:
@@ -144,25 +146,30 @@ def holding_all(index: Postings, wanted: list[str]) -> DataFrame:
     return holding(Postings(index.entries, some), asked).select(*PLACE)
 
 
-def best_of_slices(index: Postings, seen: DataFrame, asked: DataFrame, pairs: DataFrame, k: int, blocks: int) -> DataFrame:
-    """query, slice, local, score: the best ``k`` rows of each pair of a query and a slice (query, slice, ~low) that ``seen`` has and
-    that score ``~low`` at least (null: any), ties by local. A slice's lists meet a block of queries in one task."""
-    kinds, term = dict(asked.dtypes), dict(index.blocks.dtypes)["term"]
+def best_of_slices(index: Postings, seen: DataFrame, asked: DataFrame, pairs: DataFrame, k: int, blocks: int = 1, key: str = "point_id") -> DataFrame:
+    """query, key, score: the best ``k`` rows of each pair of a query and a slice (query, slice, ~low) that ``seen`` has and
+    that score ``~low`` at least (null: any), ties by local. A slice's lists meet a block of queries in one task; each block gets its own copy of them.
+
+    What is broadcast is bounded by the number of queries, or a row a slice.
+    """
+    kinds, term, named = dict(asked.dtypes), dict(index.blocks.dtypes)["term"], dict(seen.dtypes)[key]
     wanted = asked.select(F.explode(F.col("sparse")["indices"]).alias("term")).distinct()
     # the rows that are seen come as a list without a term
-    rows = seen.groupBy("slice").agg(F.sort_array(F.collect_list("local")).alias("locals")).select(F.lit(None).cast(term).alias("term"), "slice", "locals", F.lit(None).cast(dict(index.blocks.dtypes)["weights"]).alias("weights"))
-    met = pairs.join(asked, "query").select("slice", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"), "query", F.col("sparse")["indices"].alias("indices"), F.col("sparse")["values"].alias("values"), "~low")
-    lists = index.blocks.join(wanted, "term", "left_semi").select("term", "slice", "locals", "weights").unionByName(rows)
-    lists = lists.join(met.select("slice", "block").distinct(), "slice").select(*(F.col(c).alias(c) for c in ("term", "slice", "block", "locals", "weights")))
+    shown = F.sort_array(F.collect_list(F.struct("local", F.col(key).alias("key"))))
+    rows = seen.groupBy("slice").agg(shown.alias("s")).select(F.lit(None).cast(term).alias("term"), "slice", F.col("s.local").alias("locals"), F.lit(None).cast(dict(index.blocks.dtypes)["weights"]).alias("weights"), F.col("s.key").alias("keys"))
+    block = F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block")
+    met = pairs.join(F.broadcast(asked), "query").select("slice", block, "query", F.col("sparse")["indices"].alias("indices"), F.col("sparse")["values"].alias("values"), "~low")
+    lists = index.blocks.join(F.broadcast(wanted), "term", "left_semi").select("term", "slice", "locals", "weights", F.lit(None).cast(f"array<{named}>").alias("keys")).unionByName(rows)
+    lists = lists.join(F.broadcast(pairs.select("slice", block).distinct()), "slice").select(*(F.col(c).alias(c) for c in ("term", "slice", "block", "locals", "weights", "keys")))
 
     def best(lists: pa.Table, queries: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         terms, held = lists.column("term").to_pylist(), {}
-        shown = np.zeros(0, np.int64)
+        shown, keys = np.zeros(0, np.int64), pa.array([], lists.schema.field("keys").type.value_type)
         for i, t in enumerate(terms if queries.num_rows else []):
             at = lists.column("locals")[i].values.to_numpy().astype(np.int64)
             if t is None:
-                shown = at
+                shown, keys = at, lists.column("keys")[i].values
             else:
                 held[t] = at, lists.column("weights")[i].values.to_numpy(zero_copy_only=False).astype(np.float64)
         size = 1 + max([int(at[-1]) for at, _ in held.values()] + [int(shown[-1]) if len(shown) else -1])
@@ -186,10 +193,9 @@ def best_of_slices(index: Postings, seen: DataFrame, asked: DataFrame, pairs: Da
             top = np.argsort(-s, kind="stable")[:k]
             found.append((np.full(len(top), i), rows[top], s[top]))
         i, rows, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        some = queries.select(["query", "slice"]).take(pa.array(i))
-        return pa.table([*some.columns, pa.array(rows, pa.int32()), pa.array(s, pa.float64())], ["query", "slice", "local", "score"])
+        return pa.table([queries.column("query").take(pa.array(i)), keys.take(pa.array(np.searchsorted(shown, rows))), pa.array(s, pa.float64())], ["query", key, "score"])
 
-    return lists.groupBy("slice", "block").cogroup(met.groupBy("slice", "block")).applyInArrow(best, f"query {kinds['query']}, slice string, local int, score double")
+    return lists.groupBy("slice", "block").cogroup(met.groupBy("slice", "block")).applyInArrow(best, f"query {kinds['query']}, `{key}` {named}, score double")
 
 
 @dataclass(frozen=True)
@@ -228,40 +234,45 @@ def sparse_topk_pruned(
     """
     seen, seeds = index.entries if view is None else view(index.entries), 10 * k if seeds is None else seeds
     asked = stash(queries.where(F.size(F.col("sparse")["indices"]) > 0).select("query", "sparse"), "asked")
+    blocks = max(1, -(-asked.count() // QUERIES))
+    block = F.pmod(F.xxhash64("query"), F.lit(blocks))
+    found = [pruned_block(index, seen, asked.where(block == b), k, key, floor, seeds) for b in range(blocks)]  # one after the other: each leaves its results alone
+    return Pruned(reduce(DataFrame.unionByName, (f.best for f in found)), reduce(DataFrame.unionByName, (f.terms for f in found)))
+
+
+def pruned_block(index: Postings, seen: DataFrame, asked: DataFrame, k: int, key: str, floor: DataFrame | None, seeds: int) -> Pruned:
+    """:func:`sparse_topk_pruned` of a bounded number of queries."""
     entries_of = asked.select("query", F.inline(sparse_terms(F.col("sparse")))).withColumnRenamed("weight", "w")
     weight = F.col("w").cast("double")
     bound = F.greatest(weight * F.col("top").cast("double"), weight * F.col("low").cast("double"), F.lit(0.0))
-    met = stash(index.blocks.select("term", "slice", "n", "low", "top").join(entries_of, "term").select("query", "term", "w", "slice", "n", bound.alias("bound")), "met")
-
-    # which rows to score first: the rarest terms' up to `seeds`; of the one that goes beyond, a share of its slices
-    df = met.groupBy("query", "term", "w").agg(F.sum("n").alias("df"), F.max("bound").alias("most"))
-    rare = Window.partitionBy("query").orderBy("df", "term")  # as many rows as the query has terms
-    before = F.coalesce(F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counted = stash(df.withColumn("before", before), "df")
-    share = (F.lit(seeds) - F.col("before")) / F.col("df")
-    chosen = counted.where(F.col("before") < seeds).select("query", "term", share.alias("share"))
-    lot = F.pmod(F.xxhash64("slice"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    picked = met.join(chosen, ["query", "term"]).withColumn("first", F.min(F.struct(lot.alias("lot"), "slice")).over(Window.partitionBy("query", "term"))["slice"])
-    picked = picked.where((lot < F.col("share")) | (F.col("slice") == F.col("first"))).select("query", "term", "slice")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), key)
-    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    first = stash(picked.select("query", "slice").distinct(), "first")
-    blocks = max(1, -(-asked.count() // QUERIES))
-    keyed = lambda hits: hits.join(seen.select(*PLACE, key), PLACE).select("query", key, "score")
-    begun = stash(ranked(keyed(best_of_slices(index, seen, asked, first.withColumn("~low", F.lit(None).cast("double")), k, blocks))), "begun")
-    theta = begun.where(F.col("rank") == k).select("query", F.col("score").alias("theta"))
-    if floor is not None:
-        theta = theta.unionByName(floor.select("query", F.col("floor").alias("theta"))).groupBy("query").agg(F.max("theta").alias("theta"))
-
-    low = F.col("theta") - F.abs("theta") * SLACK - SLACK
-    common = Window.partitionBy("query").orderBy(F.desc("df"), "term")
-    upto = F.sum("most").over(common.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    told = counted.join(theta, "query", "left").withColumn("essential", F.coalesce(upto >= low, F.lit(True)))
-    rest = F.sum(F.when(F.col("essential"), 0.0).otherwise(F.col("most"))).over(Window.partitionBy("query"))
-    told = stash(told.select("query", "term", "w", "df", "theta", low.alias("~low"), "essential", rest.alias("rest")), "terms")
-
-    lows = told.groupBy("query").agg(F.first("~low").alias("~low"))
-    kept = met.groupBy("query", "slice").agg(F.sum("bound").alias("~bound")).join(lows, "query").where(F.col("~low").isNull() | (F.col("~bound") >= F.col("~low"))).select("query", "slice")
-    more = stash(kept.join(first, ["query", "slice"], "left_anti").join(lows, "query"), "kept")
-    best = begun.drop("rank").unionByName(keyed(best_of_slices(index, seen, asked, more, k, blocks)))
-    return Pruned(ranked(best), told.select("query", "term", "df", "theta", "essential"))
+    with passing(index.blocks.select("term", "slice", "n", "low", "top").join(entries_of, "term").select("query", "term", "w", "slice", "n", bound.alias("bound")), "met") as met:
+        # which rows to score first: the rarest terms' up to `seeds`; of the one that goes beyond, a share of its slices
+        df = met.groupBy("query", "term", "w").agg(F.sum("n").alias("df"), F.max("bound").alias("most"))
+        rare = Window.partitionBy("query").orderBy("df", "term")  # as many rows as the query has terms
+        before = F.coalesce(F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counted = stash(df.withColumn("before", before), "df")
+        share = (F.lit(seeds) - F.col("before")) / F.col("df")
+        chosen = counted.where(F.col("before") < seeds).select("query", "term", share.alias("share"))
+        lot = F.pmod(F.xxhash64("slice"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        picked = met.join(chosen, ["query", "term"]).withColumn("first", F.min(F.struct(lot.alias("lot"), "slice")).over(Window.partitionBy("query", "term"))["slice"])
+        picked = picked.where((lot < F.col("share")) | (F.col("slice") == F.col("first"))).select("query", "term", "slice")
+        order = Window.partitionBy("query").orderBy(F.desc("score"), key)
+        ranked = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        first = stash(picked.select("query", "slice").distinct(), "first")
+        begun = stash(ranked(best_of_slices(index, seen, asked, first.withColumn("~low", F.lit(None).cast("double")), k, key=key)), "begun")
+        theta = begun.where(F.col("rank") == k).select("query", F.col("score").alias("theta"))
+        if floor is not None:
+            theta = theta.unionByName(floor.select("query", F.col("floor").alias("theta"))).groupBy("query").agg(F.max("theta").alias("theta"))
+
+        low = F.col("theta") - F.abs("theta") * SLACK - SLACK
+        common = Window.partitionBy("query").orderBy(F.desc("df"), "term")
+        upto = F.sum("most").over(common.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        told = counted.join(theta, "query", "left").withColumn("essential", F.coalesce(upto >= low, F.lit(True)))
+        rest = F.sum(F.when(F.col("essential"), 0.0).otherwise(F.col("most"))).over(Window.partitionBy("query"))
+        told = stash(told.select("query", "term", "w", "df", "theta", low.alias("~low"), "essential", rest.alias("rest")), "terms")
+
+        lows = told.groupBy("query").agg(F.first("~low").alias("~low"))
+        kept = met.groupBy("query", "slice").agg(F.sum("bound").alias("~bound")).join(lows, "query").where(F.col("~low").isNull() | (F.col("~bound") >= F.col("~low"))).select("query", "slice")
+        more = stash(kept.join(first, ["query", "slice"], "left_anti").join(lows, "query"), "kept")
+    best = begun.drop("rank").unionByName(best_of_slices(index, seen, asked, more, k, key=key))
+    return Pruned(stash(ranked(best), "best"), told.select("query", "term", "df", "theta", "essential"))

@@ -17,6 +17,8 @@ from ..plans.storage import stash
 
 #: What names a generation.
 KEY = ["document_id", "ingest_generation"]
+#: Generations whose names are broadcast.
+FEW = 1 << 18
 
 # Queries that nothing should answer, of an ingest and of a later look.
 NONSENSE = "xyzzy_nonexistent_term_for_negative_probe"
@@ -55,6 +57,13 @@ def probes_of_chunks(chunks: DataFrame, topical: int = 10, specific: int = 5, ne
     return told.select(*KEY, F.inline(made)).where("query <> ''")
 
 
+def of_generations(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` of the generations that ``keys`` names; up to ``FEW`` are looked up where the rows lie, so that the others' texts and vectors are not shuffled."""
+    keys = keys.select(*KEY).distinct()
+    few = keys.limit(FEW + 1).count() <= FEW
+    return rows.join(F.broadcast(keys) if few else keys, KEY, "left_semi")
+
+
 def specific_results(probes: DataFrame, chunks: DataFrame) -> DataFrame:
     """document_id, passed: a chunk of the generation has all tokens of the query and holds what is expected.
 
@@ -97,7 +106,7 @@ def found_by_rank(probes: DataFrame, index: CorpusIndex, view: View, limit: int,
     """
     asked = stash(asked_for(probes, dense_dim, sparse_dim), "probes")
     mine = probes.select("query", *KEY).distinct()
-    own = view(index.entries).join(mine, KEY).select("query", *KEY, index.key, F.col("dense").alias("~d"), F.col("sparse").alias("~s")).join(asked, "query")
+    own = of_generations(view(index.entries), mine).join(mine, KEY).select("query", *KEY, index.key, F.col("dense").alias("~d"), F.col("sparse").alias("~s")).join(asked, "query")
     shared = F.array_intersect(F.col("sparse")["indices"], F.col("~s")["indices"])
     value = lambda of, i: F.get(F.col(of)["values"], (F.array_position(F.col(of)["indices"], i) - 1).cast("int")).cast("double")
     dotted = F.aggregate(shared, F.lit(0.0), lambda s, i: s + value("sparse", i) * value("~s", i))
@@ -121,9 +130,10 @@ def run_probes(probes: DataFrame, index: CorpusIndex, view: View, active: View,
     chunks than its limit. A probe that was not asked passes.
     """
     sizes = {"dense_dim": dense_dim, "sparse_dim": sparse_dim}
+    probes = stash(probes, "probes")
     top = found_by_rank(probes.where("probe_type = 'topical'"), index, view, topical, rrf_k, **sizes).withColumnRenamed("found", "topical")
     neg = found_by_search(probes.where("probe_type = 'negative'"), index, view, negative, rrf_k, **sizes).withColumnRenamed("found", "~absent")
-    spec = specific_results(probes, view(index.entries)).withColumnRenamed("passed", "specific")
+    spec = specific_results(probes, of_generations(view(index.entries), probes)).withColumnRenamed("passed", "specific")
     seen = active(index.entries)
     own = seen.groupBy("document_id").agg(F.count("*").alias("~own"))
     total = seen.agg(F.count("*").alias("~all"))
