@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..plans.corpus_index import CorpusIndex, View
-from .postings import PLACE, fetch, holding
+from ..plans.storage import stash
+from .postings import PLACE, count_holding, holding
 
 
 def evidence(found: DataFrame, sub_queries: DataFrame, key: str = "point_id") -> DataFrame:
@@ -21,7 +22,11 @@ def evidence(found: DataFrame, sub_queries: DataFrame, key: str = "point_id") ->
 
 def ledger(found: DataFrame, sub_queries: DataFrame) -> DataFrame:
     """ask, query, hits, status: ``answered`` where a sub-query found anything, else ``empty``."""
-    hits = found.groupBy("query").agg(F.count("*").alias("hits"))
+    return ledger_of(found.groupBy("query").agg(F.count("*").alias("hits")), sub_queries)
+
+
+def ledger_of(hits: DataFrame, sub_queries: DataFrame) -> DataFrame:
+    """As :func:`ledger`, of numbers of hits (query, hits)."""
     out = sub_queries.select("ask", "query").distinct().join(hits, "query", "left").select("ask", "query", F.coalesce("hits", F.lit(0)).alias("hits"))
     return out.withColumn("status", F.when(F.col("hits") > 0, "answered").otherwise("empty"))
 
@@ -49,9 +54,10 @@ def answer_routed(index: CorpusIndex, sub_queries: DataFrame, limit: int = 10, k
     the postings, without a score. An unknown kind is taken as recall.
     """
     lists = F.coalesce(F.col("ask_type") == LISTED, F.lit(False))
-    found, told = answer_parts(index, sub_queries.where(~lists), limit, k, view, least)
     listed = sub_queries.where(lists)
-    hits = holding(index.tokens, listed.select("query", tokens(F.coalesce("text", F.lit(""))).alias("tokens")).dropDuplicates(["query"]))
+    terms = stash(listed.select("query", tokens(F.coalesce("text", F.lit(""))).alias("tokens")).dropDuplicates(["query"]), "terms")
     rows = index.entries if view is None else view(index.entries)
-    all_of = fetch(rows.select(*PLACE, index.key), hits).select("query", index.key, F.lit(None).cast("double").alias("score"))
-    return found.unionByName(evidence(all_of, listed, index.key)), told.unionByName(ledger(all_of, listed))
+    hits = count_holding(index.tokens, terms, rows)  # the ledger needs no rows; before the search, so that not all indices are there while that of tokens is built
+    all_of = rows.select(*PLACE, index.key).join(holding(index.tokens, terms), PLACE).select("query", index.key, F.lit(None).cast("double").alias("score"))
+    found, told = answer_parts(index, sub_queries.where(~lists), limit, k, view, least)
+    return found.unionByName(evidence(all_of, listed, index.key)), told.unionByName(ledger_of(hits, listed))

@@ -135,6 +135,49 @@ def holding(index: Postings, queries: DataFrame) -> DataFrame:
     return met.select("query", "slice", F.explode(both).alias("local"))
 
 
+def count_holding(index: Postings, queries: DataFrame, seen: DataFrame) -> DataFrame:
+    """query, hits: how many of the rows that ``seen`` has (entries, or a view of them) hold all tokens of each query (query, tokens); those that none holds have no row.
+
+    As fetching and counting what :func:`holding` finds, but a slice's lists go to one task once, whatever the number of queries, and
+    only counts leave it. Equal questions are asked once, ``QUERIES`` of them at a time.
+    """
+    asked = stash(queries.where(F.size("tokens") > 0).select("query", F.array_sort(F.array_distinct("tokens")).alias("tokens")), "asked")
+    sets = stash(asked.select("tokens").distinct(), "sets")
+    blocks = -(-sets.count() // QUERIES)
+    found = [stash(counts_of_slices(index, seen, sets.where(F.pmod(F.xxhash64("tokens"), F.lit(blocks)) == b)), "counts") for b in range(blocks)]
+    if not found:
+        return asked.select("query", F.lit(0).cast("long").alias("hits")).limit(0)
+    return asked.join(reduce(DataFrame.unionByName, found), "tokens").select("query", "hits")
+
+
+def counts_of_slices(index: Postings, seen: DataFrame, sets: DataFrame) -> DataFrame:
+    """tokens, hits: of a bounded number of sets of tokens (tokens)."""
+    names = index.blocks.columns
+    by = ["term", "bucket"] if "bucket" in names else ["term"]
+    wanted = sets.select(F.explode("tokens").alias("term")).distinct().withColumn("bucket", bucket(F.col("term"))).select(*by)
+    # the rows that are seen come as a list without a term
+    rows = seen.groupBy("slice").agg(F.sort_array(F.collect_list("local")).alias("locals")).select(F.lit(None).cast("string").alias("term"), "slice", "locals")
+    lists = index.blocks.join(F.broadcast(wanted), by, "left_semi").select("term", "slice", "locals").unionByName(rows)
+    asked = [r.tokens for r in sets.collect()]  # QUERIES at most
+
+    def count(lists: pa.Table) -> pa.Table:
+        held = {t: np.asarray(at.values) for t, at in zip(lists.column("term").to_pylist(), lists.column("locals"), strict=True)}
+        size = 64 * -(-(1 + max(int(at[-1]) for at in held.values())) // 64)
+
+        def bits(at: np.ndarray) -> np.ndarray:
+            out = np.zeros(size, bool)
+            out[at] = True
+            return np.packbits(out).view(np.uint64)
+
+        shown = bits(held.pop(None, np.zeros(0, np.int32)))
+        held = {t: bits(at) for t, at in held.items()}
+        n = [np.bitwise_count(reduce(np.bitwise_and, [held[t] for t in a], shown)).sum() if all(t in held for t in a) else 0 for a in asked]
+        some = [i for i, m in enumerate(n) if m]
+        return pa.table({"tokens": pa.array([asked[i] for i in some], pa.list_(pa.string())), "n": pa.array([n[i] for i in some], pa.int64())})
+
+    return lists.groupBy("slice").applyInArrow(count, "tokens array<string>, n long").groupBy("tokens").agg(F.sum("n").alias("hits"))
+
+
 def holding_all(index: Postings, wanted: list[str]) -> DataFrame:
     """slice, local: the rows that hold all of a few tokens, which are named to the reader."""
     wanted = sorted(set(wanted))

@@ -10,7 +10,7 @@ from ..functions.vectors import hash_dense, hash_sparse
 from ..plans.corpus_index import CorpusIndex, View
 from . import gates
 from .evals import retrieval_metrics
-from .postings import fetch, holding
+from .postings import count_holding
 
 KS = (1, 3, 5)
 
@@ -30,7 +30,7 @@ def run_retrieval(cases: DataFrame, index: CorpusIndex, view: View | None = None
     metrics = retrieval_metrics(hybrid, ranked, gold, KS)
     terms = lexical.select(F.col("case_id").alias("query"), tokens(F.col("q")).alias("tokens"))
     seen = index.entries if view is None else view(index.entries)
-    hits = fetch(seen.select("slice", "local"), holding(index.tokens, terms)).groupBy(F.col("query").alias("case_id")).agg(F.count("*").alias("hits"))
+    hits = count_holding(index.tokens, terms, seen).withColumnRenamed("query", "case_id")
 
     wanted = F.col("expected.thresholds")
     low = lambda name, got, least: F.when(got < least, name)

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import cells, postings, search, verify
+from corpusmill.functions.text import tokens
+from corpusmill.operators import ask, cells, postings, search, verify
 from corpusmill.plans import storage
 from corpusmill.plans.corpus_index import build_index
 
@@ -111,3 +112,36 @@ def test_own_rows_are_looked_up_where_they_lie(spark, docs, sent, monkeypatch):
     assert sorted(r.point_id for r in got) == want and n < 100_000 < sum(len(r[3]) for r in rows)
     monkeypatch.setattr(verify, "FEW", 3)
     assert sorted(r.point_id for r in verify.of_generations(df, keys).collect()) == want
+
+
+def test_holders_are_counted_in_their_slices(spark, docs, sent, monkeypatch):
+    """A slice's lists are sent once, not once for every question, and no row is."""
+    _, df = docs
+    entries = storage.stash(postings.sliced(df, size=64), "entries")
+    index = postings.Postings(entries, storage.stash(postings.blocks_of(entries, postings.text_terms(F.col("text"))), "blocks"))
+    asked = lambda n: spark.createDataFrame([(i, [f"w{i % 7}", "common"][: 1 + i % 2] * (i % 5 > 0)) for i in range(n)], "query int, tokens array<string>")
+    seen = entries.where("point_id LIKE '%1'")
+    want = lambda q: {r["query"]: r["count"] for r in postings.fetch(seen.select("slice", "local"), postings.holding(index, q)).groupBy("query").count().collect()}
+    taken = {}
+    for n in (40, 2000):
+        got, taken[n] = sent(lambda: {r["query"]: r.hits for r in postings.count_holding(index, asked(n), seen).collect()})
+        assert got == want(asked(n)) and len(got) == n * 4 // 5
+    assert taken[2000] < taken[40] + 60_000  # queries and counts
+    monkeypatch.setattr(postings, "QUERIES", 4)
+    assert {r["query"]: r.hits for r in postings.count_holding(index, asked(40), seen).collect()} == want(asked(40))
+    odd = spark.createDataFrame([(1, ["w1", "nowhere"]), (2, [])], "query int, tokens array<string>")
+    assert postings.count_holding(index, odd, seen).count() == 0 == postings.count_holding(index, odd.where("query = 2"), seen).count()
+
+
+def test_the_ledger_fetches_no_rows(spark, docs, monkeypatch):
+    _, df = docs
+    rows = df.withColumns({"dense": F.array(F.lit(1.0).cast("float")), "sparse": F.from_json(F.lit('{"indices":[1],"values":[1]}'), "struct<indices:array<int>,values:array<float>>")})
+    index = build_index(rows, ("document_id",), pivots=1)
+    sub = rows.limit(6).select(F.lit(1).alias("ask"), F.col("point_id").alias("query"), F.when(F.col("point_id") >= "p", "enumeration").alias("ask_type"), F.substring("text", 1, 12).alias("text"), "dense", "sparse")
+    want = {r.point_id: r.n for r in sub.select(F.col("query").alias("point_id"), tokens(F.col("text")).alias("t")).crossJoin(rows.select(tokens(F.col("text")).alias("u"))).groupBy("point_id").agg(F.count_if(F.size(F.array_except("t", "u")) == 0).alias("n")).collect()}
+    holding, never = ask.holding, F.raise_error(F.lit("rows are looked for")).cast("boolean")
+    monkeypatch.setattr(ask, "holding", lambda *a: holding(*a).where(F.coalesce(never, F.col("local") >= 0)))
+    assert {r["query"]: r.hits for r in ask.answer_routed(index, sub, 5)[1].collect()} == want and min(want.values()) > 0
+    monkeypatch.undo()
+    found = ask.answer_routed(index, sub, 5)[0].collect()
+    assert sum(r.sub_queries for r in found) == sum(want.values())
