@@ -9,8 +9,8 @@ query at angle ``a`` from the pivot. A query first meets its nearest cells until
 other cells only those are met whose bound reaches it, and only rows that reach it leave them. What is fitted on the sample decides how much is skipped, never
 what is found.
 
-Cells are cut into parts of bounded bytes, by a hash of the key, so that copies of one
-vector may fill a cell of any size and no task gets more than a part.
+Rows are read where they lie, some at a time, so that copies of one vector may fill a
+cell of any size. Queries come in blocks of bounded bytes, each of which goes to all tasks.
 """
 
 from __future__ import annotations
